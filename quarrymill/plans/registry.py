@@ -1,4 +1,517 @@
-"""The registered queries of the curation operators, and their SQL."""
+"""The registered queries of the curation operators, and their SQL.
+
+The driver's tables stand in for media: documents for assets (labels for their
+sidecars), embeddings for photos (sign bits for the perceptual hash, label for
+the album), events for videos, pages for files, lineitem for scored members.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from quarrymill.functions import coerce, names, scores
+from quarrymill.operators import audit, cleanup, curation, dedupe, graph, joins, order, ranking, review, similarity, video
+from quarrymill.plans.storage import stored
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def seconds(ts: str = "ts") -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+
+
+# ---------------------------------------------------------------- assets
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as assets; a label row is an asset's sidecar."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "lang", "source", "n_chars")
+    sides = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("side")).distinct()
+    has = F.coalesce("side", F.lit(False))
+    return docs.join(sides, "doc_id", "left").select(
+        F.col("doc_id").alias("asset_id"), "sha256", F.col("doc_id").alias("path"), F.col("n_chars").alias("file_size"), has.alias("has_sidecar"), has.cast("int").alias("sidecar_count"),
+        (F.col("lang") == "en").alias("has_json_time"), F.lit(False).alias("has_exif_time"), F.col("source").alias("content_type"), F.when(F.col("lang") == "en", F.col("doc_id").cast("string")).alias("json_datetime"),
+        F.lit(None).cast("string").alias("exif_datetime"), F.when(has, F.array(F.concat(F.col("doc_id").cast("string"), F.lit(".json")))).otherwise(F.array().cast("array<string>")).alias("sidecars"),
+    )
+
+
+_ASSETS = """
+    WITH a AS (
+        SELECT doc_id AS asset_id, sha256(text) AS sha256, n_chars AS file_size, lang, source,
+               doc_id IN (SELECT doc_id FROM labels) AS has_sidecar FROM documents),
+    r AS (
+        SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY has_sidecar DESC, (lang = 'en') DESC, file_size DESC, asset_id) AS rn,
+               count(*) OVER (PARTITION BY sha256) AS copies FROM a)
+"""
+
+
+@query(_ASSETS + """,
+    g AS (
+        SELECT sha256, max(copies) AS copies, bool_or(has_sidecar) AS has_sidecar,
+               string_agg(CASE WHEN has_sidecar THEN asset_id || '.json' END, '|' ORDER BY asset_id) AS sidecars,
+               CAST(min(CASE WHEN lang = 'en' THEN asset_id END) AS VARCHAR) AS json_datetime FROM r GROUP BY sha256),
+    m AS (
+        SELECT sha256, source, row_number() OVER (PARTITION BY sha256 ORDER BY count(*) DESC, min(asset_id)) AS k FROM a GROUP BY sha256, source)
+    SELECT g.sha256, r.asset_id, g.copies, g.has_sidecar, coalesce(g.sidecars, '') AS sidecars, m.source AS content_type, g.json_datetime
+    FROM g JOIN r ON r.sha256 = g.sha256 AND r.rn = 1 JOIN m ON m.sha256 = g.sha256 AND m.k = 1""")
+def exact_dedupe_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.fold_copies(assets(spark, sf_dir)).withColumn("sidecars", F.array_join("sidecars", "|")).drop("exif_datetime")
+
+
+@query(_ASSETS + """
+    SELECT c.asset_id AS canonical_asset_id, r.asset_id AS absorbed_asset_id, r.sha256, CAST(c.has_sidecar AS INTEGER) AS canonical_sidecar_count, CAST(r.has_sidecar AS INTEGER) AS absorbed_sidecar_count,
+           c.has_sidecar AS canonical_has_sidecar, r.has_sidecar AS absorbed_has_sidecar, CASE WHEN r.has_sidecar AND NOT c.has_sidecar THEN 'absorb_with_sidecar' ELSE 'absorb' END AS dedupe_action
+    FROM r JOIN r c ON c.sha256 = r.sha256 AND c.rn = 1 WHERE r.rn > 1""")
+def exact_dedupe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.absorbed_pairs(assets(spark, sf_dir))
+
+
+@query("""SELECT source, lang AS content_type FROM (
+    SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id)) AS k FROM documents WHERE trim(lang) <> '' GROUP BY source, lang) WHERE k = 1""")
+def content_type_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", F.col("lang").alias("content_type"), "doc_id")
+    return dedupe.first_mode(docs, "source", "content_type", "doc_id")
+
+
+@query("""SELECT o_orderkey, o_totalprice, l.l_quantity AS quantity FROM orders LEFT JOIN (
+    SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity DESC, l_partkey) AS rn FROM lineitem) l ON l.l_orderkey = o_orderkey AND l.rn = 1""")
+def merge_metric_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    metric = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(0.0).alias("o_totalprice"), F.col("l_quantity").alias("quantity"), "l_linenumber", "l_partkey")
+    return joins.merge_metric(base, metric, "o_orderkey", F.col("l_linenumber"), F.col("quantity").desc(), F.col("l_partkey")).select("o_orderkey", "o_totalprice", "quantity")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def orphan_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def linked_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.linked(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+_ROLE = "CASE WHEN contains(url, '.html') THEN 'html' WHEN contains(url, '?') THEN 'query' ELSE 'plain' END"
+
+
+def _page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select(F.when(F.contains(url, F.lit(".html")), "html").when(F.contains(url, F.lit("?")), "query").otherwise("plain").alias("file_role"))
+
+
+@query(f"""WITH c AS (SELECT {_ROLE} AS role FROM pages)
+    SELECT 'total_files' AS metric, CAST(count(*) AS VARCHAR) AS value FROM c UNION ALL SELECT 'files_' || role, CAST(count(*) AS VARCHAR) FROM c GROUP BY role""")
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.file_counts(_page_roles(spark, sf_dir))
+
+
+@query(f"""WITH c AS (SELECT {_ROLE} AS role FROM pages),
+    n AS (SELECT 'total_files' AS metric, CAST(count(*) AS VARCHAR) AS value FROM c UNION ALL SELECT 'files_' || role, CAST(count(*) AS VARCHAR) FROM c GROUP BY role),
+    o AS (SELECT * FROM (VALUES ('total_files', 'old'), ('archives_found', '0')) v(metric, value))
+    SELECT * FROM n UNION ALL SELECT * FROM o WHERE metric NOT IN (SELECT metric FROM n)""")
+def audit_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = spark.sql("SELECT * FROM VALUES ('total_files', 'old'), ('archives_found', '0') AS v(metric, value)")
+    return audit.merge(audit.file_counts(_page_roles(spark, sf_dir)), old)
+
+
+# ---------------------------------------------------------------- scores
+
+
+@query("""SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice,
+        round(least(greatest(l_extendedprice / CASE WHEN m > 0 THEN m ELSE 1 END, 0), 1), 6) AS price_n
+    FROM (SELECT *, max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)""")
+def norm_max_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
+    return rows.withColumn("price_n", F.round(ranking.share_of_max(F.col("l_extendedprice"), "l_orderkey"), 6))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, round(least(greatest((l_quantity - a) / CASE WHEN b <> a THEN b - a ELSE 1 END, 0), 1), 6) AS quantity_n
+    FROM (SELECT *, min(l_quantity) OVER w AS a, max(l_quantity) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))""")
+def minmax_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    return rows.withColumn("quantity_n", F.round(ranking.min_max(F.col("l_quantity"), "l_orderkey"), 6))
+
+
+@query("""SELECT o.o_orderkey, o.o_custkey, s.scene_group_size, s.scene_group_group_count, s.scene_group_group_count > 1 AS scene_merge_candidate
+    FROM orders o JOIN (SELECT o_custkey, count(*) AS scene_group_size, count(DISTINCT o_orderpriority) AS scene_group_group_count FROM orders GROUP BY 1) s USING (o_custkey)""")
+def scene_size_nunique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return ranking.scene_sizes(rows, "o_custkey", "o_orderpriority").drop("o_orderpriority")
+
+
+@query("""SELECT o.o_orderkey, g.tags FROM orders o JOIN (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS tags FROM orders GROUP BY 1) g USING (o_custkey)""")
+def tag_set_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return ranking.group_tags(rows, "o_custkey", "o_orderpriority", "tags").select("o_orderkey", "tags")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("asset_id"), "l_quantity", "l_extendedprice", "l_discount", "l_tax").dropDuplicates(["l_orderkey", "asset_id"])
+    n = lambda c: ranking.share_of_max(F.col(c), "l_orderkey")
+    named = rows.select("l_orderkey", "asset_id", "l_discount", n("l_quantity").alias("subject_n"), (F.col("l_discount") * 10).alias("composition_score"), n("l_extendedprice").alias("aesthetic_n"), ranking.min_max(F.col("l_tax"), "l_orderkey").alias("sharpness_n"), n("l_tax").alias("pixels_n"))
+    return named.withColumn("final_score", F.round(scores.weighted(scores.PHOTO_SUBJECT), 6))
+
+
+_SCORED = """
+    WITH u AS (SELECT DISTINCT l_orderkey, l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS asset_id, min(l_quantity) AS l_quantity, min(l_extendedprice) AS l_extendedprice, min(l_discount) AS l_discount, min(l_tax) AS l_tax
+               FROM lineitem GROUP BY 1, 2),
+    w AS (SELECT *, max(l_quantity) OVER g AS mq, max(l_extendedprice) OVER g AS mp, max(l_tax) OVER g AS mt, min(l_tax) OVER g AS nt FROM u WINDOW g AS (PARTITION BY l_orderkey)),
+    s AS (SELECT l_orderkey, asset_id, l_discount, round(0.34 * l_quantity / CASE WHEN mq > 0 THEN mq ELSE 1 END + 0.24 * (l_discount * 10) + 0.24 * l_extendedprice / CASE WHEN mp > 0 THEN mp ELSE 1 END
+                 + 0.14 * (l_tax - nt) / CASE WHEN mt <> nt THEN mt - nt ELSE 1 END + 0.04 * l_tax / CASE WHEN mt > 0 THEN mt ELSE 1 END, 6) AS final_score FROM w)
+"""
+
+
+@query(_SCORED + """, b AS (SELECT *, first_value(asset_id) OVER o AS best_asset_id, first_value(final_score) OVER o AS best_score FROM s WINDOW o AS (PARTITION BY l_orderkey ORDER BY final_score DESC, asset_id))
+    SELECT l_orderkey, asset_id, final_score, best_asset_id, best_score, asset_id = best_asset_id AS is_best FROM b""")
+def photo_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = ranking.mark_best(stored(_scored(spark, sf_dir), "scored"), "l_orderkey", "final_score", "asset_id")
+    return marked.select("l_orderkey", "asset_id", "final_score", "best_asset_id", "best_score", "is_best")
+
+
+@query(_SCORED + """, n AS (SELECT l_orderkey, asset_id, final_score, CASE WHEN asset_id % 3 <> 0 THEN asset_id END AS a, CASE WHEN l_discount > 0.03 THEN l_discount END AS d FROM s)
+    SELECT l_orderkey, arg_min(a, (-final_score, asset_id)) FILTER (a IS NOT NULL) AS first_asset, arg_min(d, (-final_score, asset_id)) FILTER (d IS NOT NULL) AS first_discount FROM n GROUP BY l_orderkey""")
+def best_first_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir).withColumn("first_asset", F.when(F.col("asset_id") % 3 != 0, F.col("asset_id"))).withColumn("first_discount", F.when(F.col("l_discount") > 0.03, F.col("l_discount")))
+    return ranking.first_non_null_best(rows, "l_orderkey", "final_score", "asset_id", ["first_asset", "first_discount"])
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS asset_id, max(l_quantity) AS faces, max(l_discount) AS sym, max(l_tax) AS yaw FROM lineitem GROUP BY 1, 2),
+    w AS (SELECT *, max(faces) OVER (PARTITION BY l_orderkey) AS m FROM v)
+    SELECT l_orderkey, asset_id, round(0.08 * (1 - least(greatest(yaw, 0), 1)) + 0.08 * least(greatest(sym, 0), 1) + 0.03 * faces / CASE WHEN m > 0 THEN m ELSE 1 END, 10) AS final_score FROM w""")
+def photo_face_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Face mode with the optional metrics missing."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("asset_id")).agg(F.max("l_quantity").alias("faces"), F.max("l_discount").alias("face_symmetry"), F.max("l_tax").alias("head_yaw"))
+    termed = scores.face_columns(rows, "l_orderkey")
+    for c in scores.PHOTO_FACE:
+        if c not in termed.columns:
+            termed = termed.withColumn(c, F.lit(0.0))
+    return termed.select("l_orderkey", "asset_id", F.round(scores.weighted(scores.PHOTO_FACE), 10).alias("final_score"))
+
+
+@query("""WITH v AS (
+        SELECT user_id, event_id, value, event_type, CASE WHEN event_type = 'click' THEN 0.2 WHEN event_type = 'view' THEN 0.1 ELSE 0 END AS penalty,
+               max(value) OVER (PARTITION BY user_id) AS m, event_id % 2 AS audio, event_id % 3 AS k FROM events),
+    s AS (SELECT *, round_even(greatest(0.35 * least(greatest(value / CASE WHEN m > 0 THEN m ELSE 1 END, 0), 1) + 0.10 * audio + 0.05 * CASE WHEN k = 0 THEN 1 ELSE 0 END + 0.05 - penalty, 0), 6) AS video_score FROM v)
+    SELECT user_id, event_id, round(video_score, 4) AS video_score, penalty FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY video_score DESC, value DESC, event_id) AS rn FROM s) WHERE rn = 1""")
+def video_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind == "click", "strong").when(kind == "view", "probable")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", scores.live_penalty(status).alias("penalty"), ranking.share_of_max(F.col("value"), "user_id").alias("pixels_norm"), F.lit(0.0).alias("bitrate_norm"), F.lit(0.0).alias("fps_norm"), F.lit(0.0).alias("duration_norm"), (F.col("event_id") % 2).alias("audio"), (F.col("event_id") % 3 == 0).cast("int").alias("sidecar"), F.lit(1).alias("ok"))
+    scored = rows.withColumn("video_score", scores.video_score(F.col("penalty"))).select("user_id", F.col("event_id").alias("asset_id"), "video_score", "penalty", F.col("value").alias("pixels"), F.lit(0).alias("bitrate"), F.lit(0).alias("duration"), F.lit(0).alias("fps"))
+    return ranking.video_best(scored, "user_id").select("user_id", F.col("asset_id").alias("event_id"), F.round("video_score", 4).alias("video_score"), "penalty")
+
+
+# ---------------------------------------------------------------- look-alikes
+
+#: Thresholds for the surrogate photos, whose hashes lie far apart.
+LIMITS = similarity.Limits(prefix=1, hash_distance=20, album_ahead=40, cross_ahead=20, near_seconds=120, near_steps=25, far_seconds=600, far_steps=80)
+
+
+def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as photos: id, album, ts, seq, aspect, bits, phash, v."""
+    bits = F.expr("aggregate(transform(embedding, (x, i) -> IF(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("album"), (F.col("vec_id") * 7 % 1000).cast("double").alias("ts"), F.col("vec_id").alias("seq"), (1 + F.col("vec_id") % 5 * 0.05).alias("aspect"), bits.alias("bits"), F.col("embedding").alias("v"))
+    return rows.withColumn("phash", F.lpad(F.lower(F.hex("bits")), 16, "0"))
+
+
+_PHOTOS = """
+    WITH p AS (SELECT vec_id AS id, label AS album, CAST(vec_id * 7 % 1000 AS DOUBLE) AS ts, vec_id AS seq, 1 + vec_id % 5 * 0.05 AS aspect, embedding AS v FROM embeddings),
+    o AS (SELECT *, row_number() OVER (PARTITION BY album ORDER BY ts, id) AS an, row_number() OVER (ORDER BY ts, id) AS gn FROM p)
+"""
+_D = "CAST(len(list_filter(list_zip(a.v, b.v), lambda z: (z[1] > 0) <> (z[2] > 0))) AS INTEGER)"
+_BLOCKED = f"""SELECT a.id AS img1, b.id AS img2, {_D} AS distance FROM p a JOIN p b ON a.id < b.id AND (a.v[64] > 0) = (b.v[64] > 0) AND (a.v[63] > 0) = (b.v[63] > 0) AND (a.v[62] > 0) = (b.v[62] > 0) AND (a.v[61] > 0) = (b.v[61] > 0)"""
+
+
+@query(_PHOTOS + f"SELECT img1, img2, distance, 1 - distance / 64.0 AS similarity, 'phash' AS match_source, 'strict' AS pair_scope FROM ({_BLOCKED}) WHERE distance <= 20")
+def phash_blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.blocked_pairs(photos(spark, sf_dir), LIMITS, "id")
+
+
+def _in_album(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.positions(photos(spark, sf_dir).drop("phash"), [F.col("album"), F.col("ts"), F.col("id")])
+
+
+@query(_PHOTOS + f"""SELECT img1, img2, distance, 1 - distance / 64.0 AS similarity, 'phash_local' AS match_source, 'strict' AS pair_scope FROM (
+    SELECT a.id AS img1, b.id AS img2, {_D} AS distance FROM o a JOIN o b ON a.album = b.album AND b.an BETWEEN a.an + 1 AND a.an + 40 WHERE b.ts - a.ts <= 120 OR abs(a.seq - b.seq) <= 25) WHERE distance <= 20""")
+def lookahead_pairs_album(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.local_pairs(_in_album(spark, sf_dir), LIMITS)
+
+
+@query(_PHOTOS + f""", c AS (SELECT a.id AS img1, b.id AS img2, {_D} AS distance, b.ts - a.ts AS dt, abs(a.seq - b.seq) AS ds, abs(a.aspect - b.aspect) AS da FROM o a JOIN o b ON a.album = b.album AND b.an BETWEEN a.an + 1 AND a.an + 40),
+    t AS (SELECT *, dt <= 120 AND ds <= 25 AS near, dt <= 5 AND ds <= 15 AND distance <= 18 AS burst FROM c WHERE dt <= 600 OR ds <= 80)
+    SELECT img1, img2, distance, CASE WHEN burst THEN 0.95 WHEN near THEN 0.94 ELSE 0.965 END AS clip, CASE WHEN burst THEN 0.90 WHEN near THEN 0.88 END AS background
+    FROM t WHERE da <= CASE WHEN near THEN 0.75 ELSE 0.12 END AND distance > 20 AND distance <= CASE WHEN near THEN 40 ELSE 24 END""")
+def album_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.album_candidates(_in_album(spark, sf_dir), LIMITS)
+
+
+@query(_PHOTOS + f"""SELECT img1, img2, distance, 0.90 AS clip, 0.86 AS background FROM (
+    SELECT a.id AS img1, b.id AS img2, {_D} AS distance FROM o a JOIN o b ON b.gn BETWEEN a.gn + 1 AND a.gn + 20 WHERE a.album <> b.album AND b.ts - a.ts <= 90 AND abs(a.seq - b.seq) <= 500 AND abs(a.aspect - b.aspect) <= 0.12) WHERE distance > 10 AND distance <= 18""")
+def lookahead_pairs_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order.positions(photos(spark, sf_dir).drop("phash"), [F.col("ts"), F.col("id")])
+    return similarity.cross_candidates(rows, similarity.Limits(hash_distance=10, cross_steps=500))
+
+
+def _blocked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = photos(spark, sf_dir)
+    pairs = similarity.blocked_pairs(rows, LIMITS, "id").select("img1", "img2", "distance")
+    return joins.enrich_pairs(pairs, rows, "id", ["v"])
+
+
+def _view(v: str, at: int) -> Column:
+    part = F.slice(v, at, 22)
+    return F.transform(part, lambda x: x.cast("double") / F.sqrt(similarity.dot(part, part)))
+
+
+def _background() -> Column:
+    return similarity.top_two_mean(*[similarity.dot(_view("v_1", at), _view("v_2", at)) for at in (1, 22, 43)])
+
+
+def _cos_sql(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+
+
+def _view_sql(at: int) -> str:
+    x, y = f"a.v[{at}:{at + 21}]", f"b.v[{at}:{at + 21}]"
+    return f"{_cos_sql(x, y)} / sqrt({_cos_sql(x, x)}) / sqrt({_cos_sql(y, y)})"
+
+
+_VECTORS = _PHOTOS + f""", q AS (SELECT img1, img2, distance, {_cos_sql('a.v', 'b.v')} AS sim, {_view_sql(1)} AS v1, {_view_sql(22)} AS v2, {_view_sql(43)} AS v3
+    FROM ({_BLOCKED}) k JOIN p a ON a.id = img1 JOIN p b ON b.id = img2 WHERE distance <= 20)"""
+
+
+@query(_VECTORS + "SELECT img1, img2, round(sim, 5) AS similarity FROM q")
+def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocked_vectors(spark, sf_dir).select("img1", "img2", F.round(similarity.dot(F.col("v_1"), F.col("v_2")), 5).alias("similarity"))
+
+
+@query(_VECTORS + "SELECT img1, img2, round((v1 + v2 + v3 - least(v1, v2, v3)) / 2, 5) AS background FROM q")
+def background_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocked_vectors(spark, sf_dir).select("img1", "img2", F.round(_background(), 5).alias("background"))
+
+
+@query(_VECTORS + """, s AS (SELECT *, (v1 + v2 + v3 - least(v1, v2, v3)) / 2 AS bg, CASE WHEN img1 % 2 = 0 AND img2 % 2 = 0 THEN v1 END AS face FROM q),
+    t AS (SELECT *, (sim + 0.55 >= 0.90 OR (bg + 0.4 >= 0.93 AND distance <= 12 AND sim + 0.55 >= 0.90) OR (bg + 0.4 >= 0.90 AND distance <= 28 AND sim + 0.55 >= 0.91))
+             AND NOT (bg + 0.4 >= 0.90 AND sim + 0.55 <= 0.975 AND distance <= 22 AND coalesce(face + 0.4 < 0.88, false)) AS scene FROM s)
+    SELECT img1, img2, distance, round(sim + 0.55, 5) AS similarity, pair_scope FROM (
+        SELECT *, 'scene' AS pair_scope FROM t WHERE scene UNION ALL SELECT *, 'strict' FROM t WHERE scene AND bg + 0.4 >= 0.86)""")
+def pair_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarities are raised by constants so that the surrogate pairs meet every rule."""
+    pairs = _blocked_vectors(spark, sf_dir).withColumn("clip", F.lit(0.90)).withColumn("background", F.lit(0.86))
+    face = F.when((F.col("img1") % 2 == 0) & (F.col("img2") % 2 == 0), similarity.dot(_view("v_1", 1), _view("v_2", 1)) + 0.4)
+    sim = similarity.dot(F.col("v_1"), F.col("v_2")) + 0.55
+    return similarity.decisions(pairs, sim, _background() + 0.4, face).select("img1", "img2", "distance", F.round("similarity", 5).alias("similarity"), "pair_scope")
+
+
+def _components_sql(edges: str) -> str:
+    return f""", e AS ({edges}), both_ways AS (SELECT img1 AS s, img2 AS t FROM e UNION SELECT img2, img1 FROM e),
+    reach AS (SELECT s AS node, s AS label FROM both_ways UNION SELECT t, label FROM reach JOIN both_ways ON node = s),
+    least_of AS (SELECT node, min(label) AS root FROM reach GROUP BY node)
+    SELECT node AS file_id, root, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS group_id FROM least_of"""
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    found = graph.connected_components(edges, "img1", "img2")
+    return graph.group_ids(found).select(F.col("node").alias("file_id"), F.col("component").alias("root"), "group_id")
+
+
+@query((_PHOTOS + _components_sql(f"SELECT img1, img2 FROM ({_BLOCKED}) WHERE distance <= 20")).replace("WITH p", "WITH RECURSIVE p", 1))
+def components_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _components(similarity.blocked_pairs(photos(spark, sf_dir), LIMITS, "id"))
+
+
+@query((_PHOTOS + _components_sql(f"SELECT img1, img2 FROM ({_BLOCKED}) WHERE distance <= 20 UNION SELECT a.id, b.id FROM o a JOIN o b ON a.album = b.album AND b.an BETWEEN a.an + 1 AND a.an + 40 WHERE (b.ts - a.ts <= 120 OR abs(a.seq - b.seq) <= 25) AND {_D} <= 20")).replace("WITH p", "WITH RECURSIVE p", 1))
+def components_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strict = similarity.blocked_pairs(photos(spark, sf_dir), LIMITS, "id")
+    local = similarity.local_pairs(_in_album(spark, sf_dir), LIMITS)
+    return _components(strict.union(similarity.without_edges(local, strict).select(strict.columns)))
+
+
+# ---------------------------------------------------------------- videos
+
+
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as videos: id, album, ts, num, source, width, height, codec, duration."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("album"), seconds().alias("ts"), F.col("event_id").alias("num"), F.when(F.col("event_id") % 2 == 0, "json").otherwise("fs").alias("source"), F.lit(16).alias("width"), (F.col("event_id") % 3 + 1).alias("height"), F.col("event_type").alias("codec"), F.col("value").alias("duration"))
+    return order.positions(rows, [F.col("album"), F.col("ts"), F.col("num"), F.col("id")])
+
+
+#: Seconds of the surrogate that stand for one second of video time.
+UNIT = 120.0
+
+_VIDEOS = f"""
+    WITH RECURSIVE v AS (SELECT event_id AS id, user_id AS album, epoch_us(ts) / 1e6 AS ts, event_id AS num, event_id % 2 = 1 AS fs, event_id % 3 AS h, event_type AS codec, value AS duration FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY album ORDER BY ts, num, id) AS rn FROM v),
+    p AS (SELECT a.id AS src, b.id AS dst, abs(a.ts - b.ts) / {UNIT} AS dt, abs(a.num - b.num) AS dn, a.fs OR b.fs AS fs, a.h = b.h AS size, lower(a.codec) = lower(b.codec) AS codec,
+                 CASE WHEN a.duration > 0 AND b.duration > 0 THEN greatest(a.duration, b.duration) / least(a.duration, b.duration) END AS ratio
+          FROM n a JOIN n b ON a.album = b.album AND b.rn BETWEEN a.rn + 1 AND a.rn + 8),
+    links AS (SELECT * FROM (SELECT src, dst, CASE WHEN dt <= 30 THEN 'close_time' WHEN NOT fs AND dn <= 20 AND dt <= 120 THEN 'number_time' WHEN NOT fs AND dn <= 6 AND dt <= 300 AND (size OR codec) THEN 'number_format'
+              WHEN fs AND dn <= 6 AND dt <= 45 AND size THEN 'file_time' WHEN ratio <= 1.35 AND dt <= 20 AND size THEN 'duration' END AS reason FROM p) WHERE reason IS NOT NULL)
+"""
+
+
+@query(_VIDEOS + "SELECT src, dst, reason FROM links")
+def video_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.video_links(videos(spark, sf_dir), UNIT)
+
+
+@query(_VIDEOS + """, both_ways AS (SELECT src AS s, dst AS t FROM links UNION SELECT dst, src FROM links),
+    reach AS (SELECT s AS node, s AS label FROM both_ways UNION SELECT t, label FROM reach JOIN both_ways ON node = s),
+    least_of AS (SELECT node, min(label) AS root FROM reach GROUP BY node)
+    SELECT id, coalesce(root, id) AS video_group_id, count(*) OVER (PARTITION BY coalesce(root, id)) AS video_group_size FROM v LEFT JOIN least_of ON node = id""")
+def video_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = videos(spark, sf_dir)
+    groups = stored(video.video_groups(rows, video.video_links(rows, UNIT)), "video-groups")
+    return groups.join(groups.groupBy("video_group_id").agg(F.count(F.lit(1)).alias("video_group_size")), "video_group_id").select("id", "video_group_id", "video_group_size")
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("album"), (F.col("event_id") % 2).alias("stem"), (seconds() / 600).alias("ts"), (F.col("value") / 10).alias("duration"), "event_type")
+    return video.live_pairs(rows.where("event_type = 'view'"), rows.where("event_type = 'click'").drop("duration"))
+
+
+_LIVE = """
+    WITH r AS (SELECT event_id, user_id, event_id % 2 AS stem, epoch_us(ts) / 1e6 / 600 AS t, value / 10 AS duration, event_type FROM events),
+    l AS (SELECT v.event_id AS video_id, p.event_id AS photo_id, abs(v.t - p.t) AS gap FROM r v JOIN r p ON v.user_id = p.user_id AND v.stem = p.stem
+          WHERE v.event_type = 'view' AND p.event_type = 'click' AND v.duration <= 4 AND abs(v.t - p.t) <= 5)
+"""
+
+
+@query(_LIVE + "SELECT video_id, photo_id, round(gap, 5) AS time_gap, CASE WHEN gap <= 1 THEN 'strong' ELSE 'probable' END AS live_photo_status FROM l")
+def live_photo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _live(spark, sf_dir).withColumn("time_gap", F.round("time_gap", 5))
+
+
+@query(_LIVE + "SELECT video_id, photo_id, round(gap, 5) AS time_gap FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY gap, photo_id) AS rn FROM l) WHERE rn = 1")
+def live_photo_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.nearest_live(_live(spark, sf_dir)).select("video_id", "photo_id", F.round("time_gap", 5).alias("time_gap"))
+
+
+# ---------------------------------------------------------------- scalar functions
+
+
+@query(r"""SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '(\d+)\D*$', 1), '') AS BIGINT) AS last_number, TRY_CAST(nullif(regexp_extract(url, '(\d{3,})', 1), '') AS BIGINT) AS numeric_token,
+    lower(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '([^.])\.[^.]*$', '\1')) AS stem FROM pages""")
+def filename_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", names.last_number(url).alias("last_number"), names.numeric_token(url).alias("numeric_token"), names.normal_stem(names.file_name(url)).alias("stem"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(epoch(date_trunc('second', ts)) AS DOUBLE) WHEN event_id % 3 = 1 THEN CAST(event_id AS DOUBLE) ELSE 0.0 END AS capture_ts,
+    CASE WHEN event_id % 3 = 1 THEN 'json' ELSE 'none' END AS time_source FROM events""")
+def capture_ts_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exif = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", coerce.EXIF_FORMAT)).otherwise("not a date")
+    json = F.when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise("nan")
+    _, source = coerce.chosen_time(json, F.lit(None).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", coerce.capture_seconds(exif, json, F.lit("")).alias("capture_ts"), source.alias("time_source"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 4 = 1 THEN CAST(user_id AS VARCHAR) END AS json_datetime FROM events""")
+def json_sidecar_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = lambda c: F.struct(F.col(c).cast("string").alias("timestamp"))
+    doc = F.when(F.col("event_id") % 4 == 0, F.to_json(F.struct(stamp("event_id").alias("photoTakenTime"), stamp("user_id").alias("creationTime")))).when(F.col("event_id") % 4 == 1, F.to_json(F.struct(stamp("user_id").alias("creationTime")))).when(F.col("event_id") % 4 == 2, "{broken").otherwise("{}")
+    return table(spark, sf_dir, "events").select("event_id", coerce.json_datetime(doc).alias("json_datetime"))
+
+
+@query("""SELECT p_partkey, CASE WHEN (png OR hw >= 1.8) AND face < 0.005 THEN 'document' WHEN face >= 0.03 THEN 'people' WHEN png AND face < 0.01 THEN 'document' ELSE 'landscape' END AS content_type
+    FROM (SELECT p_partkey, p_size % 3 = 0 AS png, p_size / 20.0 AS hw, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey % 50 / 1000.0 END AS face FROM part)""")
+def content_type_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    face = F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") % 50 / 1000.0)
+    return table(spark, sf_dir, "part").select("p_partkey", names.content_type(F.col("p_size") % 3 == 0, F.col("p_size") / 20.0, face).alias("content_type"))
+
+
+@query("""SELECT page_id, CASE WHEN contains(path, '.') THEN 'media/photo' ELSE 'other' END AS file_role, path AS file_name, sha1(lower(url)) AS asset_id FROM (
+    SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '/a.JPG' WHEN 1 THEN '/b' WHEN 2 THEN '/c' WHEN 3 THEN '/.hidden' ELSE '/d.png' END AS url, CASE page_id % 5 WHEN 0 THEN 'a.JPG' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN '.hidden' ELSE 'd.png' END AS full_name,
+           CASE page_id % 5 WHEN 0 THEN 'a.JPG' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'hidden' ELSE 'd.png' END AS path FROM pages)""".replace("path AS file_name", "full_name AS file_name"))
+def raw_file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat("url", F.element_at(F.array(*[F.lit(x) for x in ("/a.JPG", "/b", "/c", "/.hidden", "/d.png")]), (F.col("page_id") % 5 + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", names.file_role(url).alias("file_role"), names.file_name(url).alias("file_name"), names.asset_id(url).alias("asset_id"))
+
+
+# ---------------------------------------------------------------- cleanup, plans, review
+
+
+def _working(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assets(spark, sf_dir)
+    sha = F.when(F.col("asset_id") % 4 != 0, F.col("sha256"))
+    key = cleanup.duplicate_key(sha, F.when(F.col("asset_id") % 8 == 0, F.substring("sha256", 1, 16)), F.col("file_size"), F.lit(10), F.lit(20), F.lit("txt"), F.col("content_type"))
+    return rows.select("asset_id", sha.alias("sha"), F.col("has_sidecar").alias("has_json"), F.when(F.col("asset_id") % 5 != 0, F.col("asset_id") % 100).alias("rating"), key.alias("duplicate_key"), cleanup.safe_subgroup(F.lit("auto"), F.when(F.col("asset_id") % 2 == 0, F.col("content_type")).otherwise(key)).alias("safe_subgroup"))
+
+
+_WORKING = """
+    WITH a AS (SELECT doc_id AS asset_id, CASE WHEN doc_id % 4 <> 0 THEN sha256(text) END AS sha, doc_id IN (SELECT doc_id FROM labels) AS has_json, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 100 END AS rating, source,
+        CASE WHEN doc_id % 4 <> 0 THEN sha256(text) WHEN doc_id % 8 = 0 THEN 'strict::' || left(sha256(text), 16) || '::' || n_chars || '::10x20::txt' ELSE 'fallback::' || lower(source) || '::' || n_chars END AS duplicate_key FROM documents),
+    w AS (SELECT *, 'auto||' || CASE WHEN asset_id % 2 = 0 THEN source ELSE duplicate_key END AS safe_subgroup FROM a)
+"""
+
+
+@query(_WORKING + "SELECT asset_id, duplicate_key, safe_subgroup FROM w")
+def duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _working(spark, sf_dir).select("asset_id", "duplicate_key", "safe_subgroup")
+
+
+@query(_WORKING + """, f AS (SELECT *, count(*) OVER g AS n, bool_or(has_json) OVER g AS y, bool_or(NOT has_json) OVER g AS x, count(sha) OVER g = count(*) OVER g AND min(sha) OVER g = max(sha) OVER g AS exact, max(CASE WHEN has_json THEN rating END) OVER g AS best
+        FROM w WINDOW g AS (PARTITION BY safe_subgroup))
+    SELECT asset_id, safe_subgroup, reason FROM (SELECT *, CASE WHEN exact THEN 'exact_copy_without_json' WHEN rating < best THEN 'lower_rated' END AS reason FROM f WHERE n >= 2 AND y AND x AND NOT has_json) WHERE reason IS NOT NULL""")
+def cleanup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleanup.delete_candidates(stored(_working(spark, sf_dir), "working")).select("asset_id", "safe_subgroup", "reason")
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = dedupe.fold_copies(assets(spark, sf_dir))
+    rows = folded.select("asset_id", F.col("asset_id").alias("group_id"), F.concat(F.lit("/in/"), F.col("asset_id").cast("string"), F.lit(".txt")).alias("path"), F.col("content_type").alias("album"), "sidecars", F.lit(1.0).alias("best_score"))
+    return curation.curation_plan(rows, "/library")
+
+
+_PLAN = _ASSETS + """,
+    s AS (SELECT sha256, list(asset_id || '.json' ORDER BY asset_id) FILTER (has_sidecar) AS sides FROM a GROUP BY sha256),
+    m AS (SELECT sha256, source, row_number() OVER (PARTITION BY sha256 ORDER BY count(*) DESC, min(asset_id)) AS k FROM a GROUP BY sha256, source),
+    plan AS (SELECT r.asset_id, m.source AS album, coalesce(s.sides, []) AS sides FROM r JOIN s USING (sha256) JOIN m ON m.sha256 = r.sha256 AND m.k = 1 WHERE r.rn = 1)
+"""
+
+
+@query(_PLAN + "SELECT asset_id, 'best_in_group' AS selection_reason, '/in/' || asset_id || '.txt' AS primary_source_path, '/library/' || album || '/' || asset_id || '.txt' AS primary_target_path, CAST(len(sides) AS INTEGER) AS sidecar_count FROM plan")
+def curation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).select("asset_id", "selection_reason", "primary_source_path", "primary_target_path", "sidecar_count")
+
+
+@query(_PLAN + """SELECT asset_id, 0 AS entry, 'primary' AS entry_kind, '/in/' || asset_id || '.txt' AS source_path, '/library/' || album || '/' || asset_id || '.txt' AS target_path FROM plan
+    UNION ALL SELECT asset_id, CAST(i AS INTEGER), 'sidecar', sides[i], '/library/' || album || '/' || sides[i] FROM (SELECT *, unnest(generate_series(1, len(sides))) AS i FROM plan)""")
+def manifest_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.manifest(_plan(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT *, CASE left(o_orderpriority, 1) WHEN '1' THEN 'people' WHEN '2' THEN 'landscapes' WHEN '3' THEN 'documents' END AS tag FROM orders)
+    SELECT o_custkey, count(*) AS size, coalesce(string_agg(DISTINCT tag, '|' ORDER BY tag), '') AS categories, string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS label FROM t GROUP BY o_custkey HAVING bool_or(tag IN ('people', 'documents'))""")
+def review_groups_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.left("o_orderpriority", F.lit(1))
+    tag = F.when(first == "1", " People").when(first == "2", "landscape").when(first == "3", "document").otherwise("other")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("group_id"), tag.alias("tag"))
+    found = review.photo_groups(rows, ["people", "documents"], "o_custkey")
+    return found.withColumn("categories", F.array_join("categories", "|"))
+
+
+@query("SELECT user_id, count(*) AS size, bool_or(event_type = 'view') AS has_live, bool_or(event_type <> 'view') AS has_regular FROM events GROUP BY user_id HAVING count(*) > 1 AND bool_or(event_type = 'view')")
+def review_video_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "view").alias("is_live"))
+    return review.video_review_groups(rows, "user_id", live=True, regular=False)
+
+
+@query("""SELECT o_custkey, unnest(list_filter([CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'o_orderstatus' END, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'o_orderpriority' END], lambda c: c IS NOT NULL)) AS metric FROM orders GROUP BY o_custkey""")
+def review_varying_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.varying_columns(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"])
