@@ -23,7 +23,7 @@ def words_of(text: Column) -> Column:
     matching needs.  Null has no words.
     """
     plain = F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
-    return F.coalesce(F.regexp_extract_all(plain, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(plain, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), ""), F.array().cast("array<string>"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
