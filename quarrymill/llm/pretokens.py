@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -27,11 +28,19 @@ _BYTE_SPLIT = re.compile(rf"{_CONTRACTIONS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_L
 _WORD_SPLIT = re.compile(rf"{_CONTRACTIONS}|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
 
 #: Pre-tokens remembered by one worker process, at most twice this many.
-MEMO = 300_000
+MEMO = 500_000
 #: Characters, or pre-tokens, of one text that are split at a time.
 BLOCK = 1 << 20
 
 
+def byte_characters() -> dict[int, str]:
+    """How byte-level BPE writes each plain character: its UTF-8 bytes, those that don't print moved beyond U+00FF."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    of = {b: chr(b) for b in prints}
+    of |= {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in of)}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(0x100)}
+
+
 class PretokenEncoder:
     """Ids of texts as the tokenizers library gives them, without added special tokens."""
 
@@ -45,43 +54,35 @@ class PretokenEncoder:
         self.lower = self.library.normalizer is not None
         self.split = _WORD_SPLIT if self.lower else _BYTE_SPLIT
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo = TwoGenerations(self._whole, memo)
+        self.written, self.model = byte_characters(), self.library.model
+        self.memo = TwoGenerations(lambda t: array("I", self._ids(t)).tobytes(), memo)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, pretoken: str) -> list[int]:
+        """The BPE model's ids of one plain pre-token."""
+        return [t.id for t in self.model.tokenize(pretoken.translate(self.written))]
 
-    def pretokens(self, text: str) -> list[str] | None:
-        """The text's pre-tokens; None if only the library can split it."""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return None
-        return self.split.findall(text.lower() if self.lower else text)
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def blocks(self, text: str) -> Iterator[list[str] | None]:
-        """``pretokens`` in lists of at most BLOCK tokens for a long text."""
-        if len(text) <= BLOCK:
-            yield self.pretokens(text)
-        elif not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        """The text's pre-tokens, a long text's in lists of at most BLOCK; None if only the library can split it."""
+        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             yield None
+            return
+        text = text.lower() if self.lower else text
+        if len(text) <= BLOCK:
+            yield self.split.findall(text)
         else:
-            found = (m.group() for m in self.split.finditer(text.lower() if self.lower else text))
+            found = (m.group() for m in self.split.finditer(text))
             while tokens := list(islice(found, BLOCK)):
                 yield tokens
 
-    def _learn(self, tokens: list[str], memo: TwoGenerations, value) -> None:
-        fresh = [t for t in set(tokens) if t not in memo and t not in memo.old]
-        if len(fresh) > 1:
-            for t, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-                memo.put(t, value(e.ids))
-
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a text; null is empty."""
-        if not text:
-            return b""
         parts = []
-        for tokens in self.blocks(text):
+        for tokens in self.blocks(text or ""):
             if tokens is None:
-                return self._whole(text)
-            self._learn(tokens, self.memo, lambda ids: np.array(ids, "<u4").tobytes())
+                return np.array(self._whole(text), "<u4").tobytes()
             parts.append(b"".join(map(self.memo.__getitem__, tokens)))
         return b"".join(parts)
 
@@ -91,16 +92,13 @@ class PretokenCounter(PretokenEncoder):
 
     def __init__(self, path: str, frequent: dict[str, int], memo: int = MEMO):
         super().__init__(path, memo)
-        self.lengths = _Tiers(frequent, TwoGenerations(lambda t: len(self.library.encode(t, add_special_tokens=False)), memo))
+        self.lengths = _Tiers(frequent, TwoGenerations(lambda t: len(self._ids(t)), memo))
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        total, rest = 0, self.lengths.rest
-        for tokens in self.blocks(text):
+        total = 0
+        for tokens in self.blocks(text or ""):
             if tokens is None:
-                return len(self.library.encode(text, add_special_tokens=False).ids)
-            self._learn([t for t in set(tokens) if t not in self.lengths], rest, len)
+                return len(self._whole(text))
             total += sum(map(self.lengths.__getitem__, tokens))
         return total
 
