@@ -2,8 +2,8 @@
 
 A record file is a row of frames.  A frame is the payload's length (unsigned
 64-bit), a masked CRC-32 of those eight bytes, the payload, and a masked CRC-32
-of the payload, all little-endian.  A payload is the ids of one document as
-unsigned 32-bit integers.
+of the payload, all little-endian.  A payload is a byte with the width of an id
+(2 or 4) and the ids of one document as unsigned integers of that width.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -52,6 +53,21 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+def pack_ids(ids: bytes) -> bytes:
+    """32-bit ids as a payload, two bytes wide if all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) > 0xFFFF:
+        return b"\x04" + ids
+    return b"\x02" + wide.astype("<u2").tobytes()
+
+
+def unpack_ids(payload: bytes) -> bytes:
+    """The 32-bit ids of a payload."""
+    if payload[0] == 4:
+        return payload[1:]
+    return np.frombuffer(payload, "<u2", offset=1).astype("<u4").tobytes()
+
+
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
@@ -89,7 +105,7 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
                             system, where = _opened(file)
                             system.create_dir(where.rpartition("/")[0], recursive=True)
                             out = system.open_output_stream(where, buffer_size=1 << 20)
-                        data = frame(ids)
+                        data = frame(pack_ids(ids))
                         out.write(data)
                         found.append((part, file, at, len(data), before, len(ids) // 4))
                         at, before = at + len(data), before + len(ids) // 4
@@ -133,7 +149,7 @@ def read_records(index: DataFrame) -> DataFrame:
                             system, where = _opened(file)
                             handle, last = system.open_input_file(where), file
                         handle.seek(at)
-                        found.append(unframe(handle.read(size)))
+                        found.append(unpack_ids(unframe(handle.read(size))))
                     yield pa.record_batch([*rows.columns, pa.array(found, pa.binary())], names=[*rows.schema.names, "ids"])
         finally:
             if handle:
