@@ -36,3 +36,24 @@ def group_rows(rows: DataFrame, scene: str, value) -> DataFrame:
 def without_ids(rows: DataFrame, ids: DataFrame, id_col: str = "asset_id") -> tuple[DataFrame, DataFrame]:
     """The rows that stay, and those that a delete of ``ids`` takes; callers write the first and count the second."""
     return rows.join(ids.select(id_col).distinct(), id_col, "left_anti"), rows.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
+#: Display names of the metrics, in the order in which they are shown.
+METRICS = {"final_score": "Score", "video_score": "Video score", "sharpness": "Sharpness", "composition_score": "Composition", "subject_score": "Subject", "aesthetic_score": "Aesthetics", "size_wh": "Size in pixels", "file_size": "File size", "duration_sec_final": "Duration"}
+
+
+def meta() -> dict[str, dict[str, str]]:
+    """What a client needs to show the tables."""
+    return {"metricLabels": dict(METRICS)}
+
+
+def split_label(label: str) -> tuple[str, list[str]]:
+    """A scene's label and the strict groups in it, from "scene: a, b"."""
+    scene, _, groups = label.partition(":")
+    return scene.strip(), [g.strip() for g in groups.split(",") if g.strip()]
+
+
+def scene_labels(rows: DataFrame, scene: str = "scene_group_id", group: str = "group_id") -> DataFrame:
+    """(scene, label): "scene: strict groups in order"."""
+    per = rows.groupBy(scene).agg(F.array_join(F.transform(F.array_sort(F.collect_set(group)), lambda g: g.cast("string")), ", ").alias("groups"))
+    return per.select(scene, F.concat(F.col(scene).cast("string"), F.lit(": "), F.col("groups")).alias("label"))
