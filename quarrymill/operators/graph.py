@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from quarrymill.operators.order import positions
 from quarrymill.plans.storage import stored
 
+#: Up to so many edges a round's minima are joined as they are; beyond it, salted and sorted.
+PLAIN_EDGES = 500_000
 #: Pieces that the rows of one vertex are dealt into when they meet its minimum.
 SALTS = 16
 
 
-def _with_minimum(edges: DataFrame) -> DataFrame:
+def _with_minimum(edges: DataFrame, many: bool) -> DataFrame:
     """``edges`` (u, v) with m, the least of u and its neighbours.
 
-    The minimum is a partially aggregated group-by, and it comes back over
-    salted keys, so a vertex with very many neighbours isn't one task.
+    The minimum is a partially aggregated group-by.  Of many edges it comes back
+    over salted keys, so a vertex with very many neighbours isn't one task, and
+    never by broadcast.
     """
     least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    least = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).select("u", "v", "m")
+    if not many:
+        return edges.join(least, "u").select("u", "v", "m")
+    salted = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, many: bool) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _with_minimum(both, many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    linked = _with_minimum(down)
+    linked = _with_minimum(down, many)
     pairs = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v")))
     return pairs.where("u != v").distinct()
 
@@ -44,8 +50,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     raw = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     given = stored(raw.distinct(), "edges")
     now, before = given.where("u != v"), None
+    many = given.count() > PLAIN_EDGES
     while True:
-        now = stored(_small_star(_large_star(now)), "stars")
+        now = stored(_small_star(_large_star(now, many), many), "stars")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
@@ -58,6 +65,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
 def group_ids(members: DataFrame, component: str = "component", group: str = "group_id") -> DataFrame:
     """Numbers components 1..n in the order of their least member."""
-    roots = members.select(component).distinct()
-    numbered = roots.withColumn(group, F.row_number().over(W.orderBy(component)).cast("long"))
-    return members.join(numbered, component)
+    numbered = positions(members.select(component).distinct(), [F.col(component)], group)
+    return members.join(numbered.withColumn(group, F.col(group) + 1), component)

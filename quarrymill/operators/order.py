@@ -21,8 +21,10 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFram
     local = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part, bits = F.shiftright("_at", 33).cast("int"), (1 << 33) - 1
     sizes = sorted((r["p"], r["n"]) for r in local.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    starts = dict(zip([p for p, _ in sizes], [0, *accumulate(n for _, n in sizes)]))
-    base = F.element_at(F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)]).cast("map<int,bigint>"), part) if starts else F.lit(0)
+    starts = [0] * (sizes[-1][0] + 1 if sizes else 1)
+    for (p, _), start in zip(sizes, [0, *accumulate(n for _, n in sizes)]):
+        starts[p] = start
+    base = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), part + 1)
     return local.withColumn(name, base + F.col("_at").bitwiseAND(F.lit(bits))).drop("_at")
 
 
