@@ -19,6 +19,8 @@ BITS = 64
 BUCKET = 256
 #: A fingerprint with at least 1/HEAVY of all rows is joined by broadcast; there are at most HEAVY such.
 HEAVY = 1000
+#: Up to so many bucket counts are broadcast.
+BROADCAST_ROWS = 100_000
 SALTS = 16
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -107,11 +109,21 @@ def _links(buckets: pa.Array) -> pa.Array:
 
 def _keyed(rows: DataFrame, free: dict[int, list[int]], radius: int) -> DataFrame:
     """Each row once for each mask over the bits that are still free on its path."""
-    masks = {p: [_signed(m) for m in covering_masks(bits, radius)] for p, bits in free.items()}
-    lookup = F.create_map(*[x for p, m in masks.items() for x in (F.lit(p), F.array(*[F.lit(k).cast("long") for k in m]))])
-    each = rows.select("p", "k", "fp", "doc", F.posexplode(F.element_at(lookup, F.col("p"))).alias("v", "mask"))
-    key = F.xxhash64("k", "p", "v", F.col("fp").bitwiseAND(F.col("mask")))
-    return each.select((F.col("p") * (1 << (radius + 1)) + F.col("v") + 1).alias("p"), key.alias("k"), "fp", "doc")
+    masks = [(p, p * (1 << (radius + 1)) + v + 1, _signed(m)) for p, bits in free.items() for v, m in enumerate(covering_masks(bits, radius))]
+    if len(free) == 1:
+        own = F.array(*[F.struct(F.lit(n).cast("long").alias("next"), F.lit(m).cast("long").alias("mask")) for _, n, m in masks])
+        each = rows.select("p", "k", "fp", "doc", F.explode(own).alias("m")).select("*", "m.next", "m.mask")
+    else:  # at most 15 masks for each of at most 15**2 paths, as the third level's buckets are small
+        each = rows.join(F.broadcast(rows.sparkSession.createDataFrame(masks, "p long, next long, mask long")), "p")
+    return each.select(F.col("next").alias("p"), F.xxhash64("k", "next", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"), "fp", "doc")
+
+
+def _in_shared_buckets(keyed: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows whose bucket is counted: by broadcast of few counts, else over salted keys."""
+    if counts.count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(counts), ["p", "k"])
+    salted = counts.select("p", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return keyed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["p", "k", "salt"])
 
 
 def fingerprint_links(nodes: DataFrame, bits: int = BITS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -121,15 +133,16 @@ def fingerprint_links(nodes: DataFrame, bits: int = BITS, radius: int = RADIUS,
     covering family groups them by their masked bits.  A bucket of at most
     ``bucket`` members gives a spanning forest of its links, so no clique is
     written out.  A larger one is covered again over the bits its mask left
-    free; those halve each time, and b free bits are at most 2**b members, so
-    this ends after few levels and no link is lost.
+    free; those fall each time, and 8 free bits are at most 256 members, so this
+    ends after few levels and no link is lost.
     """
-    rows, free, links = nodes.select(F.lit(0).alias("p"), F.lit(0).cast("long").alias("k"), "fp", "doc"), {0: list(range(bits))}, None
+    if bucket < 1 << 8:
+        raise ValueError("buckets of fewer than 256 members can't always be split")
+    rows, free, links = nodes.select(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("k"), "fp", "doc"), {0: list(range(bits))}, None
     while True:
         keyed = _keyed(rows, free, radius)
         counts = stored(keyed.groupBy("p", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-        salted = counts.select("p", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        met = keyed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["p", "k", "salt"])
+        met = _in_shared_buckets(keyed, counts)
         small = met.where(F.col("n") <= bucket).groupBy("p", "k").agg(F.collect_list(F.struct("doc", "fp")).alias("m"))
         linked = small.select("m", F.explode(F.arrow_udf(_links, "array<struct<a:int,b:int>>")(F.col("m.fp"))).alias("e"))
         found = linked.select(F.element_at("m", F.col("e.a") + 1).alias("src"), F.element_at("m", F.col("e.b") + 1).alias("dst"))
