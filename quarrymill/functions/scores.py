@@ -50,13 +50,9 @@ def subject_score(faces: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(faces, lambda f: 0.6 * f["area"] + 0.4 * f["center"])), F.lit(0.0))
 
 
-def face_columns(df, group: str):
-    """The face-mode terms from raw face metrics; absent columns count 0, as do nulls."""
-    from quarrymill.operators.ranking import share_of_max
-
-    raw = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+def face_terms(columns: list[str]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The face-mode terms from raw metrics: those to share by the group's maximum, and those kept in 0..1; absent columns and nulls count 0."""
+    raw = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in columns else F.lit(0.0)
     unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    return df.withColumns({
-        "faces_n": share_of_max(raw("faces"), group), "eyes_score": share_of_max(raw("eyes_open_score"), group), "smile_n": share_of_max(raw("smile_score"), group),
-        "yaw_score": unit(1 - raw("head_yaw")), "symmetry_score": unit(raw("face_symmetry")), "gaze_camera_score": unit(raw("gaze_to_camera_score")),
-    })
+    shares = {"faces_n": raw("faces"), "eyes_score": raw("eyes_open_score"), "smile_n": raw("smile_score")}
+    return shares, {"yaw_score": unit(1 - raw("head_yaw")), "symmetry_score": unit(raw("face_symmetry")), "gaze_camera_score": unit(raw("gaze_to_camera_score"))}

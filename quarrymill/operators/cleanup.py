@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarrymill.operators.joins import join_facts
+
 #: Columns that may hold a rating, in the order of preference.
 RATINGS = ("file_size_n", "rating", "total_score", "best_score", "score", "final_score")
 
@@ -49,9 +51,9 @@ def delete_candidates(df: DataFrame, subgroup: str = "safe_subgroup", equal: boo
         ((F.count("sha") == F.count(F.lit(1))) & (F.min("sha") == F.max("sha"))).alias("_exact"), F.max(F.when(F.col("has_json"), F.col("rating"))).alias("_best"),
     )
     lower = F.col("rating") <= F.col("_best") if equal else F.col("rating") < F.col("_best")
-    joined = df.join(facts.where("_n >= 2 AND _with AND _without"), subgroup)
+    joined = join_facts(df.where(~F.col("has_json")), facts.where("_n >= 2 AND _with AND _without").withColumn("_rows", F.col("_n")), subgroup, "_rows")
     reason = F.when(F.col("_exact"), "exact_copy_without_json").when(lower, "lower_rated")
-    return joined.where(~F.col("has_json")).withColumn("reason", reason).where("reason IS NOT NULL").drop("_n", "_with", "_without", "_exact", "_best")
+    return joined.withColumn("reason", reason).where("reason IS NOT NULL").drop("_n", "_with", "_without", "_exact", "_best")
 
 
 def deletion_paths(rows: DataFrame, id_col: str = "asset_id") -> DataFrame:

@@ -4,32 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quarrymill.operators.joins import join_facts
 
-def share_of_max(x: Column, *group: str) -> Column:
-    """x / the group's maximum (1 if that isn't positive), kept in 0..1."""
-    top = F.max(x).over(W.partitionBy(*group))
-    return F.least(F.greatest(x / F.when(top > 0, top).otherwise(F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
 
+def normalised(df: DataFrame, group: str, shares: dict[str, Column] | None = None, ranges: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with columns normalised inside their group, kept in 0..1; rows of a null group go.
 
-def min_max(x: Column, *group: str) -> Column:
-    """(x - min) / (max - min, or 1 if they are equal), kept in 0..1."""
-    w = W.partitionBy(*group)
-    low, width = F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w)
-    return F.least(F.greatest((x - low) / F.when(width != 0, width).otherwise(F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    ``shares`` are x / the group's maximum (1 if that isn't positive); ``ranges``
+    are (x - min) / (max - min, or 1 if they are equal).  The group's extremes
+    are folded, then joined.
+    """
+    shares, ranges = shares or {}, ranges or {}
+    top = [F.max(x).alias(f"_top_{n}") for n, x in (shares | ranges).items()]
+    low = [F.min(x).alias(f"_low_{n}") for n, x in ranges.items()]
+    joined = join_facts(df, df.groupBy(group).agg(*top, *low, F.count(F.lit(1)).alias("_n")), group, "_n")
+    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    out = {n: unit(x / F.when(F.col(f"_top_{n}") > 0, F.col(f"_top_{n}")).otherwise(F.lit(1.0))) for n, x in shares.items()}
+    for n, x in ranges.items():
+        width = F.col(f"_top_{n}") - F.col(f"_low_{n}")
+        out[n] = unit((x - F.col(f"_low_{n}")) / F.when(width != 0, width).otherwise(F.lit(1.0)))
+    return joined.withColumns(out).drop(*[f"_top_{n}" for n in (shares | ranges)], *[f"_low_{n}" for n in ranges])
 
 
 def scene_sizes(df: DataFrame, scene: str, group: str) -> DataFrame:
     """Rows with their scene's size, its number of groups, and whether it has several."""
     per = df.groupBy(scene).agg(F.count(F.lit(1)).alias("scene_group_size"), F.count_distinct(group).alias("scene_group_group_count"))
-    return df.join(per, scene).withColumn("scene_merge_candidate", F.col("scene_group_group_count") > 1)
+    joined = join_facts(df, per.withColumn("_n", F.col("scene_group_size")), scene, "_n")
+    return joined.withColumn("scene_merge_candidate", F.col("scene_group_group_count") > 1)
 
 
 def group_tags(df: DataFrame, group: str, tag: str, out: str) -> DataFrame:
     """Rows with their group's tags: sorted, different, joined; a row without group keeps its own."""
     usable = F.when(~F.col(tag).isin("", "0", "nan", "None"), F.col(tag))
-    per = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(usable)), ", ").alias(out))
-    joined = df.join(per, group, "left")
-    return joined.withColumn(out, F.coalesce(out, usable, F.lit("")))
+    known = df.where(F.col(group).isNotNull())
+    per = known.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(usable)), ", ").alias(out), F.count(F.lit(1)).alias("_n"))
+    alone = df.where(F.col(group).isNull()).withColumn(out, F.coalesce(usable, F.lit("")))
+    return join_facts(known, per, group, "_n").select(alone.columns).union(alone)
 
 
 def best_rows(df: DataFrame, group: str, score: str, id_col: str) -> DataFrame:
@@ -41,8 +51,8 @@ def best_rows(df: DataFrame, group: str, score: str, id_col: str) -> DataFrame:
 def mark_best(df: DataFrame, group: str, score: str, id_col: str) -> DataFrame:
     """Rows with the best member's id and score and whether they are it; the group is folded, then joined."""
     rank = F.struct(F.col(score).isNull().alias("n"), (-F.col(score)).alias("s"), F.col(id_col).alias("i"))
-    per = df.groupBy(group).agg(F.min(rank).alias("_b"))
-    joined = df.join(per, group)
+    per = df.groupBy(group).agg(F.min(rank).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    joined = join_facts(df, per, group, "_n")
     return joined.withColumn("best_asset_id", F.col("_b.i")).withColumn("best_score", -F.col("_b.s")).withColumn("is_best", F.col(id_col) == F.col("_b.i")).drop("_b")
 
 

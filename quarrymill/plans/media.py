@@ -54,10 +54,8 @@ def ranked(groups: DataFrame, photos: DataFrame, metrics: DataFrame | None = Non
     if metrics is not None:
         joined = joined.join(metrics.dropDuplicates(["asset_id"]), "asset_id", "left")
     filled = index.with_defaults(joined, {"sharpness": 0.0, "subject_score": 0.0, "composition_score": 0.0, "aesthetic_score": 0.0, "pixels": 0.0})
-    termed = filled.withColumns({
-        "sharpness_n": ranking.share_of_max(F.col("sharpness"), "group_id"), "pixels_n": ranking.share_of_max(F.col("pixels"), "group_id"), "file_size_n": ranking.share_of_max(F.col("file_size").cast("double"), "group_id"),
-        "aesthetic_n": ranking.min_max(F.col("aesthetic_score"), "group_id"), "subject_n": ranking.min_max(F.col("subject_score"), "group_id"),
-    })
+    shares = {"sharpness_n": F.col("sharpness"), "pixels_n": F.col("pixels"), "file_size_n": F.col("file_size").cast("double")}
+    termed = ranking.normalised(filled, "group_id", shares, {"aesthetic_n": F.col("aesthetic_score"), "subject_n": F.col("subject_score")})
     scored = stored(termed.withColumn("final_score", scores.weighted(scores.PHOTO_SUBJECT)), "scored")
     return ranking.scene_sizes(ranking.mark_best(scored, "group_id", "final_score", "asset_id"), "scene_group_id", "group_id")
 

@@ -137,14 +137,14 @@ def audit_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)""")
 def norm_max_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
-    return rows.withColumn("price_n", F.round(ranking.share_of_max(F.col("l_extendedprice"), "l_orderkey"), 6))
+    return ranking.normalised(rows, "l_orderkey", {"price_n": F.col("l_extendedprice")}).withColumn("price_n", F.round("price_n", 6))
 
 
 @query("""SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, round(least(greatest((l_quantity - a) / CASE WHEN b <> a THEN b - a ELSE 1 END, 0), 1), 6) AS quantity_n
     FROM (SELECT *, min(l_quantity) OVER w AS a, max(l_quantity) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))""")
 def minmax_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    return rows.withColumn("quantity_n", F.round(ranking.min_max(F.col("l_quantity"), "l_orderkey"), 6))
+    return ranking.normalised(rows, "l_orderkey", ranges={"quantity_n": F.col("l_quantity")}).withColumn("quantity_n", F.round("quantity_n", 6))
 
 
 @query("""SELECT o.o_orderkey, o.o_custkey, s.scene_group_size, s.scene_group_group_count, s.scene_group_group_count > 1 AS scene_merge_candidate
@@ -161,9 +161,10 @@ def tag_set_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("asset_id"), "l_quantity", "l_extendedprice", "l_discount", "l_tax").dropDuplicates(["l_orderkey", "asset_id"])
-    n = lambda c: ranking.share_of_max(F.col(c), "l_orderkey")
-    named = rows.select("l_orderkey", "asset_id", "l_discount", n("l_quantity").alias("subject_n"), (F.col("l_discount") * 10).alias("composition_score"), n("l_extendedprice").alias("aesthetic_n"), ranking.min_max(F.col("l_tax"), "l_orderkey").alias("sharpness_n"), n("l_tax").alias("pixels_n"))
+    member = (F.col("l_partkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("asset_id")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", member).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    shares = {"subject_n": F.col("l_quantity"), "aesthetic_n": F.col("l_extendedprice"), "pixels_n": F.col("l_tax")}
+    named = ranking.normalised(rows, "l_orderkey", shares, {"sharpness_n": F.col("l_tax")}).withColumn("composition_score", F.col("l_discount") * 10)
     return named.withColumn("final_score", F.round(scores.weighted(scores.PHOTO_SUBJECT), 6))
 
 
@@ -196,7 +197,8 @@ def best_first_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
 def photo_face_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Face mode with the optional metrics missing."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("asset_id")).agg(F.max("l_quantity").alias("faces"), F.max("l_discount").alias("face_symmetry"), F.max("l_tax").alias("head_yaw"))
-    termed = scores.face_columns(rows, "l_orderkey")
+    shares, plain = scores.face_terms(rows.columns)
+    termed = ranking.normalised(rows, "l_orderkey", shares).withColumns(plain)
     for c in scores.PHOTO_FACE:
         if c not in termed.columns:
             termed = termed.withColumn(c, F.lit(0.0))
@@ -211,8 +213,8 @@ def photo_face_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def video_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "click", "strong").when(kind == "view", "probable")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", scores.live_penalty(status).alias("penalty"), ranking.share_of_max(F.col("value"), "user_id").alias("pixels_norm"), F.lit(0.0).alias("bitrate_norm"), F.lit(0.0).alias("fps_norm"), F.lit(0.0).alias("duration_norm"), (F.col("event_id") % 2).alias("audio"), (F.col("event_id") % 3 == 0).cast("int").alias("sidecar"), F.lit(1).alias("ok"))
-    scored = rows.withColumn("video_score", scores.video_score(F.col("penalty"))).select("user_id", F.col("event_id").alias("asset_id"), "video_score", "penalty", F.col("value").alias("pixels"), F.lit(0).alias("bitrate"), F.lit(0).alias("duration"), F.lit(0).alias("fps"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", scores.live_penalty(status).alias("penalty"), F.lit(0.0).alias("bitrate_norm"), F.lit(0.0).alias("fps_norm"), F.lit(0.0).alias("duration_norm"), (F.col("event_id") % 2).alias("audio"), (F.col("event_id") % 3 == 0).cast("int").alias("sidecar"), F.lit(1).alias("ok"))
+    scored = ranking.normalised(rows, "user_id", {"pixels_norm": F.col("value")}).withColumn("video_score", scores.video_score(F.col("penalty"))).select("user_id", F.col("event_id").alias("asset_id"), "video_score", "penalty", F.col("value").alias("pixels"), F.lit(0).alias("bitrate"), F.lit(0).alias("duration"), F.lit(0).alias("fps"))
     return ranking.video_best(scored, "user_id").select("user_id", F.col("asset_id").alias("event_id"), F.round("video_score", 4).alias("video_score"), "penalty")
 
 
