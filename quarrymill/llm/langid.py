@@ -30,8 +30,8 @@ _letters = np.zeros(0, bool)
 def _is_letter(codes: np.ndarray) -> np.ndarray:
     global _letters
     if not len(_letters):
-        _letters = np.array([chr(c).isalpha() for c in range(0x30000)])
-    return _letters[np.minimum(codes, 0x2FFFF)]
+        _letters = np.array([chr(c).isalpha() for c in range(0x33000)])
+    return _letters[np.minimum(codes, 0x32FFF)]
 
 
 def _grams(codes: np.ndarray) -> list[np.ndarray]:
@@ -45,16 +45,31 @@ def _grams(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts with every non-letter a space, ORDER spaces after each; starts; whether each has a letter."""
-    joined = "".join(t.lower() + " " * ORDER for t in texts)
+    """Lower-cased code points of all texts with every non-letter a space, one space before and ORDER after each; starts; whether each has a letter."""
+    lowered = [f" {t.lower()}{' ' * ORDER}" for t in texts]
+    joined = "".join(lowered)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     letter = _is_letter(codes)
     codes[~letter] = _SPACE
-    sizes = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts)) + ORDER
+    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
     starts = np.cumsum(sizes) - sizes
     return codes, starts, np.logical_or.reduceat(letter, starts)
 
 
+def _parts(text: str) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """(n-gram buckets, whether there is a letter) of a text in parts that each see the characters after them."""
+    for at in range(-1, len(text), CHUNK):
+        part = text[max(at, 0) : at + CHUNK + ORDER - 1].lower()
+        end = at + CHUNK + ORDER - 1 > len(text)
+        codes = np.frombuffer((" " * (at < 0) + part + " " * ORDER * end).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        letter = _is_letter(codes)
+        codes[~letter] = _SPACE
+        use = codes != _SPACE
+        use[:-1] |= codes[1:] != _SPACE
+        own = use[: len(codes) - ORDER + 1]
+        yield [g[own] for g in _grams(codes)], bool(letter.any())
+
+
 @dataclass
 class Model:
     """Languages, log priors, and log chances: one row of ``table`` per bucket."""
@@ -83,11 +98,22 @@ class Model:
             total[first:stop] += full[ends] - full[cuts - 1]
         return total, letters
 
+    def _long_sums(self, text: str) -> tuple[np.ndarray, bool]:
+        """The sums of one long text, part by part."""
+        total, letters = np.zeros(len(self.languages)), False
+        for grams, found in _parts(text):
+            total += sum(self.table[g].sum(axis=0, dtype=np.float64) for g in grams)
+            letters |= found
+        return total, letters
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and its posterior for each text; UNKNOWN and 0 for texts without letters."""
         if not self.languages or not texts:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        sums, letters = self._sums(texts)
+        sums, letters = self._sums([t if len(t) <= CHUNK else "" for t in texts])
+        for k, t in enumerate(texts):
+            if len(t) > CHUNK:
+                sums[k], letters[k] = self._long_sums(t)
         sums += self.prior
         best = sums.argmax(axis=1)
         chance = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
@@ -102,13 +128,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> Model:
     """Counts n-grams of at most ``most`` labelled rows outside the held-out fold.
 
-    Rows are taken by the hash of their id.  Each task sends one vector of
-    bucket counts per language to the driver.
+    Rows are taken by the hash of their id.  Eight tasks count in parallel; the
+    driver adds one sparse vector of bucket counts per task and language.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     ids = usable.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
     chosen = usable.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids), id_col)
-    rows = chosen.select("lang", "text").repartition(8, F.xxhash64("text"))
+    rows = chosen.select("lang", "text", F.xxhash64(id_col, "text").alias("h")).repartition(8, "h").select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -117,20 +143,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    codes, _, _ = _codes([text])
-                    use = codes != _SPACE
-                    use[:-1] |= codes[1:] != _SPACE
-                    own = use[: len(codes) - ORDER + 1]
                     into = counts.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-                    for g in _grams(codes):
-                        into += np.bincount(g[own], minlength=1 << BUCKET_BITS)
+                    for grams, _ in _parts(text):
+                        for g in grams:
+                            into += np.bincount(g, minlength=1 << BUCKET_BITS)
                     seen[lang] = seen.get(lang, 0) + 1
-        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array([seen[x] for x in counts], pa.int64()), pa.array([c.astype("<u4").tobytes() for c in counts.values()], pa.binary())], names=["lang", "n", "counts"])
+        for lang, vector in counts.items():
+            at = np.flatnonzero(vector)
+            yield pa.record_batch([pa.array([lang]), pa.array([seen[lang]], pa.int64()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([vector[at].astype("<i8").tobytes()], pa.binary())], names=["lang", "n", "at", "counts"])
 
     total: dict[str, np.ndarray] = {}
     docs_of: dict[str, int] = {}
-    for r in rows.mapInArrow(counted, "lang string, n long, counts binary").collect():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], "<u4").astype(np.float64)
+    for r in rows.mapInArrow(counted, "lang string, n long, at binary, counts binary").collect():
+        total.setdefault(r["lang"], np.zeros(1 << BUCKET_BITS))[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["counts"], "<i8")
         docs_of[r["lang"]] = docs_of.get(r["lang"], 0) + r["n"]
     languages = sorted(total)
     if not languages:
