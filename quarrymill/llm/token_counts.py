@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -12,29 +11,34 @@ from pyspark.sql import DataFrame, functions as F
 from quarrymill.llm.pretokens import PretokenCounter, encoder, vocabulary
 from quarrymill.llm.texts import ROWS
 
-#: Rows that the frequent pre-tokens are taken from, and how many of those are
+#: Rows that the frequent pre-tokens are taken from, how many of each row's, and how many in all are
 #: broadcast.  They decide speed only: every count is exact without them.
-SAMPLE_ROWS, FREQUENT = 512, 50_000
+SAMPLE_ROWS, PER_ROW, FREQUENT = 512, 1000, 50_000
 
 _counters: dict[str, PretokenCounter] = {}
 
 
 def frequent_lengths(docs: DataFrame, text_col: str, path: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> dict[str, int]:
-    """Token lengths of the most frequent pre-tokens in up to ``rows`` texts."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for tokens in encoder(path).blocks(text or ""):
-                    seen.update(tokens or ())
-                    if len(seen) > 8 * most:
-                        seen = Counter(dict(seen.most_common(most)))
-        top = seen.most_common(most)
-        yield pa.record_batch([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["token", "n"])
-
-    found = docs.select(F.col(text_col).alias("text")).limit(rows).mapInArrow(counted, "token string, n long").collect()
-    tokens = [r["token"] for r in sorted(found, key=lambda r: (-r["n"], r["token"]))[:most]]
+    """Token lengths of the most frequent pre-tokens of the first ``rows`` texts.
+
+    Spark reads as few partitions as give these rows; a row sends at most
+    PER_ROW pre-tokens to the driver.
+    """
+
+    def counted(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            seen: Counter[str] = Counter()
+            for tokens in encoder(path).blocks(text or ""):
+                seen.update(tokens or ())
+            out.append([{"t": t, "n": n} for t, n in seen.most_common(PER_ROW)])
+        return pa.array(out, pa.list_(pa.struct([("t", pa.string()), ("n", pa.int64())])))
+
+    total: Counter[str] = Counter()
+    for (found,) in docs.select(F.arrow_udf(counted, "array<struct<t:string,n:long>>")(F.col(text_col))).limit(rows).collect():
+        for t, n in found:
+            total[t] += n
+    tokens = [t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]]
     library = encoder(path).library
     return {t: len(e.ids) for t, e in zip(tokens, library.encode_batch_fast(tokens, add_special_tokens=False))}
 
