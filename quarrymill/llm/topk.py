@@ -12,8 +12,11 @@ from quarrymill.plans.storage import stored
 
 SCALE = 256
 K = 5
-#: Rows of a block of queries, and of a tile of candidates.
+#: Rows of a tile of queries, and of a tile of candidates.
 QUERY_ROWS, TILE_ROWS = 1024, 4096
+#: Components of the queries that are broadcast together.
+BLOCK_VALUES = 1 << 21
+ABSENT = np.iinfo(np.int64).min
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -27,58 +30,59 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine, F.lit(False))
 
 
-def _tiles(rows: DataFrame, size: int, tile: str) -> DataFrame:
-    """Rows (id, vec, dim) as rows (tile, ids, data, dim) of at most ``size`` vectors, made where the rows lie."""
+def tile_top(queries: np.ndarray, query_ids: np.ndarray, tile: np.ndarray, tile_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids (a row per query, up to ``k`` columns, ABSENT where there are fewer) of the best in a tile.
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(2).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims).tolist():
-                own = batch.filter(pa.array(dims == dim))
-                for at in range(0, len(own), size):
-                    part = own.slice(at, size)
-                    ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-                    data = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8")
-                    yield pa.record_batch([pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["ids", "data", "dim"])
-
-    return rows.mapInArrow(made, "ids binary, data binary, dim int").select(F.col("ids").alias(f"{tile}_ids"), F.col("data").alias(f"{tile}_data"), "dim")
-
-
-def tile_top(queries: np.ndarray, query_ids: np.ndarray, tile: np.ndarray, tile_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's ``k`` best in a tile, its own id left out; ties to smaller ids."""
+    A query's own id is left out; ties go to smaller ids.
+    """
     order = np.argsort(tile_ids, kind="stable")
     tile, tile_ids = tile[order], tile_ids[order]
     bound = int(np.abs(queries).max(initial=0)) * int(np.abs(tile).max(initial=0)) * max(1, tile.shape[1])
     exact = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
     scores = (queries.astype(exact) @ tile.astype(exact).T).astype(np.int64)
-    own = query_ids[:, None] == tile_ids[None, :]
+    scores[query_ids[:, None] == tile_ids[None, :]] = ABSENT
     n = len(tile_ids)
+    take = min(k, n)
     if bound < (1 << 62) // n:
-        keys = scores * n + np.arange(n - 1, -1, -1)
-        keys[own] = np.iinfo(np.int64).min
-        take = min(k, n)
+        keys = np.where(scores == ABSENT, ABSENT, scores * n + np.arange(n - 1, -1, -1))
         best = np.argpartition(keys, n - take, axis=1)[:, n - take :]
-        rows, columns = np.repeat(np.arange(len(query_ids)), take), best.ravel()
     else:
-        ranked = [[c for c in sorted(range(n), key=lambda c: (-int(s[c]), c)) if not o[c]][:k] for s, o in zip(scores, own)]
-        rows = np.repeat(np.arange(len(ranked)), [len(r) for r in ranked])
-        columns = np.array([c for r in ranked for c in r], np.int64)
-    keep = ~own[rows, columns]
-    rows, columns = rows[keep], columns[keep]
-    return query_ids[rows], tile_ids[columns], scores[rows, columns]
+        best = np.argsort(-(scores + 1), axis=1, kind="stable")[:, :take]
+    return np.take_along_axis(scores, best, 1), tile_ids[best]
 
 
-def _partial(k: int):
-    def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                q_ids, q_data, c_ids, c_data, dim = (batch.column(n)[i].as_py() for n in ("q_ids", "q_data", "c_ids", "c_data", "dim"))
-                queries = np.frombuffer(q_data, "<i8").reshape(len(q_ids) // 8, dim)
-                tile = np.frombuffer(c_data, "<i8").reshape(len(c_ids) // 8, dim)
-                found = tile_top(queries, np.frombuffer(q_ids, "<i8"), tile, np.frombuffer(c_ids, "<i8"), k)
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+def merge_top(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, more_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of two lists a query, ties to smaller ids."""
+    scores, ids = np.concatenate([scores, more], axis=1), np.concatenate([ids, more_ids], axis=1)
+    best = np.lexsort((ids, -(scores + 1)), axis=1)[:, :k]
+    return np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
 
-    return selected
+
+def _search(shipped, k: int):
+    """A task's pass over its candidates, with one running list a query of the broadcast block."""
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = {dim: (np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i8").reshape(-1, dim)) for dim, ids, data in shipped.value}
+        lists = {dim: [np.full((len(ids), k), ABSENT), np.zeros((len(ids), k), np.int64)] for dim, (ids, _) in blocks.items()}
+        for batch in batches:
+            dims = batch.column(2).to_numpy(zero_copy_only=False)
+            for dim in set(np.unique(dims).tolist()) & blocks.keys():
+                own = batch.filter(pa.array(dims == dim))
+                query_ids, queries = blocks[dim]
+                scores, ids = lists[dim]
+                for at in range(0, len(own), TILE_ROWS):
+                    part = own.slice(at, TILE_ROWS)
+                    tile_ids = part.column(0).to_numpy(zero_copy_only=False)
+                    tile = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    for q in range(0, len(query_ids), QUERY_ROWS):
+                        rows = slice(q, q + QUERY_ROWS)
+                        found = tile_top(queries[rows], query_ids[rows], tile, tile_ids, k)
+                        scores[rows], ids[rows] = merge_top(scores[rows], ids[rows], *found, k)
+        for dim, (scores, ids) in lists.items():
+            there = scores != ABSENT
+            yield pa.record_batch([pa.array(np.repeat(blocks[dim][0], there.sum(axis=1))), pa.array(ids[there]), pa.array(scores[there])], names=["query_id", "vec_id", "score"])
+
+    return searched
 
 
 def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
@@ -88,25 +92,30 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], id_col: str
     Scores are inner products of floor(scale * x), ties go to smaller ids.
     Vectors that are null or hold null or non-finite components, and rows with
     a null id, take no part; vectors meet only vectors of as many components.
-    Of rows that repeat an id the least vector stands.  Candidates become tiles
-    and queries blocks of bounded size; each block meets each tile in one matrix
-    product that keeps ``k`` rows a query, and Spark's window limit merges those
-    lists before and after its shuffle.  Other columns are not read.
+    Of rows that repeat an id the least vector stands.
+
+    Queries are taken in blocks of about BLOCK_VALUES components, a fixed bound
+    on what is broadcast at once; every block passes over all candidates.  A
+    task multiplies tiles of its candidates with tiles of the block, selects
+    ``k`` a query in each product and merges them into one list a query; Spark's
+    window limit merges the tasks' lists.  Other columns are not read.
     """
+    spark = vectors.sparkSession
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = stored(good.groupBy("id").agg(F.min("v").alias("v")).select("id", quantised(F.col("v"), scale).alias("vec"), F.size("v").alias("dim")), "vectors").where("dim > 0")
+    rows = stored(good.groupBy("id").agg(F.min("v").alias("v")).select("id", quantised(F.col("v"), scale).alias("vec"), F.size("v").alias("dim")).where("dim > 0"), "vectors")
     asked = rows.where(is_query(F.col("id")))
-    blocks = stored(_tiles(asked.repartition(F.col("dim"), F.pmod(F.xxhash64("id"), F.lit(_parts(asked, QUERY_ROWS)))), QUERY_ROWS, "q").withColumn("block", F.monotonically_increasing_id()), "query-blocks")
-    tiles = _tiles(rows, TILE_ROWS, "c")
-    names = [r["block"] for r in blocks.select("block").collect()]
-    if not names:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dealt = tiles.withColumn("block", F.explode(F.array(*[F.lit(b) for b in names])))
-    pairs = dealt.join(blocks, ["block", "dim"])
-    partial = pairs.select("q_ids", "q_data", "c_ids", "c_data", "dim").mapInArrow(_partial(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _parts(rows: DataFrame, size: int) -> int:
-    return max(1, -(-rows.count() // size))
+    values = asked.agg(F.sum(F.col("dim").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-values // BLOCK_VALUES))
+    found = []
+    for number in range(blocks):
+        own: dict[int, list] = {}
+        for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).collect():
+            own.setdefault(r["dim"], []).append((r["id"], r["vec"]))
+        block = [(dim, np.array([i for i, _ in rs], "<i8").tobytes(), np.array([v for _, v in rs], "<i8").tobytes()) for dim, rs in own.items()]
+        partial = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long")
+        order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found.append(stored(ranked, "top") if blocks > 1 else ranked)
+    for more in found[1:]:
+        found[0] = found[0].union(more)
+    return found[0]
