@@ -112,6 +112,19 @@ def exif_dates(contents: pa.Array) -> pa.Array:
     return pa.array([exif_date(c) for c in contents.to_pylist()], pa.string())
 
 
+#: The least side and area of a usable face, the share of its side added around it, and how many faces count.
+FACE_SIDE, FACE_AREA, FACE_PAD, FACES = 80, 30_000, 0.25, 4
+
+
+def face_boxes(faces: Column) -> Column:
+    """The up to four largest usable faces (x, y, w, h in pixels; of equal area the leftmost), padded, from left to right."""
+    usable = F.filter(faces, lambda f: (f["w"] >= FACE_SIDE) & (f["h"] >= FACE_SIDE) & (f["w"] * f["h"] >= FACE_AREA))
+    keyed = F.transform(usable, lambda f: F.struct((-(f["w"] * f["h"])).alias("a"), f["x"].alias("x"), f["y"].alias("y"), f["w"].alias("w"), f["h"].alias("h")))
+    best = F.slice(F.array_sort(keyed), 1, FACES)
+    padded = F.transform(best, lambda f: F.struct(F.greatest(F.lit(0.0), f["x"] - FACE_PAD * f["w"]).alias("x"), F.greatest(F.lit(0.0), f["y"] - FACE_PAD * f["h"]).alias("y"), (f["w"] * (1 + 2 * FACE_PAD)).alias("w"), (f["h"] * (1 + 2 * FACE_PAD)).alias("h")))
+    return F.array_sort(padded)
+
+
 #: The part of a probe document that the metrics come from.
 PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string,r_frame_rate:string,nb_frames:string,bit_rate:string,duration:string>>,format:struct<duration:string,bit_rate:string>>"
 

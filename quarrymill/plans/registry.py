@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from quarrymill.functions import coerce, names, scores
-from quarrymill.operators import audit, cleanup, curation, dedupe, graph, joins, order, ranking, review, similarity, video
+from quarrymill.functions import coerce, media, names, scores
+from quarrymill.operators import audit, cleanup, curation, dedupe, graph, index, joins, order, ranking, review, similarity, video
 from quarrymill.plans.storage import stored
 
 QUERIES: dict = {}
@@ -517,3 +517,103 @@ def review_video_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey, unnest(list_filter([CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'o_orderstatus' END, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'o_orderpriority' END], lambda c: c IS NOT NULL)) AS metric FROM orders GROUP BY o_custkey""")
 def review_varying_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.varying_columns(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"])
+
+
+# ---------------------------------------------------------------- more filters, joins and functions
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN p_size / 1001.0 WHEN p_size % 4 = 2 THEN CAST(p_size AS DOUBLE) END AS fps,
+    CASE p_size % 3 WHEN 0 THEN 'H264' WHEN 1 THEN 'avc1' END AS codec FROM part""")
+def ratio_and_fourcc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 4 == 0, F.concat(size, F.lit("/0"))).when(F.col("p_size") % 4 == 1, F.concat(size, F.lit("/1001"))).when(F.col("p_size") % 4 == 2, size).otherwise("n/a")
+    code = F.when(F.col("p_size") % 3 == 0, 0x34363248).when(F.col("p_size") % 3 == 1, 0x31637661).otherwise(0)
+    return table(spark, sf_dir, "part").select("p_partkey", coerce.ratio(text).alias("fps"), coerce.fourcc(code).alias("codec"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS flag, CASE p_size % 4 WHEN 0 THEN p_name || '|x' WHEN 1 THEN '' WHEN 2 THEN p_name ELSE '' END AS sidecars FROM part""")
+def truth_and_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.array(*[F.lit(x) for x in (" Yes", "0", "TRUE", "maybe", "")]), (F.col("p_size") % 5 + 1).cast("int"))
+    text = F.when(F.col("p_size") % 4 == 0, F.to_json(F.array("p_name", F.lit("x")))).when(F.col("p_size") % 4 == 1, "").when(F.col("p_size") % 4 == 2, F.col("p_name")).otherwise("0")
+    return table(spark, sf_dir, "part").select("p_partkey", coerce.truth(word, False).alias("flag"), F.array_join(coerce.sidecar_list(text), "|").alias("sidecars"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'landscapes' WHEN 1 THEN 'people' WHEN 2 THEN 'documents' END AS label, p_size / nullif(CAST(p_size % 3 AS DOUBLE), 0) AS aspect, concat_ws('/', '/lib', nullif(CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END, ''), p_name) AS target,
+    CASE WHEN p_retailprice * 997.3 >= 1048576 THEN printf('%.1f MB', p_retailprice * 997.3 / 1048576.0) WHEN p_retailprice * 997.3 >= 1024 THEN printf('%.1f KB', p_retailprice * 997.3 / 1024.0) ELSE printf('%d B', CAST(floor(p_retailprice * 997.3) AS BIGINT)) END AS size_text FROM part""")
+def labels_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.array(*[F.lit(x) for x in (" Landscape", "people", "DOCUMENT ", "cat")]), (F.col("p_size") % 4 + 1).cast("int"))
+    folder = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", names.content_label(word).alias("label"), names.aspect(F.col("p_size"), F.col("p_size") % 3).alias("aspect"), names.target_path("/lib", folder, F.col("p_name")).alias("target"), names.metric_text("file_size", F.col("p_retailprice") * 997.3).alias("size_text"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("page_id") % 6
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("asset_id"), F.concat("url", F.when(kind == 0, F.lit("/a.MOV")).when(kind == 1, F.lit("/b.jpg")).otherwise(F.lit("/c"))).alias("file_path"), F.col("url").alias("primary_file_path"),
+        F.when(kind == 2, True).when(kind == 3, False).alias("is_video"), F.when(kind == 4, "video/mp4").otherwise("image").alias("mime_type"), F.when(kind == 1, "true").when(kind == 5, "no").alias("is_image"), F.when(F.col("page_id") % 5 != 0, F.col("url")).alias("phash"),
+    )
+
+
+@query("SELECT page_id AS asset_id FROM pages WHERE page_id % 6 = 1 AND page_id % 5 <> 0")
+def photo_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.photo_index(_mixed(spark, sf_dir)).select("asset_id")
+
+
+@query("SELECT page_id AS asset_id, 'indexed' AS video_index_status FROM pages WHERE page_id % 6 IN (0, 2, 4)")
+def video_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.video_index(_mixed(spark, sf_dir)).select("asset_id", "video_index_status")
+
+
+@query("""SELECT o_orderkey AS asset_id, coalesce(m.q, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS duration_sec, m.n AS frame_count
+    FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN l_orderkey % 3 <> 0 THEN max(l_quantity) END AS q, count(*) AS n FROM lineitem GROUP BY 1) m ON l_orderkey = o_orderkey""")
+def video_metrics_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("duration_sec"))
+    metrics = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("asset_id")).agg(F.max("l_quantity").alias("q"), F.count(F.lit(1)).alias("frame_count"))
+    return index.with_video_metrics(base, metrics.select("asset_id", F.when(F.col("asset_id") % 3 != 0, F.col("q")).alias("duration_sec"), "frame_count"))
+
+
+@query(_PHOTOS + f"SELECT img1, img2, distance, a.album AS album_1, a.phash AS phash_1, b.album AS album_2, b.phash AS phash_2 FROM ({_BLOCKED}) k JOIN (SELECT id, album, id * 3 AS phash FROM p) a ON a.id = img1 JOIN (SELECT id, album, id * 3 AS phash FROM p) b ON b.id = img2 WHERE distance <= 20")
+def pair_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = photos(spark, sf_dir)
+    pairs = similarity.blocked_pairs(rows, LIMITS, "id").select("img1", "img2", "distance")
+    return joins.enrich_pairs(pairs, rows.select("id", "album", (F.col("id") * 3).alias("phash")), "id", ["album", "phash"])
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_partkey % 1000 AS x, l_suppkey AS y, l_quantity * 10 AS w, l_quantity * 8 AS h FROM lineitem WHERE l_orderkey % 10 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY w * h DESC, x, y) AS k FROM f WHERE w >= 80 AND h >= 80 AND w * h >= 30000),
+    b AS (SELECT l_orderkey, greatest(0, x - 0.25 * w) AS bx, greatest(0, y - 0.25 * h) AS by_, w * 1.5 AS bw FROM r WHERE k <= 4)
+    SELECT o.l_orderkey, coalesce(count(bx), 0) AS faces, string_agg(CAST(CAST(round(bw) AS BIGINT) AS VARCHAR), ',' ORDER BY bx, by_, bw) AS widths FROM (SELECT DISTINCT l_orderkey FROM f) o LEFT JOIN b USING (l_orderkey) GROUP BY 1""")
+def face_boxes_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for photos, their lines for faces."""
+    face = F.struct((F.col("l_partkey") % 1000).cast("double").alias("x"), F.col("l_suppkey").cast("double").alias("y"), (F.col("l_quantity") * 10).alias("w"), (F.col("l_quantity") * 8).alias("h"))
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 10 == 0).groupBy("l_orderkey").agg(F.collect_list(face).alias("faces"))
+    boxes = rows.select("l_orderkey", media.face_boxes(F.col("faces")).alias("b"))
+    widths = F.array_join(F.transform("b", lambda f: F.round(f["w"]).cast("long").cast("string")), ",")
+    return boxes.select("l_orderkey", F.size("b").cast("long").alias("faces"), F.when(F.size("b") > 0, widths).alias("widths"))
+
+
+@query("""SELECT o_custkey, count(*) AS members, sum(o_totalprice) AS total, count(DISTINCT o_orderpriority) AS kinds, bool_or(o_orderstatus = 'F') AS any_done, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS best_done FROM orders GROUP BY 1""".replace("sum(o_totalprice) AS total", "round(sum(o_totalprice), 2) AS total"))
+def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.col("o_orderstatus") == "F"
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("members"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("o_orderpriority").alias("kinds"), F.bool_or(done).alias("any_done"), F.max(F.when(done, F.col("o_totalprice"))).alias("best_done"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0")
+def delete_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return review.without_ids(rows, rows.where(F.col("o_orderkey") % 7 == 0), "o_orderkey")[0]
+
+
+@query("""SELECT o_custkey, CAST(o_custkey AS VARCHAR) || ': ' || string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS label FROM orders GROUP BY 1""")
+def scene_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.scene_labels(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query("""WITH m AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'a.jpg' WHEN 1 THEN 'b.png' ELSE 'c.heic' END AS name FROM part)
+    SELECT p_partkey, CASE name WHEN 'a.jpg' THEN CASE WHEN p_partkey % 2 = 0 THEN '/a.jpg.json' ELSE '/a.json' END WHEN 'b.png' THEN CASE WHEN p_partkey % 2 = 0 THEN '/b.png.json' END END AS json_path FROM m""")
+def sidecar_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders are parity; the even folder has sidecars by name, the odd one by stem."""
+    name = F.element_at(F.array(F.lit("a.jpg"), F.lit("b.png"), F.lit("c.heic")), (F.col("p_size") % 3 + 1).cast("int"))
+    files = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 2).alias("folder"), name.alias("name")).withColumn("stem", names.stem(F.col("name")))
+    sides = spark.sql("SELECT * FROM VALUES (0L, 'a.jpg.json', '/a.jpg.json'), (0L, 'a.json', '/x'), (0L, 'b.png.json', '/b.png.json'), (1L, 'a.json', '/a.json') AS v(folder, name, path)")
+    return joins.sidecars_of(files, sides).select("p_partkey", "json_path")
