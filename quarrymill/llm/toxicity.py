@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -111,17 +112,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Weights from at most ``most`` labelled rows outside the held-out fold.
 
     Rows are taken by the hash of their id; a document with several labels
-    counts as toxic if any says so.  Texts become features where they lie; what
-    the driver gets is bounded by ``most`` rows of at most 2**FEATURE_BITS
-    features.  Without labelled rows all weights are zero.
+    counts as toxic if any says so, and of rows that repeat an id one is taken.
+    Texts become features in parallel; one task, which holds at most ``most``
+    rows of at most 2**FEATURE_BITS features, learns from them in order, and the
+    driver gets the weights.  Without labelled rows all weights are zero.
     """
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     one = usable.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     chosen = one.orderBy(F.xxhash64(id_col), id_col).limit(most)
     texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).repartition(8, F.xxhash64(id_col, text_col))
-    rows = texts.select(F.xxhash64(id_col).alias("h"), "_label", F.arrow_udf(_feature_bytes, "binary")(F.col(text_col)).alias("f")).collect()
-    ordered = sorted(rows, key=lambda r: (r["h"], r["f"]))[: 2 * most]
-    return fit([(np.frombuffer(r["f"], "<i4"), int(r["_label"] > 0)) for r in ordered])
+    rows = texts.select(F.xxhash64(id_col).alias("h"), "_label", F.arrow_udf(_feature_bytes, "binary")(F.col(text_col)).alias("f"))
+    ordered = rows.repartition(1).sortWithinPartitions("h", "f")
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = [], None
+        for batch in batches:
+            for h, label, f in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != last:
+                    own.append((np.frombuffer(f, "<i4"), int(label > 0)))
+                last = h
+        w = fit(own)
+        yield pa.record_batch([pa.array([w.index.astype("<i4").tobytes()], pa.binary()), pa.array([w.value.astype("<f4").tobytes()], pa.binary())], names=["index", "value"])
+
+    found = ordered.mapInArrow(learned, "index binary, value binary").collect()
+    if not found:
+        return SparseWeights(np.zeros(0, np.int32), np.zeros(0, np.float32))
+    return SparseWeights(np.frombuffer(found[0]["index"], "<i4"), np.frombuffer(found[0]["value"], "<f4"))
 
 
 _dense: dict[str, np.ndarray] = {}
