@@ -125,6 +125,36 @@ def face_boxes(faces: Column) -> Column:
     return F.array_sort(padded)
 
 
+#: The least area of a face that counts for coverage; the ratio and share of keypoint matches.
+COVERED_FACE, MATCH_RATIO, MATCH_SHARE = 12_000, 0.75, 0.62
+
+
+def face_share(faces: Column, width: Column, height: Column) -> Column:
+    """The part of an image that its faces (w, h in pixels) of enough area cover."""
+    areas = F.filter(F.transform(faces, lambda f: (f["w"] * f["h"]).cast("double")), lambda a: a >= COVERED_FACE)
+    return F.coalesce(F.try_divide(F.aggregate(areas, F.lit(0.0), lambda s, a: s + a), (width * height).cast("double")), F.lit(0.0))
+
+
+def keypoint_share(a: list[bytes] | None, b: list[bytes] | None) -> float | None:
+    """Matches of binary keypoint descriptors over the smaller image's keypoints; null if either has none.
+
+    A match is nearer than MATCH_RATIO times the second nearest. It stands in
+    for embeddings where no model can be loaded: from MATCH_SHARE on a pair is alike.
+    """
+    if not a or not b:
+        return None
+    x, y = (np.frombuffer(b"".join(d), np.uint8).reshape(len(d), -1) for d in (a, b))
+    if len(y) < 2:
+        return 0.0
+    distance = np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+    near = np.partition(distance, 1, axis=1)
+    return min(1.0, float((near[:, 0] < MATCH_RATIO * near[:, 1]).sum()) / min(len(x), len(y)))
+
+
+def keypoint_shares(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([keypoint_share(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+
 #: The part of a probe document that the metrics come from.
 PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string,r_frame_rate:string,nb_frames:string,bit_rate:string,duration:string>>,format:struct<duration:string,bit_rate:string>>"
 

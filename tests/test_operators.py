@@ -261,3 +261,14 @@ def test_model_batches_survive_bad_rows(spark):
     df = spark.range(6).coalesce(1)
     got = [(r["id"], r["y"]) for r in media.with_model(df, ["id"], load, "y", "double", batch=4).collect()]
     assert got == [(0, 0.0), (1, 2.0), (2, 4.0), (3, None), (4, 8.0), (5, 10.0)]
+
+
+def test_faces_and_keypoints(spark):
+    face = "array<struct<x:double,y:double,w:double,h:double>>"
+    rows = [([(100.0, 0.0, 200.0, 200.0), (0.0, 10.0, 200.0, 200.0), (5.0, 5.0, 79.0, 900.0), (9.0, 9.0, 100.0, 110.0)],), ([],), (None,)]
+    boxes = values(spark, media.face_boxes(F.col("f")), rows, f"f {face}")
+    assert [(b["x"], b["w"]) for b in boxes[0]] == [(0.0, 300.0), (50.0, 300.0)] and boxes[1:] == [[], None]
+    assert values(spark, media.face_share(F.col("f"), F.lit(1000), F.lit(1000)), rows, f"f {face}") == [pytest.approx(0.0711 + 0.08), 0.0, 0.0]
+    a, b, c = b"\x00" * 32, b"\xff" * 32, b"\x00" * 16 + b"\xff" * 16
+    got = values(spark, F.arrow_udf(media.keypoint_shares, "double")(F.col("a"), F.col("b")), [([a, b], [a, b, c]), ([c], [a, b]), ([a], [b]), (None, [a])], "a array<binary>, b array<binary>")
+    assert got == [1.0, 0.0, 0.0, None]
