@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrymill.operators.joins import join_facts
+from quarrymill.operators.facts import join_facts
 
 #: Columns that may hold a rating, in the order of preference.
 RATINGS = ("file_size_n", "rating", "total_score", "best_score", "score", "final_score")

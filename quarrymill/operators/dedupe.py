@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quarrymill.operators.facts import join_facts
+
 #: Columns of the canonical order beside size and path, best first.
 RANK = ("has_sidecar", "sidecar_count", "has_json_time", "has_exif_time")
 
@@ -47,7 +49,7 @@ def absorbed_pairs(assets: DataFrame, key: str = "sha256", id_col: str = "asset_
     """(canonical, absorbed) rows: every copy but the survivor, with what both have of sidecars."""
     known = assets.where(F.col(key).isNotNull())
     best = known.groupBy(key).agg(F.min_by(F.struct(F.col(id_col).alias("id"), "has_sidecar", "sidecar_count"), _key(path)).alias("c"), F.count(F.lit(1)).alias("n"))
-    pairs = known.join(best.where("n > 1"), key).where(F.col(id_col) != F.col("c.id"))
+    pairs = join_facts(known, best.where("n > 1"), key, "n").where(F.col(id_col) != F.col("c.id"))
     action = F.when(F.col("has_sidecar") & ~F.col("c.has_sidecar"), "absorb_with_sidecar").otherwise("absorb")
     return pairs.select(F.col("c.id").alias("canonical_asset_id"), F.col(id_col).alias("absorbed_asset_id"), key, F.col("c.sidecar_count").alias("canonical_sidecar_count"), F.col("sidecar_count").alias("absorbed_sidecar_count"), F.col("c.has_sidecar").alias("canonical_has_sidecar"), F.col("has_sidecar").alias("absorbed_has_sidecar"), action.alias("dedupe_action"))
 

@@ -5,28 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrymill.operators.dedupe import first_row
-from quarrymill.plans.storage import stored
-
-
-#: A key with at least 1/HEAVY of all rows is dealt over SALTS pieces; there are at most HEAVY such keys.
-HEAVY, SALTS = 1000, 16
-
-
-def join_facts(df: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
-    """Rows with their key's facts (one row per key, ``count`` its rows); ``count`` is dropped.
-
-    Keys that hold many rows are found by their counts, their facts copied and
-    their rows dealt by a hash of the row, so no task gets them all.
-    """
-    kept = stored(facts, "facts")
-    total = kept.agg(F.sum(count)).first()[0] or 0
-    heavy = [r[0] for r in kept.where((F.col(count) * HEAVY >= total) & (F.col(count) > HEAVY)).select(key).collect()]
-    if not heavy:
-        return df.join(kept.drop(count), key)
-    hot = F.col(key).isin(heavy)
-    many = kept.drop(count).withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    dealt = df.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).otherwise(0))
-    return dealt.join(many, [key, "_salt"]).drop("_salt")
 
 
 def merge_metric(base: DataFrame, metric: DataFrame, key: str, *order: Column) -> DataFrame:

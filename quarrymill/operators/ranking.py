@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quarrymill.operators.joins import join_facts
+from quarrymill.operators.facts import join_facts
 
 
 def normalised(df: DataFrame, group: str, shares: dict[str, Column] | None = None, ranges: dict[str, Column] | None = None) -> DataFrame:

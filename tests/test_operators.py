@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import coerce, media, names, scores
-from quarrymill.operators import cleanup, curation, dedupe, graph, joins, order, ranking, review, similarity, video
+from quarrymill.operators import cleanup, curation, dedupe, facts, graph, joins, order, ranking, review, similarity, video
 
 
 def values(spark, column, rows, schema):
@@ -122,17 +122,17 @@ def test_live_pairs_boundaries(spark):
 
 @pytest.mark.parametrize("heavy", [1000, 0.5])
 def test_norms_stay_in_unit_range(spark, heavy, monkeypatch):
-    monkeypatch.setattr(joins, "HEAVY", heavy)
+    monkeypatch.setattr(facts, "HEAVY", heavy)
     rows = [("a", 0.0), ("a", -2.0), ("b", 4.0), ("b", 1.0), ("c", 3.0)]
     df = ranking.normalised(spark.createDataFrame(rows, "g string, x double"), "g", {"m": F.col("x")}, {"n": F.col("x")})
     assert sorted((r["g"], r["x"], r["m"], r["n"]) for r in df.collect()) == [("a", -2.0, 0.0, 0.0), ("a", 0.0, 0.0, 1.0), ("b", 1.0, 0.25, 0.0), ("b", 4.0, 1.0, 1.0), ("c", 3.0, 1.0, 0.0)]
 
 
 def test_heavy_keys_are_dealt(spark, monkeypatch):
-    monkeypatch.setattr(joins, "HEAVY", 2)
+    monkeypatch.setattr(facts, "HEAVY", 2)
     df = spark.range(60).select("id", F.when(F.col("id") < 50, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"))
-    facts = df.groupBy("g").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
-    joined = joins.join_facts(df, facts, "g", "n")
+    per = df.groupBy("g").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
+    joined = facts.join_facts(df, per, "g", "n")
     assert joined.columns == ["g", "id", "top"] and "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["id"], r["top"]) for r in joined.collect()) == [(k, 49 if k < 50 else k) for k in range(60)]
 
