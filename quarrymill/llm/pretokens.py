@@ -28,7 +28,7 @@ _BYTE_SPLIT = re.compile(rf"{_CONTRACTIONS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_L
 _WORD_SPLIT = re.compile(rf"{_CONTRACTIONS}|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
 
 #: Pre-tokens remembered by one worker process, at most twice this many.
-MEMO = 500_000
+MEMO = 250_000
 #: Characters, or pre-tokens, of one text that are split at a time.
 BLOCK = 1 << 20
 
