@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import audit, joins
+from quarrymill.plans import storage
 from quarrymill.plans.stages import StageRunner, environment, guarded_clean
 from quarrymill.sources import archives, files
 from quarrymill.streaming import ingest
@@ -49,6 +50,14 @@ def test_archives(tmp_path):
         archives.preflight(paths, "ask", "")
 
 
+def test_kept_tables_can_be_cleared(spark):
+    kept = storage.stored(spark.range(3), "t")
+    assert kept.count() == 3 and kept.inputFiles()[0].startswith(storage.shared_folder(spark))
+    storage.clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(*kept.inputFiles()).count()
+
+
 def test_stages_resume(spark, tmp_path):
     calls = []
 
