@@ -10,7 +10,7 @@ WINDOW = 13
 #: Contaminated: hits, and at least one in so many words is hit.
 ONE_IN = 20
 #: Tables made from the benchmark are broadcast, and its anchor terms listed, up to so many rows.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 ANCHOR_TERMS = 50_000
 
 
