@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrymill.llm.texts import ROWS
+from quarrymill.llm.texts import ROWS, worker_state
 
 #: n-grams of 1 to ORDER characters, hashed to 2**BUCKET_BITS buckets.
 ORDER, BUCKET_BITS = 3, 16
@@ -19,8 +19,8 @@ ORDER, BUCKET_BITS = 3, 16
 TRAIN_ROWS = 8192
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Characters of the texts that are scored together.
-CHUNK = 1 << 20
+#: Characters of short texts that are scored together, and of a long text's part.
+TOGETHER, CHUNK = 1 << 16, 1 << 20
 _MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 _SPACE = np.uint32(32)
 
@@ -165,22 +165,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(languages, prior, np.log(matrix / matrix.sum(axis=0)).astype(np.float32))
 
 
-_models: dict[str, Model] = {}
-
-
 def predictor(docs: DataFrame, model: Model):
     """Column function text -> struct(lang_pred, score) with the matrix broadcast."""
     shipped, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predictions(texts: pa.Array) -> pa.Array:
-        if key not in _models:
-            _models.clear()
-            _models[key] = shipped.value
+        model = worker_state(key, lambda: shipped.value)
         langs, scores = [], []
         held: list[str] = []
 
         def flush() -> None:
-            a, b = _models[key].predict(held)
+            a, b = model.predict(held)
             langs.extend(a)
             scores.extend(b)
             held.clear()
@@ -190,7 +185,7 @@ def predictor(docs: DataFrame, model: Model):
             for t in texts.slice(at, ROWS).to_pylist():
                 held.append(t or "")
                 size += len(held[-1])
-                if size > CHUNK // 4:
+                if size > TOGETHER:
                     flush()
                     size = 0
             flush()

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarrymill.llm.texts import WORD, raw_texts, word_blocks
+from quarrymill.llm.texts import WORD, raw_texts, word_blocks, worker_state
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -189,8 +189,6 @@ class LicenceScanner:
         return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
 
-_scanner: list[LicenceScanner] = []
-
 _KIND = pa.struct([("n_words", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())])))])
 
 
@@ -199,11 +197,9 @@ _DDL = "struct<n_words:long,places:array<struct<start:long,label:string>>,spans:
 
 def licence_scan(texts: pa.Array) -> pa.Array:
     """Word count, phrase places and covered template spans of each text."""
-    if not _scanner:
-        _scanner.append(LicenceScanner())
-    rows = []
+    scanner, rows = worker_state("licences", LicenceScanner), []
     for text in raw_texts(texts):
-        found = _scanner[0].scan(text)
+        found = scanner.scan(text)
         rows.append({"n_words": found.n_words, "places": [{"start": s, "label": x} for s, x in found.places], "spans": [{"label": x, "first": a, "last": b, "coverage": min(c, 1.0)} for x, a, b, c in found.spans]})
     return pa.array(rows, _KIND)
 

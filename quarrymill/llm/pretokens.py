@@ -18,7 +18,7 @@ from itertools import islice
 import numpy as np
 import public_tokenizers
 
-from quarrymill.llm.texts import TwoGenerations
+from quarrymill.llm.texts import TwoGenerations, worker_state
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r -~{_LETTER}]*")
@@ -112,14 +112,9 @@ class _Tiers(dict):
         return self.rest[token]
 
 
-_encoders: dict[str, PretokenEncoder] = {}
-
-
-def encoder(path: str) -> PretokenEncoder:
+def encoder(path: str, memo: int = MEMO) -> PretokenEncoder:
     """This process's encoder of a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = PretokenEncoder(path)
-    return _encoders[path]
+    return worker_state(("encoder", path, memo), lambda: PretokenEncoder(path, memo))
 
 
 def vocabulary(name: str) -> str:

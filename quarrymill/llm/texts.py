@@ -8,8 +8,11 @@ into one very long Python list.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 
@@ -75,3 +78,28 @@ class TwoGenerations(dict):
             self.old = dict(self)
             self.clear()
         self[key] = value
+
+
+_kept: dict[Any, Any] = {}
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def worker_state(key: Any, make: Callable[[], Any]) -> Any:
+    """What this process keeps between tasks under ``key``, made when first asked for.
+
+    One thing is kept at a time: Spark's Python workers live on, and the memo or
+    model of one operator would stay while the next one runs.
+    """
+    if key not in _kept:
+        _kept.clear()
+        give_back()
+        _kept[key] = make()
+    return _kept[key]

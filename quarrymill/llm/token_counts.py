@@ -9,15 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.llm.pretokens import PretokenCounter, encoder, vocabulary
-from quarrymill.llm.texts import ROWS
+from quarrymill.llm.texts import ROWS, worker_state
 
 #: Rows that the frequent pre-tokens are taken from, how many of each row's, and how many in all are
 #: broadcast.  They decide speed only: every count is exact without them.
 SAMPLE_ROWS, PER_ROW, FREQUENT = 512, 1000, 50_000
 
-_counters: dict[str, PretokenCounter] = {}
-
-
 def frequent_lengths(docs: DataFrame, text_col: str, path: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> dict[str, int]:
     """Token lengths of the most frequent pre-tokens of the first ``rows`` texts.
 
@@ -57,12 +54,12 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     key = uuid.uuid4().hex
 
+    def counter() -> PretokenCounter:
+        tokens, sizes = shipped.value
+        return PretokenCounter(path, {t: n for t, n in zip(tokens.split("\x00"), sizes) if n < 255} if tokens else {})
+
     def counts(texts: pa.Array) -> pa.Array:
-        if key not in _counters:
-            tokens, sizes = shipped.value
-            _counters.clear()
-            _counters[key] = PretokenCounter(path, {t: n for t, n in zip(tokens.split("\x00"), sizes) if n < 255} if tokens else {})
-        count = _counters[key].count
+        count = worker_state(key, counter).count
         return pa.array([count(t) for at in range(0, len(texts), ROWS) for t in texts.slice(at, ROWS).to_pylist()], pa.int64())
 
     return docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.arrow_udf(counts, "long")(F.col(text_col)).alias("n_tokens"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrymill.llm.texts import raw_texts, word_blocks
+from quarrymill.llm.texts import ROWS, give_back, raw_texts, word_blocks, worker_state
 
 #: Width of the feature space in bits; feature 0 is the bias.
 FEATURE_BITS = 20
@@ -85,7 +85,7 @@ class FTRL:
         return SparseWeights(index.astype(np.int32), w[index].astype(np.float32))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> SparseWeights:
+def fit(rows: Sequence[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> SparseWeights:
     """Learns from (features, label) rows, in the given order in each epoch."""
     model = FTRL()
     for _ in range(epochs):
@@ -125,13 +125,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ordered = rows.repartition(1).sortWithinPartitions("h", "f")
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = [], None
+        held, sizes, labels, last = [], [], [], None
         for batch in batches:
-            for h, label, f in zip(*(c.to_pylist() for c in batch.columns)):
-                if h != last:
-                    own.append((np.frombuffer(f, "<i4"), int(label > 0)))
-                last = h
-        w = fit(own)
+            for at in range(0, len(batch), ROWS):
+                part = []
+                for h, label, f in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns)):
+                    if h != last:
+                        part.append(f)
+                        sizes.append(len(f) // 4)
+                        labels.append(int(label > 0))
+                    last = h
+                held.append(np.frombuffer(b"".join(part), "<i4"))
+        # one block for all rows' features, so that it goes back to the system as a whole
+        joined = np.concatenate(held) if held else np.zeros(0, np.int32)
+        held.clear()
+        ends = np.cumsum(sizes).tolist()
+        w = fit([(joined[e - n : e], y) for n, e, y in zip(sizes, ends, labels)])
+        del joined
+        give_back()
         yield pa.record_batch([pa.array([w.index.astype("<i4").tobytes()], pa.binary()), pa.array([w.value.astype("<f4").tobytes()], pa.binary())], names=["index", "value"])
 
     found = ordered.mapInArrow(learned, "index binary, value binary").collect()
@@ -140,18 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return SparseWeights(np.frombuffer(found[0]["index"], "<i4"), np.frombuffer(found[0]["value"], "<f4"))
 
 
-_dense: dict[str, np.ndarray] = {}
-
-
 def scorer(docs: DataFrame, weights: SparseWeights):
     """Column function text -> score with the weights broadcast."""
     shipped, key = docs.sparkSession.sparkContext.broadcast(weights), uuid.uuid4().hex
 
     def scores(texts: pa.Array) -> pa.Array:
-        if key not in _dense:
-            _dense.clear()
-            _dense[key] = shipped.value.dense()
-        return pa.array([score(t, _dense[key]) for t in raw_texts(texts)], pa.float64())
+        dense = worker_state(key, lambda: shipped.value.dense())
+        return pa.array([score(t, dense) for t in raw_texts(texts)], pa.float64())
 
     return F.arrow_udf(scores, "double")
 
