@@ -54,12 +54,18 @@ class PretokenEncoder:
         self.lower = self.library.normalizer is not None
         self.split = _WORD_SPLIT if self.lower else _BYTE_SPLIT
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.written, self.model = byte_characters(), self.library.model
-        self.memo = TwoGenerations(lambda t: array("I", self._ids(t)).tobytes(), memo)
+        self.written, self.tokenize = byte_characters(), self.library.model.tokenize
+        self.blank = self.written[0x20]
+        self.memo = TwoGenerations(self._bytes, memo)
 
     def _ids(self, pretoken: str) -> list[int]:
         """The BPE model's ids of one plain pre-token."""
-        return [t.id for t in self.model.tokenize(pretoken.translate(self.written))]
+        # of an ASCII pre-token that doesn't end in white space only a leading blank is written otherwise
+        simple = pretoken.isascii() and pretoken[-1] > " "
+        return [t.id for t in self.tokenize(pretoken.replace(" ", self.blank) if simple else pretoken.translate(self.written))]
+
+    def _bytes(self, pretoken: str) -> bytes:
+        return array("I", self._ids(pretoken)).tobytes()
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids

@@ -27,6 +27,8 @@ from quarrymill.plans.storage import new_path, stored
 END = 0
 #: A task begins another file beyond so many bytes.
 FILE_BYTES = 256 << 20
+#: Pre-tokens that a worker remembers here.
+MEMO = 500_000
 #: Fixed value: what the mask adds to the rotated checksum.
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
@@ -83,13 +85,15 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     repeat an id are ordered by a hash of their text.
     """
     path = vocabulary(name)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    # equal rows are told apart by where they were read, so even those of one id and text are dealt over several parts
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("m"))
     kind = dict(source.dtypes)["id"]
-    ordered = source.repartitionByRange(F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
+    order = [F.col("id").asc_nulls_first(), F.col("h"), F.col("m")]
+    ordered = source.repartitionByRange(*order).sortWithinPartitions(*order)
     mark = end.to_bytes(4, "little")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path).encode, TaskContext.get().partitionId()
+        encode, part = encoder(path, MEMO).encode, TaskContext.get().partitionId()
         before, at, out, file = 0, 0, None, ""
         try:
             for batch in batches:

@@ -70,14 +70,11 @@ class TwoGenerations(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
+        return value
 
 
 _kept: dict[Any, Any] = {}
