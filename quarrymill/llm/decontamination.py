@@ -87,7 +87,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     (id, h, n_words, n_hit, items, n_proximity, contaminated): words of the
     document, those inside an occurrence of a window, the sorted ids of the items
-    with occurring windows, the anchor postings near which over half of a
+    with occurring windows, the places of anchor terms near which over half of a
     window's other words stand though no window does, and whether there are hits
     on at least one in ONE_IN words.  A window is ``window`` consecutive words of
     an item, or a shorter item as a whole; items without words have none.
@@ -95,7 +95,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     The index holds the postings of the rarest term of each window, by counts
     over all documents.  A posting is shifted by its term's place in the item,
     and the words shared by all windows there, then each window, are intersected
-    with its context.  Postings of a document lie together, so they are folded
+    with its context.  Nearness is judged for each window by its different words
+    other than the anchor term.  Postings of a document lie together, so they are folded
     before the only shuffle, which moves about a row per document.  Null and
     empty texts have no words.  Null ids are allowed; rows that repeat id and
     text are counted and given back as often; null items ids are ignored.
@@ -111,13 +112,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     exact = F.when(core_at >= 0, F.slice("context", core_at + 1, F.size("core")) == F.col("core")).otherwise(F.lit(False))
     standing = F.filter(F.sequence(F.col("lo"), F.col("hi")), lambda s: F.when(at + s >= F.col("first"), F.slice("context", at + s - F.col("first") + 1, F.col("w")) == F.slice("span", s - F.col("lo") + 1, F.col("w"))).otherwise(F.lit(False)))
     hits = F.when(exact, F.transform(standing, lambda s: at + s)).otherwise(F.array().cast("array<int>"))
-    shared = F.size(F.array_intersect("context", "core"))
-    near = (shared * 2 > F.size(F.array_distinct("core"))) & (F.size("core") > 1)
-    judged = joined.select("id", "h", "n_words", "term", "item_id", "w", F.when(F.col("term").isNotNull(), hits).alias("hits"), F.coalesce(near, F.lit(False)).alias("near"))
+
+    def half(s: Column) -> Column:  # the anchor term itself is in the window and in the context
+        own = F.slice("span", s - F.col("lo") + 1, F.col("w"))
+        return (F.size(F.array_intersect(own, F.col("context"))) - 1) * 2 > F.size(F.array_distinct(own)) - 1
+
+    near = F.col("term").isNotNull() & F.exists(F.sequence(F.col("lo"), F.col("hi")), half)
+    judged = joined.select("id", "h", "n_words", "term", "pos", "item_id", "w", F.when(F.col("term").isNotNull(), hits).alias("hits"), F.coalesce(near, F.lit(False)).alias("near"))
     judged = judged.where(F.col("term").isNull() | (F.size("hits") > 0) | F.col("near"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda s: F.sequence(s, s + F.col("w") - 1))))
-    folded = judged.select("id", "h", "n_words", F.col("term").isNull().alias("base"), (F.col("near") & (F.size("hits") == 0)).alias("near"), F.when(F.size("hits") > 0, F.col("item_id")).alias("item"), F.when(F.size("hits") > 0, covered).alias("places"))
-    per = folded.groupBy("id", "h", "n_words").agg(F.count_if("base").cast("int").alias("copies"), F.count_if("near").alias("n_proximity"), F.collect_set("item").alias("items"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"))
+    folded = judged.select("id", "h", "n_words", F.col("term").isNull().alias("base"), F.when(F.col("near"), F.col("pos")).alias("near"), F.when(F.size("hits") > 0, F.col("pos")).alias("at"), F.when(F.size("hits") > 0, F.col("item_id")).alias("item"), F.when(F.size("hits") > 0, covered).alias("places"))
+    per = folded.groupBy("id", "h", "n_words").agg(F.count_if("base").cast("int").alias("copies"), F.size(F.array_except(F.collect_set("near"), F.collect_set("at"))).cast("long").alias("n_proximity"), F.collect_set("item").alias("items"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"))
     whole = per.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     dirty = (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))
     return whole.select(F.col("id").alias(id_col), "h", "n_words", "n_hit", F.array_sort("items").alias("items"), "n_proximity", dirty.alias("contaminated"))
