@@ -99,9 +99,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     other than the anchor term.  Postings of a document lie together, so they are folded
     before the only shuffle, which moves about a row per document.  Null and
     empty texts have no words.  Null ids are allowed; rows that repeat id and
-    text are counted and given back as often; null items ids are ignored.
+    text are counted and given back as often; items with a
+    null id are searched too, and stand as one null at the end of the items.
     """
-    terms = stored(benchmark_terms(items.where(F.col(item_id).isNotNull()), item_id, item_text, window), "benchmark-terms")
+    terms = stored(benchmark_terms(items, item_id, item_text, window), "benchmark-terms")
     vocabulary = terms.select("term").distinct()
     counts = stored(term_counts(docs, vocabulary, vocabulary.count(), text_col), "term-counts")
     own = stored(probes(terms, counts, window), "probes")
@@ -114,18 +115,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = F.when(exact, F.transform(standing, lambda s: at + s)).otherwise(F.array().cast("array<int>"))
 
     def half(s: Column) -> Column:  # the anchor term itself is in the window and in the context
-        own = F.slice("span", s - F.col("lo") + 1, F.col("w"))
-        return (F.size(F.array_intersect(own, F.col("context"))) - 1) * 2 > F.size(F.array_distinct(own)) - 1
+        here = F.slice("span", s - F.col("lo") + 1, F.col("w"))
+        return (F.size(F.array_intersect(here, F.col("context"))) - 1) * 2 > F.size(F.array_distinct(here)) - 1
 
     near = F.col("term").isNotNull() & F.exists(F.sequence(F.col("lo"), F.col("hi")), half)
     judged = joined.select("id", "h", "n_words", "term", "pos", "item_id", "w", F.when(F.col("term").isNotNull(), hits).alias("hits"), F.coalesce(near, F.lit(False)).alias("near"))
     judged = judged.where(F.col("term").isNull() | (F.size("hits") > 0) | F.col("near"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda s: F.sequence(s, s + F.col("w") - 1))))
-    folded = judged.select("id", "h", "n_words", F.col("term").isNull().alias("base"), F.when(F.col("near"), F.col("pos")).alias("near"), F.when(F.size("hits") > 0, F.col("pos")).alias("at"), F.when(F.size("hits") > 0, F.col("item_id")).alias("item"), F.when(F.size("hits") > 0, covered).alias("places"))
+    folded = judged.select("id", "h", "n_words", F.col("term").isNull().alias("base"), F.when(F.col("near"), F.col("pos")).alias("near"), F.when(F.size("hits") > 0, F.col("pos")).alias("at"), F.when(F.size("hits") > 0, F.struct("item_id")).alias("item"), F.when(F.size("hits") > 0, covered).alias("places"))
     per = folded.groupBy("id", "h", "n_words").agg(F.count_if("base").cast("int").alias("copies"), F.size(F.array_except(F.collect_set("near"), F.collect_set("at"))).cast("long").alias("n_proximity"), F.collect_set("item").alias("items"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"))
     whole = per.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     dirty = (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))
-    return whole.select(F.col("id").alias(id_col), "h", "n_words", "n_hit", F.array_sort("items").alias("items"), "n_proximity", dirty.alias("contaminated"))
+    return whole.select(F.col("id").alias(id_col), "h", "n_words", "n_hit", F.array_sort(F.transform("items", lambda x: x["item_id"])).alias("items"), "n_proximity", dirty.alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Proximity of the decontamination operator against a plain version."""
+"""Proximity and items without id of the decontamination operator, against a plain version and the SQL."""
 
 import random
+import shutil
 from collections import Counter
 
 import pytest
 
-from quarrymill.llm import decontamination
+from quarrymill.llm import decontamination, queries
+from tests import oracle
 from tests.llm.test_brute_force import bag, docs, texts_of, words
 
 
@@ -71,3 +73,20 @@ def test_proximity_of_few_words(spark, seed):
     rows, items = [(k, text(14, "abcdefg")) for k in range(40)], [(str(k), text(9, "abcdefgh")) for k in range(8)]
     found = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), window=4)
     assert bag(proximity(found)) == bag(plain_proximity(rows, items, 4))
+
+
+def test_items_without_id_are_hit(spark, tmp_path):
+    words_ = [f"w{k}" for k in range(60)]
+    passage = lambda a, b: " ".join(words_[a:b])
+    rows = [(1, passage(0, 20)), (2, passage(20, 40)), (3, passage(0, 40)), (4, passage(40, 60)), (5, passage(15, 60)), (None, passage(20, 40)), (6, None)]
+    items = [(None, passage(0, 20)), (None, passage(20, 34)), (7, passage(20, 40)), (None, None)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for name, df in (("documents", d), ("benchmark", b)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        next((tmp_path / name).glob("part-*")).rename(tmp_path / f"{name}.parquet")
+        shutil.rmtree(tmp_path / name)
+    got = oracle.spark_rows(queries.op5_decontamination(spark, str(tmp_path)))
+    assert got == oracle.sql_rows(oracle.connection(str(tmp_path)), queries.ORACLE_SQL["op5_decontamination"])
+    found = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in decontamination.contamination(d, b).where("doc_id is not null").collect()}
+    assert found == {1: (20, [None], True), 2: (20, ["7", None], True), 3: (40, ["7", None], True), 4: (0, [], False), 5: (20, ["7", None], True), 6: (0, [], False)}
+    assert [r["doc_id"] for r in decontamination.without_contaminated(d, b).orderBy("doc_id").collect()] == [4, 6]
