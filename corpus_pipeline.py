@@ -9,7 +9,7 @@ from quarrymill.plans.storage import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language; ``und`` goes."""
+    """Keeps the documents that have a letter; null and letterless texts go."""
     return langid.with_language(docs)
 
 

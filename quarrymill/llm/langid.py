@@ -205,7 +205,19 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), of(F.col(text_col)).alias("_p")).select(id_col, "held_out", "_p.lang_pred", "_p.score")
 
 
+def lettered(texts: pa.Array) -> pa.Array:
+    """Whether each text has a letter; null has none."""
+    parts = (texts.slice(at, ROWS).to_pylist() for at in range(0, len(texts), ROWS))
+    return pa.array([any(map(str.isalpha, t or "")) for part in parts for t in part], pa.bool_())
+
+
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that have a language, with all their columns; ``und`` is rejected."""
-    of = predictor(docs, train(docs, id_col, text_col, lang_col))
-    return docs.where(of(F.col(text_col))["lang_pred"] != UNKNOWN)
+    """The rows of ``docs`` whose text has a letter, with all their columns; null and letterless texts are rejected.
+
+    These are the rows with a predicted language; if nothing can be learned, no
+    language is known, and the letters alone decide.
+    """
+    model = train(docs, id_col, text_col, lang_col)
+    if not model.languages:
+        return docs.where(F.arrow_udf(lettered, "boolean")(F.col(text_col)))
+    return docs.where(predictor(docs, model)(F.col(text_col))["lang_pred"] != UNKNOWN)
