@@ -59,9 +59,12 @@ class TwoGenerations(dict):
     """A bounded memo: when the young half is full it becomes the old half.
 
     ``memo[key]`` computes and keeps what is missing; what is still in use moves
-    back to the young half, so frequent keys survive and rare ones go.
+    back to the young half, so frequent keys survive and rare ones go.  Keys of
+    more than KEY characters aren't kept.
     """
 
+    KEY = 64
+
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
@@ -70,6 +73,8 @@ class TwoGenerations(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > self.KEY:
+            return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
