@@ -295,12 +295,57 @@ def raw(ids):
     return np.array(ids, "<u4").tobytes()
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from("aAbZé Éß'sStTrevmld09 .,!-_\n\t\r<|>µ×\u00a0日\x1f"), max_size=40), min_size=1, max_size=5))
-def test_pretoken_encoding_equals_the_library(texts):
-    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        e = pretokens.encoder(pretokens.vocabulary(name))
-        assert [e.encode(t) for t in texts] == [raw(i) for i in library_ids(name, texts)]
+ENCODERS = {}
+
+
+def own_encoder(name):
+    from tokenizers import Tokenizer
+
+    if name not in ENCODERS:
+        path = public_tokenizers.path(name)
+        ENCODERS[name] = pretokens.PretokenEncoder(path), pretokens.PretokenCounter(path, {" a": 1}), Tokenizer.from_file(path)
+    return ENCODERS[name]
+
+
+PARTS = [*"aAbZé Éß'sStTrevmld09 .,!-_\n\t\r<|>µ×\u00a0日\x1f\x00本。語ΣσΑς“”—€…😀𝔸𝟘İŁ١٢\u0301\x85\u3000ﬁ½Ⅳ한글ㅎ\ua7cb\u0378", "<|endoftext|>", "<|startoftext|>", "  ", "'ll"]
+
+
+@pytest.mark.parametrize("block", [1 << 18, 4])
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=40).map("".join), min_size=1, max_size=5))
+def test_pretoken_encoding_equals_the_library(block, texts):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pretokens, "BLOCK", block)
+        for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+            encoder, counter, library = own_encoder(name)
+            want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+            assert [encoder.encode(t) for t in texts] == [raw(i) for i in want]
+            assert [counter.count(t) for t in texts] == [len(i) for i in want]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_character_is_split_as_the_library_does(name):
+    encoder, _, library = own_encoder(name)
+    texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}!" for c in range(at, at + 64) if not 0xD800 <= c < 0xE000) for at in (*range(0, 0x3400, 64), *range(0x9F00, 0xB000, 64), *range(0xF800, 0x11200, 64), *range(0x1D400, 0x1D800, 64), *range(0x1F300, 0x1F700, 64))]
+    for t in filter(None, texts):
+        assert encoder.encode(t) == raw(library.encode(t, add_special_tokens=False).ids)
+
+
+def test_memos_leave_very_long_pretokens_out():
+    encoder, _, _ = own_encoder("byte_bpe_50k.json")
+    encoder.encode("x" * 5000 + " y")
+    assert max(map(len, encoder.memo)) <= encoder.memo.KEY
+
+
+def test_mixed_scripts_use_the_memo():
+    encoder, _, library = own_encoder("byte_bpe_50k.json")
+    text = "“Привет” — мир… 日本語。テスト 한국어 €5 emoji 😀 <|endoftext|> done " * 50
+    seen, encoder._whole = [], lambda piece: seen.append(piece) or library.encode(piece, add_special_tokens=False).ids
+    try:
+        assert encoder.encode(text) == raw(library.encode(text, add_special_tokens=False).ids)
+    finally:
+        del encoder._whole
+    assert set(seen) == {"<|endoftext|>"} and " Привет" not in encoder.memo and "Привет" in encoder.memo
 
 
 def test_long_texts_are_split_as_short_ones(monkeypatch):
@@ -385,29 +430,54 @@ def test_records_in_any_order(spark, sf_dir):
 # ---------------------------------------------------------------- top k
 
 
+def plain_top(rows, k, is_query):
+    """(query id, rank, id, score) by unbounded integers; scores beyond a long are the nearest long."""
+    most = 2**63 - 1
+    fine = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (q, own) in enumerate(fine):
+        if is_query(q):
+            best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(own, v)))), i) for m, (i, v) in enumerate(fine) if m != n and len(v) == len(own))[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    return out
+
+
 def test_top_k_odd_vectors(spark):
-    rows = [(0, [0.5, -0.25]), (50, [0.5, 0.5]), (100, None), (150, [math.nan, 1.0]), (200, [None, 1.0]), (250, [math.inf, 1.0]), (1, [0.1, 0.2]), (2, [0.1, 0.2]), (3, [0.1, 0.2]), (4, [9.0, -9.0]), (None, [1.0, 1.0]), (5, [1.0]), (300, [1e6, 1e6]), (6, []), (1, [0.1, 0.2])]
+    rows = [(0, [0.5, -0.25]), (50, [0.5, 0.5]), (100, None), (150, [math.nan, 1.0]), (200, [None, 1.0]), (250, [math.inf, 1.0]), (1, [0.1, 0.2]), (2, [0.1, 0.2]), (3, [0.1, 0.2]), (4, [9.0, -9.0]), (None, [1.0, 1.0]), (5, [1.0]), (300, [1e6, 1e6]), (6, []), (1, [0.1, 0.2]), (50, [0.25, 0.5])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, score int")
-    got = sorted(map(tuple, topk.top_k(df, lambda i: i % 50 == 0, k=3).collect()))
-    fine = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    want = []
-    for q in (0, 50, 300):
-        best = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q and len(v) == 2)[:3]
-        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
-    assert got == want
+    got = map(tuple, topk.top_k(df, lambda i: i % 50 == 0, k=3).collect())
+    assert bag(got) == bag(plain_top(rows, 3, lambda i: i % 50 == 0))
     assert topk.top_k(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(1, 12), st.integers(1, 9), st.integers(1, 4), st.integers(0, 10_000), st.sampled_from([2, 1000, 1 << 28]))
+def test_top_k_of_repeated_ids_and_huge_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [1.0, 0.0]), (2, [0.25, 0.0]), (50, [1e30, -1e30]), (3, [3e38, -3e38]), (4, [-3e38, 0.0]), (5, [1e-3, 0.0]), (100, [0.0, 0.0]), (6, [2.0**40, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    want = plain_top(rows, 5, lambda i: i % 50 == 0)
+    assert (0, 1, 3, 2**63 - 1) in want and (50, 1, 0, 2**63 - 1) in want and (0, 4, 1, 65536) in want
+    assert bag(map(tuple, topk.top_k(df, lambda i: i % 50 == 0).collect())) == bag(want)
+
+
+def test_lists_are_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FAN", 2)
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=3)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    assert bag(map(tuple, topk.top_k(df, lambda i: i % 20 == 0, k=4).collect())) == bag(plain_top(rows, 4, lambda i: i % 20 == 0))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 12), st.integers(1, 9), st.integers(1, 4), st.integers(0, 10_000), st.sampled_from([2, 1000, 1 << 28, 1 << 40, 1 << 61]))
 def test_tile_top(n, q, k, seed, size):
     rng = np.random.default_rng(seed)
-    tile, queries_ = rng.integers(-size, size, (n, 3)), rng.integers(-size, size, (q, 3))
-    ids, asked = rng.permutation(20)[:n].astype(np.int64), rng.permutation(20)[:q].astype(np.int64)
-    scores, found = topk.tile_top(queries_, asked, tile, ids, k)
+    tile, queries_ = (np.floor(rng.integers(-size, size, (m, 3)) * rng.choice([1.0, 1e-6], (m, 1))) for m in (n, q))
+    ids, asked = rng.integers(0, 9, n), rng.permutation(20)[:q].astype(np.int64)
+    rows = rng.permutation(20)[:n].astype(np.int64)
+    scores, found = topk.tile_top(queries_, asked, tile, rows, ids, k)
     scores, found = topk.merge_top(np.full((q, k), topk.ABSENT), np.zeros((q, k), np.int64), scores, found, k)
+    most = 2**63 - 1
     for a, v, s, f in zip(asked.tolist(), queries_.tolist(), scores.tolist(), found.tolist()):
-        best = sorted((-sum(x * y for x, y in zip(v, t)), i) for i, t in zip(ids.tolist(), tile.tolist()) if i != a)[:k]
+        best = sorted((-max(-most, min(most, sum(int(x) * int(y) for x, y in zip(v, t)))), i) for r, i, t in zip(rows.tolist(), ids.tolist(), tile.tolist()) if r != a)[:k]
         assert [(-x, i) for x, i in zip(s, f) if x != topk.ABSENT] == best
 
 
