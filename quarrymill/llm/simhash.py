@@ -19,7 +19,7 @@ BITS = 64
 BUCKET = 256
 #: A fingerprint with at least 1/HEAVY of all rows is joined by broadcast; there are at most HEAVY such.
 HEAVY = 1000
-#: Up to so many bucket counts are broadcast.
+#: Up to so many bucket counts, or keys of rows that go, are broadcast.
 BROADCAST_ROWS = 100_000
 SALTS = 16
 
@@ -155,38 +155,64 @@ def fingerprint_links(nodes: DataFrame, bits: int = BITS, radius: int = RADIUS,
         free = {p: left[p] for p in paths}
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row (id, h, fp, component_id, root, first) per row of ``docs``.
+
+    ``h`` is the text's hash; ``root`` tells whether the fingerprint is its
+    component's least vertex, and ``first`` holds the least (id, h) of the rows
+    that share the fingerprint; null ids come last.
+    """
+    own = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.arrow_udf(simhash, "long")(F.col(text_col)).alias("fp")), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
+    folded = own.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = stored(folded.withColumn("doc", F.struct("first.none", "first.id")), "nodes")
+    linked = connected_components(fingerprint_links(nodes.select("fp", "doc")))
+    roots = linked.select(F.col("node.fp").alias("fp"), "component")
+    root = F.coalesce(F.col("component.fp") == F.col("fp"), F.lit(True))
+    named = stored(nodes.join(roots, "fp", "left").select("fp", "n", "first", F.when(F.col("component").isNull(), F.col("doc.id")).otherwise(F.col("component.doc.id")).alias("component_id"), root.alias("root")), "named")
+    rows = named.agg(F.sum("n")).first()[0] or 0
+    is_heavy = F.col("n") * HEAVY >= max(rows, 1) + HEAVY
+    heavy, light = named.where(is_heavy).drop("n"), named.where(~is_heavy).drop("n")
+    common = own.join(F.broadcast(heavy), "fp")
+    return common.union(own.join(F.broadcast(heavy.select("fp")), "fp", "left_anti").join(light, "fp").select(common.columns))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, fp long, component_id) per row of ``docs``.
 
     Documents with equal fingerprints, or with fingerprints linked by chains of
     at most ``RADIUS`` differing bits, share a component; it is named by its
-    least id.  Texts that are null, empty or blank have fingerprint zero.  Rows
-    with a null id take part; a component of such rows alone has id null.
-    Repeated rows stay repeated.  Empty input gives an empty result.  Other
-    columns are not read.
+    least id, of whatever type ids are.  Texts that are null, empty or blank have
+    fingerprint zero.  Rows with a null id take part; a component of such rows
+    alone has id null.  Repeated rows stay repeated.  Empty input gives an empty
+    result.  Other columns are not read.
     """
-    own = stored(docs.select(F.col(id_col).alias("id"), F.arrow_udf(simhash, "long")(F.col(text_col)).alias("fp")), "fingerprints")
-    last = F.lit((1 << 63) - 1)
-    nodes = stored(own.groupBy("fp").agg(F.coalesce(F.min("id"), last).alias("doc"), F.count(F.lit(1)).alias("n")), "nodes")
-    linked = connected_components(fingerprint_links(nodes))
-    roots = linked.select(F.col("node.fp").alias("fp"), F.col("component.doc").alias("least"))
-    named = nodes.join(roots, "fp", "left").select("fp", "n", F.nullif(F.coalesce("least", "doc"), last).alias("component_id"))
-    rows = nodes.agg(F.sum("n")).first()[0] or 0
-    named = stored(named, "named")
-    heavy = named.where(F.col("n") * HEAVY >= max(rows, 1) + HEAVY).select("fp", "component_id")
-    light = named.where(F.col("n") * HEAVY < max(rows, 1) + HEAVY).select("fp", "component_id")
-    common = own.join(F.broadcast(heavy), "fp").select("id", "fp", "component_id")
-    rest = own.join(F.broadcast(heavy.select("fp")), "fp", "left_anti").join(light, "fp").select("id", "fp", "component_id")
-    return common.union(rest).withColumnRenamed("id", id_col)
+    return _judged(docs, id_col, text_col).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row for each component: the row that has its least id.
+    """``docs`` with one row for each component: its least id's, of several texts of that id one of the least fingerprint.
 
-    Rows that repeat an id are one document, and one of them stays.  Rows with
-    a null id can't be named by another row; they stay as they are.
+    Every row is judged by its own text, so unlinked texts under one id all
+    stay, and linked copies under a null id go as others do.  Of rows alike in
+    id and text one stays, of different other columns the one of least hash.
+    Only narrow keys of the rows that go are joined with the texts: by broadcast
+    where they are few, else over a shuffle.
     """
-    of = simhash_components(docs.select(id_col, text_col), id_col, text_col)
-    keep = of.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    judged = _judged(docs.select(id_col, text_col), id_col, text_col)
+    stays = F.col("root") & F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    counted = judged.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h"), stays.alias("_stays")).agg(F.count(F.lit(1)).alias("_n"))
+    gone = stored(counted.where("NOT _stays OR _n > 1"), "gone")
+    rows, repeated = gone.agg(F.count(F.lit(1)), F.count_if("_stays")).first()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    kept = docs.join(_small(gone.select("_id", "_h"), rows), same, "left_anti")
+    if not repeated:
+        return kept
+    alike = docs.join(_small(gone.where("_stays").select("_id", "_h"), repeated), same, "left_semi")
+    hashed = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    one = alike.groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_row"))
+    return kept.union(one.select("_row.*"))

@@ -219,12 +219,41 @@ def test_dense_buckets_are_split_and_no_link_is_lost(spark, broadcast, monkeypat
 def test_representatives(odd_docs, no_docs):
     kept = simhash.representatives(odd_docs)
     assert kept.columns == odd_docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    comps = {r["component_id"] for r in simhash.simhash_components(odd_docs).where("doc_id is not null").collect()}
-    assert sorted(i for i in ids if i is not None) == sorted(comps) and ids.count(None) == 2
+    pairs = plain_components([(i, plain_fingerprint(t)) for i, t in texts_of(odd_docs)])
+    texts, want = texts_of(odd_docs), []
+    # components by their members, as several may share a least id
+    groups = defaultdict(list)
+    for (i, t), own in zip(texts, plain_roots([f for _, f, _ in pairs])):
+        groups[own].append((i is None, i or 0))
+    for own in groups.values():
+        want.append(min(own))
+    assert bag((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == bag(want)
     assert simhash.representatives(no_docs).count() == 0
 
 
+def plain_roots(prints):
+    root = list(range(len(prints)))
+    for a, b in combinations(range(len(prints)), 2):
+        if bin(prints[a] ^ prints[b]).count("1") <= 3:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+    a, b, c, d = ("the quick brown fox jumps", "alpha beta gamma delta epsilon", "one two three four five six", "lorem ipsum dolor sit amet")
+    rows = [("1", a, "x"), ("5", a, "x"), ("5", b, "x"), ("7", c, "x"), ("7", d, "x"), ("8", d, "x"), (None, c, "x"), (None, "q r s t u", "x"), (None, "q r s t u", "x"), ("9", "same row twice here", "y"), ("9", "same row twice here", "z"), ("9", "same row twice here", "y")]
+    docs_ = spark.createDataFrame(rows, "doc_id string, text string, h string").repartition(3)
+    got = [tuple(r) for r in simhash.representatives(docs_).collect()]
+    assert bag(r[:2] for r in got) == bag([("1", a), ("5", b), ("7", c), ("7", d), (None, "q r s t u"), ("9", "same row twice here")])
+    again = [tuple(r) for r in simhash.representatives(docs_.repartition(2)).collect()]
+    assert bag(got) == bag(again)
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(docs_).collect()}
+    assert found == {("1", "1"), ("5", "1"), ("5", "5"), ("7", "7"), ("8", "7"), (None, "7"), (None, None), ("9", "9")}
+
+
 # ---------------------------------------------------------------- decontamination
 
 
