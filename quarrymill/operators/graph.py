@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.operators.order import positions
 from quarrymill.plans.storage import stored
 
+#: Up to so many edges are joined by one task in memory, without rounds.
+FEW_EDGES = 1000
 #: Up to so many edges a round's minima are joined as they are; beyond it, salted and sorted.
 PLAIN_EDGES = 500_000
 #: Pieces that the rows of one vertex are dealt into when they meet its minimum.
@@ -39,18 +44,51 @@ def _small_star(edges: DataFrame, many: bool) -> DataFrame:
     return pairs.where("u != v").distinct()
 
 
+def _plain(vertex):
+    """A vertex as a comparable value; structs become tuples."""
+    return tuple(map(_plain, vertex.values())) if isinstance(vertex, dict) else vertex
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges of one task by union-find; the least vertex is the root."""
+    root: dict = {}
+    given: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = _plain(u), _plain(v)
+            for key, vertex in ((a, u), (b, v)):
+                given.setdefault(key, vertex)
+                root.setdefault(key, key)
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    if given:
+        yield pa.record_batch([pa.array(list(given.values()), kind), pa.array([given[find(x)] for x in given], kind)], names=["node", "component"])
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every vertex of an edge; component is its least vertex.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): the
     rounds grow with the logarithm of the longest path.  Each round is a table
-    in the shared folder; only its row count and checksum reach the driver.
-    Self-loops yield their vertex; edges with a null end are ignored.
+    in the shared folder; only its row count and checksum reach the driver.  At
+    most FEW_EDGES edges are joined by one task instead.  Self-loops yield their vertex; edges with a null end are ignored.
     """
     raw = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     given = stored(raw.distinct(), "edges")
-    now, before = given.where("u != v"), None
-    many = given.count() > PLAIN_EDGES
+    size = given.count()
+    if size <= FEW_EDGES:
+        kind = given.schema["u"].dataType.simpleString()
+        return given.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}")
+    now, before, many = given.where("u != v"), None, size > PLAIN_EDGES
     while True:
         now = stored(_small_star(_large_star(now, many), many), "stars")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -38,6 +38,7 @@ def test_fold_copies_keeps_null_keys_apart(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_components_are_the_reachable_sets(spark, seed, monkeypatch):
     monkeypatch.setattr(graph, "PLAIN_EDGES", (0, 10**6, 10**6)[seed])
+    monkeypatch.setattr(graph, "FEW_EDGES", (0, 0, 10**6)[seed])
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200 + k, 201 + k) for k in range(12)] + [(300, 300), (None, 4)]
     root = {}
@@ -55,6 +56,14 @@ def test_components_are_the_reachable_sets(spark, seed, monkeypatch):
     assert got == {x: find(x) for x in root}
 
 
+def test_few_edges_of_struct_vertices(spark):
+    kind = "struct<doc:struct<none:boolean,id:string>,fp:long>"
+    v = lambda i, f: ((i is None, i), f)
+    df = spark.createDataFrame([(v(None, 1), v(None, -2)), (v("b", 3), v("a", 9)), (v("é", 4), v("b", 3)), (v("z", 5), v("z", 5))], f"src {kind}, dst {kind}")
+    got = {(r["node"]["doc"]["id"], r["node"]["fp"]): (r["component"]["doc"]["id"], r["component"]["fp"]) for r in graph.connected_components(df).collect()}
+    assert got == {(None, 1): (None, -2), (None, -2): (None, -2), ("b", 3): ("a", 9), ("a", 9): ("a", 9), ("é", 4): ("a", 9), ("z", 5): ("z", 5)}
+
+
 def test_components_of_no_edges(spark):
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
