@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _NOT_WORD = re.compile(rb"[^0-9a-z\x80-\xff]")
@@ -25,6 +26,19 @@ ROWS = 256
 BLOCK = 1 << 20
 
 
+#: Bytes of texts that Spark hands to a Python worker at a time; a longer text comes alone.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bytes of an Arrow batch to BATCH_BYTES, so that a batch of long texts stays small."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().rstrip("b")
+    size = int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def raw_texts(texts: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each text; null stays None."""
     binary = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())

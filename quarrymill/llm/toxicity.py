@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quarrymill.llm.texts import ROWS, give_back, raw_texts, word_blocks, worker_state
+from quarrymill.llm.texts import ROWS, bound_batches, give_back, raw_texts, word_blocks, worker_state
+from quarrymill.plans.storage import stored
 
 #: Width of the feature space in bits; feature 0 is the bias.
 FEATURE_BITS = 20
-#: At most so many labelled rows are learned from: those of least id hash.
-TRAIN_ROWS = 12288
+#: At most so many labelled rows, of at most so many bytes of text together, are learned from: those of least id hash.
+TRAIN_ROWS, TRAIN_BYTES = 12288, 48 << 20
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 #: Odd multipliers of the hash mixes of single words, pairs and skip-grams.
@@ -100,7 +102,12 @@ def score(text: bytes | None, dense: np.ndarray) -> float:
 
 
 def _feature_bytes(texts: pa.Array) -> pa.Array:
-    return pa.array([features(t).astype("<i4").tobytes() for t in raw_texts(texts)], pa.binary())
+    """Compressed steps between a text's features."""
+    return pa.array([zlib.compress(np.diff(features(t), prepend=0).astype("<i4").tobytes(), 1) for t in raw_texts(texts)], pa.binary())
+
+
+def _features_of(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"), dtype=np.int32)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -108,34 +115,36 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> SparseWeights:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> SparseWeights:
     """Weights from at most ``most`` labelled rows outside the held-out fold.
 
-    Rows are taken by the hash of their id; a document with several labels
-    counts as toxic if any says so, and of rows that repeat an id one is taken.
-    Texts become features in parallel; one task, which holds at most ``most``
-    rows of at most 2**FEATURE_BITS features, learns from them in order, and the
-    driver gets the weights.  Without labelled rows all weights are zero.
+    Rows are taken by the hash of their id, while their texts have at most
+    ``most_bytes`` together; a document with several labels counts as toxic if
+    any says so, and of rows that repeat an id the text of least hash is taken.
+    Texts become features in parallel; one task, whose memory the two bounds
+    limit, learns from them in the order of the hash, and the driver gets the
+    weights.  Without labelled rows all weights are zero.
     """
+    bound_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     one = usable.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    chosen = one.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).repartition(8, F.xxhash64(id_col, text_col))
-    rows = texts.select(F.xxhash64(id_col).alias("h"), "_label", F.arrow_udf(_feature_bytes, "binary")(F.col(text_col)).alias("f"))
-    ordered = rows.repartition(1).sortWithinPartitions("h", "f")
+    chosen = F.broadcast(one.orderBy(F.xxhash64(id_col), id_col).limit(most))
+    sized = docs.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_n")).join(chosen, id_col).groupBy(id_col, "_label").agg(F.max("_n").alias("_n"))
+    sums = sized.withColumn("_sum", F.sum("_n").over(W.orderBy(F.xxhash64(id_col), id_col)))
+    within = stored(sums.where(F.col("_sum") <= most_bytes).select(id_col, "_label"), "training-ids")
+    texts = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(within), id_col).groupBy(id_col, "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    rows = texts.select(F.xxhash64(id_col).alias("h"), F.col(id_col).cast("string").alias("i"), "_label", F.arrow_udf(_feature_bytes, "binary")("_text").alias("f"))
+    ordered = rows.repartition(1).sortWithinPartitions("h", "i").select("_label", "f")
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sizes, labels, last = [], [], [], None
+        held, sizes, labels = [], [], []
         for batch in batches:
             for at in range(0, len(batch), ROWS):
-                part = []
-                for h, label, f in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns)):
-                    if h != last:
-                        part.append(f)
-                        sizes.append(len(f) // 4)
-                        labels.append(int(label > 0))
-                    last = h
-                held.append(np.frombuffer(b"".join(part), "<i4"))
+                own, packed = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
+                found = [_features_of(f) for f in packed]
+                sizes += map(len, found)
+                labels += (int(y > 0) for y in own)
+                held.append(np.concatenate(found))
         # one block for all rows' features, so that it goes back to the system as a whole
         joined = np.concatenate(held) if held else np.zeros(0, np.int32)
         held.clear()

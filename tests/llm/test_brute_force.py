@@ -136,6 +136,73 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.without_toxic(odd_docs, labels.where("toxic = 0")).columns == odd_docs.columns
 
 
+def plain_features(text):
+    """Buckets of words, pairs and pairs over one skipped word, by unbounded integers."""
+    m = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
+    h, mask = [zlib.crc32(w) + 1 for w in words(text)], (1 << 64) - 1
+    mixed = [x * m[0] & mask for x in h] + [(a * m[1] ^ b * m[2]) & mask for a, b in zip(h, h[1:])] + [(a * m[2] ^ b * m[3]) & mask for a, b in zip(h, h[2:])]
+    return sorted({0, *(((x ^ x >> 29) * m[0] & mask) >> 44 for x in mixed)})
+
+
+def plain_ftrl(rows, epochs, alpha=2.0, beta=1.0, l1=4.0):
+    """FTRL-proximal with a dictionary of coordinates: the non-zero weights."""
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) * alpha / (beta + math.sqrt(n[k]))
+    for _ in range(epochs):
+        for own, y in rows:
+            w = {k: weight(k) for k in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for k in own:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in z if weight(k)}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(st.sampled_from("ab C1é-\n."), max_size=60))
+def test_features_equal_the_plain_ones(text):
+    assert toxicity.features(text.encode()).tolist() == plain_features(text)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 12), min_size=1, max_size=6), st.integers(0, 1)), min_size=1, max_size=40))
+def test_ftrl_equals_the_plain_one(rows):
+    got = toxicity.fit([(np.array(sorted(own), np.int32), y) for own, y in rows])
+    want = plain_ftrl([(sorted(own), y) for own, y in rows], toxicity.EPOCHS)
+    assert dict(zip(got.index.tolist(), got.value.tolist())) == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
+def test_toxicity_scores_equal_the_plain_ones(spark):
+    """op3's operator number by number: the choice of rows, the order of learning, the weights and the scores."""
+    rng = np.random.default_rng(8)
+    vocabulary, rows = [f"w{k}" for k in range(30)], []
+    for i in range(240):
+        rows.append((i, " ".join(rng.choice(vocabulary, 12)) + (" nasty horrid" if i % 3 == 0 else "")))
+    rows += [(3, "aa the second text of an id"), (500, None), (501, "")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(230)] + [(4, 1), (500, 0), (501, 0)], "doc_id long, toxic int")
+    order = {r["doc_id"]: (r["h"], r["doc_id"]) for r in docs_.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    text_hash = {(r["doc_id"], r["text"]): r["h"] for r in docs_.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    known = {i: max(int(i % 3 == 0), int(i == 4)) for i in range(230)} | {500: 0, 501: 0}
+    for most, most_bytes in ((12288, 1 << 20), (100, 1 << 20), (12288, 3000)):
+        use, total = [], 0
+        for i in sorted((i for i in known if zlib.crc32(str(i).encode()) % 5), key=order.get)[:most]:
+            own = [t for j, t in rows if j == i]
+            total += max(len((t or "").encode()) for t in own)
+            if total <= most_bytes:
+                use.append((plain_features(min(own, key=lambda t: text_hash[(i, t)])), known[i]))
+        want = plain_ftrl(use, toxicity.EPOCHS)
+        got = toxicity.train(docs_, labels, most=most, most_bytes=most_bytes)
+        assert dict(zip(got.index.tolist(), got.value.tolist())) == pytest.approx(want, rel=1e-4, abs=1e-4)
+    want = {}
+    model = toxicity.train(docs_, labels)
+    weights = dict(zip(model.index.tolist(), model.value.tolist()))
+    for i, t in rows:
+        want[(i, t)] = 1 / (1 + math.exp(-sum(weights.get(k, 0.0) for k in plain_features(t))))
+    got = toxicity.toxicity_scores(docs_, labels).collect()
+    assert bag((r["doc_id"], round(r["score"], 5)) for r in got) == bag((i, round(w, 5)) for (i, _), w in want.items())
+
+
 def test_features_don_t_depend_on_blocks(monkeypatch):
     text = b"a bad word " * 50 + "été b".encode()
     whole = toxicity.features(text)
