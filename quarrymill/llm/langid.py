@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrymill.llm.texts import ROWS, worker_state
+from quarrymill.llm.texts import ROWS, bound_batches, worker_state
 
 #: n-grams of 1 to ORDER characters, hashed to 2**BUCKET_BITS buckets.
 ORDER, BUCKET_BITS = 3, 16
@@ -128,13 +128,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> Model:
     """Counts n-grams of at most ``most`` labelled rows outside the held-out fold.
 
-    Rows are taken by the hash of their id.  Eight tasks count in parallel; the
-    driver adds one sparse vector of bucket counts per task and language.
+    Rows are taken by the hash of their id; of rows that repeat an id the one of
+    least hash of language and text is taken.  Tasks count in parallel, their
+    sparse vectors are added in Spark, and the driver gets one per language.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    ids = usable.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
-    chosen = usable.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids), id_col)
-    rows = chosen.select("lang", "text", F.xxhash64(id_col, "text").alias("h")).repartition(8, "h").select("lang", "text")
+    bound_batches(docs.sparkSession)
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    ids = usable.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
+    one = usable.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min_by(F.struct("lang", "text"), F.struct(F.xxhash64("lang", "text"), "lang")).alias("r"))
+    rows = one.select("r.*")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -152,11 +154,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = np.flatnonzero(vector)
             yield pa.record_batch([pa.array([lang]), pa.array([seen[lang]], pa.int64()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([vector[at].astype("<i8").tobytes()], pa.binary())], names=["lang", "n", "at", "counts"])
 
+    def added(parts: pa.Table) -> pa.Table:
+        into = np.zeros(1 << BUCKET_BITS, np.int64)
+        for at, counts in zip(parts["at"].to_pylist(), parts["counts"].to_pylist()):
+            into[np.frombuffer(at, "<i4")] += np.frombuffer(counts, "<i8")
+        at = np.flatnonzero(into)
+        return pa.table({"lang": parts["lang"].slice(0, 1), "n": pa.array([sum(parts["n"].to_pylist())], pa.int64()), "at": pa.array([at.astype("<i4").tobytes()], pa.binary()), "counts": pa.array([into[at].astype("<i8").tobytes()], pa.binary())})
+
     total: dict[str, np.ndarray] = {}
     docs_of: dict[str, int] = {}
-    for r in rows.mapInArrow(counted, "lang string, n long, at binary, counts binary").collect():
-        total.setdefault(r["lang"], np.zeros(1 << BUCKET_BITS))[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["counts"], "<i8")
-        docs_of[r["lang"]] = docs_of.get(r["lang"], 0) + r["n"]
+    kind = "lang string, n long, at binary, counts binary"
+    for r in rows.mapInArrow(counted, kind).groupBy("lang").applyInArrow(added, kind).collect():
+        total[r["lang"]] = np.zeros(1 << BUCKET_BITS)
+        total[r["lang"]][np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["counts"], "<i8")
+        docs_of[r["lang"]] = r["n"]
     languages = sorted(total)
     if not languages:
         return Model([], np.zeros(0), np.zeros((1 << BUCKET_BITS, 0), np.float32))
@@ -167,6 +178,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predictor(docs: DataFrame, model: Model):
     """Column function text -> struct(lang_pred, score) with the matrix broadcast."""
+    bound_batches(docs.sparkSession)
     shipped, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predictions(texts: pa.Array) -> pa.Array:
@@ -211,13 +223,20 @@ def lettered(texts: pa.Array) -> pa.Array:
     return pa.array([any(map(str.isalpha, t or "")) for part in parts for t in part], pa.bool_())
 
 
-def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a letter, with all their columns; null and letterless texts are rejected.
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: Collection[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` in a wanted language, with all their columns.
 
-    These are the rows with a predicted language; if nothing can be learned, no
-    language is known, and the letters alone decide.
+    Rejected are null and letterless texts, texts whose predicted language isn't
+    among ``languages`` (None: all that were learned) and those whose posterior
+    is under ``least``.  If nothing can be learned, no language is known, and
+    the letters alone decide.  Repeated rows and null ids are judged as others.
     """
     model = train(docs, id_col, text_col, lang_col)
     if not model.languages:
         return docs.where(F.arrow_udf(lettered, "boolean")(F.col(text_col)))
-    return docs.where(predictor(docs, model)(F.col(text_col))["lang_pred"] != UNKNOWN)
+    found = predictor(docs, model)(F.col(text_col))
+    judged = docs.withColumn("__found", found)
+    keep = (F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") >= least)
+    if languages is not None:
+        keep &= F.col("__found.lang_pred").isin(list(languages))
+    return judged.where(keep).drop("__found")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarrymill.llm.texts import WORD, raw_texts, word_blocks, worker_state
+from quarrymill.llm.texts import WORD, bound_batches, raw_texts, word_blocks, worker_state
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -210,4 +210,5 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no words, places or spans.  Ids may be null or
     repeated; each row is judged alone.  Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.arrow_udf(licence_scan, _DDL)(F.col(text_col)).alias("_scan")).select(id_col, "_scan.*")

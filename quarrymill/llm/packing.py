@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.llm.pretokens import encoder, vocabulary
-from quarrymill.llm.texts import ROWS
+from quarrymill.llm.texts import ROWS, bound_batches
 
 WINDOW = 4096
 END = 2
 #: Tokens that a task packs together; what it holds in memory is bounded by this and one document.
 BLOCK_TOKENS = 2_000_000
-#: An open window with more padding than this is cut into power-of-two sequences, which need none.
+#: A window with more padding than this waits for the next block; at the end it is cut into
+#: power-of-two sequences, which need none.
 SLACK = 16
 
 
@@ -67,21 +69,48 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> list[list[i
     return windows
 
 
-def _sequences(pieces: list[tuple], window: int) -> Iterator[list[tuple]]:
-    """Lists of (document, start, length, offset) that fill a window, or a power of two, or nearly a window."""
-    for items in best_fit_decreasing([p[2] for p in pieces], window):
-        fill = sum(pieces[k][2] for k in items)
-        sizes = [fill] if window - fill <= SLACK else [1 << b for b in range(fill.bit_length() - 1, -1, -1) if fill >> b & 1]
-        rest, out, offset = sizes.pop(0), [], 0
-        for k in items:
-            doc, start, length = pieces[k]
-            while length:
-                take = min(length, rest)
-                out.append((doc, start, take, offset))
-                start, length, rest, offset = start + take, length - take, rest - take, offset + take
-                if not rest:
-                    yield out
-                    rest, out, offset = sizes.pop(0) if sizes else 0, [], 0
+@dataclass
+class _Piece:
+    """A run of a document's ids: the ids, the document's number of them, and how many stand before."""
+
+    doc: object
+    ids: bytes
+    total: int
+    start: int
+
+    @property
+    def length(self) -> int:
+        return len(self.ids) // 4
+
+
+def _sequences(pieces: list[_Piece], window: int, last: bool) -> tuple[list[list[tuple[_Piece, int]]], list[_Piece]]:
+    """(sequences, pieces left over): each sequence lists (piece, offset).
+
+    Sequences nearly fill a window.  The pieces of other windows are left over,
+    or, at the end, cut into sequences of powers of two.
+    """
+    out, rest = [], []
+    for items in best_fit_decreasing([p.length for p in pieces], window):
+        own = [pieces[k] for k in items]
+        fill = sum(p.length for p in own)
+        if window - fill <= SLACK:
+            sizes = [fill]
+        elif last:
+            sizes = [1 << b for b in range(fill.bit_length() - 1, -1, -1) if fill >> b & 1]
+        else:
+            rest += own
+            continue
+        room, sequence, offset = sizes.pop(0), [], 0
+        for p in own:
+            at, length = 0, p.length
+            while at < length:
+                take = min(length - at, room)
+                sequence.append((_Piece(p.doc, p.ids[4 * at : 4 * (at + take)], p.total, p.start + at), offset))
+                at, room, offset = at + take, room - take, offset + take
+                if not room:
+                    out.append(sequence)
+                    room, sequence, offset = sizes.pop(0) if sizes else 0, [], 0
+    return out, rest
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "word_bpe_49k.json", window: int = WINDOW, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -90,12 +119,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A document is its token ids and the end id.  What fills whole windows is cut
     off first and stands alone; the rests are packed by best-fit decreasing in
     blocks of about ``block_tokens`` tokens, each in the task that read them, so
-    nothing is shuffled.  ``ids`` holds a piece's ids as little-endian unsigned
+    nothing is shuffled.  What doesn't fill its window goes on to the next block,
+    if that is no more than half a block.  ``ids`` holds a piece's ids as little-endian unsigned
     32-bit integers.  A sequence has at most ``window`` tokens; it is a power of
     two, or at most SLACK short of the window.  Null and empty texts are the end
     id alone.  Ids may be null or repeated: each row is a document of its own.
     Sequence ids are unique in the result.  Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     path = vocabulary(name)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["id"]
@@ -105,21 +136,25 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         encode, id_type = encoder(path).encode, None
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
-        held: list[tuple] = []  # (id, ids, doc_tokens)
-        pieces: list[tuple] = []  # (number in held, start, length)
+        pieces: list[_Piece] = []
         rows: list[tuple] = []
         tokens = 0
 
+        def place(p: _Piece, offset: int) -> None:
+            rows.append((p.doc, p.start, p.length, p.ids, p.total, sequence, offset))
+
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal tokens, sequence
-            if last or tokens >= block_tokens:
-                for placed in _sequences(pieces, window):
-                    rows.extend((held[d][0], s, n, held[d][1][4 * s : 4 * (s + n)], held[d][2], sequence, o) for d, s, n, o in placed)
-                    sequence += 1
-                held.clear()
-                pieces.clear()
-                tokens = 0
-            if rows and (last or not held):
+            nonlocal pieces, tokens, sequence
+            done, rest = _sequences(pieces, window, last)
+            if sum(p.length for p in rest) > block_tokens // 2:
+                more, rest = _sequences(rest, window, True)
+                done += more
+            for placed in done:
+                for p, offset in placed:
+                    place(p, offset)
+                sequence += 1
+            pieces, tokens = rest, sum(p.length for p in rest)
+            if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
                 rows.clear()
 
@@ -132,13 +167,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     total = len(ids) // 4
                     full = total - total % window
                     for start in range(0, full, window):
-                        rows.append((doc, start, window, ids[4 * start : 4 * (start + window)], total, sequence, 0))
+                        place(_Piece(doc, ids[4 * start : 4 * (start + window)], total, start), 0)
                         sequence += 1
                     if full < total:
-                        pieces.append((len(held), full, total - full))
-                    held.append((doc, ids, total))
+                        pieces.append(_Piece(doc, ids[4 * full :], total, full))
                     tokens += total
-                    yield from flush(False)
+                    if tokens >= block_tokens:
+                        yield from flush(False)
         if id_type is not None:
             yield from flush(True)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.llm.pretokens import encoder, vocabulary
-from quarrymill.llm.texts import ROWS
+from quarrymill.llm.texts import ROWS, bound_batches
 from quarrymill.plans.storage import new_path, stored
 
 END = 0
@@ -84,6 +84,7 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     no damage.  Null texts are the end id alone.  Null ids come first; rows that
     repeat an id are ordered by a hash of their text.
     """
+    bound_batches(docs.sparkSession)
     path = vocabulary(name)
     # equal rows are told apart by where they were read, so even those of one id and text are dealt over several parts
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("m"))

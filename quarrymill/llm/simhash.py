@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarrymill.llm.texts import raw_texts, space_blocks
+from quarrymill.llm.texts import bound_batches, raw_texts, space_blocks
 from quarrymill.operators.graph import connected_components
 from quarrymill.plans.storage import stored
 
@@ -162,6 +162,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     component's least vertex, and ``first`` holds the least (id, h) of the rows
     that share the fingerprint; null ids come last.
     """
+    bound_batches(docs.sparkSession)
     own = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.arrow_udf(simhash, "long")(F.col(text_col)).alias("fp")), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
     folded = own.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.llm.pretokens import PretokenCounter, encoder, vocabulary
-from quarrymill.llm.texts import ROWS, worker_state
+from quarrymill.llm.texts import ROWS, bound_batches, worker_state
 from quarrymill.plans.storage import stored
 
 #: Pre-tokens in a task's summary of its frequent ones, and in the table that is broadcast.
@@ -86,6 +86,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     remembered in a bounded memo.  No pre-token is shuffled.  Null and empty texts count 0; ids may
     be null or repeated; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     path = vocabulary(name)
     lengths = frequent_lengths(docs, text_col, path)
     shipped = docs.sparkSession.sparkContext.broadcast(("\x00".join(lengths), bytes(min(n, 255) for n in lengths.values())))
