@@ -182,6 +182,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, with all their columns."""
-    of = scorer(docs, train(docs, labels, id_col, text_col))
-    return docs.where(of(F.col(text_col)) < 0.5)
+    """The rows of ``docs`` that score under 0.5, with all their columns; all rows if nothing is learned."""
+    weights = train(docs, labels, id_col, text_col)
+    if not len(weights.index):
+        return docs
+    return docs.where(scorer(docs, weights)(F.col(text_col)) < 0.5)
