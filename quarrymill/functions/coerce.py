@@ -55,9 +55,14 @@ def capture_seconds(exif: Column, json: Column, fs: Column) -> Column:
 
 
 def chosen_time(json: Column, fs: Column) -> tuple[Column, Column]:
-    """Seconds from the sidecar, else from the file, and which of them they are."""
-    a, b = number(json), number(fs)
-    return F.coalesce(a, b), F.when(a.isNotNull(), "json").when(b.isNotNull(), "fs").otherwise("none")
+    """Positive seconds from the sidecar, else from the file, and which of them they are."""
+    a, b = positive(json), positive(fs)
+    return F.coalesce(a, b), F.when(a.isNotNull(), "json").when(b.isNotNull(), "fs").otherwise("missing")
+
+
+def first_time(json: Column, fs: Column) -> Column:
+    """Seconds from the sidecar, else from the file, whatever their sign."""
+    return F.coalesce(number(json), number(fs))
 
 
 def json_datetime(json: Column) -> Column:

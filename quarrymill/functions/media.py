@@ -59,6 +59,75 @@ def crop(image: np.ndarray, view: str) -> np.ndarray:
     return image[int(y0 * h) : max(int(y1 * h), int(y0 * h) + 1), int(x0 * w) : max(int(x1 * w), int(x0 * w) + 1)]
 
 
+#: Fixed value: the longest side of an image that faces and lines are looked for in.
+ANALYSIS_SIDE = 960
+
+
+def analysis_size(height: int, width: int, most: int = ANALYSIS_SIDE) -> tuple[int, int]:
+    """Rows and columns of an image scaled down to the analysis size; small images stay."""
+    scale = min(1.0, most / max(height, width, 1))
+    return max(1, int(height * scale)), max(1, int(width * scale))
+
+
+def for_analysis(image: np.ndarray, most: int = ANALYSIS_SIDE) -> np.ndarray:
+    """An image by area averages in the analysis size."""
+    rows, columns = analysis_size(*image.shape, most)
+    return image if (rows, columns) == image.shape else shrink(image, rows, columns)
+
+
+#: Votes that make a line, and steps of its angle and distance.
+LINE_VOTES, ANGLES = 150, 180
+#: Gradients from which a pixel is an edge: surely, and next to a sure one.
+EDGE_HIGH, EDGE_LOW = 150.0, 50.0
+
+
+def edges(image: np.ndarray) -> np.ndarray:
+    """Edge pixels: ridges of the Sobel gradient over EDGE_LOW that join one over EDGE_HIGH."""
+    p = np.pad(np.asarray(image, np.float64), 1, mode="edge")
+    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+    size = np.abs(gx) + np.abs(gy)
+    q = np.pad(size, 1)
+    turn = np.round(np.arctan2(gy, gx) * 4 / np.pi).astype(int) % 4  # across, falling, down, rising
+    n, m = size.shape
+    steps = [(0, 1), (1, 1), (1, 0), (1, -1)]
+    ridge = np.zeros(size.shape, bool)
+    for k, (dy, dx) in enumerate(steps):
+        before, after = q[1 - dy : 1 - dy + n, 1 - dx : 1 - dx + m], q[1 + dy : 1 + dy + n, 1 + dx : 1 + dx + m]
+        ridge |= (turn == k) & (size > before) & (size >= after)
+    weak, sure = ridge & (size > EDGE_LOW), ridge & (size > EDGE_HIGH)
+    while True:
+        q = np.pad(sure, 1)
+        grown = weak & np.logical_or.reduce([q[1 + dy : 1 + dy + n, 1 + dx : 1 + dx + m] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+        if (grown == sure).all():
+            return sure
+        sure = grown
+
+
+def line_angles(image: np.ndarray, votes: int = LINE_VOTES) -> list[float]:
+    """Angles (radians) of the normals of straight lines: cells of the Hough space over ``votes`` that top their neighbours."""
+    y, x = np.nonzero(edges(image))
+    theta = np.arange(ANGLES) * np.pi / ANGLES
+    reach = sum(image.shape)
+    space = np.zeros((ANGLES, 2 * reach + 1), np.int64)
+    for k, t in enumerate(theta):
+        space[k] = np.bincount(np.round(x * np.cos(t) + y * np.sin(t)).astype(int) + reach, minlength=2 * reach + 1)
+    q = np.pad(space, 1)
+    top = (space > votes) & (space > q[:-2, 1:-1]) & (space >= q[2:, 1:-1]) & (space > q[1:-1, :-2]) & (space >= q[1:-1, 2:])
+    return [float(theta[k]) for k in np.nonzero(top)[0]]
+
+
+def image_lines(images: pa.Array) -> pa.Array:
+    """Line angles of structs of Spark's image source, in the analysis size; null where an image is broken."""
+    out = []
+    for im in images.to_pylist():
+        try:
+            out.append(line_angles(for_analysis(grey(im["data"], im["height"], im["width"], im["nChannels"]))))
+        except (TypeError, ValueError):
+            out.append(None)
+    return pa.array(out, pa.list_(pa.float64()))
+
+
 def image_features(images: pa.Array) -> pa.Array:
     """(phash, sharpness) of structs of Spark's image source; null where an image is broken."""
     out = []
@@ -180,7 +249,7 @@ def probe_metrics(document: Column) -> dict[str, Column]:
 
 
 def composition(faces: Column) -> Column:
-    """Score of the largest face (x, y, w, h as shares of the frame, with tilt); 0 without faces."""
+    """Score of the largest face (x, y, w, h as shares of the frame, with the image's tilt score); 0 without faces."""
     largest = F.get(F.array_sort(faces, lambda a, b: F.when(a["w"] * a["h"] > b["w"] * b["h"], -1).when(a["w"] * a["h"] < b["w"] * b["h"], 1).otherwise(0)), F.lit(0))
     cx, cy, area = largest["x"] + largest["w"] / 2, largest["y"] + largest["h"] / 2, largest["w"] * largest["h"]
     edge = scores.edge_penalty(largest["x"], largest["y"], largest["w"], largest["h"])

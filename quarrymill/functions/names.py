@@ -67,10 +67,17 @@ def aspect(width: Column, height: Column) -> Column:
     return F.try_divide(width.cast("double"), F.nullif(height.cast("double"), F.lit(0.0)))
 
 
-def content_type(is_png: Column, aspect_hw: Column, face: Column) -> Column:
-    """Ordered rules over format, height/width and face coverage (null: none)."""
-    f = F.coalesce(face, F.lit(0.0))
-    return F.when((is_png | (aspect_hw >= 1.8)) & (f < 0.005), "document").when(f >= 0.03, "people").when(is_png & (f < 0.01), "document").otherwise("landscape")
+#: What names of screen shots contain.
+SCREEN_NAMES = ("screenshot", "screen", "img_")
+
+
+def content_type(path: Column, width: Column, height: Column, face: Column) -> Column:
+    """Ordered rules over suffix, shape, face coverage (null: none) and name; null without a known size."""
+    f, png = F.coalesce(face, F.lit(0.0)), suffix(path) == "png"
+    tall = (width > 0) & (height > 0) & (F.try_divide(height.cast("double"), width.cast("double")) >= 1.8)
+    shot = F.lower(file_name(path)).rlike("|".join(SCREEN_NAMES))
+    kind = F.when((png | F.coalesce(tall, F.lit(False))) & (f < 0.005), "document").when(f >= 0.03, "people").when(shot & png & (f < 0.01), "document").otherwise("landscape")
+    return F.when(width.isNotNull() & height.isNotNull(), kind)
 
 
 def target_path(root: str, album_path: Column, name: Column) -> Column:
@@ -89,8 +96,43 @@ def content_label(x: Column) -> Column:
     return F.try_element_at(known, F.lower(F.trim(x)))
 
 
+def content_labels(x: Column) -> Column:
+    """The canonical names in a comma-joined list of labels, in its order; unknown ones go."""
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), content_label), lambda t: t.isNotNull())
+
+
+#: What a client shows for a canonical label.
+SHOWN_LABELS = {"people": "People", "landscapes": "Landscapes", "documents": "Documents", "video": "Video"}
+
+
+def shown_labels(x: Column, words: dict[str, str] = SHOWN_LABELS) -> Column:
+    """The display text of a comma-joined list of labels; ``words`` translates them."""
+    known = F.create_map(*[F.lit(v) for pair in words.items() for v in pair])
+    return F.array_join(F.transform(content_labels(x), lambda t: F.try_element_at(known, t)), ", ")
+
+
+#: Formats of metrics with a unit.
+FORMATS = {"duration_sec_final": "%.2f s", "fps_final": "%.2f fps", "bitrate_kbps_final": "%.1f kbps", "live_photo_penalty": "%.2f"}
+
+
 def metric_text(name: str, x: Column) -> Column:
-    """A metric's display text: bytes with a unit, else at most three decimals."""
+    """A metric's display text: with its unit, labels and yes or no in words, else as it is; null for null."""
+    value = x.cast("double")
     if name == "file_size":
-        return F.when(x >= 1 << 20, F.format_string("%.1f MB", x / float(1 << 20))).when(x >= 1 << 10, F.format_string("%.1f KB", x / 1024.0)).otherwise(F.format_string("%d B", x.cast("long")))
-    return F.format_string("%.3f", x.cast("double"))
+        text = F.when(value < 1 << 10, F.format_string("%d B", value.cast("long"))).when(value < 1 << 20, F.format_string("%.1f KB", value / 1024.0)).otherwise(F.format_string("%.2f MB", value / float(1 << 20)))
+    elif name == "pixels":
+        text = F.concat(F.format_number(value.cast("long"), 0), F.lit(" px"))
+    elif name in FORMATS:
+        text = F.format_string(FORMATS[name], value)
+    elif name in ("content_type_file", "content_type_group", "content_type_scene"):
+        text = shown_labels(x)
+    elif name in ("audio_present_final", "has_live_photo_pair"):
+        text = F.when(x.cast("boolean"), "Yes").otherwise("No")
+    else:
+        text = x.cast("string")
+    return F.when(x.isNotNull(), text)
+
+
+def size_text(width: Column, height: Column) -> Column:
+    """Width and height as one metric; null if either is."""
+    return F.when(width.isNotNull() & height.isNotNull(), F.format_string("%d × %d px", width.cast("long"), height.cast("long")))

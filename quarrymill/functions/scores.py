@@ -9,17 +9,28 @@ from pyspark.sql import Column, functions as F
 #: The weights of the scores.
 PHOTO_SUBJECT = {"subject_n": 0.34, "composition_score": 0.24, "aesthetic_n": 0.24, "sharpness_n": 0.14, "pixels_n": 0.04}
 PHOTO_FACE = {"gaze_camera_score": 0.22, "eyes_score": 0.14, "yaw_score": 0.08, "symmetry_score": 0.08, "smile_n": 0.10, "composition_score": 0.14, "aesthetic_n": 0.14, "sharpness_n": 0.06, "faces_n": 0.03, "pixels_n": 0.01}
-VIDEO = {"pixels_norm": 0.35, "bitrate_norm": 0.25, "fps_norm": 0.12, "duration_norm": 0.08, "audio": 0.10, "sidecar": 0.05, "ok": 0.05}
+VIDEO = {"pixels_norm": 0.35, "bitrate_norm": 0.25, "fps_norm": 0.12, "duration_norm": 0.08, "audio_present_final": 0.10, "sidecar_norm": 0.05, "ok": 0.05}
 LIVE_PENALTY = {"strong": 0.20, "probable": 0.10}
 
 
+def photo_shares() -> dict[str, Column]:
+    """The photo terms that are shares of their group's maximum."""
+    return {"sharpness_n": F.col("sharpness"), "pixels_n": F.col("pixels")}
+
+
+def photo_ranges() -> dict[str, Column]:
+    """The photo terms that are stretched over their group's range, in subject mode."""
+    return {"aesthetic_n": F.col("aesthetic_score"), "subject_n": F.col("subject_score")}
+
+
 def weighted(weights: dict[str, float]) -> Column:
     """Sum of weight * column; null columns count 0."""
     return reduce(lambda a, b: a + b, [F.lit(w) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, w in weights.items()])
 
 
 def live_penalty(status: Column) -> Column:
-    return F.when(status == "strong", LIVE_PENALTY["strong"]).when(status == "probable", LIVE_PENALTY["probable"]).otherwise(0.0)
+    kind = F.lower(F.trim(status))
+    return F.when(kind == "strong", LIVE_PENALTY["strong"]).when(kind == "probable", LIVE_PENALTY["probable"]).otherwise(0.0)
 
 
 def video_score(penalty: Column) -> Column:
@@ -40,8 +51,8 @@ def face_coverage(r: Column) -> Column:
 
 
 def edge_penalty(x: Column, y: Column, w: Column, h: Column, margin: float = 0.05) -> Column:
-    """1 if a box of the unit frame touches its margin, else 0."""
-    touches = (x <= margin) | (y <= margin) | (x + w >= 1 - margin) | (y + h >= 1 - margin)
+    """1 if a box of the unit frame reaches into its margin, else 0."""
+    touches = (x < margin) | (y < margin) | (x + w > 1 - margin) | (y + h > 1 - margin)
     return F.when(touches, 1.0).otherwise(0.0)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quarrymill.operators.facts import join_facts
-
 #: Columns of the canonical order beside size and path, best first.
 RANK = ("has_sidecar", "sidecar_count", "has_json_time", "has_exif_time")
+#: Fixed value: what the report says of a copy.
+ABSORBED = "absorbed_into_canonical"
 
 
 def _key(path: str) -> Column:
@@ -15,28 +15,47 @@ def _key(path: str) -> Column:
     return F.struct(*[(-F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(c) for c in (*RANK, "file_size")], F.col(path).alias("path"))
 
 
+def _keyed(assets: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Rows with ``_key``: the content's hash, or their own id where that is null."""
+    return assets.withColumn("_key", F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col(id_col).cast("string"))))
+
+
+def united_sidecars(keyed: DataFrame, path: str) -> DataFrame:
+    """(_key, sidecars): the different trimmed sidecar paths of each key in the order of their first file.
+
+    Sidecars are folded as rows first, so what is gathered per key is only its
+    different paths, however many copies there are.
+    """
+    each = keyed.select("_key", F.col(path).alias("_path"), F.posexplode("sidecars").alias("_at", "_side")).withColumn("_side", F.trim("_side")).where("_side <> ''")
+    first = each.groupBy("_key", "_side").agg(F.min(F.struct("_path", "_at")).alias("_o"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_side").alias("s"))))
+    return first.groupBy("_key").agg(F.transform(ordered, lambda x: x["s"]).alias("sidecars"))
+
+
 def fold_copies(assets: DataFrame, key: str = "sha256", id_col: str = "asset_id", path: str = "path") -> DataFrame:
     """One row per different ``key``; rows with a null key are never copies and stand alone.
 
-    (key, id, copies, has_sidecar, sidecars, content_type, json_datetime,
-    exif_datetime): the survivor of the canonical order; sidecars united in order
-    of path; the most frequent content type, of equals the first seen; the first
-    non-empty times.  All folding is partial aggregation, so a value that most
-    rows share isn't gathered in one task.
+    (key, id, copies, has_sidecar, sidecar_count, sidecars, json_path,
+    content_type, json_datetime, exif_datetime): the survivor of the canonical
+    order; sidecars united in order of path, counted after that; the first
+    non-empty json_path, else the first sidecar; the most frequent content type,
+    of equals the first seen; the first non-empty times.  All folding is partial
+    aggregation, so a value that most rows share isn't gathered in one task.
     """
-    own = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col(id_col).cast("string")))
-    keyed = assets.withColumn("_key", own)
+    keyed = _keyed(assets, key, id_col)
     first = lambda c: F.min(F.when(F.trim(c) != "", F.struct(F.col(path).alias("o"), F.col(c).alias("v"))))["v"]
-    sides = F.collect_list(F.when(F.size("sidecars") > 0, F.struct(F.col(path).alias("o"), F.col("sidecars").alias("v"))))
+    given = [c for c in ("json_datetime", "exif_datetime", "json_path") if c in assets.columns]
     best = keyed.groupBy("_key").agg(
         F.min_by(F.struct(F.col(key).alias("key"), F.col(id_col).alias("id")), _key(path)).alias("s"),
-        F.count(F.lit(1)).alias("copies"), F.max("has_sidecar").alias("has_sidecar"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(sides), lambda x: x["v"]))).alias("sidecars"),
-        first("json_datetime").alias("json_datetime"), first("exif_datetime").alias("exif_datetime"),
+        F.count(F.lit(1)).alias("copies"), *[first(c).alias(c) for c in given],
+    )
+    joined = best.join(united_sidecars(keyed, path), "_key", "left").join(first_mode(keyed, "_key", "content_type", path), "_key", "left")
+    sides = F.coalesce("sidecars", F.array().cast("array<string>"))
+    known = lambda c: F.col(c) if c in given else F.lit(None).cast("string")
+    return joined.select(
+        F.col("s.key").alias(key), F.col("s.id").alias(id_col), "copies", (F.size(sides) > 0).alias("has_sidecar"), F.size(sides).alias("sidecar_count"), sides.alias("sidecars"),
+        F.coalesce(known("json_path"), F.get(sides, F.lit(0)), F.lit("")).alias("json_path"), F.coalesce("content_type", F.lit("")).alias("content_type"), known("json_datetime").alias("json_datetime"), known("exif_datetime").alias("exif_datetime"),
     )
-    kinds = first_mode(keyed, "_key", "content_type", path)
-    joined = best.join(kinds, "_key", "left")
-    return joined.select(F.col("s.key").alias(key), F.col("s.id").alias(id_col), "copies", "has_sidecar", "sidecars", F.coalesce("content_type", F.lit("")).alias("content_type"), "json_datetime", "exif_datetime")
 
 
 def first_mode(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
@@ -46,12 +65,21 @@ def first_mode(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
 
 
 def absorbed_pairs(assets: DataFrame, key: str = "sha256", id_col: str = "asset_id", path: str = "path") -> DataFrame:
-    """(canonical, absorbed) rows: every copy but the survivor, with what both have of sidecars."""
-    known = assets.where(F.col(key).isNotNull())
-    best = known.groupBy(key).agg(F.min_by(F.struct(F.col(id_col).alias("id"), "has_sidecar", "sidecar_count"), _key(path)).alias("c"), F.count(F.lit(1)).alias("n"))
-    pairs = join_facts(known, best.where("n > 1"), key, "n").where(F.col(id_col) != F.col("c.id"))
-    action = F.when(F.col("has_sidecar") & ~F.col("c.has_sidecar"), "absorb_with_sidecar").otherwise("absorb")
-    return pairs.select(F.col("c.id").alias("canonical_asset_id"), F.col(id_col).alias("absorbed_asset_id"), key, F.col("c.sidecar_count").alias("canonical_sidecar_count"), F.col("sidecar_count").alias("absorbed_sidecar_count"), F.col("c.has_sidecar").alias("canonical_has_sidecar"), F.col("has_sidecar").alias("absorbed_has_sidecar"), action.alias("dedupe_action"))
+    """(canonical, absorbed) rows: every copy but the survivor, with both files and what both have of sidecars.
+
+    The canonical's sidecars are those after the union; the copy's are its own.
+    The folded groups are joined back; a hash with very many copies is split by
+    the join's skew handling, as one folded row meets them.
+    """
+    known = _keyed(assets.where(F.col(key).isNotNull()), key, id_col)
+    best = known.groupBy("_key").agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col(path).alias("path")), _key(path)).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sides = best.join(united_sidecars(known, path), "_key", "left").select("_key", "c", F.coalesce(F.size("sidecars"), F.lit(0)).alias("_sides"))
+    count = F.when(F.col("_sides") > 0, F.col("_sides")).otherwise(0)
+    pairs = known.join(sides, "_key").where(F.col(id_col) != F.col("c.id"))
+    return pairs.select(
+        F.col("c.id").alias("canonical_asset_id"), F.col(id_col).alias("absorbed_asset_id"), key, F.col("c.path").alias("canonical_file_path"), F.col(path).alias("absorbed_file_path"), count.alias("canonical_sidecar_count"),
+        F.col("sidecar_count").alias("absorbed_sidecar_count"), (count > 0).alias("canonical_has_sidecar"), F.col("has_sidecar").alias("absorbed_has_sidecar"), F.lit(ABSORBED).alias("dedupe_action"),
+    )
 
 
 def first_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -1,27 +1,38 @@
-"""Joining rows with folded facts about their key."""
+"""Rows with aggregates over the rows of their key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quarrymill.plans.storage import stored
+#: A key with at least 1/HEAVY of all rows, and more than LEAST, is heavy; there are at most HEAVY such keys.
+HEAVY, LEAST = 1000, 10_000
 
-#: A key with at least 1/HEAVY of all rows is dealt over SALTS pieces; there are at most HEAVY such keys.
-HEAVY, SALTS = 1000, 16
 
+def heavy_keys(df: DataFrame, key: str) -> list:
+    """The keys that would make a window's partition large."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    if not most or most <= LEAST or most * HEAVY < total:
+        return []
+    return [r[0] for r in counts.where((F.col("_n") * HEAVY >= total) & (F.col("_n") > LEAST)).select(key).collect()]
 
-def join_facts(df: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
-    """Rows with their key's facts (one row per key, ``count`` its rows); ``count`` is dropped.
 
-    Keys that hold many rows are found by their counts, their facts copied and
-    their rows dealt by a hash of the row, so no task gets them all.
+def with_facts(df: DataFrame, key: str, facts: dict[str, Column]) -> DataFrame:
+    """``df`` with the aggregates ``facts`` of each row's key, in one shuffle.
+
+    Rows of a null key stay, with null facts.  Light keys are windows.  The facts
+    of heavy ones, a bounded number of rows, are folded and broadcast, so no task
+    gets all rows of a key.
     """
-    kept = stored(facts, "facts")
-    total = kept.agg(F.sum(count)).first()[0] or 0
-    heavy = [r[0] for r in kept.where((F.col(count) * HEAVY >= total) & (F.col(count) > HEAVY)).select(key).collect()]
-    if not heavy:
-        return df.join(kept.drop(count), key)
-    hot = F.col(key).isin(heavy)
-    many = kept.drop(count).withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    dealt = df.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).otherwise(0))
-    return dealt.join(many, [key, "_salt"]).drop("_salt")
+    hot = heavy_keys(df, key)
+    known = df.where(F.col(key).isNotNull())
+    light = known.where(~F.col(key).isin(hot)) if hot else known
+    over = W.partitionBy(key)
+    out = light.withColumns({n: f.over(over) for n, f in facts.items()})
+    if hot:
+        heavy = known.where(F.col(key).isin(hot))
+        folded = heavy.groupBy(key).agg(*[f.alias(n) for n, f in facts.items()])
+        out = out.union(heavy.join(F.broadcast(folded), key).select(out.columns))
+    kinds = {f.name: f.dataType for f in out.schema}
+    alone = df.where(F.col(key).isNull()).withColumns({n: F.lit(None).cast(kinds[n]) for n in facts})
+    return out.union(alone.select(out.columns))

@@ -6,35 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.functions import coerce, names
 from quarrymill.operators import joins
+from quarrymill.operators.tables import ordered, require, with_defaults, with_nulls
 from quarrymill.operators.cleanup import is_video
 
 
-def ordered(df: DataFrame, first: list[str], private: bool = True) -> DataFrame:
-    """Columns of ``first`` that exist, then the others; without ``private`` those beginning with _ go."""
-    rest = [c for c in df.columns if c not in first and (private or not c.startswith("_"))]
-    return df.select(*[c for c in first if c in df.columns], *rest)
-
-
-def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Missing columns are added, and nulls filled, with the defaults; numeric ones are coerced."""
-    for name, value in defaults.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(value))
-        elif isinstance(value, (int, float)) and not isinstance(value, bool):
-            df = df.withColumn(name, F.coalesce(coerce.number(F.col(name)), F.lit(float(value))))
-        elif value is not None:
-            df = df.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
-    return df
-
-
-def require(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df``, or ValueError naming the columns that it lacks."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df
-
-
 def with_asset_ids(metric: DataFrame, index: DataFrame, name: str) -> DataFrame:
     """A metric table by file_path with the index's asset_id; ValueError if a path isn't in the index."""
     if "asset_id" in metric.columns:
@@ -58,12 +33,12 @@ def assemble_assets(files: DataFrame, hashes: DataFrame, images: DataFrame, date
     linked = joins.sidecars_of(media, side)
     joined = linked.join(hashes, "file_path", "left").join(images.withColumnRenamed("path", "file_path"), "file_path", "left").join(dates.withColumnRenamed("path", "file_path"), "file_path", "left").join(sidecars.withColumnRenamed("path", "json_path"), "json_path", "left")
     paths = F.when(F.col("json_path").isNotNull(), F.array("json_path")).otherwise(F.array().cast("array<string>"))
-    kind = names.content_type(F.col("extension") == "png", F.col("height") / F.col("width"), F.lit(None).cast("double"))
+    kind = names.content_type(F.col("file_path"), F.col("width"), F.col("height"), F.lit(None).cast("double"))
     return joined.select(
         names.asset_id(F.col("file_path")).alias("asset_id"), "file_path", F.col("file_path").alias("primary_file_path"), "file_name", "extension", "file_size", "created_at_fs", "sha256", "phash", "width", "height", "sharpness",
         "exif_datetime", "json_datetime", "json_path", "album_path", F.when(F.col("file_role") == "media/video", "video").otherwise("image").alias("mime_type"),
         (F.col("file_role") == "media/photo").alias("is_image"), (F.col("file_role") == "media/video").alias("is_video"), paths.alias("sidecar_paths"), F.size(paths).alias("sidecar_count"), (F.size(paths) > 0).alias("has_sidecar"),
-        F.when(F.col("width").isNotNull(), kind).alias("content_type_file"),
+        kind.alias("content_type_file"),
     )
 
 
@@ -72,13 +47,37 @@ def photo_index(assets: DataFrame) -> DataFrame:
     return require(assets, ["is_image", "phash", "primary_file_path"]).where(coerce.truth(F.col("is_image"), False) & F.col("phash").isNotNull()).withColumn("file_path", F.col("primary_file_path"))
 
 
+#: Suffixes of the photos that are grouped.
+GROUPED = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "heic")
+
+
+def grouping_photos(photos: DataFrame) -> DataFrame:
+    """Photos that the grouping takes: with a hash, not flagged as anything but an image, of a known suffix; absent times and albums are null and empty."""
+    require(photos, ["file_path", "phash", "width", "height"])
+    rows = with_nulls(with_defaults(photos, {"album_path": ""}), {"created_at_fs": "double", "json_datetime": "string", "exif_datetime": "string"})
+    if "is_image" in rows.columns:
+        rows = rows.where(coerce.truth(F.col("is_image"), False))
+    return rows.where(F.col("phash").isNotNull() & names.suffix(F.col("file_path")).isin(*GROUPED))
+
+
+#: Columns of an asset that group members get.
+MEMBER_COLUMNS = ("asset_id", "primary_file_path", "sidecar_paths", "sidecar_count", "has_sidecar", "content_type_file")
+
+
+def with_asset_columns(members: DataFrame, assets: DataFrame) -> DataFrame:
+    """Group members (file_path, ...) with their asset's columns, as far as they exist; of assets that repeat a path the least id."""
+    if "file_path" not in assets.columns:
+        return members
+    have = [c for c in MEMBER_COLUMNS if c in assets.columns and c not in members.columns]
+    side = assets.groupBy("file_path").agg(F.min(F.struct(*have)).alias("_a")) if have else assets.select("file_path").distinct()
+    return members.join(side, "file_path", "left").select(*members.columns, *[F.col(f"_a.{c}").alias(c) for c in have])
+
+
 def video_index(assets: DataFrame) -> DataFrame:
     """Videos by flag, type or suffix, once per asset, with empty metric columns."""
     videos = assets.where(is_video(F.col("is_video"), F.col("mime_type"), names.suffix(F.col("file_path")), names.VIDEO)).dropDuplicates(["asset_id"])
-    for name, kind in {"duration_sec": "double", "fps": "double", "bitrate_kbps": "double", "audio_present": "boolean", "video_codec": "string", "audio_codec": "string"}.items():
-        if name not in videos.columns:
-            videos = videos.withColumn(name, F.lit(None).cast(kind))
-    return videos.withColumn("video_index_status", F.lit("indexed"))
+    empty = {"duration_sec": "double", "fps": "double", "bitrate_kbps": "double", "audio_present": "boolean", "video_codec": "string", "audio_codec": "string"}
+    return with_nulls(videos, empty).withColumn("video_index_status", F.lit("indexed"))
 
 
 def with_video_metrics(index: DataFrame, metrics: DataFrame, key: str = "asset_id") -> DataFrame:

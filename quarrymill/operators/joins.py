@@ -10,7 +10,7 @@ from quarrymill.operators.dedupe import first_row
 def merge_metric(base: DataFrame, metric: DataFrame, key: str, *order: Column) -> DataFrame:
     """Left join of the metric's first row per key; columns that base has stay base's. Null keys match null keys."""
     fresh = metric.drop(*[c for c in metric.columns if c in base.columns and c != key])
-    one = first_row(fresh if order else fresh.dropDuplicates([key]), [key], *order) if order else fresh.dropDuplicates([key])
+    one = first_row(fresh, [key], *order) if order else fresh.dropDuplicates([key])
     side = one.withColumnRenamed(key, "_metric_key")
     return base.join(side, base[key].eqNullSafe(side["_metric_key"]), "left").drop("_metric_key")
 

@@ -39,16 +39,69 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def hash_classes(photos: DataFrame, id_col: str = "file_path", phash: str = "phash") -> DataFrame:
+    """(bits, id, n): one row per different hash with its least photo and number of photos."""
+    keyed = photos.where(F.col(phash).isNotNull()).select(F.col(id_col).alias("id"), hash_bits(F.col(phash)).alias("bits"))
+    return keyed.groupBy("bits").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+
+
+def _pair_columns(d: Column) -> list[Column]:
+    return [d.alias("distance"), (1 - d / 64.0).alias("similarity"), F.lit("phash").alias("match_source"), F.lit("strict").alias("pair_scope")]
+
+
+def _near_hashes(classes: DataFrame, limits: Limits) -> DataFrame:
+    """(a, b, d): different hashes of one prefix within the distance, each pair once.
+
+    The prefix and one of ``hash_distance`` + 1 parts of the other bits are the
+    join key: of so many parts some part is equal.  So a prefix that very many
+    hashes share is joined in small pieces, and a pair that meets in several
+    parts is kept from the first.
+    """
+    first, parts = 4 * limits.prefix, limits.hash_distance + 1
+    edges = [first + (64 - first) * k // parts for k in range(parts + 1)]
+    # bits in the order of the hex text, the highest first
+    part = lambda bits, k: F.shiftrightunsigned(F.shiftleft(bits, edges[k]), 64 - edges[k + 1] + edges[k]) if edges[k + 1] > edges[k] else F.lit(0).cast("long")
+    bands = F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("bits"), k).alias("v")) for k in range(parts)])
+    prefix = F.shiftrightunsigned("bits", 64 - first) if first else F.lit(0).cast("long")
+    keyed = classes.select("bits", "id", prefix.alias("p"), F.explode(bands).alias("band"))
+    l, r = keyed.alias("l"), keyed.alias("r")
+    d = hamming(F.col("l.bits"), F.col("r.bits"))
+    earlier = F.lit(False)
+    agreed = [part(F.col("l.bits"), k) == part(F.col("r.bits"), k) for k in range(parts)]
+    for k in range(parts - 1):
+        earlier |= (F.col("l.band.k") > k) & agreed[k]
+    met = l.join(r, (F.col("l.p") == F.col("r.p")) & (F.col("l.band.k") == F.col("r.band.k")) & (F.col("l.band.v") == F.col("r.band.v")) & (F.col("l.bits") < F.col("r.bits")) & (d <= limits.hash_distance) & ~earlier)
+    return met.select(F.struct("l.bits", "l.id").alias("a"), F.struct("r.bits", "r.id").alias("b"), d.alias("d"))
+
+
+def class_pairs(photos: DataFrame, limits: Limits = LIMITS, id_col: str = "file_path") -> DataFrame:
+    """(img1, img2, distance, ...) of the least photos of near hashes, and of each photo with the least of its own hash.
+
+    It joins the same photos as ``blocked_pairs`` with far fewer rows where many
+    share a hash: components over both are equal.
+    """
+    classes = hash_classes(photos, id_col)
+    least, most = F.least("a.id", "b.id").alias("img1"), F.greatest("a.id", "b.id").alias("img2")
+    near = _near_hashes(classes, limits).select(least, most, *_pair_columns(F.col("d")))
+    own = photos.where(F.col("phash").isNotNull()).select(F.col(id_col).alias("img2"), hash_bits(F.col("phash")).alias("bits"))
+    same = own.join(classes.where("n > 1").select("bits", F.col("id").alias("img1")), "bits").where("img1 < img2")
+    return near.union(same.select("img1", "img2", *_pair_columns(F.lit(0))))
+
+
 def blocked_pairs(photos: DataFrame, limits: Limits = LIMITS, id_col: str = "file_path") -> DataFrame:
     """(img1, img2, distance, similarity, match_source, pair_scope) of photos (id, phash) that share a hash prefix and are near.
 
-    A self-join on the prefix; AQE splits a prefix that many photos share.
+    Hashes are folded to classes and joined first; only near classes are written
+    out as pairs of photos.  Where very many photos share a hash, that output is
+    quadratic by its definition: use ``class_pairs`` for grouping.
     """
-    keyed = photos.where(F.col("phash").isNotNull()).select(F.col(id_col).alias("id"), F.substring("phash", 1, limits.prefix).alias("block"), hash_bits(F.col("phash")).alias("bits"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    d = hamming(F.col("a.bits"), F.col("b.bits"))
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & (d <= limits.hash_distance))
-    return pairs.select(F.col("a.id").alias("img1"), F.col("b.id").alias("img2"), d.alias("distance"), (1 - d / 64.0).alias("similarity"), F.lit("phash").alias("match_source"), F.lit("strict").alias("pair_scope"))
+    members = photos.where(F.col("phash").isNotNull()).select(F.col(id_col).alias("id"), hash_bits(F.col("phash")).alias("bits"))
+    classes = hash_classes(photos, id_col)
+    near = _near_hashes(classes, limits).select(F.col("a.bits").alias("x"), F.col("b.bits").alias("y"), "d")
+    same = classes.where("n > 1").select(F.col("bits").alias("x"), F.col("bits").alias("y"), F.lit(0).alias("d"))
+    a, b = members.select(F.col("id").alias("i"), F.col("bits").alias("x")), members.select(F.col("id").alias("j"), F.col("bits").alias("y"))
+    pairs = near.union(same).join(a, "x").join(b, "y").where((F.col("x") != F.col("y")) | (F.col("i") < F.col("j")))
+    return pairs.select(F.least("i", "j").alias("img1"), F.greatest("i", "j").alias("img2"), *_pair_columns(F.col("d")))
 
 
 def _gaps(limits: Limits) -> dict[str, Column]:
@@ -112,6 +165,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(v: Column) -> Column:
+    """A vector scaled to length one."""
+    norm = F.sqrt(dot(v, v))
+    return F.transform(F.arrays_zip(v.alias("x"), F.array_repeat(norm, F.size(v)).alias("n")), lambda z: z["x"].cast("double") / z["n"])
+
+
 def top_two_mean(*xs: Column) -> Column:
     """Mean of the two highest values."""
     best = F.slice(F.sort_array(F.array(*xs), False), 1, 2)

@@ -35,7 +35,7 @@ def unique_assets(assets: DataFrame) -> DataFrame:
 def photo_pairs(photos: DataFrame, limits: similarity.Limits = similarity.LIMITS) -> DataFrame:
     """Hash edges: by prefix over all photos, then by neighbourhood in each album."""
     rows = index.photo_rows(photos)
-    strict = similarity.blocked_pairs(rows.select("id", "phash"), limits, "id")
+    strict = similarity.class_pairs(rows.select("id", "phash"), limits, "id")
     placed = order.positions(rows.drop("phash", "file_path"), [F.col("album"), F.col("ts"), F.col("name"), F.col("id")])
     return stored(strict.union(similarity.without_edges(similarity.local_pairs(placed, limits), strict).select(strict.columns)), "pairs")
 
@@ -54,8 +54,8 @@ def ranked(groups: DataFrame, photos: DataFrame, metrics: DataFrame | None = Non
     if metrics is not None:
         joined = joined.join(metrics.dropDuplicates(["asset_id"]), "asset_id", "left")
     filled = index.with_defaults(joined, {"sharpness": 0.0, "subject_score": 0.0, "composition_score": 0.0, "aesthetic_score": 0.0, "pixels": 0.0})
-    shares = {"sharpness_n": F.col("sharpness"), "pixels_n": F.col("pixels"), "file_size_n": F.col("file_size").cast("double")}
-    termed = ranking.normalised(filled, "group_id", shares, {"aesthetic_n": F.col("aesthetic_score"), "subject_n": F.col("subject_score")})
+    shares = scores.photo_shares() | {"file_size_n": F.col("file_size").cast("double")}
+    termed = ranking.normalised(filled, "group_id", shares, scores.photo_ranges())
     scored = stored(termed.withColumn("final_score", scores.weighted(scores.PHOTO_SUBJECT)), "scored")
     return ranking.scene_sizes(ranking.mark_best(scored, "group_id", "final_score", "asset_id"), "scene_group_id", "group_id")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from quarrymill.functions import coerce, media, names, scores
 from quarrymill.operators import audit, cleanup, curation, dedupe, graph, index, joins, order, ranking, review, similarity, video
+from quarrymill.plans import videos as video_plan
 from quarrymill.plans.storage import stored
 
 QUERIES: dict = {}
@@ -62,21 +63,21 @@ _ASSETS = """
 
 @query(_ASSETS + """,
     g AS (
-        SELECT sha256, max(copies) AS copies, bool_or(has_sidecar) AS has_sidecar,
-               string_agg(CASE WHEN has_sidecar THEN asset_id || '.json' END, '|' ORDER BY asset_id) AS sidecars,
+        SELECT sha256, max(copies) AS copies, bool_or(has_sidecar) AS has_sidecar, CAST(count_if(has_sidecar) AS INTEGER) AS sidecar_count,
+               string_agg(CASE WHEN has_sidecar THEN asset_id || '.json' END, '|' ORDER BY asset_id) AS sidecars, min(CASE WHEN has_sidecar THEN asset_id END) AS first_side,
                CAST(min(CASE WHEN lang = 'en' THEN asset_id END) AS VARCHAR) AS json_datetime FROM r GROUP BY sha256),
     m AS (
         SELECT sha256, source, row_number() OVER (PARTITION BY sha256 ORDER BY count(*) DESC, min(asset_id)) AS k FROM a GROUP BY sha256, source)
-    SELECT g.sha256, r.asset_id, g.copies, g.has_sidecar, coalesce(g.sidecars, '') AS sidecars, m.source AS content_type, g.json_datetime
+    SELECT g.sha256, r.asset_id, g.copies, g.has_sidecar, g.sidecar_count, coalesce(g.sidecars, '') AS sidecars, coalesce(first_side || '.json', '') AS json_path, m.source AS content_type, g.json_datetime
     FROM g JOIN r ON r.sha256 = g.sha256 AND r.rn = 1 JOIN m ON m.sha256 = g.sha256 AND m.k = 1""")
 def exact_dedupe_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.fold_copies(assets(spark, sf_dir)).withColumn("sidecars", F.array_join("sidecars", "|")).drop("exif_datetime")
 
 
-@query(_ASSETS + """
-    SELECT c.asset_id AS canonical_asset_id, r.asset_id AS absorbed_asset_id, r.sha256, CAST(c.has_sidecar AS INTEGER) AS canonical_sidecar_count, CAST(r.has_sidecar AS INTEGER) AS absorbed_sidecar_count,
-           c.has_sidecar AS canonical_has_sidecar, r.has_sidecar AS absorbed_has_sidecar, CASE WHEN r.has_sidecar AND NOT c.has_sidecar THEN 'absorb_with_sidecar' ELSE 'absorb' END AS dedupe_action
-    FROM r JOIN r c ON c.sha256 = r.sha256 AND c.rn = 1 WHERE r.rn > 1""")
+@query(_ASSETS + """, u AS (SELECT sha256, CAST(count_if(has_sidecar) AS INTEGER) AS sides FROM a GROUP BY sha256)
+    SELECT c.asset_id AS canonical_asset_id, r.asset_id AS absorbed_asset_id, r.sha256, c.asset_id AS canonical_file_path, r.asset_id AS absorbed_file_path, sides AS canonical_sidecar_count, CAST(r.has_sidecar AS INTEGER) AS absorbed_sidecar_count,
+           sides > 0 AS canonical_has_sidecar, r.has_sidecar AS absorbed_has_sidecar, 'absorbed_into_canonical' AS dedupe_action
+    FROM r JOIN r c ON c.sha256 = r.sha256 AND c.rn = 1 JOIN u ON u.sha256 = r.sha256 WHERE r.rn > 1""")
 def exact_dedupe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.absorbed_pairs(assets(spark, sf_dir))
 
@@ -132,63 +133,83 @@ def audit_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- scores
 
 
-@query("""SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice,
-        round(least(greatest(l_extendedprice / CASE WHEN m > 0 THEN m ELSE 1 END, 0), 1), 6) AS price_n
-    FROM (SELECT *, max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)""")
+_GROUP = "CASE WHEN l_partkey % 13 <> 0 THEN l_orderkey END"
+
+
+def _members(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """lineitem as group members; one in thirteen has no group."""
+    return table(spark, sf_dir, "lineitem").select(F.when(F.col("l_partkey") % 13 != 0, F.col("l_orderkey")).alias("group_id"), "l_orderkey", "l_partkey", "l_linenumber", *columns)
+
+
+@query(f"""SELECT group_id, l_orderkey, l_partkey, l_linenumber, l_extendedprice,
+        CASE WHEN group_id IS NOT NULL THEN round(least(greatest(l_extendedprice / CASE WHEN m > 0 THEN m ELSE 1 END, 0), 1), 6) END AS price_n
+    FROM (SELECT *, max(l_extendedprice) OVER (PARTITION BY group_id) AS m FROM (SELECT *, {_GROUP} AS group_id FROM lineitem))""")
 def norm_max_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
-    return ranking.normalised(rows, "l_orderkey", {"price_n": F.col("l_extendedprice")}).withColumn("price_n", F.round("price_n", 6))
+    rows = _members(spark, sf_dir, "l_extendedprice")
+    return ranking.normalised(rows, "group_id", {"price_n": F.col("l_extendedprice")}).withColumn("price_n", F.round("price_n", 6))
 
 
-@query("""SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, round(least(greatest((l_quantity - a) / CASE WHEN b <> a THEN b - a ELSE 1 END, 0), 1), 6) AS quantity_n
-    FROM (SELECT *, min(l_quantity) OVER w AS a, max(l_quantity) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))""")
+@query(f"""SELECT group_id, l_orderkey, l_partkey, l_linenumber, l_quantity, CASE WHEN group_id IS NOT NULL THEN round(least(greatest((l_quantity - a) / CASE WHEN b <> a THEN b - a ELSE 1 END, 0), 1), 6) END AS quantity_n
+    FROM (SELECT *, min(l_quantity) OVER w AS a, max(l_quantity) OVER w AS b FROM (SELECT *, {_GROUP} AS group_id FROM lineitem) WINDOW w AS (PARTITION BY group_id))""")
 def minmax_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    return ranking.normalised(rows, "l_orderkey", ranges={"quantity_n": F.col("l_quantity")}).withColumn("quantity_n", F.round("quantity_n", 6))
+    rows = _members(spark, sf_dir, "l_quantity")
+    return ranking.normalised(rows, "group_id", ranges={"quantity_n": F.col("l_quantity")}).withColumn("quantity_n", F.round("quantity_n", 6))
+
 
+_SCENES = "WITH o AS (SELECT *, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS scene FROM orders)"
 
-@query("""SELECT o.o_orderkey, o.o_custkey, s.scene_group_size, s.scene_group_group_count, s.scene_group_group_count > 1 AS scene_merge_candidate
-    FROM orders o JOIN (SELECT o_custkey, count(*) AS scene_group_size, count(DISTINCT o_orderpriority) AS scene_group_group_count FROM orders GROUP BY 1) s USING (o_custkey)""")
+
+def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as files; one in eleven has no scene."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("scene"), "o_orderpriority", "o_orderstatus")
+
+
+@query(_SCENES + """SELECT o.o_orderkey, o.scene, s.scene_group_size, s.scene_group_group_count, coalesce(s.scene_group_group_count > 1, false) AS scene_merge_candidate
+    FROM o LEFT JOIN (SELECT scene, count(*) AS scene_group_size, count(DISTINCT o_orderpriority) AS scene_group_group_count FROM o WHERE scene IS NOT NULL GROUP BY 1) s ON s.scene = o.scene""")
 def scene_size_nunique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return ranking.scene_sizes(rows, "o_custkey", "o_orderpriority").drop("o_orderpriority")
+    return ranking.scene_sizes(_scenes(spark, sf_dir), "scene", "o_orderpriority").drop("o_orderpriority", "o_orderstatus")
 
 
-@query("""SELECT o.o_orderkey, g.tags FROM orders o JOIN (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS tags FROM orders GROUP BY 1) g USING (o_custkey)""")
+@query(_SCENES + """, g AS (SELECT o_orderstatus AS status, o_custkey % 50 AS part, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS tags FROM o WHERE o_orderkey % 7 <> 0 GROUP BY 1, 2),
+    c AS (SELECT scene, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS tags FROM o WHERE scene IS NOT NULL GROUP BY 1),
+    t AS (SELECT o.*, CASE WHEN o_orderkey % 7 <> 0 THEN g.tags ELSE o_orderpriority END AS own FROM o LEFT JOIN g ON status = o_orderstatus AND part = o_custkey % 50)
+    SELECT o_orderkey, own AS content_type_group, coalesce(c.tags, own) AS content_type_scene FROM t LEFT JOIN c USING (scene)""")
 def tag_set_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return ranking.group_tags(rows, "o_custkey", "o_orderpriority", "tags").select("o_orderkey", "tags")
+    """Tags of strict groups and scenes; rows without a group keep their own, rows without a scene their group's."""
+    group = F.when(F.col("o_orderkey") % 7 != 0, F.concat("o_orderstatus", (F.col("o_custkey") % 50).cast("string")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", group.alias("group_id"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("scene_group_id"), F.col("o_orderpriority").alias("content_type_file"))
+    return ranking.content_tags(rows).select("o_orderkey", "content_type_group", "content_type_scene")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as photos with the raw metrics of the subject mode; one in thirteen parts has no group."""
     member = (F.col("l_partkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("asset_id")
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", member).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
-    shares = {"subject_n": F.col("l_quantity"), "aesthetic_n": F.col("l_extendedprice"), "pixels_n": F.col("l_tax")}
-    named = ranking.normalised(rows, "l_orderkey", shares, {"sharpness_n": F.col("l_tax")}).withColumn("composition_score", F.col("l_discount") * 10)
-    return named.withColumn("final_score", F.round(scores.weighted(scores.PHOTO_SUBJECT), 6))
-
-
-_SCORED = """
-    WITH u AS (SELECT DISTINCT l_orderkey, l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS asset_id, min(l_quantity) AS l_quantity, min(l_extendedprice) AS l_extendedprice, min(l_discount) AS l_discount, min(l_tax) AS l_tax
-               FROM lineitem GROUP BY 1, 2),
-    w AS (SELECT *, max(l_quantity) OVER g AS mq, max(l_extendedprice) OVER g AS mp, max(l_tax) OVER g AS mt, min(l_tax) OVER g AS nt FROM u WINDOW g AS (PARTITION BY l_orderkey)),
-    s AS (SELECT l_orderkey, asset_id, l_discount, round(0.34 * l_quantity / CASE WHEN mq > 0 THEN mq ELSE 1 END + 0.24 * (l_discount * 10) + 0.24 * l_extendedprice / CASE WHEN mp > 0 THEN mp ELSE 1 END
-                 + 0.14 * (l_tax - nt) / CASE WHEN mt <> nt THEN mt - nt ELSE 1 END + 0.04 * l_tax / CASE WHEN mt > 0 THEN mt ELSE 1 END, 6) AS final_score FROM w)
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.when(F.col("l_partkey") % 13 != 0, F.col("l_orderkey")).alias("group_id"), member).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    metrics = rows.select("group_id", "asset_id", F.col("l_quantity").alias("sharpness"), (F.col("l_extendedprice") * 3).alias("pixels"), F.col("l_tax").alias("subject_score"), F.col("l_discount").alias("aesthetic_score"), (F.col("l_discount") * 10).alias("composition_score"))
+    return ranking.normalised(metrics, "group_id", scores.photo_shares(), scores.photo_ranges()).withColumn("final_score", F.round(scores.weighted(scores.PHOTO_SUBJECT), 6))
+
+
+# the best of a group is chosen by: subject and aesthetics stretched over the group's range, sharpness and pixels as shares of its maximum
+_SCORED = f"""
+    WITH u AS (SELECT {_GROUP} AS group_id, l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS asset_id, min(l_quantity) AS sharp, min(l_extendedprice) * 3 AS px, min(l_discount) AS aes, min(l_tax) AS subj FROM lineitem GROUP BY 1, 2),
+    w AS (SELECT *, max(sharp) OVER g AS s1, max(px) OVER g AS p1, min(aes) OVER g AS a0, max(aes) OVER g AS a1, min(subj) OVER g AS b0, max(subj) OVER g AS b1 FROM u WINDOW g AS (PARTITION BY group_id)),
+    s AS (SELECT group_id, asset_id, aes, round(0.24 * (aes * 10) + CASE WHEN group_id IS NULL THEN 0 ELSE 0.34 * (subj - b0) / CASE WHEN b1 <> b0 THEN b1 - b0 ELSE 1 END + 0.24 * (aes - a0) / CASE WHEN a1 <> a0 THEN a1 - a0 ELSE 1 END
+                 + 0.14 * sharp / CASE WHEN s1 > 0 THEN s1 ELSE 1 END + 0.04 * px / CASE WHEN p1 > 0 THEN p1 ELSE 1 END END, 6) AS final_score FROM w)
 """
 
 
-@query(_SCORED + """, b AS (SELECT *, first_value(asset_id) OVER o AS best_asset_id, first_value(final_score) OVER o AS best_score FROM s WINDOW o AS (PARTITION BY l_orderkey ORDER BY final_score DESC, asset_id))
-    SELECT l_orderkey, asset_id, final_score, best_asset_id, best_score, asset_id = best_asset_id AS is_best FROM b""")
+@query(_SCORED + """, b AS (SELECT group_id, arg_min(asset_id, (-final_score, asset_id)) AS best_asset_id, max(final_score) AS best_score FROM s WHERE group_id IS NOT NULL GROUP BY 1)
+    SELECT s.group_id, asset_id, final_score, best_asset_id, best_score, coalesce(asset_id = best_asset_id, false) AS is_best FROM s LEFT JOIN b ON b.group_id = s.group_id""")
 def photo_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = ranking.mark_best(stored(_scored(spark, sf_dir), "scored"), "l_orderkey", "final_score", "asset_id")
-    return marked.select("l_orderkey", "asset_id", "final_score", "best_asset_id", "best_score", "is_best")
+    marked = ranking.mark_best(_scored(spark, sf_dir), "group_id", "final_score", "asset_id")
+    return marked.select("group_id", "asset_id", "final_score", "best_asset_id", "best_score", "is_best")
 
 
-@query(_SCORED + """, n AS (SELECT l_orderkey, asset_id, final_score, CASE WHEN asset_id % 3 <> 0 THEN asset_id END AS a, CASE WHEN l_discount > 0.03 THEN l_discount END AS d FROM s)
-    SELECT l_orderkey, arg_min(a, (-final_score, asset_id)) FILTER (a IS NOT NULL) AS first_asset, arg_min(d, (-final_score, asset_id)) FILTER (d IS NOT NULL) AS first_discount FROM n GROUP BY l_orderkey""")
+@query(_SCORED + """, n AS (SELECT group_id, asset_id, final_score, CASE WHEN asset_id % 3 <> 0 THEN asset_id END AS a, CASE WHEN aes > 0.03 THEN aes END AS d FROM s WHERE group_id IS NOT NULL)
+    SELECT group_id, arg_min(a, (-final_score, asset_id)) FILTER (a IS NOT NULL) AS first_asset, arg_min(d, (-final_score, asset_id)) FILTER (d IS NOT NULL) AS first_discount FROM n GROUP BY group_id""")
 def best_first_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).withColumn("first_asset", F.when(F.col("asset_id") % 3 != 0, F.col("asset_id"))).withColumn("first_discount", F.when(F.col("l_discount") > 0.03, F.col("l_discount")))
-    return ranking.first_non_null_best(rows, "l_orderkey", "final_score", "asset_id", ["first_asset", "first_discount"])
+    rows = _scored(spark, sf_dir).where("group_id IS NOT NULL").withColumn("first_asset", F.when(F.col("asset_id") % 3 != 0, F.col("asset_id"))).withColumn("first_discount", F.when(F.col("aesthetic_score") > 0.03, F.col("aesthetic_score")))
+    return ranking.first_non_null_best(rows, "group_id", "final_score", "asset_id", ["first_asset", "first_discount"])
 
 
 @query("""WITH v AS (SELECT l_orderkey, l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS asset_id, max(l_quantity) AS faces, max(l_discount) AS sym, max(l_tax) AS yaw FROM lineitem GROUP BY 1, 2),
@@ -205,17 +226,58 @@ def photo_face_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termed.select("l_orderkey", "asset_id", F.round(scores.weighted(scores.PHOTO_FACE), 10).alias("final_score"))
 
 
-@query("""WITH v AS (
-        SELECT user_id, event_id, value, event_type, CASE WHEN event_type = 'click' THEN 0.2 WHEN event_type = 'view' THEN 0.1 ELSE 0 END AS penalty,
-               max(value) OVER (PARTITION BY user_id) AS m, event_id % 2 AS audio, event_id % 3 AS k FROM events),
-    s AS (SELECT *, round_even(greatest(0.35 * least(greatest(value / CASE WHEN m > 0 THEN m ELSE 1 END, 0), 1) + 0.10 * audio + 0.05 * CASE WHEN k = 0 THEN 1 ELSE 0 END + 0.05 - penalty, 0), 6) AS video_score FROM v)
-    SELECT user_id, event_id, round(video_score, 4) AS video_score, penalty FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY video_score DESC, value DESC, event_id) AS rn FROM s) WHERE rn = 1""")
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as measured videos, users as their groups; one in seventeen has no group, and columns lack values."""
+    n = F.col("event_id")
+    sound = F.when(n % 4 == 0, "true").when(n % 4 == 1, "0").when(n % 4 == 2, " True")
+    return table(spark, sf_dir, "events").select(
+        n.alias("asset_id"), F.when(n % 17 != 0, F.col("user_id")).alias("video_group_id"), F.concat(F.lit("v"), n.cast("string")).alias("file_name"), F.when(n % 9 != 0, F.col("value")).alias("duration_sec"), (24 + n % 7).cast("string").alias("fps"),
+        F.when(n % 10 != 0, 640 * (1 + n % 3)).alias("width"), F.when(n % 10 != 0, 480 + n % 2 * 240).alias("height"), F.when(n % 8 != 0, F.lit(None)).otherwise("n/a").alias("bitrate_kbps"), (F.col("value") * 10 + n % 50).alias("bitrate_kbps_metric"), sound.alias("audio_present"),
+        (n % 5).alias("sidecar_count"), F.when(n % 6 == 0, "failed").when(n % 6 != 1, "ok").alias("video_metrics_status"),
+    )
+
+
+def _measured_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live pairs of every third video, two for every sixth."""
+    rows = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    gaps = F.filter(F.array((F.col("event_id") % 50 / 10).cast("double"), F.when(F.col("event_id") % 6 == 0, F.lit(0.7))), lambda g: g.isNotNull())
+    return rows.select(F.col("event_id").alias("video_id"), F.posexplode(gaps).alias("photo_id", "time_gap")).withColumn("live_photo_status", F.when(F.col("time_gap") <= 1, "strong").otherwise("probable"))
+
+
+_MEASURED = """
+    WITH v AS (SELECT event_id AS asset_id, CASE WHEN event_id % 17 <> 0 THEN user_id END AS g, CASE WHEN event_id % 9 <> 0 THEN value ELSE 0 END AS dur, 24 + event_id % 7 AS fps,
+            CASE WHEN event_id % 10 <> 0 THEN 640 * (1 + event_id % 3) * (480 + event_id % 2 * 240) ELSE 0 END AS px, value * 10 + event_id % 50 AS rate, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS audio, event_id % 5 AS sides,
+            CASE WHEN event_id % 6 IN (0, 1) THEN 0 ELSE 1 END AS ok, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 6 = 0 THEN least(event_id % 50 / 10, 0.7) ELSE event_id % 50 / 10 END END AS gap FROM events),
+    p AS (SELECT *, CASE WHEN gap <= 1 THEN 0.2 WHEN gap > 1 THEN 0.1 ELSE 0 END AS penalty, max(dur) OVER w AS m1, max(fps) OVER w AS m2, max(px) OVER w AS m3, max(rate) OVER w AS m4, max(sides) OVER w AS m5 FROM v WINDOW w AS (PARTITION BY g)),
+    n AS (SELECT *, CASE WHEN g IS NULL THEN 0 ELSE 0.35 * least(greatest(px / CASE WHEN m3 > 0 THEN m3 ELSE 1 END, 0), 1) + 0.25 * least(greatest(rate / CASE WHEN m4 > 0 THEN m4 ELSE 1 END, 0), 1) + 0.12 * fps / m2
+            + 0.08 * least(greatest(dur / CASE WHEN m1 > 0 THEN m1 ELSE 1 END, 0), 1) + 0.05 * sides / CASE WHEN m5 > 0 THEN m5 ELSE 1 END END + 0.10 * audio + 0.05 * ok AS raw FROM p),
+    s AS (SELECT *, round_even(greatest(raw - penalty, 0), 6) AS score FROM n)
+"""
+
+
+@query(_MEASURED + """, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, px DESC, rate DESC, dur DESC, fps DESC, asset_id) AS k FROM s WHERE g IS NOT NULL) WHERE k = 1)
+    SELECT s.asset_id, s.g AS video_group_id, round(s.score, 4) AS video_score, s.penalty AS live_photo_penalty, s.gap IS NOT NULL AS has_live_photo_pair, b.asset_id AS best_asset_id, 'v' || b.asset_id AS best_file, coalesce(s.asset_id = b.asset_id, false) AS is_best_video
+    FROM s LEFT JOIN b ON b.g = s.g""")
+def video_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every weight of the video score, the live-photo penalty and the marked best, from raw metrics."""
+    out = video_plan.scored(_measured(spark, sf_dir), _measured_live(spark, sf_dir))
+    return out.select("asset_id", "video_group_id", F.round("video_score", 4).alias("video_score"), "live_photo_penalty", "has_live_photo_pair", "best_asset_id", "best_file", "is_best_video")
+
+
+@query(_MEASURED + "SELECT g AS video_group_id, asset_id, round(score, 4) AS video_score FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, px DESC, rate DESC, dur DESC, fps DESC, asset_id) AS k FROM s WHERE g IS NOT NULL) WHERE k = 1")
 def video_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    status = F.when(kind == "click", "strong").when(kind == "view", "probable")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", scores.live_penalty(status).alias("penalty"), F.lit(0.0).alias("bitrate_norm"), F.lit(0.0).alias("fps_norm"), F.lit(0.0).alias("duration_norm"), (F.col("event_id") % 2).alias("audio"), (F.col("event_id") % 3 == 0).cast("int").alias("sidecar"), F.lit(1).alias("ok"))
-    scored = ranking.normalised(rows, "user_id", {"pixels_norm": F.col("value")}).withColumn("video_score", scores.video_score(F.col("penalty"))).select("user_id", F.col("event_id").alias("asset_id"), "video_score", "penalty", F.col("value").alias("pixels"), F.lit(0).alias("bitrate"), F.lit(0).alias("duration"), F.lit(0).alias("fps"))
-    return ranking.video_best(scored, "user_id").select("user_id", F.col("asset_id").alias("event_id"), F.round("video_score", 4).alias("video_score"), "penalty")
+    """The best video of each group, as a row."""
+    out = video_plan.scored(_measured(spark, sf_dir).where("video_group_id IS NOT NULL"), _measured_live(spark, sf_dir))
+    return ranking.video_best(out).select("video_group_id", "asset_id", F.round("video_score", 4).alias("video_score"))
+
+
+@query(_MEASURED + """, r AS (SELECT g, count(*) AS size, bool_or(gap IS NOT NULL) AS has_live, bool_or(gap IS NULL) AS has_regular FROM s WHERE g IS NOT NULL GROUP BY 1)
+    SELECT s.asset_id, s.g AS group_id, r.size AS scene_group_size, 'video' AS content_type_scene FROM s JOIN r ON r.g = s.g WHERE r.has_live AND r.size > 1""")
+def video_review_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review rows of video groups with a live photo."""
+    rows = video_plan.review(video_plan.scored(_measured(spark, sf_dir).where("video_group_id IS NOT NULL"), _measured_live(spark, sf_dir)))
+    shown = review.video_review_groups(rows, "group_id", regular=False, flag="has_live_photo_pair").select("group_id")
+    return rows.join(shown, "group_id", "left_semi").select("asset_id", "group_id", "scene_group_size", "content_type_scene")
 
 
 # ---------------------------------------------------------------- look-alikes
@@ -272,16 +334,25 @@ def lookahead_pairs_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _blocked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = photos(spark, sf_dir)
     pairs = similarity.blocked_pairs(rows, LIMITS, "id").select("img1", "img2", "distance")
-    return joins.enrich_pairs(pairs, rows, "id", ["v"])
+    views = stored(_with_views(rows), "views")
+    return joins.enrich_pairs(pairs, views, "id", ["v", *(f"view{at}" for at in VIEW_STARTS)])
+
+
+#: Where the slices of a vector that stand for crop views begin.
+VIEW_STARTS = (1, 22, 43)
 
 
-def _view(v: str, at: int) -> Column:
-    part = F.slice(v, at, 22)
-    return F.transform(part, lambda x: x.cast("double") / F.sqrt(similarity.dot(part, part)))
+def _with_views(rows: DataFrame) -> DataFrame:
+    """Photos with three slices of their vector, each scaled to length one, once a photo."""
+    return rows.select("id", "v", *[similarity.unit(F.slice("v", at, 22)).alias(f"view{at}") for at in VIEW_STARTS])
+
+
+def _view_dot(at: int) -> Column:
+    return similarity.dot(F.col(f"view{at}_1"), F.col(f"view{at}_2"))
 
 
 def _background() -> Column:
-    return similarity.top_two_mean(*[similarity.dot(_view("v_1", at), _view("v_2", at)) for at in (1, 22, 43)])
+    return similarity.top_two_mean(*[_view_dot(at) for at in VIEW_STARTS])
 
 
 def _cos_sql(a: str, b: str) -> str:
@@ -314,10 +385,69 @@ def background_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT *, 'scene' AS pair_scope FROM t WHERE scene UNION ALL SELECT *, 'strict' FROM t WHERE scene AND bg + 0.4 >= 0.86)""")
 def pair_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarities are raised by constants so that the surrogate pairs meet every rule."""
-    pairs = _blocked_vectors(spark, sf_dir).withColumn("clip", F.lit(0.90)).withColumn("background", F.lit(0.86))
-    face = F.when((F.col("img1") % 2 == 0) & (F.col("img2") % 2 == 0), similarity.dot(_view("v_1", 1), _view("v_2", 1)) + 0.4)
-    sim = similarity.dot(F.col("v_1"), F.col("v_2")) + 0.55
-    return similarity.decisions(pairs, sim, _background() + 0.4, face).select("img1", "img2", "distance", F.round("similarity", 5).alias("similarity"), "pair_scope")
+    face = F.when((F.col("img1") % 2 == 0) & (F.col("img2") % 2 == 0), _view_dot(1) + 0.4)
+    pairs = _blocked_vectors(spark, sf_dir).select("img1", "img2", "distance", (similarity.dot(F.col("v_1"), F.col("v_2")) + 0.55).alias("sim"), (_background() + 0.4).alias("bg"), face.alias("face"))
+    judged = stored(pairs, "similarities").withColumn("clip", F.lit(0.90)).withColumn("background", F.lit(0.86))
+    found = similarity.decisions(judged, F.col("sim"), F.col("bg"), F.col("face"))
+    return found.select("img1", "img2", "distance", F.round("similarity", 5).alias("similarity"), "pair_scope")
+
+
+#: Copies of a surrogate photo: bits flipped in the hash, seconds and numbers after the first, change of shape.
+BURST = ((0, 0, 0, 0.0), (3, 2, 1, 0.0), (5, 4, 3, 0.0625), (6, 5, 15, 0.0), (16, 9, 16, 0.0), (18, 14, 20, 0.75), (24, 119, 26, 0.125), (25, 130, 40, 0.0), (40, 140, 60, 0.25), (9, 14400, 700, 0.0))
+
+
+def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as photos with near copies that straddle the production thresholds; hashes differ in the low bits."""
+    copies = F.array(*[F.struct(F.lit(k).alias("k"), F.lit((1 << n) - 1).cast("long").alias("mask"), F.lit(t).cast("double").alias("t"), F.lit(q).cast("long").alias("q"), F.lit(a).cast("double").alias("a")) for k, (n, t, q, a) in enumerate(BURST)])
+    rows = photos(spark, sf_dir).select(F.col("id").alias("base"), "bits", "v", F.explode(copies).alias("c")).select("base", "bits", "v", "c.*")
+    other = F.when(F.col("k") % 4 == 3, 1).otherwise(0)  # some copies lie in another album
+    placed = rows.select((F.col("base") * 100 + F.col("k")).alias("id"), (F.col("base") % 20 * 2 + other).alias("album"), (F.col("base") * 1000.0 + F.col("t")).alias("ts"), F.when((F.col("base") + F.col("k")) % 13 != 0, F.col("base") * 200 + F.col("q")).alias("seq"), F.when(F.col("base") % 7 != 0, 1 + F.col("a")).alias("aspect"), F.col("bits").bitwiseXOR(F.col("mask")).alias("bits"))
+    return placed.withColumn("phash", F.lpad(F.lower(F.hex("bits")), 16, "0"))
+
+
+_BURST_ROWS = ", ".join(f"({k}, {n}, {t}, {q}, {a})" for k, (n, t, q, a) in enumerate(BURST))
+_BURSTS = f"""
+    WITH c AS (SELECT * FROM (VALUES {_BURST_ROWS}) AS t(k, n, t, q, a)),
+    p AS (SELECT vec_id * 100 + k AS id, vec_id % 20 * 2 + CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END AS album, vec_id * 1000.0 + t AS ts, CASE WHEN (vec_id + k) % 13 <> 0 THEN vec_id * 200 + q END AS seq, CASE WHEN vec_id % 7 <> 0 THEN 1 + CAST(a AS DOUBLE) END AS aspect,
+              list_transform(embedding, lambda x, i: (x > 0) <> (i <= n)) AS v FROM embeddings, c),
+    o AS (SELECT *, row_number() OVER (PARTITION BY album ORDER BY ts, id) AS an, row_number() OVER (ORDER BY ts, id) AS gn FROM p)
+"""
+_BD = "CAST(len(list_filter(list_zip(a.v, b.v), lambda z: z[1] <> z[2])) AS INTEGER)"
+_HEAD = " AND ".join(f"a.v[{k}] = b.v[{k}]" for k in range(64, 48, -1))
+
+
+def _burst_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.positions(bursts(spark, sf_dir).drop("phash"), [F.col("album"), F.col("ts"), F.col("id")])
+
+
+@query(_BURSTS + f"SELECT img1, img2, distance, pair_scope FROM (SELECT a.id AS img1, b.id AS img2, {_BD} AS distance, 'strict' AS pair_scope FROM p a JOIN p b ON a.id < b.id AND {_HEAD}) WHERE distance <= 5")
+def phash_pairs_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production prefix and distance: 16 bits and 5."""
+    return similarity.blocked_pairs(bursts(spark, sf_dir), id_col="id").select("img1", "img2", "distance", "pair_scope")
+
+
+@query(_BURSTS + f"""SELECT img1, img2, distance FROM (SELECT a.id AS img1, b.id AS img2, {_BD} AS distance FROM o a JOIN o b ON a.album = b.album AND b.an BETWEEN a.an + 1 AND a.an + 40
+    WHERE b.ts - a.ts <= 120 OR coalesce(abs(a.seq - b.seq) <= 25, false)) WHERE distance <= 5""")
+def local_pairs_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production limits of the neighbourhood hash join."""
+    return similarity.local_pairs(_burst_order(spark, sf_dir)).select("img1", "img2", "distance")
+
+
+@query(_BURSTS + f""", e AS (SELECT a.id AS img1, b.id AS img2, {_BD} AS distance, b.ts - a.ts AS dt, coalesce(abs(a.seq - b.seq), 1e9) AS ds, abs(a.aspect - b.aspect) AS da FROM o a JOIN o b ON a.album = b.album AND b.an BETWEEN a.an + 1 AND a.an + 40),
+    t AS (SELECT *, dt <= 120 AND ds <= 25 AS near FROM e WHERE dt <= 14400 OR ds <= 80),
+    x AS (SELECT *, CASE WHEN near THEN 0.94 ELSE 0.965 END AS c0, CASE WHEN near THEN 40 ELSE 24 END AS d0, CASE WHEN near THEN 0.75 ELSE 0.12 END AS a0, CASE WHEN near THEN 0.88 END AS b0, dt <= 5 AND ds <= 15 AND distance <= 18 AS burst FROM t)
+    SELECT img1, img2, distance, CASE WHEN burst THEN 0.95 ELSE c0 END AS clip, CASE WHEN burst THEN 0.90 ELSE b0 END AS background FROM x WHERE coalesce(da <= a0, true) AND distance > 5 AND distance <= CASE WHEN burst THEN greatest(d0, 18) ELSE d0 END""")
+def album_candidates_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production thresholds of album candidates: default, near and burst."""
+    return similarity.album_candidates(_burst_order(spark, sf_dir))
+
+
+@query(_BURSTS + f"""SELECT img1, img2, distance, 0.90 AS clip, 0.86 AS background FROM (SELECT a.id AS img1, b.id AS img2, {_BD} AS distance FROM o a JOIN o b ON b.gn BETWEEN a.gn + 1 AND a.gn + 20
+    WHERE a.album <> b.album AND b.ts - a.ts <= 90 AND abs(a.seq - b.seq) <= 10 AND coalesce(abs(a.aspect - b.aspect) <= 0.12, true)) WHERE distance > 5 AND distance <= 18""")
+def cross_candidates_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production thresholds of candidates across albums."""
+    rows = order.positions(bursts(spark, sf_dir).drop("phash"), [F.col("ts"), F.col("id")])
+    return similarity.cross_candidates(rows)
 
 
 def _components_sql(edges: str) -> str:
@@ -334,12 +464,12 @@ def _components(edges: DataFrame) -> DataFrame:
 
 @query((_PHOTOS + _components_sql(f"SELECT img1, img2 FROM ({_BLOCKED}) WHERE distance <= 20")).replace("WITH p", "WITH RECURSIVE p", 1))
 def components_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _components(similarity.blocked_pairs(photos(spark, sf_dir), LIMITS, "id"))
+    return _components(similarity.class_pairs(photos(spark, sf_dir), LIMITS, "id"))
 
 
 @query((_PHOTOS + _components_sql(f"SELECT img1, img2 FROM ({_BLOCKED}) WHERE distance <= 20 UNION SELECT a.id, b.id FROM o a JOIN o b ON a.album = b.album AND b.an BETWEEN a.an + 1 AND a.an + 40 WHERE (b.ts - a.ts <= 120 OR abs(a.seq - b.seq) <= 25) AND {_D} <= 20")).replace("WITH p", "WITH RECURSIVE p", 1))
 def components_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strict = similarity.blocked_pairs(photos(spark, sf_dir), LIMITS, "id")
+    strict = similarity.class_pairs(photos(spark, sf_dir), LIMITS, "id")
     local = similarity.local_pairs(_in_album(spark, sf_dir), LIMITS)
     return _components(strict.union(similarity.without_edges(local, strict).select(strict.columns)))
 
@@ -348,28 +478,28 @@ def components_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as videos: id, album, ts, num, source, width, height, codec, duration."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("album"), seconds().alias("ts"), F.col("event_id").alias("num"), F.when(F.col("event_id") % 2 == 0, "json").otherwise("fs").alias("source"), F.lit(16).alias("width"), (F.col("event_id") % 3 + 1).alias("height"), F.col("event_type").alias("codec"), F.col("value").alias("duration"))
-    return order.positions(rows, [F.col("album"), F.col("ts"), F.col("num"), F.col("id")])
-
-
-#: Seconds of the surrogate that stand for one second of video time.
-UNIT = 120.0
-
-_VIDEOS = f"""
-    WITH RECURSIVE v AS (SELECT event_id AS id, user_id AS album, epoch_us(ts) / 1e6 AS ts, event_id AS num, event_id % 2 = 1 AS fs, event_id % 3 AS h, event_type AS codec, value AS duration FROM events),
-    n AS (SELECT *, row_number() OVER (PARTITION BY album ORDER BY ts, num, id) AS rn FROM v),
-    p AS (SELECT a.id AS src, b.id AS dst, abs(a.ts - b.ts) / {UNIT} AS dt, abs(a.num - b.num) AS dn, a.fs OR b.fs AS fs, a.h = b.h AS size, lower(a.codec) = lower(b.codec) AS codec,
+    """events as videos that straddle the production thresholds: fifty an album, seconds apart, times of both sources and none."""
+    n = F.col("event_id")
+    source = F.when(n % 53 == 0, "missing").when((n % 7).isin(0, 1, 2), "fs").otherwise("json")
+    ts = F.when(n % 53 != 0, (n % 50 * 23 + n * 7919 % 101).cast("double"))
+    rows = table(spark, sf_dir, "events").select(n.alias("id"), F.floor(n / 50).alias("album"), ts.alias("ts"), (n * 3 % 41).alias("num"), source.alias("source"), F.when(n % 6 != 0, 16).alias("width"), (n % 3 + 1).alias("height"), F.when(n % 5 != 0, F.concat(F.lit(" "), F.upper("event_type"))).otherwise(F.col("event_type")).alias("codec"), F.col("value").alias("duration"))
+    return order.positions(rows, [F.col("album"), F.col("ts").asc_nulls_last(), F.col("num"), F.col("id")])
+
+
+_VIDEOS = """
+    WITH RECURSIVE v AS (SELECT event_id AS id, event_id // 50 AS album, CASE WHEN event_id % 53 <> 0 THEN event_id % 50 * 23 + event_id * 7919 % 101 END AS ts, event_id * 3 % 41 AS num, event_id % 53 <> 0 AND event_id % 7 < 3 AS fs, event_id % 6 <> 0 AS wide, event_id % 3 AS h, event_type AS codec, value AS duration FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY album ORDER BY ts NULLS LAST, num, id) AS rn FROM v),
+    p AS (SELECT a.id AS src, b.id AS dst, abs(a.ts - b.ts) AS dt, abs(a.num - b.num) AS dn, a.fs AND b.fs AS fs_only, a.wide AND b.wide AND a.h = b.h AS size, a.codec = b.codec AS codec,
                  CASE WHEN a.duration > 0 AND b.duration > 0 THEN greatest(a.duration, b.duration) / least(a.duration, b.duration) END AS ratio
-          FROM n a JOIN n b ON a.album = b.album AND b.rn BETWEEN a.rn + 1 AND a.rn + 8),
-    links AS (SELECT * FROM (SELECT src, dst, CASE WHEN dt <= 30 THEN 'close_time' WHEN NOT fs AND dn <= 20 AND dt <= 120 THEN 'number_time' WHEN NOT fs AND dn <= 6 AND dt <= 300 AND (size OR codec) THEN 'number_format'
-              WHEN fs AND dn <= 6 AND dt <= 45 AND size THEN 'file_time' WHEN ratio <= 1.35 AND dt <= 20 AND size THEN 'duration' END AS reason FROM p) WHERE reason IS NOT NULL)
+          FROM n a JOIN n b ON a.album = b.album AND b.rn BETWEEN a.rn + 1 AND a.rn + 8 WHERE a.ts IS NOT NULL AND b.ts IS NOT NULL),
+    links AS (SELECT * FROM (SELECT src, dst, CASE WHEN dt <= 30 THEN 'close_time' WHEN NOT fs_only AND dn <= 20 AND dt <= 120 THEN 'number_time' WHEN NOT fs_only AND dn <= 6 AND dt <= 300 AND (size OR codec) THEN 'number_format'
+              WHEN fs_only AND dn <= 6 AND dt <= 45 AND size THEN 'file_time' WHEN ratio <= 1.35 AND dt <= 20 AND size THEN 'duration' END AS reason FROM p) WHERE reason IS NOT NULL)
 """
 
 
 @query(_VIDEOS + "SELECT src, dst, reason FROM links")
 def video_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return video.video_links(videos(spark, sf_dir), UNIT)
+    return video.video_links(videos(spark, sf_dir))
 
 
 @query(_VIDEOS + """, both_ways AS (SELECT src AS s, dst AS t FROM links UNION SELECT dst, src FROM links),
@@ -378,18 +508,20 @@ def video_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, coalesce(root, id) AS video_group_id, count(*) OVER (PARTITION BY coalesce(root, id)) AS video_group_size FROM v LEFT JOIN least_of ON node = id""")
 def video_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = videos(spark, sf_dir)
-    groups = stored(video.video_groups(rows, video.video_links(rows, UNIT)), "video-groups")
-    return groups.join(groups.groupBy("video_group_id").agg(F.count(F.lit(1)).alias("video_group_size")), "video_group_id").select("id", "video_group_id", "video_group_size")
+    groups = stored(video.video_groups(rows, video.video_links(rows)), "video-groups")
+    return ranking.group_sizes(groups, "video_group_id", "id", "video_group_size").select("id", "video_group_id", "video_group_size")
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("album"), (F.col("event_id") % 2).alias("stem"), (seconds() / 600).alias("ts"), (F.col("value") / 10).alias("duration"), "event_type")
+    """Views as videos and clicks as photos of hundred albums, seconds apart; a third of the stems is null."""
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(n.alias("id"), (n % 100).alias("album"), F.when(n % 3 != 0, n % 2).alias("stem"), (F.floor(n / 100) * 2.5 + n % 7 * 0.5).alias("ts"), (F.col("value") / 10).alias("duration"), "event_type")
     return video.live_pairs(rows.where("event_type = 'view'"), rows.where("event_type = 'click'").drop("duration"))
 
 
 _LIVE = """
-    WITH r AS (SELECT event_id, user_id, event_id % 2 AS stem, epoch_us(ts) / 1e6 / 600 AS t, value / 10 AS duration, event_type FROM events),
-    l AS (SELECT v.event_id AS video_id, p.event_id AS photo_id, abs(v.t - p.t) AS gap FROM r v JOIN r p ON v.user_id = p.user_id AND v.stem = p.stem
+    WITH r AS (SELECT event_id, event_id % 100 AS album, CASE WHEN event_id % 3 <> 0 THEN event_id % 2 END AS stem, event_id // 100 * 2.5 + event_id % 7 * 0.5 AS t, value / 10 AS duration, event_type FROM events),
+    l AS (SELECT v.event_id AS video_id, p.event_id AS photo_id, abs(v.t - p.t) AS gap FROM r v JOIN r p ON v.album = p.album AND v.stem IS NOT DISTINCT FROM p.stem
           WHERE v.event_type = 'view' AND p.event_type = 'click' AND v.duration <= 4 AND abs(v.t - p.t) <= 5)
 """
 
@@ -414,13 +546,16 @@ def filename_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", names.last_number(url).alias("last_number"), names.numeric_token(url).alias("numeric_token"), names.normal_stem(names.file_name(url)).alias("stem"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(epoch(date_trunc('second', ts)) AS DOUBLE) WHEN event_id % 3 = 1 THEN CAST(event_id AS DOUBLE) ELSE 0.0 END AS capture_ts,
-    CASE WHEN event_id % 3 = 1 THEN 'json' ELSE 'none' END AS time_source FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(epoch(date_trunc('second', ts)) AS DOUBLE) WHEN event_id % 3 = 1 THEN CAST(event_id - 50 AS DOUBLE) WHEN event_id % 4 = 0 THEN event_id + 0.5 ELSE 0.0 END AS capture_ts,
+    CASE WHEN event_id % 3 = 1 AND event_id > 50 THEN 'json' WHEN event_id % 4 = 0 THEN 'fs' ELSE 'missing' END AS time_source, CASE WHEN event_id % 3 = 1 AND event_id > 50 THEN CAST(event_id - 50 AS DOUBLE) WHEN event_id % 4 = 0 THEN event_id + 0.5 END AS chosen_ts,
+    CASE WHEN event_id % 3 = 1 THEN CAST(event_id - 50 AS DOUBLE) WHEN event_id % 4 = 0 THEN event_id + 0.5 END AS first_ts FROM events""")
 def capture_ts_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three orders of precedence; one needs positive seconds and tells its source."""
     exif = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", coerce.EXIF_FORMAT)).otherwise("not a date")
-    json = F.when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise("nan")
-    _, source = coerce.chosen_time(json, F.lit(None).cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", coerce.capture_seconds(exif, json, F.lit("")).alias("capture_ts"), source.alias("time_source"))
+    json = F.when(F.col("event_id") % 3 == 1, (F.col("event_id") - 50).cast("string")).otherwise("nan")
+    fs = F.when(F.col("event_id") % 4 == 0, (F.col("event_id") + 0.5).cast("string")).otherwise("")
+    chosen, source = coerce.chosen_time(json, fs)
+    return table(spark, sf_dir, "events").select("event_id", coerce.capture_seconds(exif, json, fs).alias("capture_ts"), source.alias("time_source"), chosen.alias("chosen_ts"), coerce.first_time(json, fs).alias("first_ts"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 4 = 1 THEN CAST(user_id AS VARCHAR) END AS json_datetime FROM events""")
@@ -430,11 +565,13 @@ def json_sidecar_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", coerce.json_datetime(doc).alias("json_datetime"))
 
 
-@query("""SELECT p_partkey, CASE WHEN (png OR hw >= 1.8) AND face < 0.005 THEN 'document' WHEN face >= 0.03 THEN 'people' WHEN png AND face < 0.01 THEN 'document' ELSE 'landscape' END AS content_type
-    FROM (SELECT p_partkey, p_size % 3 = 0 AS png, p_size / 20.0 AS hw, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey % 50 / 1000.0 END AS face FROM part)""")
+@query("""SELECT p_partkey, CASE WHEN w IS NULL THEN NULL WHEN (png OR (w > 0 AND h > 0 AND h / w >= 1.8)) AND face < 0.005 THEN 'document' WHEN face >= 0.03 THEN 'people' WHEN png AND shot AND face < 0.01 THEN 'document' ELSE 'landscape' END AS content_type
+    FROM (SELECT p_partkey, p_size % 3 = 0 AS png, p_partkey % 4 < 2 AS shot, CASE WHEN p_partkey % 19 <> 0 THEN p_partkey % 11 * 2 END AS w, CAST(p_size AS DOUBLE) AS h, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey % 50 / 1000.0 END AS face FROM part)""")
 def content_type_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     face = F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") % 50 / 1000.0)
-    return table(spark, sf_dir, "part").select("p_partkey", names.content_type(F.col("p_size") % 3 == 0, F.col("p_size") / 20.0, face).alias("content_type"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("/a/My Screenshot", "/IMG_", "/screens/x", "/b")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = F.concat(name, F.when(F.col("p_size") % 3 == 0, ".PNG").otherwise(".jpg"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.content_type(path, F.when(F.col("p_partkey") % 19 != 0, F.col("p_partkey") % 11 * 2), F.col("p_size"), face).alias("content_type"))
 
 
 @query("""SELECT page_id, CASE WHEN contains(path, '.') THEN 'media/photo' ELSE 'other' END AS file_role, path AS file_name, sha1(lower(url)) AS asset_id FROM (
@@ -448,30 +585,53 @@ def raw_file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- cleanup, plans, review
 
 
-def _working(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as an index for a cleanup: hashes, perceptual hashes and groups are missing here and there, some rows are videos."""
+    n = F.col("asset_id")
     rows = assets(spark, sf_dir)
-    sha = F.when(F.col("asset_id") % 4 != 0, F.col("sha256"))
-    key = cleanup.duplicate_key(sha, F.when(F.col("asset_id") % 8 == 0, F.substring("sha256", 1, 16)), F.col("file_size"), F.lit(10), F.lit(20), F.lit("txt"), F.col("content_type"))
-    return rows.select("asset_id", sha.alias("sha"), F.col("has_sidecar").alias("has_json"), F.when(F.col("asset_id") % 5 != 0, F.col("asset_id") % 100).alias("rating"), key.alias("duplicate_key"), cleanup.safe_subgroup(F.lit("auto"), F.when(F.col("asset_id") % 2 == 0, F.col("content_type")).otherwise(key)).alias("safe_subgroup"))
+    kind = F.when(n % 9 == 0, ".MOV").otherwise(".Txt")
+    return rows.select(
+        "asset_id", F.concat(F.lit(" /in/"), "content_type", kind).alias("file_path"), (F.col("file_size") % 3).alias("file_size"), F.when(n % 4 != 0, F.upper("sha256")).when(n % 8 == 0, " nan ").alias("sha256"), F.when(n % 8 == 0, F.substring("sha256", 1, 2)).alias("phash"),
+        F.when(n % 16 != 0, "10").alias("width"), F.lit("20.0").alias("height"), F.when(F.col("has_sidecar"), "x.json").when(n % 3 == 0, "None").alias("json_path"), F.when(n % 5 != 0, (n % 100).cast("string")).otherwise("?").alias("score"),
+        F.when(n % 6 == 0, " NaN").when(n % 2 == 0, (n % 30).cast("string")).alias("group_id"),
+    )
 
 
-_WORKING = """
-    WITH a AS (SELECT doc_id AS asset_id, CASE WHEN doc_id % 4 <> 0 THEN sha256(text) END AS sha, doc_id IN (SELECT doc_id FROM labels) AS has_json, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 100 END AS rating, source,
-        CASE WHEN doc_id % 4 <> 0 THEN sha256(text) WHEN doc_id % 8 = 0 THEN 'strict::' || left(sha256(text), 16) || '::' || n_chars || '::10x20::txt' ELSE 'fallback::' || lower(source) || '::' || n_chars END AS duplicate_key FROM documents),
-    w AS (SELECT *, 'auto||' || CASE WHEN asset_id % 2 = 0 THEN source ELSE duplicate_key END AS safe_subgroup FROM a)
+_INDEX = """
+    WITH a AS (SELECT doc_id AS asset_id, lower(source) || CASE WHEN doc_id % 9 = 0 THEN '.mov' ELSE '.txt' END AS name, CASE WHEN doc_id % 9 = 0 THEN '.mov' ELSE '.txt' END AS ext, doc_id % 9 = 0 AS video, n_chars % 3 AS size, CASE WHEN doc_id % 4 <> 0 THEN sha256(text) END AS sha,
+            CASE WHEN doc_id % 8 = 0 THEN left(sha256(text), 2) END AS phash, doc_id % 16 <> 0 AS wide, doc_id IN (SELECT doc_id FROM labels) AS has_json, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 100 END AS rating, CASE WHEN doc_id % 2 = 0 AND doc_id % 6 <> 0 THEN doc_id % 30 END AS grp, CASE WHEN doc_id % 6 = 0 THEN ' NaN' WHEN doc_id % 2 = 0 THEN CAST(doc_id % 30 AS VARCHAR) ELSE 'nan' END AS grp_text FROM documents),
+    k AS (SELECT *, CASE WHEN sha IS NOT NULL THEN sha WHEN phash IS NOT NULL AND wide THEN 'strict::' || phash || '::' || size || '::10x20::' || ext ELSE 'fallback::' || name || '::' || size END AS duplicate_key FROM a),
+    m AS (SELECT 'auto' AS mode, *, CASE WHEN grp IS NOT NULL THEN 'group_id::' || grp ELSE duplicate_key END || '||' || duplicate_key AS safe_subgroup FROM k WHERE NOT video
+          UNION ALL SELECT 'exact', *, duplicate_key || '||' || duplicate_key FROM k WHERE NOT video UNION ALL SELECT 'group_id', *, 'group_id::' || grp_text || '||' || duplicate_key FROM k)
 """
 
 
-@query(_WORKING + "SELECT asset_id, duplicate_key, safe_subgroup FROM w")
-def duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _working(spark, sf_dir).select("asset_id", "duplicate_key", "safe_subgroup")
+def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _index(spark, sf_dir)
+    rating = cleanup.rating_column(rows.columns)
+    modes = [cleanup.working_frame(rows, rating, m, videos=m == "group_id").select(F.lit(m).alias("mode"), "asset_id", "duplicate_key", F.concat(F.lit(m), "safe_subgroup").alias("own"), "safe_subgroup", "sha", "has_json", "rating_value") for m in cleanup.GROUP_MODES]
+    return modes[0].union(modes[1]).union(modes[2])
 
 
-@query(_WORKING + """, f AS (SELECT *, count(*) OVER g AS n, bool_or(has_json) OVER g AS y, bool_or(NOT has_json) OVER g AS x, count(sha) OVER g = count(*) OVER g AND min(sha) OVER g = max(sha) OVER g AS exact, max(CASE WHEN has_json THEN rating END) OVER g AS best
-        FROM w WINDOW g AS (PARTITION BY safe_subgroup))
-    SELECT asset_id, safe_subgroup, reason FROM (SELECT *, CASE WHEN exact THEN 'exact_copy_without_json' WHEN rating < best THEN 'lower_rated' END AS reason FROM f WHERE n >= 2 AND y AND x AND NOT has_json) WHERE reason IS NOT NULL""")
+@query(_INDEX + "SELECT mode, asset_id, duplicate_key, safe_subgroup, has_json, CAST(rating AS DOUBLE) AS rating_value FROM m")
+def cleanup_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The working frame in its three group modes; one of them with videos."""
+    return _modes(spark, sf_dir).select("mode", "asset_id", "duplicate_key", "safe_subgroup", "has_json", "rating_value")
+
+
+@query(_INDEX + """, f AS (SELECT *, count(*) OVER g AS n, bool_or(has_json) OVER g AS y, bool_or(NOT has_json) OVER g AS x, count(sha) OVER g = count(*) OVER g AND min(sha) OVER g = max(sha) OVER g AS exact, max(CASE WHEN has_json THEN rating END) OVER g AS best
+        FROM m WINDOW g AS (PARTITION BY mode, safe_subgroup))
+    SELECT mode, asset_id, safe_subgroup, reason FROM (SELECT *, CASE WHEN exact THEN 'exact_copy_without_json' WHEN rating < best THEN 'lower_rated' END AS reason FROM f WHERE n >= 2 AND y AND x AND NOT has_json) WHERE reason IS NOT NULL""")
 def cleanup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanup.delete_candidates(stored(_working(spark, sf_dir), "working")).select("asset_id", "safe_subgroup", "reason")
+    """What may go in each mode, by rating."""
+    return cleanup.delete_candidates(_modes(spark, sf_dir), "own", "rating_value").select("mode", "asset_id", "safe_subgroup", "reason")
+
+
+@query(_INDEX + """, f AS (SELECT *, bool_or(has_json) OVER g AS y, count(sha) OVER g = count(*) OVER g AND min(sha) OVER g = max(sha) OVER g AS exact FROM m WINDOW g AS (PARTITION BY mode, safe_subgroup))
+    SELECT mode, asset_id FROM f WHERE y AND NOT has_json AND exact""")
+def cleanup_without_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a rating only exact copies may go."""
+    return cleanup.delete_candidates(_modes(spark, sf_dir).withColumn("rating_value", F.lit(None).cast("double")), "own", "rating_value").select("mode", "asset_id")
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,25 +658,42 @@ def manifest_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.manifest(_plan(spark, sf_dir))
 
 
-@query("""WITH t AS (SELECT *, CASE left(o_orderpriority, 1) WHEN '1' THEN 'people' WHEN '2' THEN 'landscapes' WHEN '3' THEN 'documents' END AS tag FROM orders)
-    SELECT o_custkey, count(*) AS size, coalesce(string_agg(DISTINCT tag, '|' ORDER BY tag), '') AS categories, string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS label FROM t GROUP BY o_custkey HAVING bool_or(tag IN ('people', 'documents'))""")
-def review_groups_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as review rows: comma-joined tags, customers as scenes, one in eleven without."""
     first = F.left("o_orderpriority", F.lit(1))
-    tag = F.when(first == "1", " People").when(first == "2", "landscape").when(first == "3", "document").otherwise("other")
-    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("group_id"), tag.alias("tag"))
-    found = review.photo_groups(rows, ["people", "documents"], "o_custkey")
-    return found.withColumn("categories", F.array_join("categories", "|"))
+    own = F.when(first == "1", " People").when(first == "2", "landscape,other").when(first == "3", "Document , landscapes").when(first == "4", "").otherwise(F.lit(None))
+    more = F.when(F.col("o_orderkey") % 5 == 0, "people, video")
+    scene = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey"))
+    return table(spark, sf_dir, "orders").select(scene.alias("scene_group_id"), (F.col("o_orderkey") % 40 + 1_000_000).alias("group_id"), own.alias("content_type_file"), more.alias("content_type_scene"))
+
+
+_TAGGED = """
+    WITH o AS (SELECT coalesce(CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END, o_orderkey % 40 + 1000000) AS display_id, o_orderkey % 40 + 1000000 AS group_id,
+            list_concat(CASE left(o_orderpriority, 1) WHEN '1' THEN ['people'] WHEN '2' THEN ['landscapes'] WHEN '3' THEN ['documents', 'landscapes'] ELSE [] END, CASE WHEN o_orderkey % 5 = 0 THEN ['people', 'video'] ELSE [] END) AS tags FROM orders),
+    t AS (SELECT display_id, string_agg(DISTINCT tag, '|' ORDER BY tag) AS categories, bool_or(tag IN ('people', 'documents')) AS shown FROM (SELECT display_id, unnest(tags) AS tag FROM o) GROUP BY 1),
+    g AS (SELECT display_id, count(*) AS size, string_agg(DISTINCT group_id, ', ' ORDER BY group_id) AS strict FROM o GROUP BY 1)
+"""
+
+
+@query(_TAGGED + "SELECT display_id, size, categories, CAST(display_id AS VARCHAR) AS common_label, CASE WHEN strict = CAST(display_id AS VARCHAR) THEN '' ELSE strict END AS private_label FROM g JOIN t USING (display_id) WHERE shown")
+def review_groups_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = review.photo_groups(_tagged(spark, sf_dir), ["people", "documents"])
+    return found.withColumn("categories", F.array_join("categories", "|")).drop("label")
 
 
 @query("SELECT user_id, count(*) AS size, bool_or(event_type = 'view') AS has_live, bool_or(event_type <> 'view') AS has_regular FROM events GROUP BY user_id HAVING count(*) > 1 AND bool_or(event_type = 'view')")
 def review_video_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "view").alias("is_live"))
+    """Most videos have a null flag, as a left join leaves them."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "view", True).when(F.col("event_type") == "click", False).alias("is_live"))
     return review.video_review_groups(rows, "user_id", live=True, regular=False)
 
 
-@query("""SELECT o_custkey, unnest(list_filter([CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'o_orderstatus' END, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'o_orderpriority' END], lambda c: c IS NOT NULL)) AS metric FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey, unnest(list_concat(list_filter([CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'o_orderstatus' END, CASE WHEN count(DISTINCT coalesce(p, 'none')) > 1 THEN 'p' END, CASE WHEN count(DISTINCT o_orderdate) > 1 THEN 'o_orderdate' END], lambda c: c IS NOT NULL), ['size_wh'])) AS metric
+    FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS p FROM orders) GROUP BY o_custkey""")
 def review_varying_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.varying_columns(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"])
+    """Width and height differ, but give way to the size; a null is a text of its own."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("p"), "o_orderdate", F.col("o_orderkey").alias("width"), F.lit(5).alias("height"))
+    return review.varying_columns(rows, "o_custkey", ["o_orderstatus", "p", "o_orderdate", "width", "height"])
 
 
 # ---------------------------------------------------------------- more filters, joins and functions
@@ -539,7 +716,7 @@ def truth_and_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'landscapes' WHEN 1 THEN 'people' WHEN 2 THEN 'documents' END AS label, p_size / nullif(CAST(p_size % 3 AS DOUBLE), 0) AS aspect, concat_ws('/', '/lib', nullif(CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END, ''), p_name) AS target,
-    CASE WHEN p_retailprice * 997.3 >= 1048576 THEN printf('%.1f MB', p_retailprice * 997.3 / 1048576.0) WHEN p_retailprice * 997.3 >= 1024 THEN printf('%.1f KB', p_retailprice * 997.3 / 1024.0) ELSE printf('%d B', CAST(floor(p_retailprice * 997.3) AS BIGINT)) END AS size_text FROM part""")
+    CASE WHEN p_retailprice * 997.3 >= 1048576 THEN printf('%.2f MB', p_retailprice * 997.3 / 1048576.0) WHEN p_retailprice * 997.3 >= 1024 THEN printf('%.1f KB', p_retailprice * 997.3 / 1024.0) ELSE printf('%d B', CAST(floor(p_retailprice * 997.3) AS BIGINT)) END AS size_text FROM part""")
 def labels_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.element_at(F.array(*[F.lit(x) for x in (" Landscape", "people", "DOCUMENT ", "cat")]), (F.col("p_size") % 4 + 1).cast("int"))
     folder = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("")
@@ -579,7 +756,7 @@ def pair_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.enrich_pairs(pairs, rows.select("id", "album", (F.col("id") * 3).alias("phash")), "id", ["album", "phash"])
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_partkey % 1000 AS x, l_suppkey AS y, l_quantity * 10 AS w, l_quantity * 8 AS h FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH f AS (SELECT l_orderkey, l_partkey % 1000 AS x, l_suppkey AS y, l_quantity * 10 AS w, l_quantity * 8 AS h FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY w * h DESC, x, y) AS k FROM f WHERE w >= 80 AND h >= 80 AND w * h >= 30000),
     b AS (SELECT l_orderkey, greatest(0, x - 0.25 * w) AS bx, greatest(0, y - 0.25 * h) AS by_, w * 1.5 AS bw FROM r WHERE k <= 4)
     SELECT o.l_orderkey, coalesce(count(bx), 0) AS faces, string_agg(CAST(CAST(round(bw) AS BIGINT) AS VARCHAR), ',' ORDER BY bx, by_, bw) AS widths FROM (SELECT DISTINCT l_orderkey FROM f) o LEFT JOIN b USING (l_orderkey) GROUP BY 1""")
@@ -604,11 +781,77 @@ def delete_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.without_ids(rows, rows.where(F.col("o_orderkey") % 7 == 0), "o_orderkey")[0]
 
 
-@query("""SELECT o_custkey, CAST(o_custkey AS VARCHAR) || ': ' || string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS label FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, CAST(o_custkey AS VARCHAR) || ' ' || string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS label FROM orders GROUP BY 1""")
 def scene_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.scene_labels(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
 
 
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Landscapes, People' WHEN 1 THEN 'Documents' ELSE '' END AS tags, CASE WHEN p_size % 5 <> 0 THEN printf('%.2f s', p_retailprice) END AS duration, printf('%.1f kbps', p_retailprice) AS rate, CASE WHEN p_size % 2 = 0 THEN 'Yes' ELSE 'No' END AS audio,
+    CASE WHEN p_size % 5 <> 0 THEN p_size || ' × ' || p_partkey || ' px' END AS size_wh, CAST(p_size AS VARCHAR) AS other FROM part""")
+def metric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display texts of metrics with units, tags, flags and sizes."""
+    word = F.element_at(F.array(*[F.lit(x) for x in ("landscape, cat,People", "DOCUMENT", "cat", "")]), (F.col("p_size") % 4 + 1).cast("int"))
+    some = lambda c: F.when(F.col("p_size") % 5 != 0, F.col(c))
+    return table(spark, sf_dir, "part").select("p_partkey", names.metric_text("content_type_scene", word).alias("tags"), names.metric_text("duration_sec_final", some("p_retailprice")).alias("duration"), names.metric_text("bitrate_kbps_final", F.col("p_retailprice")).alias("rate"), names.metric_text("audio_present_final", (F.col("p_size") % 2 == 0).cast("double")).alias("audio"), names.size_text(some("p_size"), F.col("p_partkey")).alias("size_wh"), names.metric_text("any", F.col("p_size")).alias("other"))
+
+
+@query("SELECT max(CASE WHEN p_size % 3 <> 0 THEN p_retailprice END) AS _top_price, max(p_size) * 1.0 AS _top_size, CAST(NULL AS DOUBLE) AS _top_name, count(*) AS _rows FROM part")
+def metric_highest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest number of each metric; a text column has none."""
+    rows = table(spark, sf_dir, "part").select(F.when(F.col("p_size") % 3 != 0, F.col("p_retailprice").cast("string")).otherwise("n/a").alias("price"), F.col("p_size").alias("size"), F.col("p_name").alias("name"))
+    return review.metric_maxima(rows, ["price", "size", "name"])
+
+
+@query("SELECT page_id AS asset_id FROM pages WHERE page_id % 6 = 1 AND page_id % 5 <> 0 AND page_id % 4 <> 3")
+def grouping_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _mixed(spark, sf_dir).withColumn("file_path", F.when(F.col("asset_id") % 4 == 3, F.lit("/x.gif")).otherwise(F.col("file_path")))
+    return index.grouping_photos(rows.withColumn("width", F.lit(1)).withColumn("height", F.lit(1))).select("asset_id")
+
+
+@query("""SELECT o_orderkey, l.asset_id, l.sidecar_count FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(l_partkey, (l_partkey, l_suppkey)) AS asset_id, arg_min(l_suppkey, (l_partkey, l_suppkey)) AS sidecar_count FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1) l ON l_orderkey = o_orderkey""")
+def member_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group members get the columns of the least asset of their path."""
+    members = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_path"))
+    own = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("file_path"), F.col("l_partkey").alias("asset_id"), F.col("l_suppkey").alias("sidecar_count"))
+    return index.with_asset_columns(members, own).withColumnRenamed("file_path", "o_orderkey")
+
+
+@query("""SELECT o_orderkey AS asset_id, m.q AS duration FROM orders LEFT JOIN (SELECT l_orderkey, min(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END) AS q FROM lineitem GROUP BY 1) m ON l_orderkey = o_orderkey""")
+def duration_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured durations by asset; unparsable ones are null."""
+    text = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("string")).otherwise("n/a")
+    return video.with_duration(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("asset_id"), text.alias("duration_sec")))
+
+
+@query("""SELECT p_partkey, CASE WHEN r < 0.05 THEN r / 0.05 WHEN r <= 0.35 THEN 1.0 ELSE greatest(0, 1 - (r - 0.35)) END AS coverage, round(greatest(0, 1 - 1.5 * least(sqrt(pow(x - 1/3.0, 2) + pow(y - 1/3.0, 2)), sqrt(pow(x - 2/3.0, 2) + pow(y - 1/3.0, 2)), sqrt(pow(x - 1/3.0, 2) + pow(y - 2/3.0, 2)), sqrt(pow(x - 2/3.0, 2) + pow(y - 2/3.0, 2)))), 9) AS placement,
+    CASE WHEN x < 0.05 OR y < 0.05 OR x + 0.25 > 0.95 OR y + 0.25 > 0.95 THEN 1.0 ELSE 0.0 END AS edge, round(greatest(0.6 * r + 0.4 * x, 0.6 * y + 0.4 * r), 9) AS subject
+    FROM (SELECT p_partkey, p_size / 51.0 AS r, p_partkey % 41 / 40.0 AS x, p_partkey % 37 / 36.0 AS y FROM part)""")
+def composition_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage, placement, edge penalty and subject score over the whole range of shares."""
+    r, x, y = F.col("p_size") / 51.0, F.col("p_partkey") % 41 / 40.0, F.col("p_partkey") % 37 / 36.0
+    side = F.lit(0.25)
+    faces = F.array(F.struct(r.alias("area"), x.alias("center")), F.struct(y.alias("area"), r.alias("center")))
+    return table(spark, sf_dir, "part").select("p_partkey", scores.face_coverage(r).alias("coverage"), F.round(scores.subject_placement(x, y), 9).alias("placement"), scores.edge_penalty(x, y, side, side).alias("edge"), F.round(scores.subject_score(faces), 9).alias("subject"))
+
+
+@query("SELECT doc_id, 'p' || doc_id || '.json' AS path, 'sidecar' AS kind FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT min(doc_id), 'shared/' || lang, 'primary' FROM documents GROUP BY lang")
+def deletion_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each path once, with the least row that has it."""
+    n = F.col("doc_id")
+    sides = F.when(n % 2 == 0, F.array(F.concat(F.lit("p"), n.cast("string"), F.lit(".json")))).otherwise(F.array().cast("array<string>"))
+    return cleanup.deletion_paths(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("shared/"), "lang").alias("path"), sides.alias("sidecars")), "doc_id")
+
+
+@query("""SELECT page_id, CAST(epoch_s AS BIGINT) AS first_positive, lower(coalesce(album, '')) AS album, printf('%d:%02d:%02d', page_id * 37 // 3600, page_id * 37 % 3600 // 60, page_id * 37 % 60) AS clock FROM (
+    SELECT page_id, CASE WHEN page_id = 0 THEN NULL WHEN page_id % 3 = 0 THEN page_id WHEN page_id % 3 = 1 THEN page_id * 2 END AS epoch_s, CASE WHEN page_id % 2 = 0 THEN 'AlBum' || page_id END AS album FROM pages)""")
+def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First positive number, album key, seconds as a clock."""
+    n = F.col("page_id")
+    text = F.when(n % 3 == 0, n.cast("string")).when(n % 3 == 1, "-5").otherwise("inf")
+    other = F.when(n % 3 == 1, n * 2)
+    return table(spark, sf_dir, "pages").select("page_id", coerce.first_positive(text, other).cast("long").alias("first_positive"), names.album_key(F.when(n % 2 == 0, F.concat(F.lit("AlBum"), n.cast("string")))).alias("album"), coerce.seconds_text(n * 37).alias("clock"))
+
+
 @query("""WITH m AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'a.jpg' WHEN 1 THEN 'b.png' ELSE 'c.heic' END AS name FROM part)
     SELECT p_partkey, CASE name WHEN 'a.jpg' THEN CASE WHEN p_partkey % 2 = 0 THEN '/a.jpg.json' ELSE '/a.json' END WHEN 'b.png' THEN CASE WHEN p_partkey % 2 = 0 THEN '/b.png.json' END END AS json_path FROM m""")
 def sidecar_links(spark: SparkSession, sf_dir: str) -> DataFrame:

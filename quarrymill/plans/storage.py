@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets a temporary folder.  On a cluster the
+    driver and the executors don't share one, so that is a RuntimeError.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         folder = f"file://{tempfile.mkdtemp(prefix='quarrymill-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
