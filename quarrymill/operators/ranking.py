@@ -9,7 +9,7 @@ from quarrymill.operators.facts import with_facts
 
 
 def normalised(df: DataFrame, group: str, shares: dict[str, Column] | None = None, ranges: dict[str, Column] | None = None) -> DataFrame:
-    """Rows with columns normalised inside their group, kept in 0..1; null in rows of a null group.
+    """Rows with columns normalised inside their group, kept in 0..1; null for null and in rows of a null group.
 
     ``shares`` are x / the group's maximum (1 if that isn't positive); ``ranges``
     are (x - min) / (max - min, or 1 if they are equal).
@@ -17,7 +17,7 @@ def normalised(df: DataFrame, group: str, shares: dict[str, Column] | None = Non
     shares, ranges = shares or {}, ranges or {}
     facts = {f"_top_{n}": F.max(x) for n, x in (shares | ranges).items()} | {f"_low_{n}": F.min(x) for n, x in ranges.items()}
     joined = with_facts(df, group, facts)
-    unit = lambda x: F.when(F.col(group).isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    unit = lambda x: F.when(F.col(group).isNotNull() & x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
     out = {n: unit(x / F.when(F.col(f"_top_{n}") > 0, F.col(f"_top_{n}")).otherwise(F.lit(1.0))) for n, x in shares.items()}
     for n, x in ranges.items():
         width = F.col(f"_top_{n}") - F.col(f"_low_{n}")

@@ -26,10 +26,10 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 def unique_assets(assets: DataFrame) -> DataFrame:
     """Survivors of the exact copies, with united sidecars."""
-    ranked = assets.select("asset_id", "sha256", F.col("file_path").alias("path"), "file_size", "has_sidecar", "sidecar_count", F.col("json_datetime").isNotNull().alias("has_json_time"), F.col("exif_datetime").isNotNull().alias("has_exif_time"), F.col("content_type_file").alias("content_type"), "json_datetime", "exif_datetime", F.col("sidecar_paths").alias("sidecars"))
+    ranked = assets.select("asset_id", "sha256", F.col("file_path").alias("path"), "file_size", "has_sidecar", "sidecar_count", F.col("json_datetime").isNotNull().alias("has_json_time"), F.col("exif_datetime").isNotNull().alias("has_exif_time"), F.col("content_type_file").alias("content_type"), "json_datetime", "exif_datetime", "json_path", F.col("sidecar_paths").alias("sidecars"))
     folded = dedupe.fold_copies(ranked)
-    rest = assets.drop("sha256", "has_sidecar", "sidecar_paths", "sidecar_count", "content_type_file", "json_datetime", "exif_datetime")
-    return folded.withColumnsRenamed({"sidecars": "sidecar_paths", "content_type": "content_type_file"}).withColumn("sidecar_count", F.size("sidecar_paths")).join(rest, "asset_id")
+    rest = assets.drop("sha256", "has_sidecar", "sidecar_paths", "sidecar_count", "content_type_file", "json_datetime", "exif_datetime", "json_path")
+    return folded.withColumnsRenamed({"sidecars": "sidecar_paths", "content_type": "content_type_file"}).join(rest, "asset_id")
 
 
 def photo_pairs(photos: DataFrame, limits: similarity.Limits = similarity.LIMITS) -> DataFrame:

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.operators import curation, graph, index, order, review, video
-from quarrymill.plans import media
+from quarrymill.operators import curation, graph, index, order, review, tables, video
+from quarrymill.plans import media, videos as video_plan
 from tests.test_operators import png
 
 
@@ -35,7 +35,7 @@ def test_folder_to_plan(spark, tmp_path):
     groups = media.photo_groups(media.photo_pairs(photos))
     ranked = media.ranked(groups, photos)
     assert [r["file_path"].rpartition("/")[2] for r in ranked.where("is_best").collect()] == ["IMG_0001.png"]
-    assert review.scene_labels(ranked).first()["label"] == "1: 1" and review.split_label("1: 1, 2") == ("1", ["1", "2"])
+    assert review.scene_labels(ranked).first()["label"] == "1"
     moves = curation.manifest(media.library_plan(ranked, "/lib")).orderBy("entry").collect()
     assert [m["target_path"] for m in moves] == ["/lib/copy/IMG_0001.png", "/lib/copy/IMG_0001.png.json"]
 
@@ -58,6 +58,31 @@ def test_video_tables(spark):
     rows = order.positions(index.video_rows(joined), [F.col("album"), F.col("ts").asc_nulls_last(), F.col("num"), F.col("name"), F.col("id")])
     groups = {r["id"]: r["video_group_id"] for r in video.video_groups(rows, video.video_links(rows)).collect()}
     assert groups == {"v1": "v1", "v2": "v1", "v3": "v3"}
+    placed = video_plan.grouped(videos, metrics)
+    assert {(r["asset_id"], r["video_group_id"], r["video_group_size"]) for r in placed.collect()} == {("v1", "v1", 2), ("v2", "v1", 2), ("v3", "v3", 1)}
+    live = spark.createDataFrame([("v1", "p", 0.5, "strong"), ("v1", "q", 0.1, "Strong "), ("v2", "p", 3.0, "probable")], "video_id string, photo_id string, time_gap double, live_photo_status string")
+    best = {r["asset_id"]: r for r in video_plan.scored(placed, live).collect()}
+    # v1: pixels 1, duration 1, nothing else, less 0.2; v2: pixels 1, duration 0, less 0.1
+    assert (best["v1"]["video_score"], best["v2"]["video_score"], best["v3"]["video_score"]) == (0.23, 0.25, 0.0)
+    assert [best[v]["best_asset_id"] for v in ("v1", "v2", "v3")] == ["v2", "v2", "v3"] and best["v1"]["best_file"] == "VID_101.mov" and best["v2"]["is_best_video"]
+    assert (best["v1"]["live_photo_photo_asset_id"], best["v1"]["time_gap_sec"], best["v3"]["has_live_photo_pair"]) == ("q", 0.1, False)
+    shown = video_plan.review(video_plan.scored(placed)).collect()
+    assert {(r["group_id"], r["scene_group_size"], r["final_score"], r["content_type_file"], r["media_type"]) for r in shown} == {("v1", 2, 0.43, "video", "video"), ("v1", 2, 0.35, "video", "video"), ("v3", 1, 0.0, "video", "video")}
+
+
+def test_grouping_photos(spark):
+    df = spark.createDataFrame([("/a/x.JPG", "00", 1, 1, "true"), ("/a/x.gif", "00", 1, 1, "true"), ("/a/y.heic", None, 1, 1, "1"), ("/a/z.tiff", "0", None, 1, None)], "file_path string, phash string, width int, height int, is_image string")
+    assert [r["file_path"] for r in index.grouping_photos(df).collect()] == ["/a/x.JPG"]
+    rows = index.grouping_photos(df.drop("is_image"))
+    assert rows.count() == 2 and {"album_path", "created_at_fs", "json_datetime", "exif_datetime"} <= set(rows.columns)
+    with pytest.raises(ValueError):
+        index.grouping_photos(df.drop("phash"))
+    members = spark.createDataFrame([("/a", 1), ("/b", 2)], "file_path string, group_id long")
+    assets = spark.createDataFrame([("/a", "z", 1), ("/a", "y", 2)], "file_path string, asset_id string, sidecar_count int")
+    got = index.with_asset_columns(members, assets)
+    assert {(r["file_path"], r["asset_id"], r["sidecar_count"]) for r in got.collect()} == {("/a", "y", 2), ("/b", None, None)}
+    assert index.with_asset_columns(members, assets.drop("file_path")).columns == members.columns
+    assert tables.with_nulls(members, {"group_id": "long", "x": "int"}).columns == ["file_path", "group_id", "x"]
 
 
 def test_index_helpers(spark):

@@ -1,5 +1,6 @@
 """Boundary rows and small fixtures for the curation operators."""
 
+import math
 import random
 import struct
 import zlib
@@ -30,8 +31,10 @@ def test_fold_copies_keeps_null_keys_apart(spark):
     assert set(got) == {3, 4, 5}
     assert (got[3]["copies"], got[3]["sidecars"], got[3]["content_type"], got[3]["json_datetime"], got[3]["exif_datetime"]) == (3, ["s", "t"], "people", "7", "e")
     assert got[4]["content_type"] == ""
-    pairs = {(r["canonical_asset_id"], r["absorbed_asset_id"]) for r in dedupe.absorbed_pairs(df).collect()}
-    assert pairs == {(3, 1), (3, 2)}
+    assert (got[3]["sidecar_count"], got[3]["json_path"], got[4]["json_path"]) == (2, "s", "")
+    # the survivor counts the sidecars of all copies, a copy its own
+    pairs = {(r["canonical_asset_id"], r["absorbed_asset_id"], r["canonical_file_path"], r["absorbed_file_path"], r["canonical_sidecar_count"], r["absorbed_sidecar_count"], r["canonical_has_sidecar"], r["absorbed_has_sidecar"], r["dedupe_action"]) for r in dedupe.absorbed_pairs(df).collect()}
+    assert pairs == {(3, 1, "a", "b", 2, 0, True, False, "absorbed_into_canonical"), (3, 2, "a", "c", 2, 1, True, True, "absorbed_into_canonical")}
     assert dedupe.fold_copies(df.limit(0)).count() == 0
 
 
@@ -85,6 +88,36 @@ def test_hamming_boundary_and_prefix(spark):
     assert {(r["img1"], r["img2"], r["distance"]) for r in pairs.collect()} == {("a", "b", 5), ("b", "c", 1)}
 
 
+@pytest.mark.parametrize(("prefix", "distance"), [(4, 5), (1, 12), (0, 3)])
+def test_hash_pairs_equal_all_pairs(spark, prefix, distance):
+    rng = random.Random(prefix)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    own = []
+    for k in range(90):
+        h = base[k % 6]
+        for _ in range(rng.randrange(8)):
+            h ^= 1 << rng.randrange(64)
+        own.append((f"p{k:02d}", f"{h:016x}"))
+    own += [(f"q{k:02d}", own[0][1]) for k in range(25)]  # a hash that very many photos share
+    df, limits = spark.createDataFrame(own, "file_path string, phash string"), similarity.Limits(prefix=prefix, hash_distance=distance)
+    want = {(a[0], b[0], d) for a in own for b in own if a[0] < b[0] and a[1][:prefix] == b[1][:prefix] and (d := (int(a[1], 16) ^ int(b[1], 16)).bit_count()) <= distance}
+    got = [(r["img1"], r["img2"], r["distance"]) for r in similarity.blocked_pairs(df, limits).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    classes = [(r["img1"], r["img2"]) for r in similarity.class_pairs(df, limits).collect()]
+    assert len(classes) == len(set(classes)) < len(want)
+    parts = lambda edges: {frozenset(g) for g in united(edges).values()}
+    assert parts(classes) == parts([w[:2] for w in want])
+
+
+def united(edges):
+    groups = {}
+    for a, b in edges:
+        both = groups.get(a, {a}) | groups.get(b, {b})
+        for x in both:
+            groups[x] = both
+    return groups
+
+
 def test_album_candidate_thresholds(spark):
     bits = lambda n: (1 << n) - 1
     rows = [(1, "x", 0.0, 1, 1.0, 0), (2, "x", 120.0, 26, 1.7, bits(40)), (3, "x", 121.0, 500, 1.0, bits(24)), (4, "x", 20000.0, 900, 1.0, bits(24))]
@@ -110,40 +143,72 @@ def test_decision_veto_and_scopes(spark):
 
 
 def test_video_rules(spark):
-    def reason(dt, num, source, size=10, codec="h", duration=1.0):
+    def reason(dt, num, left, right, size=10, codec="h", duration=1.0):
         v = "struct<ts:double,num:long,source:string,width:int,height:int,codec:string,duration:double>"
-        return values(spark, video.link_reason(), [((0.0, 0, "json", 10, 10, "h", 1.0), (float(dt), num, source, size, 10, codec, duration))], f"l {v}, r {v}")[0]
+        return values(spark, video.link_reason(), [((0.0, 0, left, 10, 10, "h", 1.0), (None if dt is None else float(dt), num, right, size, 10, codec, duration))], f"l {v}, r {v}")[0]
 
-    assert reason(30, 99, "json") == "close_time"
-    assert reason(31, 20, "json") == "number_time" and reason(31, 21, "json") is None
-    assert reason(300, 6, "json", size=3) == "number_format" and reason(301, 6, "json") is None
-    assert reason(45, 6, "fs") == "file_time" and reason(46, 6, "fs") is None
-    assert reason(300, 6, "json", size=3, codec=None) is None
+    assert reason(30, 99, "json", "json") == "close_time" and reason(None, 0, "json", "json") is None
+    assert reason(31, 20, "json", "json") == "number_time" and reason(31, 21, "json", "json") is None
+    # one file time among the two is no file pair
+    assert reason(120, 20, "fs", "json") == "number_time" and reason(120, 6, "json", "fs", size=3) == "number_time"
+    assert reason(300, 6, "json", "fs", size=3, codec=" H ") == "number_format" and reason(301, 6, "json", "json") is None
+    assert reason(45, 6, "fs", "fs") == "file_time" and reason(46, 6, "fs", "fs") is None and reason(45, 6, "fs", "fs", size=3) is None
+    assert reason(300, 6, "json", "json", size=3, codec=None) is None and reason(300, 6, "json", "json", size=0, codec="") is None
 
 
 def test_live_pairs_boundaries(spark):
-    v = spark.createDataFrame([(1, None, "s", 10.0, 4.0), (2, "a", "s", 10.0, 4.1)], "id long, album string, stem string, ts double, duration double")
-    p = spark.createDataFrame([(5, None, "s", 11.0), (6, None, "s", 15.0), (7, None, "s", 15.01)], "id long, album string, stem string, ts double")
+    v = spark.createDataFrame([(1, None, "s", 10.0, 4.0), (2, "a", "s", 10.0, 4.1), (3, "a", None, -0.5, 1.0), (4, "a", "s", None, 1.0), (5, "a", "s", 1.0, None)], "id long, album string, stem string, ts double, duration double")
+    p = spark.createDataFrame([(5, None, "s", 11.0), (6, None, "s", 15.0), (7, None, "s", 15.01), (8, "a", None, -5.5), (9, "a", None, 4.5), (10, "a", "s", None)], "id long, album string, stem string, ts double")
     pairs = video.live_pairs(v, p)
-    assert {(r["photo_id"], r["live_photo_status"]) for r in pairs.collect()} == {(5, "strong"), (6, "probable")}
-    assert [r["photo_id"] for r in video.nearest_live(pairs).collect()] == [5]
+    assert {(r["video_id"], r["photo_id"], r["live_photo_status"]) for r in pairs.collect()} == {(1, 5, "strong"), (1, 6, "probable"), (3, 8, "probable"), (3, 9, "probable")}
+    assert sorted((r["video_id"], r["photo_id"]) for r in video.nearest_live(pairs).collect()) == [(1, 5), (3, 8)]
+    linked = video.with_live(v.select(F.col("id").alias("asset_id"), F.lit("old").alias("live_photo_status")), pairs)
+    assert {(r["asset_id"], r["live_photo_status"], r["has_live_photo_pair"]) for r in linked.collect()} == {(1, "strong", True), (2, None, False), (3, "probable", True), (4, None, False), (5, None, False)}
+
+
+def test_live_pairs_of_rows_without_keys_are_no_product(spark):
+    rows = spark.range(3000).select("id", F.lit(None).cast("string").alias("album"), F.lit(None).cast("string").alias("stem"), (F.col("id") * 100.0).alias("ts"), F.lit(1.0).alias("duration"))
+    pairs = video.live_pairs(rows, rows.drop("duration"))
+    assert pairs.count() == 3000
+    keys = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" not in keys and "NestedLoop" not in keys
+
+
+@pytest.fixture(params=["light", "heavy"])
+def hot(request, monkeypatch):
+    """Both ways to get a key's facts: by a window, and by a folded row."""
+    if request.param == "heavy":
+        monkeypatch.setattr(facts, "HEAVY", 2)
+        monkeypatch.setattr(facts, "LEAST", 1)
+    return request.param
 
 
-@pytest.mark.parametrize("heavy", [1000, 0.5])
-def test_norms_stay_in_unit_range(spark, heavy, monkeypatch):
-    monkeypatch.setattr(facts, "HEAVY", heavy)
-    rows = [("a", 0.0), ("a", -2.0), ("b", 4.0), ("b", 1.0), ("c", 3.0)]
+def test_norms_stay_in_unit_range(spark, hot):
+    rows = [("a", 0.0), ("a", -2.0), ("b", 4.0), ("b", 1.0), ("b", 2.0), ("b", None), ("c", 3.0), (None, 9.0), (None, 1.0)]
     df = ranking.normalised(spark.createDataFrame(rows, "g string, x double"), "g", {"m": F.col("x")}, {"n": F.col("x")})
-    assert sorted((r["g"], r["x"], r["m"], r["n"]) for r in df.collect()) == [("a", -2.0, 0.0, 0.0), ("a", 0.0, 0.0, 1.0), ("b", 1.0, 0.25, 0.0), ("b", 4.0, 1.0, 1.0), ("c", 3.0, 1.0, 0.0)]
+    got = {(r["g"], r["x"], r["m"], None if r["n"] is None else round(r["n"], 6)) for r in df.collect()}
+    assert got == {("a", -2.0, 0.0, 0.0), ("a", 0.0, 0.0, 1.0), ("b", 1.0, 0.25, 0.0), ("b", 2.0, 0.5, 0.333333), ("b", 4.0, 1.0, 1.0), ("b", None, None, None), ("c", 3.0, 1.0, 0.0), (None, 9.0, None, None), (None, 1.0, None, None)}
 
 
-def test_heavy_keys_are_dealt(spark, monkeypatch):
-    monkeypatch.setattr(facts, "HEAVY", 2)
-    df = spark.range(60).select("id", F.when(F.col("id") < 50, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"))
-    per = df.groupBy("g").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
-    joined = facts.join_facts(df, per, "g", "n")
-    assert joined.columns == ["g", "id", "top"] and "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted((r["id"], r["top"]) for r in joined.collect()) == [(k, 49 if k < 50 else k) for k in range(60)]
+def test_facts_of_every_row(spark, hot):
+    df = spark.range(60).select("id", F.when(F.col("id") < 50, F.lit("hot")).when(F.col("id") < 58, F.col("id").cast("string")).alias("g"))
+    joined = facts.with_facts(df, "g", {"top": F.max("id"), "n": F.count(F.lit(1))})
+    assert joined.columns == ["id", "g", "top", "n"]
+    assert ("BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()) == (hot == "heavy")
+    assert sorted((r["id"], r["top"], r["n"]) for r in joined.collect()) == [(k, 49, 50) if k < 50 else (k, k, 1) if k < 58 else (k, None, None) for k in range(60)]
+    assert facts.with_facts(df.limit(0), "g", {"top": F.max("id")}).count() == 0
+
+
+def test_rows_without_a_group_stay(spark, hot):
+    df = spark.createDataFrame([(1, "s", "g", "b"), (2, "s", "h", " a "), (3, "s", "g", "0"), (4, None, "g", "c"), (5, None, None, "d"), (6, None, None, None)], "asset_id long, scene_group_id string, group_id string, content_type_file string")
+    sized = {r["asset_id"]: (r["scene_group_size"], r["scene_group_group_count"], r["scene_merge_candidate"]) for r in ranking.scene_sizes(df, "scene_group_id", "group_id").collect()}
+    assert sized == {1: (3, 2, True), 2: (3, 2, True), 3: (3, 2, True), 4: (None, None, False), 5: (None, None, False), 6: (None, None, False)}
+    tags = {r["asset_id"]: (r["content_type_group"], r["content_type_scene"]) for r in ranking.content_tags(df).collect()}
+    assert tags == {1: ("b, c", "a, b"), 2: ("a", "a, b"), 3: ("b, c", "a, b"), 4: ("b, c", "b, c"), 5: ("d", "d"), 6: ("", "")}
+    best = {r["asset_id"]: (r["best_asset_id"], r["is_best"]) for r in ranking.mark_best(df.withColumn("score", F.col("asset_id") * 1.0), "group_id", "score", "asset_id").collect()}
+    assert best == {1: (4, False), 2: (2, True), 3: (4, False), 4: (4, True), 5: (None, False), 6: (None, False)}
+    counts = {r["asset_id"]: r["n"] for r in ranking.group_sizes(df, "group_id", "content_type_file", "n").collect()}
+    assert counts == {1: 3, 2: 1, 3: 3, 4: 3, 5: None, 6: None}
 
 
 def test_best_first_non_null_mixes_rows(spark):
@@ -185,9 +250,43 @@ def test_cleanup_rules(spark):
     df = spark.createDataFrame(rows, "asset_id long, safe_subgroup string, sha string, has_json boolean, rating double")
     assert {r["asset_id"] for r in cleanup.delete_candidates(df).collect()} == {2, 5}
     assert {r["asset_id"] for r in cleanup.delete_candidates(df, equal=True).collect()} == {2, 4, 5}
-    assert cleanup.rating_column(["x", "final_score", "file_size_n"]) == "file_size_n"
+    assert cleanup.rating_column(["x", "final_score", "file_size_n"]) == "file_size_n" and cleanup.rating_column(["x"]) is None
     with pytest.raises(ValueError):
-        cleanup.rating_column(["x"])
+        cleanup.rating_column(["x"], "y")
+    assert {r["asset_id"] for r in cleanup.delete_candidates(df.withColumn("rating", F.lit(None).cast("double"))).collect()} == {2}
+
+
+def test_working_frame(spark):
+    rows = [
+        (" /a/X.JPG ", 5, None, "AB", None, None, None, "7", False), ("/a/x.jpg", 5, "nan", None, 1.0, None, "s.json", "nan", None), ("/a/y.jpg", 6, "", "P", 3.0, 4.0, "0", None, False),
+        ("/a/v.mov", 7, None, None, None, None, None, "7", True), ("", 1, "z", None, None, None, None, "1", False),
+    ]
+    df = spark.createDataFrame(rows, "file_path string, file_size long, sha256 string, phash string, width double, height double, json_path string, group_id string, is_video boolean")
+    keys = lambda **how: {r["file_path"]: (r["duplicate_key"], r["comparison_group"], r["has_json"]) for r in cleanup.working_frame(df, **how).collect()}
+    auto = keys()
+    assert set(auto) == {"/a/X.JPG", "/a/x.jpg", "/a/y.jpg"}
+    assert auto["/a/X.JPG"] == ("fallback::x.jpg::5", "group_id::7", False)
+    assert auto["/a/x.jpg"] == ("fallback::x.jpg::5", "fallback::x.jpg::5", True)
+    assert auto["/a/y.jpg"] == ("strict::p::6::3x4::.jpg", "strict::p::6::3x4::.jpg", False)
+    assert keys(mode="group_id")["/a/y.jpg"][1] == "group_id::nan" and keys(mode="exact")["/a/X.JPG"][1] == "fallback::x.jpg::5"
+    assert set(keys(videos=True)) == {"/a/X.JPG", "/a/x.jpg", "/a/y.jpg", "/a/v.mov"}
+    by_type = df.drop("is_video").withColumn("mime_type", F.when(F.col("file_size") == 5, "VIDEO"))
+    assert {r["file_path"] for r in cleanup.working_frame(by_type).collect()} == {"/a/y.jpg", "/a/v.mov"}
+    assert {r["file_path"] for r in cleanup.working_frame(df.drop("is_video")).collect()} == {"/a/X.JPG", "/a/x.jpg", "/a/y.jpg"}
+    for bad in (lambda: cleanup.working_frame(df, mode="x"), lambda: cleanup.working_frame(df.drop("group_id"), mode="group_id"), lambda: cleanup.working_frame(df.drop("file_size"))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_trash(tmp_path):
+    for name in ("a/x", "b/x", "c"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    paths = [str(tmp_path / n) for n in ("a/x", "b/x", "a/x", "none")] + ["/etc/hostname"]
+    dry = cleanup.trash(paths, str(tmp_path / "bin"), str(tmp_path))
+    assert dry == {"moved": 2, "missing": 1, "outside": 1} and (tmp_path / "a/x").exists()
+    assert cleanup.trash(paths, str(tmp_path / "bin"), str(tmp_path), dry_run=False) == dry
+    assert sorted(p.name for p in (tmp_path / "bin").iterdir()) == ["1-x", "x"] and (tmp_path / "c").exists()
 
 
 def test_plan_and_moves(spark, tmp_path):
@@ -201,18 +300,49 @@ def test_plan_and_moves(spark, tmp_path):
     assert curation.execute([(str(src), to)], root, dry_run=False) == ["moved"] and not src.exists()
 
 
-def test_review_tables(spark):
-    rows = [(1, 10, "a1", True, "people", 1200, 100, 0.9), (2, 10, "a2", False, "people", 1000, 100, 0.8), (3, 11, "a3", True, None, 5, 5, 0.1)]
-    df = spark.createDataFrame(rows, "group_id long, scene_group_id long, asset_id string, is_best boolean, tag string, file_size long, width int, final_score double")
-    groups = review.photo_groups(df, ["people"]).collect()
-    assert [(g["scene_group_id"], g["label"], g["size"]) for g in groups] == [(10, "1, 2", 2)]
-    shown = {r["metric"] for r in review.varying_columns(df, "scene_group_id", ["file_size", "width", "final_score"]).collect()}
-    assert shown == {"file_size", "final_score"}
-    clips = spark.createDataFrame([(101, True), (101, False), (102, False)], "video_group_id long, is_live boolean")
-    assert [(r["video_group_id"], r["has_live"]) for r in review.video_review_groups(clips).collect()] == [(101, True)]
-    assert review.video_review_groups(clips, single=True).count() == 2
+def test_moves_leave_a_manifest(spark, tmp_path):
+    for name in ("a.jpg", "a.json", "b.jpg"):
+        (tmp_path / name).write_text(name)
+    p = lambda n: str(tmp_path / n)
+    df = spark.createDataFrame([(1, 1, p("a.jpg"), "al", [p("a.json"), p("none.json")], 0.5, 9, "people"), (2, 2, p("b.jpg"), "al", [], 0.5, 9, "people")], "asset_id long, group_id long, path string, album string, sidecars array<string>, best_score double, scene_group_id long, content_type_scene string")
+    plan = curation.curation_plan(df, p("out"))
+    assert {"scene_group_id", "content_type_scene"} <= set(plan.columns)
+    assert curation.execute_plan(plan, p("out"), p("log")) == {"planned": 3, "missing_source": 1} and (tmp_path / "a.jpg").exists()
+    assert curation.execute_plan(plan, p("out"), p("log"), dry_run=False) == {"moved": 3, "missing_source": 1}
+    assert curation.execute_plan(plan, p("out"), p("log"), dry_run=False) == {"missing_source": 4}
+    rows = spark.read.parquet(p("log")).where("status = 'moved'").orderBy("asset_id", "entry_kind").collect()
+    assert [(r["asset_id"], r["entry_kind"], r["target_path"]) for r in rows] == [("1", "primary", p("out/al/a.jpg")), ("1", "sidecar", p("out/al/a.json")), ("2", "primary", p("out/al/b.jpg"))]
+    assert len({r["batch_id"] for r in rows}) == 1 and all(r["timestamp_utc"] for r in rows)
+
+
+def test_review_tables(spark, tmp_path):
+    rows = [(1, 10, str(tmp_path / "b.jpg"), "a1", True, "people, landscape", None, 1200, 100, 50, 0.9, "[]"), (2, 10, str(tmp_path / "a.jpg"), "a2", False, "people", "x", 1000, 100, 50, 0.8, '["%s"]' % (tmp_path / "a.json")), (3, None, "/c.jpg", "a3", True, None, None, 5, 5, 5, 0.1, ""), (4, 11, "/d.jpg", "a4", True, " Document", "", 5, 5, 5, 0.1, "")]
+    df = spark.createDataFrame(rows, "group_id long, scene_group_id long, file_path string, asset_id string, is_best boolean, content_type_file string, content_type_scene string, file_size long, width int, height int, final_score double, sidecar_paths string")
+    shown = lambda enabled, **how: {(g["display_id"], g["size"], g["common_label"], g["private_label"], g["label"]) for g in review.photo_groups(review.review_table(df), enabled, **how).collect()}
+    assert shown(["people"]) == shown(["landscapes"]) == {(10, 2, "10", "1, 2", "10 1, 2")}
+    assert shown(["documents"]) == {(11, 1, "11", "4", "11 4")} and shown([]) == set()
+    assert shown(["people"], scenes=False) == {(1, 1, "1", "", "1"), (2, 1, "2", "", "2")}
+    assert {r["display_id"] for r in review.displayed(df).collect()} == {10, 3, 11}
+    found = {(r["display_id"], r["metric"]) for r in review.varying_columns(review.displayed(df), "display_id", ["file_size", "width", "height", "final_score", "content_type_scene"]).collect()}
+    assert found == {(10, "file_size"), (10, "final_score"), (10, "content_type_scene"), (10, "size_wh"), (3, "size_wh"), (11, "size_wh")}
+    own = review.group_rows(df, 10).collect()
+    assert [(r["file_name"], r["is_best"]) for r in own] == [("a.jpg", False), ("b.jpg", True)]
+    metrics = [{m["metric"]: (m["raw"], m["text"], m["is_highest"]) for m in r["metrics"]} for r in own]
+    assert list(metrics[0])[-1] == "size_wh" and metrics[0]["size_wh"] == (None, "100 × 50 px", False)
+    assert metrics[0]["file_size"] == ("1000", "1000 B", False) and metrics[1]["file_size"] == ("1200", "1.2 KB", True)
+    assert metrics[1]["content_type_file"][1] == "People, Landscapes" and "width" not in metrics[0]
+    assert "sidecar_paths" in metrics[0] and review.group_rows(df, 10, all_metrics=True).first()["metrics"][-1]["metric"] == "size_wh"
+    clips = spark.createDataFrame([(101, True), (101, None), (102, False), (103, None), (103, None)], "video_group_id long, is_live boolean")
+    assert {(r["video_group_id"], r["has_live"], r["has_regular"]) for r in review.video_review_groups(clips).collect()} == {(101, True, True), (103, False, True)}
+    assert review.video_review_groups(clips, single=True).count() == 3 and review.video_review_groups(clips.drop("is_live")).count() == 2
     kept, gone = review.without_ids(df, spark.createDataFrame([("a1",), ("zz",), ("a1",)], "asset_id string"))
-    assert kept.count() == 2 and gone.count() == 1
+    assert kept.count() == 3 and gone.count() == 1
+    for name in ("a.jpg", "a.json", "b.jpg"):
+        (tmp_path / name).write_text("x")
+    rest, counts = review.delete(df, ["a2", "zz", " "], str(tmp_path / "bin"), str(tmp_path), dry_run=False)
+    assert counts == {"deleted_assets": 1, "deleted_files": 1, "deleted_sidecars": 1, "outside": 0}
+    assert {r["asset_id"] for r in rest.collect()} == {"a1", "a3", "a4"} and not (tmp_path / "a.json").exists() and (tmp_path / "b.jpg").exists()
+    assert review.split_label("10 1, 2") == ("10", ["1", "2"]) and set(review.meta()["metricHelp"]) == set(review.METRICS)
 
 
 def test_null_keys_meet_in_merges(spark):
@@ -255,7 +385,29 @@ def test_composition_scores(spark):
     assert values(spark, scores.subject_placement(F.col("x"), F.lit(1 / 3)), [(1 / 3,), (1.0,)], "x double") == [1.0, pytest.approx(0.5)]
     assert values(spark, scores.face_coverage(F.col("x")), [(0.025,), (0.2,), (0.55,)], "x double") == [0.5, 1.0, pytest.approx(0.8)]
     face = "array<struct<x:double,y:double,w:double,h:double,tilt:double>>"
-    assert values(spark, media.composition(F.col("f")), [([],), (None,), ([(0.2, 0.2, 0.3, 0.3, 1.0)],)], f"f {face}")[:2] == [0.0, 0.0]
+    # a face centred 0.35 across and down: placement 1 - 1.5 * |0.35 - 1/3| * sqrt 2, coverage 1 at 0.09, no edge, tilt 0.5
+    want = 0.3 * (1 - 1.5 * math.hypot(0.35 - 1 / 3, 0.35 - 1 / 3)) + 0.3 + 0.2 + 0.2 * 0.5
+    rows = [([],), (None,), ([(0.0, 0.0, 0.1, 0.1, 0.5), (0.2, 0.2, 0.3, 0.3, 0.5)],), ([(0.0, 0.2, 0.3, 0.3, 0.5)],)]
+    assert values(spark, media.composition(F.col("f")), rows, f"f {face}") == [0.0, 0.0, pytest.approx(want), pytest.approx(0.3 * (1 - 1.5 * math.hypot(0.15 - 1 / 3, 0.35 - 1 / 3)) + 0.3 + 0.2 * 0.5)]
+    edge = lambda x, w: values(spark, scores.edge_penalty(F.col("x"), F.lit(0.3), F.col("w"), F.lit(0.3)), [(x, w)], "x double, w double")
+    assert (edge(0.05, 0.3), edge(0.0499, 0.3), edge(0.5, 0.45), edge(0.5, 0.4501)) == ([0.0], [1.0], [0.0], [1.0])
+    assert values(spark, scores.subject_score(F.col("f")), [([],), (None,), ([(0.5, 0.25), (0.1, 0.9)],)], "f array<struct<area:double,center:double>>") == [0.0, 0.0, pytest.approx(0.42)]
+    assert values(spark, media.tilt_score(F.col("a")), [([],), (None,), ([math.pi / 2, math.pi / 2 + 0.2],), ([0.0],)], "a array<double>") == [1.0, 1.0, pytest.approx(0.8), 0.0]
+
+
+def test_lines_and_analysis_size():
+    assert media.analysis_size(1920, 960) == (960, 480) and media.analysis_size(5, 7) == (5, 7) and media.analysis_size(1, 10_000) == (1, 960)
+    image = np.zeros((400, 300))
+    assert media.line_angles(image) == [] and media.for_analysis(image) is image
+    image[200:] = 255.0
+    assert media.line_angles(image) == [pytest.approx(math.pi / 2)]
+    image[:] = 0
+    image[:, 150:] = 255.0
+    assert media.line_angles(image) == [0.0]
+    y, x = np.mgrid[:400, :400]
+    found = media.line_angles(np.where(y > x * 0.5, 255.0, 0.0), votes=100)
+    assert found and all(abs(t - (math.pi / 2 + math.atan(0.5))) < 0.03 for t in found)
+    assert media.for_analysis(np.full((1920, 20), 7.0)).shape == (960, 10) and np.allclose(media.for_analysis(np.full((1920, 20), 7.0)), 7.0)
 
 
 def test_model_batches_survive_bad_rows(spark):
@@ -281,3 +433,15 @@ def test_faces_and_keypoints(spark):
     a, b, c = b"\x00" * 32, b"\xff" * 32, b"\x00" * 16 + b"\xff" * 16
     got = values(spark, F.arrow_udf(media.keypoint_shares, "double")(F.col("a"), F.col("b")), [([a, b], [a, b, c]), ([c], [a, b]), ([a], [b]), (None, [a])], "a array<binary>, b array<binary>")
     assert got == [1.0, 0.0, 0.0, None]
+
+
+def test_content_types(spark):
+    rows = [("/a/Screenshot_1.PNG", 10, 10, 0.007), ("/a/cat.png", 10, 10, 0.007), ("/a/IMG_2.png", 10, 10, 0.007), ("/a/screen.jpg", 10, 10, 0.007), ("/a/tall.jpg", 10, 18, None), ("/a/p.jpg", 10, 10, 0.03), ("/screen/x.png", 10, 10, 0.02), ("/a/u.png", None, 10, 0.0), ("/a/z.jpg", 0, 10, 0.0)]
+    got = values(spark, names.content_type(F.col("p"), F.col("w"), F.col("h"), F.col("f")), rows, "p string, w int, h int, f double")
+    assert got == ["document", "landscape", "document", "landscape", "document", "people", "landscape", None, "landscape"]
+
+
+def test_times(spark):
+    rows = [("5", "7"), ("-5", "7"), ("x", "0"), (None, None)]
+    chosen, source = coerce.chosen_time(F.col("a"), F.col("b"))
+    assert values(spark, F.struct(chosen, source, coerce.first_time(F.col("a"), F.col("b"))), rows, "a string, b string") == [(5.0, "json", 5.0), (7.0, "fs", -5.0), (None, "missing", 0.0), (None, "missing", None)]

@@ -58,6 +58,58 @@ def test_kept_tables_can_be_cleared(spark):
         spark.read.parquet(*kept.inputFiles()).count()
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self.folder
+
+        def setCheckpointDir(self, folder):  # noqa: N802
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.sparkContext, self.conf = Context(master), {k.replace("__", "."): v for k, v in conf.items()}
+
+    for master in ("spark://h:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            storage.shared_folder(Session(master))
+        assert storage.shared_folder(Session(master, spark__checkpoint__dir="hdfs:///c/")) == "hdfs:///c"
+    for master in ("local", "local[4]", "local[*]"):
+        session = Session(master)
+        assert storage.shared_folder(session) == storage.shared_folder(session) == session.sparkContext.folder
+
+
+def test_only_a_missing_package_is_hidden(monkeypatch):
+    import builtins
+    import importlib
+
+    import __spark_entry__
+
+    real = builtins.__import__
+
+    def failing(name, missing):
+        def load(wanted, *args, **kwargs):
+            if wanted == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+            return real(wanted, *args, **kwargs)
+
+        return load
+
+    try:
+        for missing in ("corpus_pipeline", "quarrymill.llm"):
+            monkeypatch.setattr(builtins, "__import__", failing("corpus_pipeline", missing))
+            assert "pipeline" not in importlib.reload(__spark_entry__).queries()
+        monkeypatch.setattr(builtins, "__import__", failing("corpus_pipeline", "xxhash"))
+        with pytest.raises(ImportError):
+            importlib.reload(__spark_entry__)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(__spark_entry__)
+
+
 def test_stages_resume(spark, tmp_path):
     calls = []
 
