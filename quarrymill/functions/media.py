@@ -177,6 +177,89 @@ def exif_date(content: bytes | None) -> str | None:
     return None
 
 
+def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """An image of Spark's image source as rows of red, green, blue."""
+    own = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(own, 3, axis=2) if channels == 1 else own[..., 2::-1]
+
+
+def _unit(vectors) -> list[list[float]]:
+    v = np.asarray(vectors, np.float64)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return (v / np.where(size > 0, size, 1)).tolist()
+
+
+def _embedded(rows: DataFrame, crops: Callable[[dict], list[np.ndarray]], load: Callable[[], Callable[[list[np.ndarray]], np.ndarray]], columns: list[str], batch: int, kind: pa.DataType, ddl: str, out: Callable[[dict, list], object]) -> DataFrame:
+    """(path, out): crops of several images are encoded together, at most about ``batch`` at a time.
+
+    A batch that the model can't take is tried image by image; an image that
+    can't be read or encoded has null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load()
+        for rb in batches:
+            for at in range(0, len(rb), max(1, batch)):
+                part = rb.slice(at, max(1, batch)).to_pylist()
+                held, results = [], {}
+                for k, row in enumerate(part):
+                    try:
+                        held.append((k, crops(row)))
+                    except (TypeError, ValueError):
+                        results[k] = None
+                while held:
+                    own, n = [], 0
+                    while held and (not own or n + len(held[0][1]) <= batch):
+                        own.append(held.pop(0))
+                        n += len(own[-1][1])
+                    for group in (own, *([x] for x in own)):
+                        todo = [x for x in group if x[0] not in results]
+                        try:
+                            vectors = _unit(encode([c for _, cs in todo for c in cs])) if any(cs for _, cs in todo) else []
+                        except Exception:  # noqa: BLE001  one image must not lose its batch
+                            if len(todo) == 1:
+                                results[todo[0][0]] = None
+                            continue
+                        for k, cs in todo:
+                            results[k] = out(part[k], vectors[: len(cs)])
+                            vectors = vectors[len(cs) :]
+                paths, found = [r["image"]["origin"] if r["image"] else None for r in part], [results.get(k) for k in range(len(part))]
+                yield pa.record_batch([pa.array(paths, pa.string()), pa.array(found, kind)], names=["path", "v"])
+
+    return rows.select("image", *columns).mapInArrow(run, f"path string, v {ddl}")
+
+
+def view_embeddings(images: DataFrame, load: Callable[[], Callable[[list[np.ndarray]], np.ndarray]], batch: int = 64) -> DataFrame:
+    """(path, v): unit vectors of an image's views in the order of VIEWS; ``load`` gives an encoder of pixel arrays."""
+
+    def crops(row: dict) -> list[np.ndarray]:
+        im = row["image"]
+        own = pixels(im["data"], im["height"], im["width"], im["nChannels"])
+        return [crop(own, view) for view in VIEWS]
+
+    return _embedded(images, crops, load, [], batch, pa.list_(pa.list_(pa.float64())), "array<array<double>>", lambda row, v: v)
+
+
+def face_embeddings(images: DataFrame, load: Callable[[], Callable[[list[np.ndarray]], np.ndarray]], faces: str = "boxes", batch: int = 64) -> DataFrame:
+    """(path, v): (x, unit vector) of each padded face box (x, y, w, h in pixels) from left to right; an image without faces has none."""
+
+    def boxed(row: dict) -> list[tuple[int, int, int, int]]:
+        im = row["image"]
+        ends = ((max(0, int(f["x"])), max(0, int(f["y"])), min(im["width"], int(f["x"] + f["w"])), min(im["height"], int(f["y"] + f["h"]))) for f in row[faces] or ())
+        return [e for e in ends if e[0] < e[2] and e[1] < e[3]]
+
+    def crops(row: dict) -> list[np.ndarray]:
+        im = row["image"]
+        own = pixels(im["data"], im["height"], im["width"], im["nChannels"])
+        return [own[y0:y1, x0:x1] for x0, y0, x1, y1 in boxed(row)]
+
+    def out(row: dict, vectors: list) -> list[dict]:
+        centres = [(x0 + x1) / 2 for x0, _, x1, _ in boxed(row)]
+        return sorted(({"x": x, "v": v} for x, v in zip(centres, vectors)), key=lambda f: f["x"])
+
+    return _embedded(images, crops, load, [faces], batch, pa.list_(pa.struct([("x", pa.float64()), ("v", pa.list_(pa.float64()))])), "array<struct<x:double,v:array<double>>>", out)
+
+
 def exif_dates(contents: pa.Array) -> pa.Array:
     return pa.array([exif_date(c) for c in contents.to_pylist()], pa.string())
 
@@ -244,7 +327,7 @@ def probe_metrics(document: Column) -> dict[str, Column]:
         "fps": fps, "frame_count": frames, "width": v["width"], "height": v["height"],
         "bitrate_kbps": F.coalesce(coerce.positive(doc["format"]["bit_rate"]), coerce.positive(v["bit_rate"])) / 1000,
         "audio_present": F.when(doc.isNotNull(), a.isNotNull()), "video_codec": v["codec_name"], "audio_codec": a["codec_name"],
-        "video_metrics_status": F.when(v.isNotNull(), "ok").otherwise("failed"),
+        "video_metrics_status": F.when(v.isNotNull(), "ok").otherwise("error"),
     }
 
 

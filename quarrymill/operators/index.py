@@ -38,7 +38,7 @@ def assemble_assets(files: DataFrame, hashes: DataFrame, images: DataFrame, date
         names.asset_id(F.col("file_path")).alias("asset_id"), "file_path", F.col("file_path").alias("primary_file_path"), "file_name", "extension", "file_size", "created_at_fs", "sha256", "phash", "width", "height", "sharpness",
         "exif_datetime", "json_datetime", "json_path", "album_path", F.when(F.col("file_role") == "media/video", "video").otherwise("image").alias("mime_type"),
         (F.col("file_role") == "media/photo").alias("is_image"), (F.col("file_role") == "media/video").alias("is_video"), paths.alias("sidecar_paths"), F.size(paths).alias("sidecar_count"), (F.size(paths) > 0).alias("has_sidecar"),
-        kind.alias("content_type_file"),
+        kind.alias("content_type_file"), F.when(F.col("file_role") == "media/photo", F.when(F.col("width").isNotNull(), "ok").otherwise("failed")).alias("decode_status"),
     )
 
 

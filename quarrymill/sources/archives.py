@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import shutil
 import subprocess
+from collections.abc import Callable
 from pathlib import Path
 
 #: Fixed value: the exit code of a stop that the policy asked for.
 STOP = 40
-POLICIES = ("continue", "stop", "unpack")
+POLICIES = ("continue", "stop", "unpack", "interactive")
 
 
 def unpack(paths: list[str], staging: str) -> tuple[list[str], list[str]]:
@@ -29,11 +30,21 @@ def unpack(paths: list[str], staging: str) -> tuple[list[str], list[str]]:
     return done, skipped
 
 
-def preflight(paths: list[str], policy: str, staging: str) -> int:
-    """0 to go on, STOP to end cleanly; archives are unpacked only if the policy says so."""
-    if policy not in POLICIES:
+def preflight(paths: list[str], policy: str, staging: str, ask: Callable[[list[str]], str] | None = None, listing: str | None = None) -> int:
+    """0 to go on, STOP to end cleanly; archives are unpacked only if the policy says so.
+
+    The "interactive" policy asks ``ask`` for one of the others.  With
+    ``listing`` the archives' paths are saved there before a stop.
+    """
+    if policy == "interactive":
+        if ask is None:
+            raise ValueError("the interactive policy needs someone to ask")
+        policy = ask(paths) if paths else "continue"
+    if policy not in POLICIES[:3]:
         raise ValueError(f"policy must be one of {POLICIES}")
     if paths and policy == "stop":
+        if listing:
+            Path(listing).write_text("".join(f"{p}\n" for p in sorted(paths)), encoding="utf-8")
         return STOP
     if paths and policy == "unpack":
         unpack(paths, staging)

@@ -378,7 +378,7 @@ def test_exif_and_probe(spark):
     doc = '{"streams":[{"codec_type":"audio","codec_name":"aac"},{"codec_type":"video","codec_name":"h264","width":4,"height":3,"avg_frame_rate":"0/0","r_frame_rate":"25/1","nb_frames":"50","bit_rate":"2000"}],"format":{}}'
     m = spark.createDataFrame([(doc,), ("{bad",)], "d string").select(*[c.alias(n) for n, c in media.probe_metrics(F.col("d")).items()]).collect()
     assert (m[0]["duration_sec"], m[0]["fps"], m[0]["bitrate_kbps"], m[0]["audio_present"], m[0]["video_metrics_status"]) == (2.0, 25.0, 2.0, True, "ok")
-    assert m[1]["video_metrics_status"] == "failed"
+    assert m[1]["video_metrics_status"] == "error"
 
 
 def test_composition_scores(spark):
@@ -410,6 +410,30 @@ def test_lines_and_analysis_size():
     assert media.for_analysis(np.full((1920, 20), 7.0)).shape == (960, 10) and np.allclose(media.for_analysis(np.full((1920, 20), 7.0)), 7.0)
 
 
+def test_crops_are_embedded_in_batches(spark, tmp_path):
+    for name, n in (("a.png", 100), ("b.png", 40)):
+        (tmp_path / name).write_bytes(png(np.tile(np.arange(n) * 2, (n, 1))))
+    (tmp_path / "c.png").write_bytes(b"no image")
+    images = spark.read.format("image").load(str(tmp_path)).coalesce(1)
+
+    def load():
+        def encode(crops):
+            assert len(crops) <= 4
+            if any(c.shape[:2] == (40, 40) for c in crops) and len(crops) > 4:
+                raise ValueError
+            return np.array([[c.mean(), 1.0] for c in crops])
+
+        return encode
+
+    rows = {r["path"].rpartition("/")[2]: r["v"] for r in media.view_embeddings(images, load, batch=4).collect()}
+    unit = lambda m: [m / math.hypot(m, 1), 1 / math.hypot(m, 1)]
+    assert rows["a.png"] == [pytest.approx(unit(m)) for m in (99.0, 99.0, 27.0, 171.0)] and len(rows["b.png"]) == 4 and rows["c.png"] is None
+    box = "array<struct<x:double,y:double,w:double,h:double>>"
+    faced = images.withColumn("boxes", F.when(F.col("image.width") == 100, F.expr(f"from_json('[{{\"x\":50,\"y\":0,\"w\":10,\"h\":10}},{{\"x\":-5,\"y\":0,\"w\":15,\"h\":10}},{{\"x\":200,\"y\":0,\"w\":5,\"h\":5}}]', '{box}')")))
+    found = {r["path"].rpartition("/")[2]: r["v"] for r in media.face_embeddings(faced, load).collect()}
+    assert [f["x"] for f in found["a.png"]] == [5.0, 55.0] and found["a.png"][0]["v"] == pytest.approx(unit(9.0)) and found["b.png"] == [] and found["c.png"] is None
+
+
 def test_model_batches_survive_bad_rows(spark):
     def load():
         def model(rows):

@@ -1,5 +1,6 @@
 """File scans, archives, stages and streams."""
 
+import struct
 import zipfile
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import audit, joins
 from quarrymill.plans import storage
 from quarrymill.plans.stages import StageRunner, environment, guarded_clean
-from quarrymill.sources import archives, files
+from quarrymill.sources import archives, boxes, files, probes
 from quarrymill.streaming import ingest
 
 
@@ -48,6 +49,53 @@ def test_archives(tmp_path):
     assert archives.preflight(paths, "stop", "") == archives.STOP and archives.preflight([], "stop", "") == 0
     with pytest.raises(ValueError):
         archives.preflight(paths, "ask", "")
+    with pytest.raises(ValueError):
+        archives.preflight(paths, "interactive", "")
+    assert archives.preflight(paths, "interactive", "", lambda p: "continue") == 0
+    assert archives.preflight(paths, "interactive", "", lambda p: "stop", str(tmp_path / "list")) == archives.STOP and (tmp_path / "list").read_text().split() == paths
+
+
+def box(kind, *content):
+    data = b"".join(content)
+    return struct.pack(">I4s", 8 + len(data), kind) + data
+
+
+def movie(width=64, height=48, frames=50, scale=1000, length=2000, wide=False):
+    """A movie header with a video and an audio track, after some media data."""
+    header = struct.pack(">B3xQQIQ4x", 1, 0, 0, scale, length) if wide else struct.pack(">B3xIIII4x", 0, 0, 0, scale, length)
+    track = lambda kind, code, n: box(b"trak", box(b"tkhd", bytes(76), struct.pack(">II", width << 16, height << 16)), box(b"mdia", box(b"mdhd", header), box(b"hdlr", bytes(8), kind, bytes(12)), box(b"minf", box(b"stbl", box(b"stsd", bytes(8), box(code, bytes(20))), box(b"stts", struct.pack(">IIIIII", 0, 2, n - 1, 40, 1, 40))))))
+    return box(b"ftyp", b"isom") + box(b"mdat", bytes(1000)) + box(b"moov", box(b"mvhd", bytes(20)), track(b"vide", b"avc1", frames), track(b"soun", b"mp4a", 90))
+
+
+def test_video_probes_are_cached_and_fall_back(spark, tmp_path):
+    for name, data in (("a.mp4", movie()), ("b.mov", movie(wide=True, frames=20)), ("c.mp4", b"\0\0\0\x10moovxxxxxxxx"), ("d.mp4", b"junk"), ("e.mp4", movie()[:1100])):
+        (tmp_path / name).write_bytes(data)
+    rows = [(n, str(tmp_path / n), (tmp_path / n).stat().st_size, 1.0, 7) for n in ("a.mp4", "b.mov", "c.mp4", "d.mp4", "e.mp4")] + [("none", str(tmp_path / "none"), 0, 1.0, 7)]
+    videos = spark.createDataFrame(rows, "asset_id string, file_path string, file_size long, created_at_fs double, width int")
+    calls = str(tmp_path / "calls")
+
+    def preferred(path):
+        with open(calls, "a") as f:
+            f.write(path + "\n")
+        if path.endswith("b.mov"):
+            return '{"streams":[{"codec_type":"video","codec_name":"h264","width":5}],"format":{"duration":"3"}}'
+        raise ValueError("no " + path[-5:])
+
+    use, cache = [("own", preferred), ("header", boxes.header_document)], str(tmp_path / "cache")
+    for _ in range(2):
+        got = {r["asset_id"]: r for r in probes.video_metrics(videos, cache, use).collect()}
+        a = got["a.mp4"]
+        assert (a["duration_sec"], a["fps"], a["frame_count"], a["width"], a["height"], a["video_codec"], a["audio_codec"], a["audio_present"], a["video_metrics_backend"], a["video_metrics_status"]) == (2.0, 25.0, 50.0, 64, 48, "avc1", "mp4a", True, "header", "ok")
+        assert a["bitrate_kbps"] == pytest.approx(rows[0][2] * 8 / 2000) and a["video_metrics_error"] is None
+        assert (got["b.mov"]["video_metrics_backend"], got["b.mov"]["width"], got["b.mov"]["duration_sec"]) == ("own", 5, 3.0)
+        for name in ("d.mp4", "e.mp4", "none"):
+            assert (got[name]["video_metrics_status"], got[name]["video_metrics_backend"], got[name]["width"], got[name]["video_metrics_error"]) == ("error", "own", 7, "no " + str(tmp_path / name)[-5:])
+        assert got["c.mp4"]["video_metrics_status"] == "error"
+    assert sorted(open(calls).read().split()) == sorted(r[1] for r in rows)  # the second run read nothing again
+    later = videos.withColumn("created_at_fs", F.lit(2.0)).where("asset_id = 'a.mp4'")
+    assert probes.video_metrics(later, cache, use).count() == 1 and len(open(calls).read().split()) == 7
+    assert boxes.header_document(rows[1][1]).count("avc1") == 1
+    assert [n for n, _ in probes.default_backends()][-1] == "header"
 
 
 def test_kept_tables_can_be_cleared(spark):
