@@ -21,11 +21,10 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFram
     local = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part, bits = F.shiftright("_at", 33).cast("int"), (1 << 33) - 1
     sizes = sorted((r["p"], r["n"]) for r in local.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    starts = [0] * (sizes[-1][0] + 1 if sizes else 1)
-    for (p, _), start in zip(sizes, [0, *accumulate(n for _, n in sizes)]):
-        starts[p] = start
-    base = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), part + 1)
-    return local.withColumn(name, base + F.col("_at").bitwiseAND(F.lit(bits))).drop("_at")
+    starts = [(p, start) for (p, _), start in zip(sizes, accumulate((n for _, n in sizes), initial=0))]
+    base = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _start long"))  # a row a partition
+    placed = local.withColumn("_part", part).join(base, "_part")
+    return placed.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit(bits))).drop("_at", "_part", "_start")
 
 
 def lookahead(df: DataFrame, k: int, pos: str = "pos", within: str | None = None) -> DataFrame:

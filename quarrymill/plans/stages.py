@@ -10,18 +10,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrymill.plans.storage import exists
+
 
 class StageRunner:
-    """Stages (name, function of session and the tables so far), each kept as Parquet below ``folder``."""
+    """Stages (name, function of session and the tables so far), each kept as Parquet below ``folder``, in any store that Spark writes."""
 
     def __init__(self, spark: SparkSession, folder: str, stages: list[tuple[str, Callable[[SparkSession, dict[str, DataFrame]], DataFrame]]]):
-        self.spark, self.folder, self.stages = spark, Path(folder), stages
+        self.spark, self.folder, self.stages = spark, folder.rstrip("/"), stages
 
     def done(self) -> list[str]:
         """The finished stages that no unfinished one precedes."""
         out = []
         for name, _ in self.stages:
-            if not (self.folder / name / "_SUCCESS").exists():
+            if not exists(self.spark, f"{self.folder}/{name}/_SUCCESS"):
                 break
             out.append(name)
         return out
@@ -34,7 +36,7 @@ class StageRunner:
         skip = names[: names.index(first)] if first else self.done() if resume else []
         tables, took = {}, {}
         for name, stage in self.stages:
-            at = str(self.folder / name)
+            at = f"{self.folder}/{name}"
             if name not in skip:
                 began = time.perf_counter()
                 stage(self.spark, tables).write.mode("overwrite").parquet(at)

@@ -6,16 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarrymill.plans.storage import stored
+from quarrymill.plans.storage import exists, stored
 from quarrymill.sources.files import uncached
 
 
 def kept(rows: DataFrame, path: str, kind: str) -> DataFrame:
     """The cache table at ``path``, one row a key; empty if there is none yet. ``kind`` is its schema, with cache_key."""
     spark = rows.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    table = spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
+    table = spark.read.schema(kind).parquet(path) if exists(spark, path) else spark.createDataFrame([], kind)
     return table.dropDuplicates(["cache_key"])
 
 

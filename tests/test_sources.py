@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import audit, joins
 from quarrymill.plans import storage
 from quarrymill.plans.stages import StageRunner, environment, guarded_clean
-from quarrymill.sources import archives, boxes, files, probes
+from quarrymill.sources import archives, boxes, cache, files, probes
 from quarrymill.streaming import ingest
 
 
@@ -106,6 +106,32 @@ def test_kept_tables_can_be_cleared(spark):
         spark.read.parquet(*kept.inputFiles()).count()
 
 
+def test_sinks_and_cache_keys(spark, tmp_path):
+    rows = spark.createDataFrame([("/b", 1), ("/a", 2)], "file_path string, n long")
+    files.write_text(rows, "file_path", str(tmp_path / "t"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()) == ["/a", "/b"]
+    for _ in range(2):
+        files.append_manifest(rows, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 4
+    keys = {r[0] for r in rows.select(files.cache_key(F.col("file_path"), F.col("n"), F.lit(1.0), "m")).collect()}
+    assert len(keys) == 2 and all(len(k) == 40 for k in keys)
+    assert files.uncached(rows.withColumn("cache_key", F.col("file_path")), spark.createDataFrame([("/a",)], "cache_key string")).count() == 1
+
+
+def test_cache_keeps_rows_without_keys_apart(spark, tmp_path):
+    rows = spark.createDataFrame([("k", 1), ("k", 2), (None, 3), (None, 4), ("q", 5)], "cache_key string, n long")
+    seen = []
+
+    def compute(new):
+        seen.append(new.count())
+        return new.select("cache_key", (F.col("n") * 0 + 7).alias("v"))
+
+    for _ in range(2):
+        got = cache.with_cache(rows, str(tmp_path / "c"), "cache_key string, v long", compute)
+        assert sorted((r["n"], r["v"], r["cache_key"]) for r in got.collect()) == [(1, 7, "k"), (2, 7, "k"), (3, 7, None), (4, 7, None), (5, 7, "q")]
+    assert seen[0::2] == [2, 0] and spark.read.parquet(str(tmp_path / "c")).count() == 2
+
+
 def test_a_cluster_needs_a_shared_folder(monkeypatch):
     class Context:
         def __init__(self, master):
@@ -186,5 +212,18 @@ def test_stream_dedupe(spark, tmp_path):
         ingest.append_to(ingest.first_copies(ingest.asset_stream(spark, source, df.schema)), out, str(tmp_path / "ck")).awaitTermination(120)
         df.where("sha256 = 'h2'").write.mode("append").parquet(source)
     assert sorted(r["sha256"] for r in spark.read.parquet(out).collect()) == ["h1", "h2"]
-    counted = ingest.arrivals(ingest.asset_stream(spark, source, df.schema), "sha256")
-    assert counted.isStreaming and "n" in counted.columns
+
+
+def test_stream_windows(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("a", "2024-01-01 00:10:00", 5), ("a", "2024-01-01 00:50:00", 7), ("b", "2024-01-01 00:20:00", 1), ("a", "2024-01-01 01:10:00", 2), ("z", "2024-01-01 06:00:00", 9)]
+    df = spark.createDataFrame(rows, "source string, t string, file_size long").select("source", F.to_timestamp("t").alias("seen_at"), "file_size")
+    df.write.parquet(source)
+    counted = ingest.arrivals(ingest.asset_stream(spark, source, df.schema), "source")
+    ingest.append_to(counted, out, str(tmp_path / "ck")).awaitTermination(180)
+    # a row later than the watermark is dropped, the open windows close
+    late = spark.createDataFrame([("a", "2024-01-01 00:30:00", 100), ("z", "2024-01-01 12:00:00", 1)], "source string, t string, file_size long").select("source", F.to_timestamp("t").alias("seen_at"), "file_size")
+    late.write.mode("append").parquet(source)
+    ingest.append_to(counted, out, str(tmp_path / "ck")).awaitTermination(180)
+    got = {(r["source"], r["window"]["start"].hour, r["n"], r["bytes"]) for r in spark.read.parquet(out).collect()}
+    assert got == {("a", 0, 2, 12), ("b", 0, 1, 1), ("a", 1, 1, 2), ("z", 6, 1, 9)}
