@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from quarrymill.functions import coerce, media, names, scores
-from quarrymill.operators import audit, cleanup, curation, dedupe, graph, index, joins, order, ranking, review, similarity, video
+from quarrymill.operators import audit, cleanup, curation, dedupe, graph, index, joins, order, ranking, review, similarity, tables, video
 from quarrymill.plans import videos as video_plan
 from quarrymill.plans.storage import stored
+from quarrymill.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -860,3 +861,100 @@ def sidecar_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 2).alias("folder"), name.alias("name")).withColumn("stem", names.stem(F.col("name")))
     sides = spark.sql("SELECT * FROM VALUES (0L, 'a.jpg.json', '/a.jpg.json'), (0L, 'a.json', '/x'), (0L, 'b.png.json', '/b.png.json'), (1L, 'a.json', '/a.json') AS v(folder, name, path)")
     return joins.sidecars_of(files, sides).select("p_partkey", "json_path")
+
+
+# ---------------------------------------------------------------- files, assets and shapes of tables
+
+
+#: Names of the surrogate files of a page, by page_id % 6.
+_NAMES = ("IMG_1.JPG", "IMG_1.JPG.json", "clip.Mov", "old.ZIP", "note", "IMG_1.json")
+_NAMES_SQL = f"list_value({', '.join(repr(n) for n in _NAMES)})[page_id % 6 + 1]"
+_FILES = f"""
+    WITH f AS (SELECT page_id, {_NAMES_SQL} AS name, 'al' || page_id // 6 AS album, 100 * page_id AS size, 1000.5 + page_id AS stamp FROM pages),
+    r AS (SELECT *, '/root/' || album || '/' || name AS path, CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '[.]([^.]+)$', 1)) ELSE '' END AS ext FROM f),
+    t AS (SELECT *, CASE ext WHEN 'jpg' THEN 'media/photo' WHEN 'mov' THEN 'media/video' WHEN 'json' THEN 'sidecar' WHEN 'zip' THEN 'archive' ELSE 'other' END AS role FROM r)
+"""
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as a listing of files, six an album."""
+    n = F.col("page_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (n % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select(F.concat(F.lit("file:/root/al"), F.floor(n / 6).cast("string"), F.lit("/"), name).alias("path"), F.timestamp_micros(((1000.5 + n) * 1_000_000).cast("long")).alias("modificationTime"), (n * 100).alias("length"))
+
+
+@query(_FILES + "SELECT path AS file_path, name AS file_name, ext AS extension, size AS file_size, stamp AS created_at_fs, role AS file_role, CASE role WHEN 'media/photo' THEN 'photo' WHEN 'media/video' THEN 'video' ELSE '' END AS inferred_asset_type, album AS album_path FROM t")
+def raw_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.raw_files(_listed(spark, sf_dir), "/root")
+
+
+@query(_FILES + "SELECT path AS file_path, size AS file_size FROM t WHERE role = 'archive'")
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.archives(files.raw_files(_listed(spark, sf_dir), "/root")).select("file_path", "file_size")
+
+
+@query(_FILES + """, s AS (SELECT album, min(CASE WHEN name = 'IMG_1.JPG.json' THEN path END) AS by_name, min(CASE WHEN name = 'IMG_1.json' THEN path END) AS by_stem FROM t WHERE role = 'sidecar' GROUP BY 1)
+    SELECT sha1(lower(path)) AS asset_id, path AS file_path, CASE WHEN ext = 'jpg' THEN coalesce(by_name, by_stem) END AS json_path, CASE WHEN ext = 'jpg' THEN CASE WHEN by_name IS NOT NULL THEN '7' WHEN by_stem IS NOT NULL THEN '8' END END AS json_datetime, ext = 'jpg' AND coalesce(by_name, by_stem) IS NOT NULL AS has_sidecar,
+           CAST(CASE WHEN ext = 'jpg' AND coalesce(by_name, by_stem) IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS sidecar_count, role = 'media/photo' AS is_image, role = 'media/video' AS is_video, CASE role WHEN 'media/video' THEN 'video' ELSE 'image' END AS mime_type, CASE WHEN page_id % 12 = 0 THEN 'document' END AS content_type_file,
+           CASE WHEN role = 'media/photo' THEN CASE WHEN page_id % 12 = 0 THEN 'ok' ELSE 'failed' END END AS decode_status
+    FROM t LEFT JOIN s USING (album) WHERE role LIKE 'media/%'""")
+def asset_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets from a file table, with hashes, decoded images, dates and sidecars joined by path; every other photo is unreadable."""
+    raw = files.raw_files(_listed(spark, sf_dir), "/root")
+    number = F.col("file_size") / 100
+    hashes = raw.select("file_path", F.sha2("file_path", 256).alias("sha256"))
+    images = raw.where((F.col("file_role") == "media/photo") & (number % 12 == 0)).select(F.col("file_path").alias("path"), F.lit(10).alias("width"), F.lit(20).alias("height"), F.lit("0f").alias("phash"), F.lit(1.0).alias("sharpness"))
+    dates = raw.select(F.col("file_path").alias("path"), F.lit(None).cast("string").alias("exif_datetime"))
+    sides = raw.where("file_role = 'sidecar'").select(F.col("file_path").alias("path"), F.when(F.endswith("file_name", F.lit(".JPG.json")), "7").otherwise("8").alias("json_datetime"))
+    assets_ = index.assemble_assets(raw, hashes, images, dates, sides)
+    return assets_.select("asset_id", "file_path", "json_path", "json_datetime", "has_sidecar", "sidecar_count", "is_image", "is_video", "mime_type", "content_type_file", "decode_status")
+
+
+@query("SELECT 0.0 AS sharpness, CASE WHEN p_size % 3 = 0 THEN 0.0 ELSE p_size * 1.0 END AS width, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END AS album_path, p_partkey FROM part")
+def default_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing columns and nulls get defaults, numbers are coerced, listed columns come first and private ones go."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("_hidden"), F.when(F.col("p_size") % 3 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("width"), F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("album_path"))
+    return tables.ordered(tables.with_defaults(rows, {"sharpness": 0.0, "width": 0, "album_path": ""}), ["sharpness", "width", "absent"], private=False)
+
+
+@query("SELECT o_orderkey AS asset_id, 'features' AS part, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, 'semantic', o_custkey * 1.0 FROM orders")
+def split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two artifact tables, once per asset, of rows that repeat; columns that don't exist are left out."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id"), F.col("o_totalprice").alias("sharpness"), (F.col("o_custkey") * 1.0).alias("aesthetic_score"))
+    one, two = index.split_scores(rows.union(rows), ["sharpness", "absent"], ["aesthetic_score"])
+    return one.select("asset_id", F.lit("features").alias("part"), F.col("sharpness").alias("value")).union(two.select("asset_id", F.lit("semantic"), "aesthetic_score"))
+
+
+@query("SELECT 'p' || l_orderkey AS file_path, l_quantity, o_custkey AS asset_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def metric_asset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric table by path gets the index's ids; an unknown path would be an error."""
+    metric = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("file_path"), "l_quantity")
+    known = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("file_path"), F.col("o_custkey").alias("asset_id"))
+    return index.with_asset_ids(metric, known, "quantity")
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_size % 7 = 0 THEN 0 ELSE 0.3 * greatest(0, 1 - 1.5 * least(sqrt(pow(cx - 1/3.0, 2) + pow(cy - 1/3.0, 2)), sqrt(pow(cx - 2/3.0, 2) + pow(cy - 1/3.0, 2)), sqrt(pow(cx - 1/3.0, 2) + pow(cy - 2/3.0, 2)), sqrt(pow(cx - 2/3.0, 2) + pow(cy - 2/3.0, 2))))
+        + 0.3 * CASE WHEN a < 0.05 THEN a / 0.05 WHEN a <= 0.35 THEN 1 ELSE greatest(0, 1.35 - a) END + 0.2 * CASE WHEN x < 0.05 OR y < 0.05 OR x + w > 0.95 OR y + w > 0.95 THEN 0 ELSE 1 END + 0.2 * tilt END, 9) AS composition, round(tilt, 9) AS tilt
+    FROM (SELECT *, x + w / 2 AS cx, y + w / 2 AS cy, w * w AS a, CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE greatest(0, 1 - 2 * (p_size % 5 * 0.1 + 0.05)) END AS tilt FROM (SELECT p_partkey, p_size, p_partkey % 23 / 40.0 AS x, p_partkey % 19 / 36.0 AS y, 0.11 + p_size % 9 * 0.05 AS w FROM part))""")
+def composition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole composition score of the larger of two faces, with the tilt of two lines."""
+    x, y, w = F.col("p_partkey") % 23 / 40.0, F.col("p_partkey") % 19 / 36.0, 0.11 + F.col("p_size") % 9 * 0.05
+    off = F.col("p_size") % 5 * 0.1
+    angles = F.when(F.col("p_size") % 5 != 0, F.array(F.lit(1.5707963267948966) + off, F.lit(1.5707963267948966) - off - 0.1)).otherwise(F.array().cast("array<double>"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", x.alias("x"), y.alias("y"), w.alias("w"), media.tilt_score(angles).alias("tilt"))
+    face = lambda w: F.struct(F.col("x"), F.col("y"), w.alias("w"), w.alias("h"), F.col("tilt"))
+    faces = F.when(F.col("p_size") % 7 != 0, F.array(face(F.lit(0.01)), face(F.col("w"))))
+    return rows.select("p_partkey", F.round(media.composition(faces), 9).alias("composition"), F.round("tilt", 9).alias("tilt"))
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY 'f' || o_orderkey % 10 || '.jpg', o_orderkey % 2 = 0 DESC, '/x' || o_orderkey || '/f' || o_orderkey % 10 || '.jpg') AS at FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)),
+    m AS (SELECT max(o_totalprice) AS top, count(DISTINCT o_totalprice) > 1 AS differs FROM o)
+    SELECT CAST(o_orderkey AS VARCHAR) AS asset_id, 'f' || o_orderkey % 10 || '.jpg' AS file_name, o_orderkey % 2 = 0 AS is_best, CASE WHEN differs THEN o_totalprice = top END AS is_highest, o_custkey || ' × ' || o_orderkey || ' px' AS size_wh FROM o, m""")
+def review_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the least customer as a review group, with their metrics."""
+    n = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_id"), n.cast("string").alias("asset_id"), F.concat(F.lit("/x"), n.cast("string"), F.lit("/f"), (n % 10).cast("string"), F.lit(".jpg")).alias("file_path"), (n % 2 == 0).alias("is_best"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("width"), n.alias("height"))
+    least = rows.agg(F.min("group_id")).first()[0]
+    shown = review.group_rows(rows, least)
+    of = lambda name, field: F.get(F.filter("metrics", lambda m: m["metric"] == name), F.lit(0))[field]
+    return shown.select("asset_id", "file_name", "is_best", of("price", "is_highest").alias("is_highest"), of("size_wh", "text").alias("size_wh"))
