@@ -256,20 +256,25 @@ _MEASURED = """
 """
 
 
+def _four(score: str) -> Column:
+    """A score of six places in four; no score is half-way between two, so that both engines round alike."""
+    return F.round(F.col(score) + 0.0000005, 4).alias(score)
+
+
 @query(_MEASURED + """, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, px DESC, rate DESC, dur DESC, fps DESC, asset_id) AS k FROM s WHERE g IS NOT NULL) WHERE k = 1)
-    SELECT s.asset_id, s.g AS video_group_id, round(s.score, 4) AS video_score, s.penalty AS live_photo_penalty, s.gap IS NOT NULL AS has_live_photo_pair, b.asset_id AS best_asset_id, 'v' || b.asset_id AS best_file, coalesce(s.asset_id = b.asset_id, false) AS is_best_video
+    SELECT s.asset_id, s.g AS video_group_id, round(s.score + 0.0000005, 4) AS video_score, s.penalty AS live_photo_penalty, s.gap IS NOT NULL AS has_live_photo_pair, b.asset_id AS best_asset_id, 'v' || b.asset_id AS best_file, coalesce(s.asset_id = b.asset_id, false) AS is_best_video
     FROM s LEFT JOIN b ON b.g = s.g""")
 def video_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every weight of the video score, the live-photo penalty and the marked best, from raw metrics."""
     out = video_plan.scored(_measured(spark, sf_dir), _measured_live(spark, sf_dir))
-    return out.select("asset_id", "video_group_id", F.round("video_score", 4).alias("video_score"), "live_photo_penalty", "has_live_photo_pair", "best_asset_id", "best_file", "is_best_video")
+    return out.select("asset_id", "video_group_id", _four("video_score"), "live_photo_penalty", "has_live_photo_pair", "best_asset_id", "best_file", "is_best_video")
 
 
-@query(_MEASURED + "SELECT g AS video_group_id, asset_id, round(score, 4) AS video_score FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, px DESC, rate DESC, dur DESC, fps DESC, asset_id) AS k FROM s WHERE g IS NOT NULL) WHERE k = 1")
+@query(_MEASURED + "SELECT g AS video_group_id, asset_id, round(score + 0.0000005, 4) AS video_score FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, px DESC, rate DESC, dur DESC, fps DESC, asset_id) AS k FROM s WHERE g IS NOT NULL) WHERE k = 1")
 def video_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best video of each group, as a row."""
     out = video_plan.scored(_measured(spark, sf_dir).where("video_group_id IS NOT NULL"), _measured_live(spark, sf_dir))
-    return ranking.video_best(out).select("video_group_id", "asset_id", F.round("video_score", 4).alias("video_score"))
+    return ranking.video_best(out).select("video_group_id", "asset_id", _four("video_score"))
 
 
 @query(_MEASURED + """, r AS (SELECT g, count(*) AS size, bool_or(gap IS NOT NULL) AS has_live, bool_or(gap IS NULL) AS has_regular FROM s WHERE g IS NOT NULL GROUP BY 1)
