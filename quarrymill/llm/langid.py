@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
