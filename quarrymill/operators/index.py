@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.functions import coerce, names
 from quarrymill.operators import joins
-from quarrymill.operators.tables import ordered, require, with_defaults, with_nulls
+from quarrymill.operators.tables import require, with_defaults, with_nulls
 from quarrymill.operators.cleanup import is_video
 
 

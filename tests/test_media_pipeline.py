@@ -87,10 +87,10 @@ def test_grouping_photos(spark):
 
 def test_index_helpers(spark):
     df = spark.createDataFrame([(1, None, "x")], "asset_id int, b string, _c string")
-    assert index.ordered(df, ["b", "zz"], private=False).columns == ["b", "asset_id"]
-    assert index.with_defaults(df, {"b": "", "n": 0.0}).first().asDict() == {"asset_id": 1, "b": "", "_c": "x", "n": 0.0}
+    assert tables.ordered(df, ["b", "zz"], private=False).columns == ["b", "asset_id"]
+    assert tables.with_defaults(df, {"b": "", "n": 0.0}).first().asDict() == {"asset_id": 1, "b": "", "_c": "x", "n": 0.0}
     with pytest.raises(ValueError):
-        index.require(df, ["nope"])
+        tables.require(df, ["nope"])
     with pytest.raises(ValueError):
         index.subject_source(None, None)
     metric = spark.createDataFrame([("p", 1.0)], "file_path string, m double")
