@@ -41,6 +41,8 @@ def test_fold_copies_keeps_null_keys_apart(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_components_are_the_reachable_sets(spark, seed, monkeypatch):
     monkeypatch.setattr(graph, "PLAIN_EDGES", (0, 10**6, 10**6)[seed])
+    monkeypatch.setattr(graph, "LEAST", 1)
+    monkeypatch.setattr(graph, "BLOCK_EDGES", (3, 7, 100_000)[seed])
     monkeypatch.setattr(graph, "FEW_EDGES", (0, 0, 10**6)[seed])
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200 + k, 201 + k) for k in range(12)] + [(300, 300), (None, 4)]
