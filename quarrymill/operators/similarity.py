@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrymill.operators.order import lookahead
+from quarrymill.plans.storage import stored
+
+#: About so many photos are a tile; two tiles are compared by a task at a time.
+TILE = 8192
+#: Comparisons, and pairs with their products, that a task holds at once.
+CELLS, PAIRS = 1 << 20, 1 << 14
+#: Bands of bits are join keys if they leave less than this share of a prefix's pairs; else tiles are compared whole.
+SHARE = 0.125
 
 
 @dataclass(frozen=True)
@@ -49,21 +61,111 @@ def _pair_columns(d: Column) -> list[Column]:
     return [d.alias("distance"), (1 - d / 64.0).alias("similarity"), F.lit("phash").alias("match_source"), F.lit("strict").alias("pair_scope")]
 
 
+def _edges(limits: Limits) -> list[int]:
+    """Where the ``hash_distance`` + 1 bands of the bits after the prefix begin, and 64."""
+    first, parts = 4 * limits.prefix, limits.hash_distance + 1
+    return [first + (64 - first) * k // parts for k in range(parts + 1)]
+
+
+def _banded(limits: Limits) -> bool:
+    """Whether bands are wide enough to leave few pairs."""
+    edges = _edges(limits)
+    return sum(2.0 ** (a - b) for a, b in zip(edges, edges[1:])) < SHARE
+
+
+def _prefix(limits: Limits) -> Column:
+    return F.shiftrightunsigned("bits", 64 - 4 * limits.prefix) if limits.prefix else F.lit(0).cast("long")
+
+
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(components, each place's in a row; lengths, -1 for a vector that is null or holds a null)."""
+    lists = column.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), lengths)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out = np.zeros((int(lengths.max(initial=0)), len(lists)))
+    out[place, row] = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    lengths[row[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = -1
+    lengths[pc.is_null(lists).to_numpy(zero_copy_only=False)] = -1
+    return out, lengths
+
+
+def _products(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.Array:
+    """Dots of a's vectors i with b's vectors j, summed from the first component as ``dot`` does."""
+    (x, m), (y, n) = a, b
+    total = np.zeros(len(i))
+    for left, right in zip(x, y):
+        total += left[i] * right[j]
+    return pa.array(total, mask=(m[i] < 0) | (m[i] != n[j]), from_pandas=False)
+
+
+def _compared(distance: int, vectors: list[str], cells: int, most: int):
+    """The near pairs of two tiles, or of one with itself: (i, j, d, a dot per vector column)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        own = rows["x"][0] == rows["y"][0]
+        left = rows.filter(pc.equal(rows["t"], rows["x"]))
+        right = left if own else rows.filter(pc.equal(rows["t"], rows["y"]))
+        if not len(left) or not len(right):
+            return
+        a, b = (side["bits"].to_numpy().view(np.uint64) for side in (left, right))
+        ids, others = left["id"].combine_chunks(), right["id"].combine_chunks()
+        given = [(x := _vectors(left[v]), x if own else _vectors(right[v])) for v in vectors]
+        strip = max(1, cells // len(b))
+        for at in range(0, len(a), strip):
+            skip = at if own else 0
+            i, j = np.nonzero(np.bitwise_count(a[at : at + strip, None] ^ b[None, skip:]) <= distance)
+            i, j = i + at, j + skip
+            if own:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), most):
+                p, q = i[k : k + most], j[k : k + most]
+                d = np.bitwise_count(a[p] ^ b[q]).astype(np.int32)
+                yield pa.record_batch([ids.take(pa.array(p)), others.take(pa.array(q)), pa.array(d), *[_products(*v, p, q) for v in given]], names=["i", "j", "d", *vectors])
+
+    return run
+
+
+def _tile_pairs(rows: DataFrame, limits: Limits, vectors: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, d, a dot per vector column) of rows (id, bits, vector columns) of one prefix within the distance, each pair once.
+
+    A prefix's rows are dealt into tiles by hash; each two of its tiles meet in
+    one group, so work is spread however many rows share a prefix, and a row is
+    copied once per tile of its prefix only.
+    """
+    keyed = rows.withColumn("p", _prefix(limits))
+    sizes = keyed.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles > 1")  # at most a row per TILE rows
+    tiles = F.coalesce("tiles", F.lit(1))
+    dealt = keyed.join(F.broadcast(sizes), "p", "left").withColumn("t", F.pmod(F.xxhash64("id", "bits"), tiles).cast("int"))
+    met = dealt.withColumn("s", F.explode(F.sequence(F.lit(0), tiles - 1))).select("id", "bits", *vectors, "p", F.least("t", "s").alias("x"), F.greatest("t", "s").alias("y"), "t")
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema["id"].dataType.simpleString()
+    out = ", ".join([f"i {kind}, j {kind}, d int", *[f"`{v}` double" for v in vectors]])
+    return met.repartition(width, "p", "x", "y").groupBy("p", "x", "y").applyInArrow(_compared(limits.hash_distance, list(vectors), CELLS, PAIRS), out)
+
+
 def _near_hashes(classes: DataFrame, limits: Limits) -> DataFrame:
-    """(a, b, d): different hashes of one prefix within the distance, each pair once.
+    """(a, b, d): different hashes of one prefix within the distance, each pair once; by tiles if bands are narrow."""
+    if _banded(limits):
+        return _band_pairs(classes, limits)
+    whole = classes.select(F.struct("bits", "id").alias("id"), "bits")
+    return _tile_pairs(whole, limits).select(F.col("i").alias("a"), F.col("j").alias("b"), "d")
+
+
+def _band_pairs(classes: DataFrame, limits: Limits) -> DataFrame:
+    """As ``_near_hashes``, by bands.
 
     The prefix and one of ``hash_distance`` + 1 parts of the other bits are the
     join key: of so many parts some part is equal.  So a prefix that very many
     hashes share is joined in small pieces, and a pair that meets in several
     parts is kept from the first.
     """
-    first, parts = 4 * limits.prefix, limits.hash_distance + 1
-    edges = [first + (64 - first) * k // parts for k in range(parts + 1)]
+    edges, parts = _edges(limits), limits.hash_distance + 1
     # bits in the order of the hex text, the highest first
     part = lambda bits, k: F.shiftrightunsigned(F.shiftleft(bits, edges[k]), 64 - edges[k + 1] + edges[k]) if edges[k + 1] > edges[k] else F.lit(0).cast("long")
     bands = F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("bits"), k).alias("v")) for k in range(parts)])
-    prefix = F.shiftrightunsigned("bits", 64 - first) if first else F.lit(0).cast("long")
-    keyed = classes.select("bits", "id", prefix.alias("p"), F.explode(bands).alias("band"))
+    keyed = classes.select("bits", "id", _prefix(limits).alias("p"), F.explode(bands).alias("band"))
     l, r = keyed.alias("l"), keyed.alias("r")
     d = hamming(F.col("l.bits"), F.col("r.bits"))
     earlier = F.lit(False)
@@ -80,7 +182,7 @@ def class_pairs(photos: DataFrame, limits: Limits = LIMITS, id_col: str = "file_
     It joins the same photos as ``blocked_pairs`` with far fewer rows where many
     share a hash: components over both are equal.
     """
-    classes = hash_classes(photos, id_col)
+    classes = stored(hash_classes(photos, id_col), "hash-classes")
     least, most = F.least("a.id", "b.id").alias("img1"), F.greatest("a.id", "b.id").alias("img2")
     near = _near_hashes(classes, limits).select(least, most, *_pair_columns(F.col("d")))
     own = photos.where(F.col("phash").isNotNull()).select(F.col(id_col).alias("img2"), hash_bits(F.col("phash")).alias("bits"))
@@ -92,9 +194,12 @@ def blocked_pairs(photos: DataFrame, limits: Limits = LIMITS, id_col: str = "fil
     """(img1, img2, distance, similarity, match_source, pair_scope) of photos (id, phash) that share a hash prefix and are near.
 
     Hashes are folded to classes and joined first; only near classes are written
-    out as pairs of photos.  Where very many photos share a hash, that output is
-    quadratic by its definition: use ``class_pairs`` for grouping.
+    out as pairs of photos.  Where bands are too narrow to be keys, photos are
+    compared by tiles instead.  Where very many photos share a hash, that output
+    is quadratic by its definition: use ``class_pairs`` for grouping.
     """
+    if not _banded(limits):
+        return blocked_dots(photos, {}, limits, id_col)
     members = photos.where(F.col("phash").isNotNull()).select(F.col(id_col).alias("id"), hash_bits(F.col("phash")).alias("bits"))
     classes = hash_classes(photos, id_col)
     near = _near_hashes(classes, limits).select(F.col("a.bits").alias("x"), F.col("b.bits").alias("y"), "d")
@@ -104,6 +209,18 @@ def blocked_pairs(photos: DataFrame, limits: Limits = LIMITS, id_col: str = "fil
     return pairs.select(F.least("i", "j").alias("img1"), F.greatest("i", "j").alias("img2"), *_pair_columns(F.col("d")))
 
 
+def blocked_dots(photos: DataFrame, dots: dict[str, str], limits: Limits = LIMITS, id_col: str = "file_path") -> DataFrame:
+    """``blocked_pairs`` with the dots of both photos' vectors: ``dots`` maps array columns to names of their dots.
+
+    Pairs are found and multiplied where their tiles meet, so no vector is
+    copied to its pairs.  A dot is null if a vector is null, holds a null, or
+    both differ in length.
+    """
+    rows = photos.where(F.col("phash").isNotNull()).select(F.col(id_col).alias("id"), hash_bits(F.col("phash")).alias("bits"), *[F.col(v).alias(name) for v, name in dots.items()])
+    pairs = _tile_pairs(rows, limits, tuple(dots.values())).where("i != j")
+    return pairs.select(F.least("i", "j").alias("img1"), F.greatest("i", "j").alias("img2"), *_pair_columns(F.col("d")), *dots.values())
+
+
 def _gaps(limits: Limits) -> dict[str, Column]:
     seq = F.abs(F.col("l.seq") - F.col("r.seq"))
     la, ra = F.col("l.aspect"), F.col("r.aspect")

@@ -337,11 +337,10 @@ def lookahead_pairs_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.cross_candidates(rows, similarity.Limits(hash_distance=10, cross_steps=500))
 
 
-def _blocked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = photos(spark, sf_dir)
-    pairs = similarity.blocked_pairs(rows, LIMITS, "id").select("img1", "img2", "distance")
-    views = stored(_with_views(rows), "views")
-    return joins.enrich_pairs(pairs, views, "id", ["v", *(f"view{at}" for at in VIEW_STARTS)])
+def _blocked_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocked pairs with the dots of their vectors (sim) and views (dot1, ...)."""
+    rows = _with_views(photos(spark, sf_dir))
+    return similarity.blocked_dots(rows, {"v": "sim"} | {f"view{at}": f"dot{at}" for at in VIEW_STARTS}, LIMITS, "id")
 
 
 #: Where the slices of a vector that stand for crop views begin.
@@ -350,15 +349,11 @@ VIEW_STARTS = (1, 22, 43)
 
 def _with_views(rows: DataFrame) -> DataFrame:
     """Photos with three slices of their vector, each scaled to length one, once a photo."""
-    return rows.select("id", "v", *[similarity.unit(F.slice("v", at, 22)).alias(f"view{at}") for at in VIEW_STARTS])
-
-
-def _view_dot(at: int) -> Column:
-    return similarity.dot(F.col(f"view{at}_1"), F.col(f"view{at}_2"))
+    return rows.select("id", "phash", "v", *[similarity.unit(F.slice("v", at, 22)).alias(f"view{at}") for at in VIEW_STARTS])
 
 
 def _background() -> Column:
-    return similarity.top_two_mean(*[_view_dot(at) for at in VIEW_STARTS])
+    return similarity.top_two_mean(*[F.col(f"dot{at}") for at in VIEW_STARTS])
 
 
 def _cos_sql(a: str, b: str) -> str:
@@ -376,12 +371,12 @@ _VECTORS = _PHOTOS + f""", q AS (SELECT img1, img2, distance, {_cos_sql('a.v', '
 
 @query(_VECTORS + "SELECT img1, img2, round(sim, 5) AS similarity FROM q")
 def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocked_vectors(spark, sf_dir).select("img1", "img2", F.round(similarity.dot(F.col("v_1"), F.col("v_2")), 5).alias("similarity"))
+    return _blocked_dots(spark, sf_dir).select("img1", "img2", F.round("sim", 5).alias("similarity"))
 
 
 @query(_VECTORS + "SELECT img1, img2, round((v1 + v2 + v3 - least(v1, v2, v3)) / 2, 5) AS background FROM q")
 def background_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocked_vectors(spark, sf_dir).select("img1", "img2", F.round(_background(), 5).alias("background"))
+    return _blocked_dots(spark, sf_dir).select("img1", "img2", F.round(_background(), 5).alias("background"))
 
 
 @query(_VECTORS + """, s AS (SELECT *, (v1 + v2 + v3 - least(v1, v2, v3)) / 2 AS bg, CASE WHEN img1 % 2 = 0 AND img2 % 2 = 0 THEN v1 END AS face FROM q),
@@ -391,8 +386,8 @@ def background_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT *, 'scene' AS pair_scope FROM t WHERE scene UNION ALL SELECT *, 'strict' FROM t WHERE scene AND bg + 0.4 >= 0.86)""")
 def pair_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarities are raised by constants so that the surrogate pairs meet every rule."""
-    face = F.when((F.col("img1") % 2 == 0) & (F.col("img2") % 2 == 0), _view_dot(1) + 0.4)
-    pairs = _blocked_vectors(spark, sf_dir).select("img1", "img2", "distance", (similarity.dot(F.col("v_1"), F.col("v_2")) + 0.55).alias("sim"), (_background() + 0.4).alias("bg"), face.alias("face"))
+    face = F.when((F.col("img1") % 2 == 0) & (F.col("img2") % 2 == 0), F.col("dot1") + 0.4)
+    pairs = _blocked_dots(spark, sf_dir).select("img1", "img2", "distance", (F.col("sim") + 0.55).alias("sim"), (_background() + 0.4).alias("bg"), face.alias("face"))
     judged = stored(pairs, "similarities").withColumn("clip", F.lit(0.90)).withColumn("background", F.lit(0.86))
     found = similarity.decisions(judged, F.col("sim"), F.col("bg"), F.col("face"))
     return found.select("img1", "img2", "distance", F.round("similarity", 5).alias("similarity"), "pair_scope")

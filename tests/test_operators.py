@@ -119,6 +119,38 @@ def united(edges):
             groups[x] = both
     return groups
 
+def test_narrow_bands_are_compared_by_tiles(spark, monkeypatch):
+    """A wide distance leaves bands of two or three bits: tiles meet instead, also those of one hash's copies."""
+    monkeypatch.setattr(similarity, "TILE", 40)
+    monkeypatch.setattr(similarity, "CELLS", 100)
+    monkeypatch.setattr(similarity, "PAIRS", 7)
+    limits = similarity.Limits(prefix=1, hash_distance=20)
+    random.seed(5)
+    hashes = [random.getrandbits(62) for _ in range(150)] + [random.getrandbits(60)] * 60
+    rows = [(k, f"{h:016x}") for k, h in enumerate(hashes)] + [(900, None), (None, "0" * 16)]
+    df = spark.createDataFrame(rows, "id long, phash string")
+    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and a >> 60 == b >> 60 and (a ^ b).bit_count() <= 20}
+    found = similarity.blocked_pairs(df, limits, "id")
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
+    got = [(r["img1"], r["img2"], r["distance"]) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    links = {(r["node"], r["component"]) for r in graph.connected_components(similarity.class_pairs(df.where("id IS NOT NULL"), limits, "id"), "img1", "img2").collect()}
+    assert links == {(r["node"], r["component"]) for r in graph.connected_components(found, "img1", "img2").collect()}
+
+
+def test_dots_of_blocked_pairs(spark, monkeypatch):
+    """Dots are those of the expression to the last bit; null where a vector is null, holds a null or differs in length."""
+    monkeypatch.setattr(similarity, "TILE", 8)
+    random.seed(6)
+    odd = {0: None, 1: [], 2: [], 3: [1.0, None, 2.0], 4: [0.5] * 6, 5: [float("nan")] * 5}
+    rows = [(k, f"{random.getrandbits(4):016x}", odd.get(k, [random.uniform(-1, 1) for _ in range(5)])) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, phash string, v array<float>")
+    got = similarity.blocked_dots(df, {"v": "dot"}, similarity.Limits(prefix=2, hash_distance=20), "id")
+    side = lambda n: df.select(F.col("id").alias(f"img{n}"), F.col("v").alias(f"v{n}"))
+    both = got.join(side(1), "img1").join(side(2), "img2").select("img1", "img2", "dot", similarity.dot(F.col("v1"), F.col("v2")).alias("want")).collect()
+    assert {(r["img1"], r["img2"]) for r in both} == {(i, j) for i in range(40) for j in range(i + 1, 40)} and len(both) == 780
+    assert [repr(r["dot"]) for r in both] == [repr(r["want"]) for r in both]
+
 
 def test_album_candidate_thresholds(spark):
     bits = lambda n: (1 << n) - 1
