@@ -10,3 +10,8 @@ def plan(df):
 def test_background_moves_no_vector_to_its_pairs(spark, sf_dir):
     found = plan(registry.background_top2(spark, sf_dir))
     assert "FlatMapGroupsInArrow" in found and "view1_1" not in found and "v_1" not in found
+
+
+def test_enriched_pairs_meet_in_tiles(spark, sf_dir):
+    found = plan(registry.pair_enrichment(spark, sf_dir))
+    assert "FlatMapGroupsInArrow" in found and "earlier" not in found and found.count("band") == 0
