@@ -15,3 +15,9 @@ def test_background_moves_no_vector_to_its_pairs(spark, sf_dir):
 def test_enriched_pairs_meet_in_tiles(spark, sf_dir):
     found = plan(registry.pair_enrichment(spark, sf_dir))
     assert "FlatMapGroupsInArrow" in found and "earlier" not in found and found.count("band") == 0
+
+
+def test_strict_components_fold_hashes_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(registry, "_components", lambda edges: edges)
+    edges = registry.components_strict(spark, sf_dir)
+    assert any("hash-classes" in path for path in edges.inputFiles()) and "FlatMapGroupsInArrow" in plan(edges)
