@@ -35,7 +35,7 @@ def unique_assets(assets: DataFrame) -> DataFrame:
 def photo_pairs(photos: DataFrame, limits: similarity.Limits = similarity.LIMITS) -> DataFrame:
     """Hash edges: by prefix over all photos, then by neighbourhood in each album."""
     rows = index.photo_rows(photos)
-    strict = similarity.class_pairs(rows.select("id", "phash"), limits, "id")
+    strict = stored(similarity.class_pairs(rows.select("id", "phash"), limits, "id"), "strict-pairs")
     placed = order.positions(rows.drop("phash", "file_path"), [F.col("album"), F.col("ts"), F.col("name"), F.col("id")])
     return stored(strict.union(similarity.without_edges(similarity.local_pairs(placed, limits), strict).select(strict.columns)), "pairs")
 

@@ -470,7 +470,7 @@ def components_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query((_PHOTOS + _components_sql(f"SELECT img1, img2 FROM ({_BLOCKED}) WHERE distance <= 20 UNION SELECT a.id, b.id FROM o a JOIN o b ON a.album = b.album AND b.an BETWEEN a.an + 1 AND a.an + 40 WHERE (b.ts - a.ts <= 120 OR abs(a.seq - b.seq) <= 25) AND {_D} <= 20")).replace("WITH p", "WITH RECURSIVE p", 1))
 def components_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strict = similarity.class_pairs(photos(spark, sf_dir), LIMITS, "id")
+    strict = stored(similarity.class_pairs(photos(spark, sf_dir), LIMITS, "id"), "strict-pairs")
     local = similarity.local_pairs(_in_album(spark, sf_dir), LIMITS)
     return _components(strict.union(similarity.without_edges(local, strict).select(strict.columns)))
 

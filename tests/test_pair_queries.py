@@ -21,3 +21,9 @@ def test_strict_components_fold_hashes_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(registry, "_components", lambda edges: edges)
     edges = registry.components_strict(spark, sf_dir)
     assert any("hash-classes" in path for path in edges.inputFiles()) and "FlatMapGroupsInArrow" in plan(edges)
+
+
+def test_scene_components_find_strict_pairs_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(registry, "_components", lambda edges: edges)
+    edges = registry.components_scene(spark, sf_dir)
+    assert any("strict-pairs" in path for path in edges.inputFiles()) and "FlatMapGroupsInArrow" not in plan(edges)
