@@ -10,12 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.llm.pretokens import encoder, vocabulary
-from quarrymill.llm.texts import ROWS, bound_batches
+from quarrymill.llm.texts import ROWS, bound_batches, give_back
 
 WINDOW = 4096
 END = 2
 #: Tokens that a task packs together; what it holds in memory is bounded by this and one document.
 BLOCK_TOKENS = 2_000_000
+#: Bytes of ids that a task hands back at a time.
+OUT_BYTES = 1 << 20
 #: A window with more padding than this waits for the next block; at the end it is cut into
 #: power-of-two sequences, which need none.
 SLACK = 16
@@ -138,11 +140,21 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sequence = (task.partitionId() if task else 0) << 40
         pieces: list[_Piece] = []
         rows: list[tuple] = []
-        tokens = 0
+        tokens = held = 0
 
         def place(p: _Piece, offset: int) -> None:
+            nonlocal held
+            held += len(p.ids)
             rows.append((p.doc, p.start, p.length, p.ids, p.total, sequence, offset))
 
+        def emit(most: int) -> Iterator[pa.RecordBatch]:
+            """The placed pieces, once they hold more than so many bytes of ids."""
+            nonlocal held
+            if held > most:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                rows.clear()
+                held = 0
+
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal pieces, tokens, sequence
             done, rest = _sequences(pieces, window, last)
@@ -153,10 +165,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for p, offset in placed:
                     place(p, offset)
                 sequence += 1
+                yield from emit(OUT_BYTES)
             pieces, tokens = rest, sum(p.length for p in rest)
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-                rows.clear()
+            yield from emit(0)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -169,6 +180,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     for start in range(0, full, window):
                         place(_Piece(doc, ids[4 * start : 4 * (start + window)], total, start), 0)
                         sequence += 1
+                        yield from emit(OUT_BYTES)
                     if full < total:
                         pieces.append(_Piece(doc, ids[4 * full :], total, full))
                     tokens += total
@@ -176,6 +188,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         yield from flush(False)
         if id_type is not None:
             yield from flush(True)
+        give_back()  # the worker waits with its memo only while other stages run
 
     out = source.mapInArrow(packed, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

@@ -100,8 +100,9 @@ _kept: dict[Any, Any] = {}
 
 
 def give_back() -> None:
-    """Returns freed memory to the system, where the C library can."""
+    """Returns freed memory to the system: Arrow's, and where it can the C library's."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
