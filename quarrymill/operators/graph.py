@@ -80,8 +80,8 @@ class _Forest:
         return pa.record_batch([pa.array(list(self.given.values()), kind), pa.array([self.given[self.find(x)] for x in self.given], kind)], names=names)
 
 
-def _united(block: int | None, names: list[str]):
-    """A task's edges as stars, each vertex with its root, in blocks of so many edges (None: in one)."""
+def united(block: int | None, names: list[str]):
+    """A task's or group's edges as stars, each vertex with its root, in blocks of so many edges (None: in one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, edges, kind = _Forest(), 0, None
@@ -99,7 +99,14 @@ def _united(block: int | None, names: list[str]):
     return run
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex (of edges u, v without loops) has one root and no root has another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    found = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return found.where("up > 1 OR (up = 1 AND down = 1)").limit(1).count() == 0
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", whole: bool = False) -> DataFrame:
     """``(node, component)`` for every vertex of an edge; component is its least vertex.
 
     Each task first contracts its own edges to stars, a bounded block at a time.
@@ -107,16 +114,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     rounds grow with the logarithm of the longest path.  Each round is a table
     in the shared folder; only its row count and checksum reach the driver.  At
     most FEW_EDGES edges are joined by one task instead.  Self-loops yield their
-    vertex; edges with a null end are ignored.
+    vertex; edges with a null end are ignored.  ``whole``: edges may
+    be stars already, so it is first looked whether any round is needed.
     """
     raw = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     kind = raw.schema["u"].dataType.simpleString()
-    given = stored(raw.mapInArrow(_united(BLOCK_EDGES, ["u", "v"]), f"u {kind}, v {kind}").distinct(), "edges")
+    given = stored(raw.mapInArrow(united(BLOCK_EDGES, ["u", "v"]), f"u {kind}, v {kind}").distinct(), "edges")
     size = given.count()
     if size <= FEW_EDGES:
-        return given.coalesce(1).mapInArrow(_united(None, ["node", "component"]), f"node {kind}, component {kind}")
+        return given.coalesce(1).mapInArrow(united(None, ["node", "component"]), f"node {kind}, component {kind}")
     now, before = given.where("u != v"), None
-    while True:
+    while not (whole and before is None and _are_stars(now)):
         now = stored(_small_star(_large_star(now, size), size), "stars")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:

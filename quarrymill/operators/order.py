@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrymill.plans.storage import stored
@@ -21,8 +22,9 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFram
     local = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part, bits = F.shiftright("_at", 33).cast("int"), (1 << 33) - 1
     sizes = sorted((r["p"], r["n"]) for r in local.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    starts = [(p, start) for (p, _), start in zip(sizes, accumulate((n for _, n in sizes), initial=0))]
-    base = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _start long"))  # a row a partition
+    starts = list(accumulate((n for _, n in sizes), initial=0))[:-1]
+    # as an Arrow table, which needs no Python worker; a row a partition
+    base = F.broadcast(df.sparkSession.createDataFrame(pa.table({"_part": pa.array([p for p, _ in sizes], pa.int32()), "_start": pa.array(starts, pa.int64())})))
     placed = local.withColumn("_part", part).join(base, "_part")
     return placed.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit(bits))).drop("_at", "_part", "_start")
 

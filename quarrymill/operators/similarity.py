@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
+from quarrymill.operators.graph import BLOCK_EDGES, united
 from quarrymill.operators.order import lookahead
 from quarrymill.plans.storage import stored
 
@@ -19,6 +20,8 @@ TILE = 8192
 CELLS, PAIRS = 1 << 20, 1 << 14
 #: Bands of bits are join keys if they leave less than this share of a prefix's pairs; else tiles are compared whole.
 SHARE = 0.125
+#: The links of a large prefix's copies are dealt into so many pieces.
+COPY_PIECES = 64
 
 
 @dataclass(frozen=True)
@@ -99,26 +102,40 @@ def _products(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     return pa.array(total, mask=(m[i] < 0) | (m[i] != n[j]), from_pandas=False)
 
 
+def _tiles(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table, bool]:
+    """A group's two tiles; of a tile that meets itself both are one table."""
+    rows = pa.Table.from_batches(list(batches))
+    own = rows["x"][0] == rows["y"][0]
+    left = rows.filter(pc.equal(rows["t"], rows["x"]))
+    return left, left if own else rows.filter(pc.equal(rows["t"], rows["y"])), own
+
+
+def _near(left: pa.Table, right: pa.Table, own: bool, distance: int, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the near pairs of two tiles, each pair once."""
+    a, b = (side["bits"].to_numpy().view(np.uint64) for side in (left, right))
+    strip = max(1, cells // max(1, len(b)))
+    for at in range(0, len(a) if len(b) else 0, strip):
+        skip = at if own else 0
+        near = np.bitwise_count(a[at : at + strip, None] ^ b[None, skip:]) <= distance
+        i, j = np.divmod(np.flatnonzero(near), len(b) - skip)
+        i, j = i + at, j + skip
+        if own:
+            later = i < j
+            i, j = i[later], j[later]
+        yield i, j
+
+
 def _compared(distance: int, vectors: list[str], cells: int, most: int):
     """The near pairs of two tiles, or of one with itself: (i, j, d, a dot per vector column)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        own = rows["x"][0] == rows["y"][0]
-        left = rows.filter(pc.equal(rows["t"], rows["x"]))
-        right = left if own else rows.filter(pc.equal(rows["t"], rows["y"]))
+        left, right, own = _tiles(batches)
         if not len(left) or not len(right):
             return
         a, b = (side["bits"].to_numpy().view(np.uint64) for side in (left, right))
         ids, others = left["id"].combine_chunks(), right["id"].combine_chunks()
         given = [(x := _vectors(left[v]), x if own else _vectors(right[v])) for v in vectors]
-        strip = max(1, cells // len(b))
-        for at in range(0, len(a), strip):
-            skip = at if own else 0
-            i, j = np.nonzero(np.bitwise_count(a[at : at + strip, None] ^ b[None, skip:]) <= distance)
-            i, j = i + at, j + skip
-            if own:
-                i, j = i[i < j], j[i < j]
+        for i, j in _near(left, right, own, distance, cells):
             for k in range(0, len(i), most):
                 p, q = i[k : k + most], j[k : k + most]
                 d = np.bitwise_count(a[p] ^ b[q]).astype(np.int32)
@@ -127,8 +144,38 @@ def _compared(distance: int, vectors: list[str], cells: int, most: int):
     return run
 
 
-def _tile_pairs(rows: DataFrame, limits: Limits, vectors: tuple[str, ...] = ()) -> DataFrame:
-    """(i, j, d, a dot per vector column) of rows (id, bits, vector columns) of one prefix within the distance, each pair once.
+def _hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Unites the trees of i and j; ``root`` holds each place's root, the least place of its tree, before and after."""
+    while True:
+        i, j = root[i], root[j]
+        apart = i != j
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while (up := root[root]).sum() != root.sum():  # roots only fall
+            root[:] = up
+
+
+def _linked(distance: int, cells: int):
+    """The trees of two tiles' near pairs, each photo but a root with its root: (p, x, y, img1, img2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, own = _tiles(batches)
+        ids = pa.chunked_array([*left["id"].chunks, *([] if own else right["id"].chunks)], left["id"].type).combine_chunks()
+        root, shift = np.arange(len(ids)), 0 if own else len(left)
+        for i, j in _near(left, right, own, distance, cells):
+            _hook(root, i, j + shift)
+        leaves = np.flatnonzero(root != np.arange(len(root)))
+        if len(leaves):
+            keys = [pa.array(np.full(len(leaves), left[c][0].as_py()), left[c].type) for c in ("p", "x", "y")]
+            yield pa.record_batch([*keys, ids.take(pa.array(root[leaves])), ids.take(pa.array(leaves))], names=["p", "x", "y", "img1", "img2"])
+
+    return run
+
+
+def _met(rows: DataFrame, limits: Limits, columns: tuple[str, ...] = ()) -> GroupedData:
+    """Rows (id, bits, columns) in a group (p, x, y) for each two tiles of a prefix.
 
     A prefix's rows are dealt into tiles by hash; each two of its tiles meet in
     one group, so work is spread however many rows share a prefix, and a row is
@@ -138,11 +185,19 @@ def _tile_pairs(rows: DataFrame, limits: Limits, vectors: tuple[str, ...] = ())
     sizes = keyed.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles > 1")  # at most a row per TILE rows
     tiles = F.coalesce("tiles", F.lit(1))
     dealt = keyed.join(F.broadcast(sizes), "p", "left").withColumn("t", F.pmod(F.xxhash64("id", "bits"), tiles).cast("int"))
-    met = dealt.withColumn("s", F.explode(F.sequence(F.lit(0), tiles - 1))).select("id", "bits", *vectors, "p", F.least("t", "s").alias("x"), F.greatest("t", "s").alias("y"), "t")
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.withColumn("s", F.explode(F.sequence(F.lit(0), tiles - 1))).select("id", "bits", *columns, "p", F.least("t", "s").alias("x"), F.greatest("t", "s").alias("y"), "t")
+    return met.repartition(_width(rows), "p", "x", "y").groupBy("p", "x", "y")
+
+
+def _width(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _tile_pairs(rows: DataFrame, limits: Limits, vectors: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, d, a dot per vector column) of rows (id, bits, vector columns) of one prefix within the distance, each pair once."""
     kind = rows.schema["id"].dataType.simpleString()
     out = ", ".join([f"i {kind}, j {kind}, d int", *[f"`{v}` double" for v in vectors]])
-    return met.repartition(width, "p", "x", "y").groupBy("p", "x", "y").applyInArrow(_compared(limits.hash_distance, list(vectors), CELLS, PAIRS), out)
+    return _met(rows, limits, vectors).applyInArrow(_compared(limits.hash_distance, list(vectors), CELLS, PAIRS), out)
 
 
 def _near_hashes(classes: DataFrame, limits: Limits) -> DataFrame:
@@ -190,6 +245,31 @@ def class_pairs(photos: DataFrame, limits: Limits = LIMITS, id_col: str = "file_
     return near.union(same.select("img1", "img2", *_pair_columns(F.lit(0))))
 
 
+def class_links(photos: DataFrame, limits: Limits = LIMITS, id_col: str = "file_path") -> DataFrame:
+    """(img1, img2): edges with the components of ``class_pairs``, for grouping only.
+
+    Where tiles are compared, each two of them return a spanning forest instead
+    of their pairs: a row at most for each photo.  The edges of a prefix lie in
+    one task as far as that contracts them in one block (so its components
+    mostly come out whole), those of larger prefixes by pieces.
+    """
+    if _banded(limits):
+        return class_pairs(photos, limits, id_col).select("img1", "img2")
+    named = photos.where(F.col(id_col).isNotNull())
+    classes = stored(hash_classes(named, id_col), "hash-classes").withColumn("p", _prefix(limits))
+    most = F.count(F.lit(1)) * F.ceil(F.count(F.lit(1)) / TILE) + F.sum("n")  # edges of a prefix
+    large = classes.groupBy("p").agg(most.alias("edges")).where(F.col("edges") > BLOCK_EDGES).select("p", F.lit(True).alias("large"))  # at most a row per TILE photos
+    kind = classes.schema["id"].dataType.simpleString()
+    near = _met(classes.select("id", "bits"), limits).applyInArrow(_linked(limits.hash_distance, CELLS), f"p long, x int, y int, img1 {kind}, img2 {kind}")
+    own = named.where(F.col("phash").isNotNull()).select(F.col(id_col).alias("img2"), hash_bits(F.col("phash")).alias("bits"))
+    same = own.join(classes.where("n > 1").select("bits", "p", F.col("id").alias("img1")), "bits").where("img1 < img2")
+    edges = near.union(same.select("p", F.pmod(F.xxhash64("img2"), F.lit(COPY_PIECES)).cast("int"), F.lit(-1), "img1", "img2"))
+    piece = [F.when(F.col("large"), F.col(c)).alias(c) for c in ("x", "y")]
+    dealt = edges.join(F.broadcast(large), "p", "left").select("img1", "img2", "p", *piece)
+    trees = dealt.repartition(_width(photos), "p", "x", "y").groupBy("p", "x", "y").applyInArrow(united(BLOCK_EDGES, ["img1", "img2"]), f"img1 {kind}, img2 {kind}")
+    return trees.where("img1 != img2")
+
+
 def blocked_pairs(photos: DataFrame, limits: Limits = LIMITS, id_col: str = "file_path") -> DataFrame:
     """(img1, img2, distance, similarity, match_source, pair_scope) of photos (id, phash) that share a hash prefix and are near.
 

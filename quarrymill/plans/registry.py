@@ -459,13 +459,13 @@ def _components_sql(edges: str) -> str:
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    found = graph.connected_components(edges, "img1", "img2")
+    found = graph.connected_components(edges, "img1", "img2", whole=True)
     return graph.group_ids(found).select(F.col("node").alias("file_id"), F.col("component").alias("root"), "group_id")
 
 
 @query((_PHOTOS + _components_sql(f"SELECT img1, img2 FROM ({_BLOCKED}) WHERE distance <= 20")).replace("WITH p", "WITH RECURSIVE p", 1))
 def components_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _components(similarity.class_pairs(photos(spark, sf_dir), LIMITS, "id"))
+    return _components(similarity.class_links(photos(spark, sf_dir), LIMITS, "id"))
 
 
 @query((_PHOTOS + _components_sql(f"SELECT img1, img2 FROM ({_BLOCKED}) WHERE distance <= 20 UNION SELECT a.id, b.id FROM o a JOIN o b ON a.album = b.album AND b.an BETWEEN a.an + 1 AND a.an + 40 WHERE (b.ts - a.ts <= 120 OR abs(a.seq - b.seq) <= 25) AND {_D} <= 20")).replace("WITH p", "WITH RECURSIVE p", 1))

@@ -138,6 +138,41 @@ def test_narrow_bands_are_compared_by_tiles(spark, monkeypatch):
     assert links == {(r["node"], r["component"]) for r in graph.connected_components(found, "img1", "img2").collect()}
 
 
+@pytest.mark.parametrize("tile,block", [(8192, 100_000), (40, 100_000), (7, 20)])
+def test_links_are_forests_with_the_components_of_the_pairs(spark, monkeypatch, tile, block):
+    """Tiles return trees, not pairs; a photo without id links nothing; copies are linked, also in prefixes dealt by pieces."""
+    monkeypatch.setattr(similarity, "TILE", tile)
+    monkeypatch.setattr(similarity, "CELLS", 100)
+    monkeypatch.setattr(similarity, "BLOCK_EDGES", block)
+    limits = similarity.Limits(prefix=1, hash_distance=12)
+    random.seed(7)
+    base = [random.getrandbits(62) for _ in range(9)]
+    hashes = [random.choice(base) ^ sum(1 << random.randrange(60) for _ in range(random.randrange(9))) for _ in range(120)] + [base[0]] * 40
+    rows = [(random.randrange(10**9), f"{h:016x}") for h in hashes]
+    far = (1 << 63) + (1 << 24) - 1  # a photo without id lies between two others
+    df = spark.createDataFrame([*rows, (1, f"{1 << 63:016x}"), (None, f"{(1 << 63) + (1 << 12) - 1:016x}"), (2, f"{far:016x}"), (3, None)], "id long, phash string")
+    pairs = similarity.blocked_pairs(df, limits, "id").select("img1", "img2").collect()
+    found = similarity.class_links(df, limits, "id")
+    links = found.collect()
+    assert len(links) < len(pairs) / 2 if tile > 7 else len(links) < len(pairs)
+    groups = lambda edges: {frozenset(g) for g in united(tuple(e) for e in edges).values()}
+    assert groups(links) == groups(pairs)
+    want = {(x, min(g)) for g in groups(pairs) for x in g}
+    for few in (0, 1000):
+        monkeypatch.setattr(graph, "FEW_EDGES", few)
+        assert {(r["node"], r["component"]) for r in graph.connected_components(found, "img1", "img2", whole=True).collect()} == want
+
+
+def test_stars_need_no_rounds(spark, monkeypatch):
+    edges = lambda *rows: spark.createDataFrame(rows, "u long, v long")
+    assert graph._are_stars(edges((2, 1), (3, 1), (5, 4)))
+    assert not graph._are_stars(edges((2, 1), (3, 2))) and not graph._are_stars(edges((3, 1), (3, 2)))
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    monkeypatch.setattr(graph, "_small_star", lambda *_: 1 / 0)
+    got = graph.connected_components(edges((2, 1), (3, 2), (9, 9)).coalesce(1), "u", "v", whole=True).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(1, 1), (2, 1), (3, 1), (9, 9)}
+
+
 def test_dots_of_blocked_pairs(spark, monkeypatch):
     """Dots are those of the expression to the last bit; null where a vector is null, holds a null or differs in length."""
     monkeypatch.setattr(similarity, "TILE", 8)
