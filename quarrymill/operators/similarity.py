@@ -125,8 +125,54 @@ def _near(left: pa.Table, right: pa.Table, own: bool, distance: int, cells: int)
         yield i, j
 
 
-def _compared(distance: int, vectors: list[str], cells: int, most: int):
-    """The near pairs of two tiles, or of one with itself: (i, j, d, a dot per vector column)."""
+def _dots(vectors: list[str]):
+    """Measures a pair by a dot per vector column."""
+
+    def of(left: pa.Table, right: pa.Table, own: bool):
+        given = [(x := _vectors(left[v]), x if own else _vectors(right[v])) for v in vectors]
+        return lambda p, q: [_products(*v, p, q) for v in given]
+
+    return of
+
+
+def _views(column: pa.ChunkedArray, starts: tuple[int, ...], width: int) -> list[tuple]:
+    """``_vectors`` of each slice from a start (1 is the first), and their lengths by the sum of squares."""
+    lists, out = column.combine_chunks(), []
+    for at in starts:
+        x, n = _vectors(pa.chunked_array([pc.list_slice(lists, at - 1, at - 1 + width)]))
+        norm = np.zeros(len(lists))
+        for place in x:
+            norm += place * place
+        out.append(((x, n), np.sqrt(norm)))
+    return out
+
+
+def _two_best(cosines: list[pa.Array]) -> pa.Array:
+    """Mean of the two highest values of each place; null if fewer aren't null, NaN counts as the highest."""
+    given = sum(c.is_valid().to_numpy(zero_copy_only=False).astype(int) for c in cosines)
+    best = np.sort([pc.fill_null(c, -np.inf).to_numpy(zero_copy_only=False) for c in cosines], axis=0)[-2:]
+    return pa.array((best[1] + best[0]) / 2, mask=given < 2, from_pandas=False)
+
+
+def _view_scores(column: str, starts: tuple[int, ...], width: int):
+    """Measures a pair by the mean of its two best cosines of views."""
+
+    def of(left: pa.Table, right: pa.Table, own: bool):
+        a = _views(left[column], starts, width)
+        b = a if own else _views(right[column], starts, width)
+
+        def cosine(x, y, p, q):
+            dots = _products(x[0], y[0], p, q)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return pa.array(dots.fill_null(0.0).to_numpy(zero_copy_only=False) / x[1][p] / y[1][q], mask=dots.is_null().to_numpy(zero_copy_only=False), from_pandas=False)
+
+        return lambda p, q: [_two_best([cosine(x, y, p, q) for x, y in zip(a, b)])]
+
+    return of
+
+
+def _compared(distance: int, names: list[str], measure, cells: int, most: int):
+    """The near pairs of two tiles, or of one with itself: (i, j, d, and what ``measure`` gives by names)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, own = _tiles(batches)
@@ -134,12 +180,12 @@ def _compared(distance: int, vectors: list[str], cells: int, most: int):
             return
         a, b = (side["bits"].to_numpy().view(np.uint64) for side in (left, right))
         ids, others = left["id"].combine_chunks(), right["id"].combine_chunks()
-        given = [(x := _vectors(left[v]), x if own else _vectors(right[v])) for v in vectors]
+        measured = measure(left, right, own)
         for i, j in _near(left, right, own, distance, cells):
             for k in range(0, len(i), most):
                 p, q = i[k : k + most], j[k : k + most]
                 d = np.bitwise_count(a[p] ^ b[q]).astype(np.int32)
-                yield pa.record_batch([ids.take(pa.array(p)), others.take(pa.array(q)), pa.array(d), *[_products(*v, p, q) for v in given]], names=["i", "j", "d", *vectors])
+                yield pa.record_batch([ids.take(pa.array(p)), others.take(pa.array(q)), pa.array(d), *measured(p, q)], names=["i", "j", "d", *names])
 
     return run
 
@@ -193,11 +239,15 @@ def _width(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _tile_pairs(rows: DataFrame, limits: Limits, vectors: tuple[str, ...] = ()) -> DataFrame:
-    """(i, j, d, a dot per vector column) of rows (id, bits, vector columns) of one prefix within the distance, each pair once."""
+def _tile_pairs(rows: DataFrame, limits: Limits, columns: tuple[str, ...] = (), gives: dict[str, str] | None = None, measure=None) -> DataFrame:
+    """(i, j, d, and what ``measure`` gives) of rows (id, bits, columns) of one prefix within the distance, each pair once.
+
+    ``gives`` maps the names to types; without a measure it is a dot per column.
+    """
+    gives = gives if measure else {v: "double" for v in columns}
     kind = rows.schema["id"].dataType.simpleString()
-    out = ", ".join([f"i {kind}, j {kind}, d int", *[f"`{v}` double" for v in vectors]])
-    return _met(rows, limits, vectors).applyInArrow(_compared(limits.hash_distance, list(vectors), CELLS, PAIRS), out)
+    out = ", ".join([f"i {kind}, j {kind}, d int", *[f"`{name}` {type_}" for name, type_ in gives.items()]])
+    return _met(rows, limits, columns).applyInArrow(_compared(limits.hash_distance, list(gives), measure or _dots(list(columns)), CELLS, PAIRS), out)
 
 
 def _near_hashes(classes: DataFrame, limits: Limits) -> DataFrame:
@@ -301,6 +351,17 @@ def blocked_dots(photos: DataFrame, dots: dict[str, str], limits: Limits = LIMIT
     return pairs.select(F.least("i", "j").alias("img1"), F.greatest("i", "j").alias("img2"), *_pair_columns(F.col("d")), *dots.values())
 
 
+def blocked_views(photos: DataFrame, vector: str, starts: tuple[int, ...], width: int, limits: Limits = LIMITS, id_col: str = "file_path") -> DataFrame:
+    """``blocked_pairs`` with background: the mean of the two best cosines of slices of both photos' vectors.
+
+    Only the vector goes to the tiles; slices are scaled and judged there.  A
+    slice of zeros, or none, has no cosine: the background is NaN.
+    """
+    rows = photos.where(F.col("phash").isNotNull()).select(F.col(id_col).alias("id"), hash_bits(F.col("phash")).alias("bits"), F.col(vector).alias("v"))
+    pairs = _tile_pairs(rows, limits, ("v",), {"background": "double"}, _view_scores("v", starts, width)).where("i != j")
+    return pairs.select(F.least("i", "j").alias("img1"), F.greatest("i", "j").alias("img2"), *_pair_columns(F.col("d")), "background")
+
+
 def _gaps(limits: Limits) -> dict[str, Column]:
     seq = F.abs(F.col("l.seq") - F.col("r.seq"))
     la, ra = F.col("l.aspect"), F.col("r.aspect")

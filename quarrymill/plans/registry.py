@@ -376,7 +376,8 @@ def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_VECTORS + "SELECT img1, img2, round((v1 + v2 + v3 - least(v1, v2, v3)) / 2, 5) AS background FROM q")
 def background_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocked_dots(spark, sf_dir).select("img1", "img2", F.round(_background(), 5).alias("background"))
+    pairs = similarity.blocked_views(photos(spark, sf_dir), "v", VIEW_STARTS, 22, LIMITS, "id")
+    return pairs.select("img1", "img2", F.round("background", 5).alias("background"))
 
 
 @query(_VECTORS + """, s AS (SELECT *, (v1 + v2 + v3 - least(v1, v2, v3)) / 2 AS bg, CASE WHEN img1 % 2 = 0 AND img2 % 2 = 0 THEN v1 END AS face FROM q),

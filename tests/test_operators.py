@@ -187,6 +187,37 @@ def test_dots_of_blocked_pairs(spark, monkeypatch):
     assert [repr(r["dot"]) for r in both] == [repr(r["want"]) for r in both]
 
 
+def test_backgrounds_of_blocked_pairs(spark, monkeypatch):
+    """The two best views as the expressions give them; views of zeros or of nothing give NaN and no error."""
+    monkeypatch.setattr(similarity, "TILE", 8)
+    monkeypatch.setattr(similarity, "PAIRS", 5)
+    random.seed(8)
+    odd = {0: None, 1: [0.0] * 6, 2: [1.0, 2.0, 0.0, 0.0, 3.0, 4.0], 3: [1.0, None, 2.0, 3.0, 4.0, 5.0], 4: [1.0, None, None, 3.0, 4.0, 5.0], 5: [0.5] * 4}
+    rows = [(k, f"{random.getrandbits(4):016x}", odd.get(k, [random.uniform(-1, 1) for _ in range(6)])) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, phash string, v array<float>")
+    got = {(r["img1"], r["img2"]): r["background"] for r in similarity.blocked_views(df, "v", (1, 3, 5), 2, similarity.Limits(prefix=2, hash_distance=20), "id").collect()}
+    vectors = {k: v and [x if x is None else struct.unpack("f", struct.pack("f", x))[0] for x in v] for k, _, v in rows}
+
+    def cosine(a, b):
+        if None in a or None in b or len(a) != len(b):
+            return None
+        of = lambda x, y: sum(p * q for p, q in zip(x, y))
+        norms = math.sqrt(of(a, a)) * math.sqrt(of(b, b))
+        return of(a, b) / norms if norms else math.inf  # the highest, as NaN
+
+    def background(a, b):
+        if a is None or b is None:
+            return None
+        found = sorted((c for at in (0, 2, 4) if (c := cosine(a[at : at + 2], b[at : at + 2])) is not None), reverse=True)[:2]
+        return None if len(found) < 2 else sum(found) / 2
+
+    assert set(got) == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+    for (i, j), value in got.items():
+        want = background(vectors[i], vectors[j])
+        assert (value is None) == (want is None)
+        assert want is None or (math.isnan(value) if want == math.inf else abs(value - want) < 1e-12)
+
+
 def test_album_candidate_thresholds(spark):
     bits = lambda n: (1 << n) - 1
     rows = [(1, "x", 0.0, 1, 1.0, 0), (2, "x", 120.0, 26, 1.7, bits(40)), (3, "x", 121.0, 500, 1.0, bits(24)), (4, "x", 20000.0, 900, 1.0, bits(24))]

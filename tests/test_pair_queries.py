@@ -27,3 +27,8 @@ def test_scene_components_find_strict_pairs_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(registry, "_components", lambda edges: edges)
     edges = registry.components_scene(spark, sf_dir)
     assert any("strict-pairs" in path for path in edges.inputFiles()) and "FlatMapGroupsInArrow" not in plan(edges)
+
+
+def test_background_takes_only_the_vector_to_its_tiles(spark, sf_dir):
+    found = plan(registry.background_top2(spark, sf_dir))
+    assert "view1" not in found and "dot1" not in found and "sim#" not in found and "zip_with" not in found
