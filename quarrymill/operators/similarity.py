@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from quarrymill.operators.graph import BLOCK_EDGES, united
+from quarrymill.operators.joins import enrich_pairs
 from quarrymill.operators.order import lookahead
 from quarrymill.plans.storage import stored
 
@@ -171,6 +172,16 @@ def _view_scores(column: str, starts: tuple[int, ...], width: int):
     return of
 
 
+def _ends_of(columns: list[str]):
+    """Gives a pair both photos' columns: i's, then j's."""
+
+    def of(left: pa.Table, right: pa.Table, own: bool):
+        a, b = ([side[c].combine_chunks() for c in columns] for side in (left, right))
+        return lambda p, q: [side.take(pa.array(at)) for given, at in ((a, p), (b, q)) for side in given]
+
+    return of
+
+
 def _compared(distance: int, names: list[str], measure, cells: int, most: int):
     """The near pairs of two tiles, or of one with itself: (i, j, d, and what ``measure`` gives by names)."""
 
@@ -351,6 +362,24 @@ def blocked_dots(photos: DataFrame, dots: dict[str, str], limits: Limits = LIMIT
     return pairs.select(F.least("i", "j").alias("img1"), F.greatest("i", "j").alias("img2"), *_pair_columns(F.col("d")), *dots.values())
 
 
+def enriched_pairs(photos: DataFrame, columns: dict[str, Column], limits: Limits = LIMITS, id_col: str = "file_path") -> DataFrame:
+    """(img1, img2, distance) of ``blocked_pairs`` with both photos' columns, suffixed _1 and _2 as ``enrich_pairs`` gives them.
+
+    Where tiles are compared, they bring the columns along, so the pairs are
+    joined with no table.
+    """
+    if _banded(limits):
+        pairs = blocked_pairs(photos, limits, id_col).select("img1", "img2", "distance")
+        return enrich_pairs(pairs, photos.select(F.col(id_col).alias("_id"), *[c.alias(name) for name, c in columns.items()]), "_id", list(columns)).select("img1", "img2", "distance", *[f"{name}_{n}" for n in (1, 2) for name in columns])
+    inner = {name: f"c{k}" for k, name in enumerate(columns)}
+    rows = photos.where(F.col("phash").isNotNull()).select(F.col(id_col).alias("id"), hash_bits(F.col("phash")).alias("bits"), *[c.alias(inner[name]) for name, c in columns.items()])
+    gives = {f"{c}_{side}": rows.schema[c].dataType.simpleString() for side in "ij" for c in inner.values()}
+    pairs = _tile_pairs(rows, limits, tuple(inner.values()), gives, _ends_of(list(inner.values()))).where("i != j")
+    first = F.col("i") < F.col("j")
+    ends = [F.when(first, F.col(f"{c}_{a}")).otherwise(F.col(f"{c}_{b}")).alias(f"{name}_{n}") for n, a, b in ((1, "i", "j"), (2, "j", "i")) for name, c in inner.items()]
+    return pairs.select(F.least("i", "j").alias("img1"), F.greatest("i", "j").alias("img2"), F.col("d").alias("distance"), *ends)
+
+
 def blocked_views(photos: DataFrame, vector: str, starts: tuple[int, ...], width: int, limits: Limits = LIMITS, id_col: str = "file_path") -> DataFrame:
     """``blocked_pairs`` with background: the mean of the two best cosines of slices of both photos' vectors.
 

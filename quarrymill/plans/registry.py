@@ -753,9 +753,7 @@ def video_metrics_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PHOTOS + f"SELECT img1, img2, distance, a.album AS album_1, a.phash AS phash_1, b.album AS album_2, b.phash AS phash_2 FROM ({_BLOCKED}) k JOIN (SELECT id, album, id * 3 AS phash FROM p) a ON a.id = img1 JOIN (SELECT id, album, id * 3 AS phash FROM p) b ON b.id = img2 WHERE distance <= 20")
 def pair_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = photos(spark, sf_dir)
-    pairs = similarity.blocked_pairs(rows, LIMITS, "id").select("img1", "img2", "distance")
-    return joins.enrich_pairs(pairs, rows.select("id", "album", (F.col("id") * 3).alias("phash")), "id", ["album", "phash"])
+    return similarity.enriched_pairs(photos(spark, sf_dir), {"album": F.col("album"), "phash": F.col("id") * 3}, LIMITS, "id")
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_partkey % 1000 AS x, l_suppkey AS y, l_quantity * 10 AS w, l_quantity * 8 AS h FROM lineitem),

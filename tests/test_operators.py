@@ -187,6 +187,21 @@ def test_dots_of_blocked_pairs(spark, monkeypatch):
     assert [repr(r["dot"]) for r in both] == [repr(r["want"]) for r in both]
 
 
+@pytest.mark.parametrize("prefix,distance", [(1, 20), (4, 5)])
+def test_enriched_pairs_are_those_of_the_joins(spark, monkeypatch, prefix, distance):
+    """By tiles and by bands: the columns of both ends as enrich_pairs joins them, nulls too."""
+    monkeypatch.setattr(similarity, "TILE", 8)
+    monkeypatch.setattr(similarity, "PAIRS", 5)
+    random.seed(9)
+    rows = [(random.randrange(10**9), f"{random.getrandbits(4) << 40:016x}" if k % 9 else None, random.choice(["a", "b", None]), None if k % 5 == 0 else k) for k in range(40)]
+    df, limits = spark.createDataFrame(rows, "file int, phash string, album string, t long"), similarity.Limits(prefix=prefix, hash_distance=distance)
+    found = similarity.enriched_pairs(df, {"t": F.col("t"), "phash": F.concat(F.col("album"), F.lit("!")), "x": F.array("t")}, limits, "file")
+    pairs = similarity.blocked_pairs(df, limits, "file").select("img1", "img2", "distance")
+    want = joins.enrich_pairs(pairs, df.select("file", "t", F.concat(F.col("album"), F.lit("!")).alias("phash"), F.array("t").alias("x")), "file", ["t", "phash", "x"]).select(found.columns)
+    assert found.dtypes == want.dtypes
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.count() > 100
+
+
 def test_backgrounds_of_blocked_pairs(spark, monkeypatch):
     """The two best views as the expressions give them; views of zeros or of nothing give NaN and no error."""
     monkeypatch.setattr(similarity, "TILE", 8)

@@ -32,3 +32,8 @@ def test_scene_components_find_strict_pairs_once(spark, sf_dir, monkeypatch):
 def test_background_takes_only_the_vector_to_its_tiles(spark, sf_dir):
     found = plan(registry.background_top2(spark, sf_dir))
     assert "view1" not in found and "dot1" not in found and "sim#" not in found and "zip_with" not in found
+
+
+def test_enriched_pairs_are_joined_with_no_table(spark, sf_dir):
+    found = plan(registry.pair_enrichment(spark, sf_dir))
+    assert "LeftOuter, (img" not in found and "deduplicate" not in found.lower() and "SortMergeJoin" not in found
